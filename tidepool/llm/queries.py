@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import packing, quality, token_files
+from tidepool.llm import chat, fingerprints, html_text, mixing, packing, quality, token_counts, token_files, url_filter
 from tidepool.llm.common import table
 
 
@@ -14,19 +14,67 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return chat.read_conversations(chat.format_conversations(conversations.select("conv_id", "turn", "role", "text").unionByName(more)))
+
+
+#: Host, path, verdict; and hosts that are blocked where no rule fits.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+URL_BLOCKLIST = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages"), [url_filter.Rule(*r) for r in URL_RULES], URL_BLOCKLIST)
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "score")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_study(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_packing": op1_packing,
-    "op8_quality_rules": op8_quality_rules,
-    "op10_token_files": op10_token_files,
+    f.__name__: f
+    for f in (op1_packing, op2_chat_formatting, op4_url_filters, op5_token_counts, op6_mixing, op7_html_text, op8_quality_rules, op9_fingerprints, op10_token_files)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+_LIST_SQL = ", ".join(f"('{d}')" for d in URL_BLOCKLIST)
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_url_filters": f"""
+WITH rules(rhost, rpath, rverdict) AS (VALUES {_RULES_SQL}),
+blocked(domain) AS (VALUES {_LIST_SQL}),
+cut AS (SELECT page_id, url, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM cut),
+keys AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM parts),
+fits AS (SELECT page_id, host, path,
+         (SELECT max_by(rhost || rpath, length(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS rule,
+         (SELECT max_by(rverdict, length(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS rverdict,
+         EXISTS (SELECT 1 FROM blocked WHERE host = domain OR ends_with(host, '.' || domain)) AS is_listed FROM keys)
+SELECT page_id, host, path, rule, coalesce(rverdict, CASE WHEN is_listed THEN 'block' ELSE 'allow' END) AS verdict FROM fits
+""",
+}

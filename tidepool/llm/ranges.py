@@ -33,10 +33,9 @@ def range_id(key: str, bounds: list[int]) -> F.Column:
     return tree(0, len(bounds)).cast("int")
 
 
-def by_range(df: DataFrame, key: str, ties: list[str], ids: DataFrame, descending: bool = False) -> DataFrame:
+def by_range(df: DataFrame, key: str, ties: list[str], ids: DataFrame) -> DataFrame:
     """Adds range_id and sorts each partition by (range_id, key, ties). A partition holds one range. The bounds come from one read
     of the key's column alone, in ids."""
     bounds = boundaries(ids.select(key), key)
     out = df.withColumn("range_id", range_id(key, bounds))
-    order = [F.col("range_id").desc(), F.col(key).desc_nulls_last()] if descending else [F.col("range_id").asc(), F.col(key).asc_nulls_first()]
-    return out.repartitionById(len(bounds) + 1, "range_id").sortWithinPartitions(*order, *ties)
+    return out.repartitionById(len(bounds) + 1, "range_id").sortWithinPartitions(F.col(key).asc_nulls_first(), *ties)
