@@ -24,6 +24,8 @@ from tidepool.llm.common import materialize
 
 #: Words of 64 bits that all levels of a cascade may have together.
 MOST_WORDS = 1 << 17
+#: Bits of a key in its word.
+HASHES = 6
 
 
 @dataclass(frozen=True)
@@ -43,39 +45,47 @@ class Rule:
 
 @dataclass
 class Level:
-    bits: int
-    hashes: int
+    """A blocked Bloom filter: a key's bits are all in one word, so that a test reads one word."""
+
     words: list[int]
 
     def passes(self, key: Column) -> Column:
-        table = F.lit(self.words)
-        out = F.lit(True)
-        for place in places(key, self.bits, self.hashes):
-            word = F.element_at(table, (F.floor(place / 64) + 1).cast("int"))
-            out = out & (F.bit_get(word, (place % 64).cast("int")) == 1)
-        return out
+        word, mask = place(key, len(self.words))
+        return F.element_at(F.lit(self.words), word + 1).bitwiseAND(mask) == mask
+
+
+def place(key: Column, words: int) -> tuple[Column, Column]:
+    """The key's word, and its bits there."""
+    bits = F.xxhash64(key, F.lit(2))
+    one = F.lit(1).cast("long")
+    mask = one.bitwiseAND(F.lit(0))
+    for k in range(HASHES):
+        mask = mask.bitwiseOR(F.call_function("shiftleft", one, F.shiftrightunsigned(bits, 6 * k).bitwiseAND(F.lit(63)).cast("int")))
+    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(words)).cast("int"), mask
 
 
-def places(key: Column, bits: int, hashes: int) -> list[Column]:
-    first, step = F.xxhash64(key, F.lit(1)), F.xxhash64(key, F.lit(2))
-    # the halves of two hashes, so that no sum overflows
-    low, odd = F.shiftrightunsigned(first, 32), F.shiftrightunsigned(step, 33)
-    return [(low + F.lit(k) * odd) % F.lit(bits) for k in range(hashes)]
+def false_rate(keys_per_word: float) -> float:
+    """The share of other keys that pass."""
+    out, p = 0.0, math.exp(-keys_per_word)
+    for n in range(1, int(keys_per_word * 4) + 40):
+        p *= keys_per_word / n
+        out += p * (1 - (1 - 1 / 64) ** (HASHES * n)) ** HASHES
+    return out
 
 
 def level_over(keys: DataFrame, n: int, rate: float) -> Level:
-    """A Bloom filter over the n keys of a DataFrame; its words, not the keys, come to the driver."""
-    bits = max(64, math.ceil(n * math.log(1 / rate) / math.log(2) ** 2))
-    hashes = max(1, round(bits / n * math.log(2)))
-    size = -(-bits // 64)
-    if size > MOST_WORDS:
-        raise ValueError(f"a filter of {size} words; lists of this length need more than literals")
-    at = keys.select(F.explode(F.array(*places(F.col("key"), bits, hashes))).alias("p"))
-    rows = at.groupBy(F.floor(F.col("p") / 64).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("v")).collect()
-    words = [0] * size
-    for w, v in rows:
-        words[w] = v
-    return Level(bits, hashes, words)
+    """A filter over the n keys of a DataFrame; its words, not the keys, come to the driver."""
+    words = max(1, n // 8)
+    while false_rate(n / words) > rate:
+        words *= 2
+    if words > MOST_WORDS:
+        raise ValueError(f"a filter of {words} words; lists of this length need more than literals")
+    word, mask = place(F.col("key"), words)
+    rows = keys.select(word.alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).collect()
+    out = [0] * words
+    for w, m in rows:
+        out[w] = m
+    return Level(out)
 
 
 class Cascade:
@@ -104,7 +114,7 @@ class Cascade:
             n = side.count()
             if not n:
                 return cls(levels)
-            levels.append(level_over(side, n, 0.5))
+            levels.append(level_over(side, n, 0.2))
 
     def holds(self, key: Column) -> Column:
         out = F.lit(len(self.levels) % 2 == 1)
