@@ -1,19 +1,44 @@
-"""Corpus preparation: quality rules, near-duplicates, mixing, packing."""
+"""Corpus preparation: quality rules, near-duplicates, mixing to target weights, packing.
+
+Each stage works on all rows that the one before kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidepool.llm import packing, quality
+from tidepool.llm import dedup, mixing, packing, quality
 from tidepool.llm.common import materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Documents that the base rules or the trees reject go."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: the one with the least doc_id, once."""
+    found = dedup.near_duplicates(docs)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count()
+    return left.dropDuplicates(["doc_id"]) if repeated else left
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, once or twice."""
+    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
+    taken = docs.join(copies.where("_copies > 0"), "doc_id")
+    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("mixing", mixed), ("packing", packed)]
+#: Trees, random rounding and packing are not SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -99,9 +99,9 @@ def base_failed(least_words: int = 20, repeat_percent: int = 30) -> F.Column:
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > repeat_percent * F.col("n_words"))
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_train_rows: int = 20_000) -> Forest:
-    """Trees from at most max_train_rows labelled rows."""
-    sample = (
+def labelled_sample(labels: DataFrame, max_train_rows: int) -> DataFrame:
+    """doc_id, label of at most max_train_rows labelled documents, by hash of doc_id."""
+    return (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
         .dropna()
         .groupBy("doc_id")
@@ -109,6 +109,11 @@ def fit(stats: DataFrame, labels: DataFrame, max_train_rows: int = 20_000) -> Fo
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_train_rows)
     )
+
+
+def fit(stats: DataFrame, labels: DataFrame, max_train_rows: int = 20_000) -> Forest:
+    """Trees from at most max_train_rows labelled rows."""
+    sample = labelled_sample(labels, max_train_rows)
     rows = stats.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ["label", *BASE, *MORE]]).orderBy("doc_id").toPandas()
     return train(features({c: rows[c].to_numpy() for c in BASE + MORE}), rows["label"].to_numpy().astype(float), list(FEATURES.values()))
 
@@ -126,3 +131,23 @@ def judge(df: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train_ro
 
     scored = stats.mapInArrow(run, STATISTICS + ", score double")
     return scored.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
+
+
+def keep(df: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train_rows: int = 20_000) -> DataFrame:
+    """The rows of df that judge() keeps, with all their columns. Texts don't move: the sample's statistics train the trees, then each
+    row is judged where it is read."""
+    sample = labelled_sample(labels, max_train_rows)
+    texts = documents_of(df).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")
+    forest = fit(statistics(texts), labels, max_train_rows)
+    at = df.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 512):
+                part = b.slice(start, 512)
+                found = np.array([statistics_of(t or "") for t in part.column(at).to_pylist()], np.int64).reshape(-1, len(BASE + MORE))
+                columns = {c: found[:, k] for k, c in enumerate(BASE + MORE)}
+                failed = (columns["n_words"] < 20) | (100 * columns["n_repeat_words"] > 30 * columns["n_words"])
+                yield part.filter(pa.array(~failed & (forest.probability(features(columns)) >= threshold)))
+
+    return df.mapInArrow(run, df.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import chat, fingerprints, html_text, mixing, packing, quality, token_counts, token_files, url_filter
+from tidepool.llm import chat, dedup, fingerprints, html_text, mixing, packing, quality, token_counts, token_files, url_filter
 from tidepool.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_conversations(chat.format_conversations(conversations.select("conv_id", "turn", "role", "text").unionByName(more)))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 #: Host, path, verdict; and hosts that are blocked where no rule fits.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 URL_BLOCKLIST = [f"{name}.example.{top}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org")]
@@ -57,7 +61,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_chat_formatting, op4_url_filters, op5_token_counts, op6_mixing, op7_html_text, op8_quality_rules, op9_fingerprints, op10_token_files)
+    for f in (op1_packing, op2_chat_formatting, op3_near_duplicates, op4_url_filters, op5_token_counts, op6_mixing, op7_html_text, op8_quality_rules, op9_fingerprints, op10_token_files)
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
