@@ -7,8 +7,8 @@ permutations) are bucket keys; at an index of 0.85 a pair misses all BANDS bands
 1. Documents with equal sets are one class, represented by the least doc_id; copies go no further.
 2. In each bucket of two or more classes each class is compared with the bucket's least one: a star, not all pairs.
 3. Components of the confirmed links. Buckets that lie in one component are done, however large. In the others, pairs of different
-   components that a sketch of the signature cannot rule out are compared too, so no link between different texts is lost. Large
-   buckets are dealt out in pairs of blocks.
+   components that a sketch of the signature cannot rule out are compared in the bucket itself, so no link between different texts is
+   lost and no pair is written. Large buckets are dealt out in pairs of blocks.
 4. Components of all links.
 
 A link is confirmed on the full sets of 64-bit shingle hashes, computed again from the whole texts of the classes that share a bucket.
@@ -35,7 +35,7 @@ PERMUTATIONS = BANDS * ROWS // 2
 SKETCH = 160
 #: A pair is compared if so many of 100 sketch bytes match: six deviations below what a link of 85 would show.
 SKETCH_PERCENT = 66
-BLOCK = 1000
+BLOCK = 500
 #: Up to so many class ids are sent to all tasks; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 _C = np.random.default_rng(20240607)
@@ -145,25 +145,44 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "u long, v long")
 
 
-def _near_pairs(percent: int):
-    """Pairs of different components in a bucket (or a pair of its blocks) whose sizes and sketches allow a link."""
-
+def links_in_bucket(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
+    """Links between different components of a bucket (or a pair of its blocks), confirmed on the full sets. A pair that shares several
+    bands is looked at in the first of them alone."""
+    pdf = pdf.sort_values("node", kind="stable")
+    node, component, n, block, band = (pdf[c].to_numpy(copy=True) for c in ("node", "component", "n", "own", "band"))
+    across = pdf["low"].iloc[0] != pdf["high"].iloc[0]
+    earlier = np.stack(pdf["bands"].to_numpy())[:, : int(band[0])]
+    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
+    names, place = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in pdf["shingles"]]), return_inverse=True)
+    ends = np.cumsum([len(s) // 8 for s in pdf["shingles"]])
+    sets = np.split(place, ends[:-1])
+    mark, out = np.zeros(len(names), bool), []
+    for k in range(len(node) - 1):
+        m = np.arange(k + 1, len(node))
+        m = m[(component[m] != component[k]) & (100 * np.minimum(n[m], n[k]) >= percent * np.maximum(n[m], n[k]))]
+        if across:
+            m = m[block[m] != block[k]]
+        if len(m):
+            m = m[100 * (sketch[m] == sketch[k]).sum(1) >= SKETCH_PERCENT * SKETCH]
+        if len(m):
+            m = m[~(earlier[m] == earlier[k]).any(1)]
+        if not len(m):
+            continue
+        mark[sets[k]] = True
+        for v in m.tolist():
+            if component[v] != component[k]:
+                common = int(np.count_nonzero(mark[sets[v]]))
+                if 100 * common >= percent * (n[k] + n[v] - common):
+                    out.append((node[k], node[v]))
+                    component[component == component[v]] = component[k]
+        mark[sets[k]] = False
+    return out
+
+
+def _linked(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("node", kind="stable")
-        node, component, n, block = (pdf[c].to_numpy() for c in ("node", "component", "n", "own"))
-        low, high = int(pdf["low"].iloc[0]), int(pdf["high"].iloc[0])
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
-        us, vs = [], []
-        for k in range(len(node) - 1):
-            m = np.arange(k + 1, len(node))
-            m = m[(component[m] != component[k]) & (100 * np.minimum(n[m], n[k]) >= percent * np.maximum(n[m], n[k]))]
-            if low != high:
-                m = m[block[m] != block[k]]
-            if len(m):
-                m = m[100 * (sketch[m] == sketch[k]).sum(1) >= SKETCH_PERCENT * SKETCH]
-                us += [node[k]] * len(m)
-                vs += node[m].tolist()
-        return pd.DataFrame({"u": np.array(us, np.int64), "v": np.array(vs, np.int64)})
+        found = links_in_bucket(pdf, percent) if len(pdf) > 1 else []
+        return pd.DataFrame({"u": np.array([x[0] for x in found], np.int64), "v": np.array([x[1] for x in found], np.int64)})
 
     return run
 
@@ -182,7 +201,7 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     # a representative's own row has its bands, so they don't move with the aggregate
     reps = materialize(known.join(classes.withColumnRenamed("node", "doc_id"), ["set_key", "doc_id"], "left_semi").where(F.col("n_shingles") >= least).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch"), "representatives")
-    keys = reps.select("node", "n", F.explode("bands").alias("key"))
+    keys = reps.select("node", "n", F.posexplode("bands").alias("band", "key"))
     heads = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
     buckets = materialize(keys.join(heads, "key"), "buckets")
     fits = 100 * F.least(F.col("n"), F.col("head.n")) >= percent * F.greatest(F.col("n"), F.col("head.n"))
@@ -196,14 +215,14 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     first = components(links)
 
     label = F.coalesce(F.col("component"), F.col("node"))
-    labelled = buckets.select("key", "node", "n").join(first, "node", "left").select("key", "node", "n", label.alias("component"))
+    labelled = buckets.select("key", "band", "node", "n").join(first, "node", "left").select("key", "band", "node", "n", label.alias("component"))
     open_ = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("m")).where(F.col("least") != F.col("most")).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    dealt = labelled.join(open_, "key").join(reps.select("node", "sketch"), "node")
+    full = reps.select("node", "sketch", "bands").join(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "node")
+    dealt = labelled.join(open_, "key").join(full, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "node", "n", "component", "sketch", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    pairs = dealt.groupBy("key", "low", "high").applyInPandas(_near_pairs(percent), "u long, v long").distinct()
-    more = materialize(confirmed(pairs, sets, percent), "links-2")
+    dealt = dealt.select("key", "band", "node", "n", "component", "sketch", "bands", "shingles", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    more = materialize(dealt.groupBy("key", "low", "high").applyInPandas(_linked(percent), "u long, v long"), "links-2")
     final = components(links.unionByName(more))
 
     labels = classes.join(final, "node", "left").select("set_key", label.alias("component_id"))
