@@ -47,6 +47,6 @@ def content_hash(text: Column) -> Column:
 
 def for_embedding(text: Column, most_bytes: int = 32_000) -> Column:
     """At most so many bytes, cut after a blank where there is one."""
-    cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, most_bytes), "UTF-8") if False else F.substring(text, 1, most_bytes)
+    cut = F.substring(text, 1, most_bytes)
     shorter = F.regexp_replace(cut, r"\s\S*$", "")
     return F.when(F.octet_length(text) <= most_bytes, text).otherwise(F.when(shorter == "", cut).otherwise(shorter))

@@ -43,11 +43,11 @@ def successors(candidates: DataFrame, relations: DataFrame, now: Column, backwar
 
 def traverse(seeds: DataFrame, relations: DataFrame, now: Column, depth: int = 2) -> DataFrame:
     """seed, memory_id, depth, relation: breadth first along live edges, each node at its least depth; a join a level."""
-    edges = live(relations, now).select("source_id", "target_id", "relation")
+    edges = live(relations, now).select("source_id", "target_id", F.col("relation").alias("edge"))
     front = seeds.select("seed", F.col("seed").alias("memory_id"), F.lit(0).alias("depth"), F.lit("").alias("relation"))
     seen = front
     for d in range(1, depth + 1):
-        step = front.join(edges, front["memory_id"] == edges["source_id"]).groupBy("seed", F.col("target_id").alias("memory_id")).agg(F.min(edges["relation"]).alias("relation"))
+        step = front.join(edges, F.col("memory_id") == F.col("source_id")).groupBy("seed", "target_id").agg(F.min("edge").alias("relation")).withColumnRenamed("target_id", "memory_id")
         front = step.join(seen, ["seed", "memory_id"], "left_anti").select("seed", "memory_id", F.lit(d).alias("depth"), "relation")
         seen = seen.unionByName(front)
     return seen.where("depth > 0")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def access_stream(spark: SparkSession, path: str, schema: str, glob: str = "events.parquet") -> DataFrame:
     """memory_id, accessed_at, query_text, event_id as they arrive."""
     files = spark.readStream.schema(schema).option("pathGlobFilter", glob).option("recursiveFileLookup", "true").parquet(path)
-    return files.select(F.col("user_id").alias("memory_id"), F.col("ts").alias("accessed_at"), F.col("event_type").alias("query_text"), "event_id")
+    return files.select(F.col("user_id").alias("memory_id"), F.col("ts").cast("timestamp").alias("accessed_at"), F.col("event_type").alias("query_text"), "event_id")
 
 
 def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
