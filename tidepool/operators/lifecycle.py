@@ -43,7 +43,8 @@ def valid_at(when: Column) -> Column:
 
 def activation(log: DataFrame, now: Column, decay: float = 0.5) -> DataFrame:
     """memory_id, n_accesses, activation: the log of the summed powers of each access's age, term by term."""
-    age = F.greatest(F.timestamp_diff("SECOND", F.col("accessed_at"), now).cast("double"), F.lit(0.1))
+    micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("accessed_at").cast("timestamp"))
+    age = F.greatest(micros / F.lit(1e6), F.lit(0.1))
     return log.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n_accesses"), F.sum(-F.lit(decay) * F.log(age)).alias("activation"))
 
 

@@ -238,7 +238,7 @@ def distinct_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.distinct_evidence(candidates(spark, sf_dir))
 
 
-@query(f"SELECT user_id AS memory_id, count(*) AS n_accesses, round(sum(-0.5 * ln(greatest(date_diff('second', ts, {_NOW})::DOUBLE, 0.1))), 4) AS activation FROM events GROUP BY 1")
+@query(f"SELECT user_id AS memory_id, count(*) AS n_accesses, round(sum(-0.5 * ln(greatest(epoch({_NOW}) - epoch(ts), 0.1::DOUBLE))), 4) AS activation FROM events GROUP BY 1")
 def activation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.activation(tables.access_log(spark, sf_dir), now()).withColumn("activation", F.round("activation", 4))
 
@@ -250,7 +250,7 @@ def access_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH m AS ({_M}), r AS ({_R}), a AS (SELECT user_id AS id, sum(-0.5 * ln(greatest(date_diff('second', ts, {_NOW})::DOUBLE, 0.1))) AS activation FROM events GROUP BY 1)
+WITH m AS ({_M}), r AS ({_R}), a AS (SELECT user_id AS id, sum(-0.5 * ln(greatest(epoch({_NOW}) - epoch(ts), 0.1::DOUBLE))) AS activation FROM events GROUP BY 1)
 SELECT id, importance FROM m LEFT JOIN a USING (id) WHERE memory_type IN ('episodic', 'semantic') AND created_at < {_NOW} - INTERVAL 30 DAY AND importance < 8 AND (activation IS NULL OR activation < -2)
   AND id NOT IN (SELECT source_id FROM r) AND id NOT IN (SELECT target_id FROM r)"""
 )
