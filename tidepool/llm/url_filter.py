@@ -48,20 +48,21 @@ class Level:
     """A blocked Bloom filter: a key's bits are all in one word, so that a test reads one word."""
 
     words: list[int]
+    seed: int = 0
 
     def passes(self, key: Column) -> Column:
-        word, mask = place(key, len(self.words))
+        word, mask = place(key, len(self.words), self.seed)
         return F.element_at(F.lit(self.words), word + 1).bitwiseAND(mask) == mask
 
 
-def place(key: Column, words: int) -> tuple[Column, Column]:
+def place(key: Column, words: int, seed: int) -> tuple[Column, Column]:
     """The key's word, and its bits there."""
-    bits = F.xxhash64(key, F.lit(2))
+    bits = F.xxhash64(key, F.lit(2 * seed + 2))
     one = F.lit(1).cast("long")
     mask = one.bitwiseAND(F.lit(0))
     for k in range(HASHES):
         mask = mask.bitwiseOR(F.call_function("shiftleft", one, F.shiftrightunsigned(bits, 6 * k).bitwiseAND(F.lit(63)).cast("int")))
-    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(words)).cast("int"), mask
+    return F.pmod(F.xxhash64(key, F.lit(2 * seed + 1)), F.lit(words)).cast("int"), mask
 
 
 def false_rate(keys_per_word: float) -> float:
@@ -73,19 +74,19 @@ def false_rate(keys_per_word: float) -> float:
     return out
 
 
-def level_over(keys: DataFrame, n: int, rate: float) -> Level:
+def level_over(keys: DataFrame, n: int, rate: float, seed: int) -> Level:
     """A filter over the n keys of a DataFrame; its words, not the keys, come to the driver."""
     words = max(1, n // 8)
     while false_rate(n / words) > rate:
         words *= 2
     if words > MOST_WORDS:
         raise ValueError(f"a filter of {words} words; lists of this length need more than literals")
-    word, mask = place(F.col("key"), words)
+    word, mask = place(F.col("key"), words, seed)
     rows = keys.select(word.alias("w"), mask.alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).collect()
     out = [0] * words
     for w, m in rows:
         out[w] = m
-    return Level(out)
+    return Level(out, seed)
 
 
 class Cascade:
@@ -104,7 +105,7 @@ class Cascade:
         rate = min(0.5, len(listed) * math.sqrt(0.5) / max(1, all_keys))
         inside = spark.createDataFrame([(k,) for k in listed], "key string")
         outside = universe.where(~F.col("key").isin(listed))
-        levels = [level_over(inside, len(listed), rate)]
+        levels = [level_over(inside, len(listed), rate, 0)]
         # keys that passed all levels so far, by turns of the two sides
         sides = [outside, inside]
         while True:
@@ -114,7 +115,7 @@ class Cascade:
             n = side.count()
             if not n:
                 return cls(levels)
-            levels.append(level_over(side, n, 0.2))
+            levels.append(level_over(side, n, 0.2, len(levels)))
 
     def holds(self, key: Column) -> Column:
         out = F.lit(len(self.levels) % 2 == 1)
