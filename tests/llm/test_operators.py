@@ -154,11 +154,11 @@ def test_url_rules(spark):
 
 
 def test_cascade_is_exact(spark, monkeypatch):
-    monkeypatch.setattr(url_filter, "HASHES", 1)
-    universe = spark.range(3000).selectExpr("concat('k', id) AS key")
-    listed = [f"k{k}" for k in range(0, 3000, 3)]
+    monkeypatch.setattr(url_filter, "HASHES", 2)
+    universe = spark.range(300).selectExpr("concat('k', id) AS key")
+    listed = [f"k{k}" for k in range(0, 300, 3)]
     cascade = url_filter.Cascade.build(universe, listed)
-    assert len(cascade.levels) > 2
+    assert len(cascade.levels) > 1
     from pyspark.sql import functions as F
 
     assert universe.where(cascade.holds(F.col("key"))).count() == len(listed)
