@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as tx
+from tidepool.functions.stem import stem, stems
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Terms, and vector numbers, of all queries together that may be sent to every task.
@@ -28,16 +29,28 @@ def query_terms(queries: DataFrame, stop_words: bool = True) -> DataFrame:
     return queries.select("query_id", words.alias("w")).select("query_id", F.explode("w").alias("term"), F.size("w").alias("n_terms"))
 
 
-def bm25(memories: DataFrame, queries: DataFrame, match_all: bool = False, where: Column | None = None) -> DataFrame:
-    """query_id, memory_id, score of all matches. Texts are tokenised where they are read; only terms that some query has are shuffled."""
+def vocabulary_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """word, term: the words of docs whose stem is a query's. Each distinct word is stemmed once; what the queries match is small, and its size is checked."""
+    found = stems(docs.select(F.explode("words").alias("word"))).join(F.broadcast(terms.select("term").distinct()), "term")
+    rows = found.select("word", "term").limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"over {MOST_TERMS} words match; run the queries in parts")
+    return docs.sparkSession.createDataFrame(rows, "word string, term string")
+
+
+def bm25(memories: DataFrame, queries: DataFrame, match_all: bool = False, where: Column | None = None, stemmed: bool = False) -> DataFrame:
+    """query_id, memory_id, score of all matches. Texts are tokenised where they are read; only terms that some query has are shuffled.
+    stemmed: words of one stem are one term."""
     terms = query_terms(queries, stop_words=not match_all)
+    if stemmed:
+        terms = terms.select("query_id", stem(F.col("term")).alias("term")).distinct().withColumn("n_terms", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
     if (n := terms.select("term").distinct().count()) > MOST_TERMS:
         raise ValueError(f"{n} query terms; run the queries in parts")
     docs = memories.select(F.col("id").alias("memory_id"), tx.tokens(F.col("searchable_text")).alias("words"), (F.lit(True) if where is None else where).alias("ok"))
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("words")).alias("avg_len")).first()
     n_docs, avg_len = stats.n_docs, stats.avg_len or 1.0
-    vocabulary = F.broadcast(terms.select("term").distinct())
-    tf = docs.select("memory_id", "ok", F.size("words").alias("dl"), F.explode("words").alias("term")).join(vocabulary, "term").groupBy("term", "memory_id", "dl", "ok").agg(F.count(F.lit(1)).alias("tf"))
+    vocabulary = vocabulary_of(docs, terms) if stemmed else terms.select("term").distinct().withColumn("word", F.col("term"))
+    tf = docs.select("memory_id", "ok", F.size("words").alias("dl"), F.explode("words").alias("word")).join(F.broadcast(vocabulary), "word").groupBy("term", "memory_id", "dl", "ok").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     weighted = terms.join(F.broadcast(df), "term").select("query_id", "term", "n_terms", idf.alias("idf"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import scoring as sc
 from tidepool.functions import text as tx
-from tidepool.operators import lifecycle, search, state
+from tidepool.operators import ingest, lifecycle, rank, review, search, state
 from tidepool.plans.route import route
 from tidepool.sources import tables
 from tidepool.streaming import access
@@ -342,3 +342,179 @@ def streaming_access_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     started = access.windowed_counts(stream).writeStream.format("memory").queryName("tidepool_access").outputMode("complete").trigger(availableNow=True).start()
     started.awaitTermination()
     return spark.table("tidepool_access").withColumn("day", F.col("day").cast("timestamp_ntz"))
+
+
+@query()
+def keyword_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.bm25(tables.memories(spark, sf_dir), tables.queries(spark, sf_dir), stemmed=True)
+    return search.top(found, 10).select("query_id", "memory_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+_PLAIN = r"trim(regexp_replace(q.text, '\s+', ' ', 'g'))"
+_PLAIN_KEPT = f"array_to_string(list_filter(string_split({_PLAIN}, ' '), lambda w: NOT list_contains({_STOP}, lower(w)) AND w <> ''), ' ')"
+
+
+@query(
+    f"""
+WITH m AS ({_M}), c AS ({_CAND}), q AS (SELECT item_id, list_filter(string_split(lower(CASE WHEN {_PLAIN_KEPT} = '' THEN {_PLAIN} ELSE {_PLAIN_KEPT} END), ' '), lambda w: w <> '') AS words FROM benchmark q),
+p AS (SELECT item_id, words, list_transform(generate_series(1, len(words) - 1), lambda k: words[k] || ' ' || words[k + 1]) AS pairs FROM q),
+t AS (SELECT query_id, memory_id, score, strlen(searchable_text) AS n, words, len(list_filter(words, lambda w: contains(lower(searchable_text), w)))::DOUBLE / len(words) AS u,
+  CASE WHEN len(pairs) > 0 THEN len(list_filter(pairs, lambda w: contains(lower(searchable_text), w)))::DOUBLE / len(pairs) ELSE 0 END AS b FROM c JOIN p ON item_id = query_id)
+SELECT query_id, memory_id, round(score * CASE WHEN len(words) = 0 THEN 1.0 ELSE (1 + u * 0.3 + b * 0.2) * CASE WHEN n < 20 THEN 0.3 WHEN n < 50 THEN 0.7 ELSE 1.0 END END, 6)::DOUBLE AS score FROM t"""
+)
+def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rank.lexical_rerank(candidates(spark, sf_dir), F.broadcast(tables.queries(spark, sf_dir)))
+    return out.select("query_id", "memory_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""
+WITH m AS ({_M}), r AS ({_R}), l AS ({_LIVE}), s AS ({_SNAP}), c AS ({_CAND} WHERE id % 3 = 0),
+a AS (SELECT query_id, memory_id, score FROM c UNION ALL SELECT query_id, target_id, score * 0.96 FROM c JOIN l ON source_id = memory_id AND relation = 'superseded_by'), b AS (SELECT query_id, memory_id, max(score) AS score FROM a GROUP BY ALL)
+SELECT query_id, memory_id, round(score * CASE WHEN is_superseded THEN 0.1 ELSE 1.0 END, 6)::DOUBLE AS score FROM b JOIN s USING (memory_id)"""
+)
+def graph_state_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, r = candidates(spark, sf_dir).where("id % 3 = 0"), tables.relations(spark, sf_dir)
+    pulled = rank.pull_neighbours(c, state.live(r, now()).where("relation = 'superseded_by'"))
+    s = state.snapshot(tables.memories(spark, sf_dir).select(F.col("id").alias("memory_id")), r, now())
+    return rank.demote_by_state(pulled, s).select("query_id", "memory_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    f"""
+WITH m AS ({_M}), c AS ({_CAND}), t AS (SELECT *, CASE WHEN memory_id % 4 <> 0 THEN memory_id % 17 END AS turn_index FROM c)
+SELECT query_id, memory_id, round(score * (1 + 0.25 * coalesce(turn_index, 0) / greatest(coalesce(max(turn_index) OVER (PARTITION BY query_id), 1), 1)), 6)::DOUBLE AS score FROM t"""
+)
+def position_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = candidates(spark, sf_dir).withColumn("turn_index", F.when(F.col("memory_id") % 4 != 0, F.col("memory_id") % 17))
+    return rank.position_boost(c, 0.25).select("query_id", "memory_id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH m AS ({_M}), c AS ({_CAND}) SELECT query_id, memory_id, round(max(s), 6)::DOUBLE AS score FROM (SELECT query_id, memory_id, score AS s FROM c WHERE memory_id % 3 <> 0 UNION ALL SELECT query_id, memory_id, score * 1.5 FROM c WHERE memory_id % 2 = 0) GROUP BY ALL")
+def two_tier_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = candidates(spark, sf_dir)
+    return rank.two_tiers(c.where("memory_id % 3 <> 0"), c.where("memory_id % 2 = 0")).withColumn("score", F.round("score", 6))
+
+
+_REGISTRY = [("d0", "chain", "c1", "authoritative"), ("d0", "kind", "web", "reference"), ("d1", "kind", "system", "primary"), ("d1", "chain", "c2", "delegated"), ("d2", "kind", "other", "delegated"), ("d2", "chain", "c0", "primary")]
+_REGISTRY_SQL = ", ".join(f"('{d}', '{n}', '{v}', {sc.AUTHORITY_RANK[x]})" for d, n, v, x in _REGISTRY)
+
+
+@query(
+    f"""
+WITH m AS ({_M}), g(domain, name, value, rank) AS (VALUES {_REGISTRY_SQL}), d AS (SELECT id, unnest(['d' || (id % 3), 'd' || (id % 2)]) AS domain, 'c' || (id % 4) AS chain, source_kind AS kind FROM m),
+b AS (SELECT id, d.domain, max(rank) AS rank FROM (SELECT DISTINCT * FROM d) d JOIN g ON g.domain = d.domain AND ((name = 'chain' AND value = chain) OR (name = 'kind' AND value = kind)) GROUP BY ALL),
+t AS (SELECT m.id AS memory_id, coalesce(max(rank), 0)::BIGINT AS authority, coalesce(sum(rank), 0)::BIGINT AS total FROM m LEFT JOIN b ON b.id = m.id GROUP BY 1)
+SELECT *, (CASE authority WHEN 100 THEN 1.18 WHEN 80 THEN 1.12 WHEN 55 THEN 1.06 WHEN 30 THEN 1.02 ELSE 1.0 END)::DOUBLE AS weight FROM t"""
+)
+def authority_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = lambda head, n: F.concat(F.lit(head), (F.col("id") % n).cast("string"))
+    records = tables.memories(spark, sf_dir).select(F.col("id").alias("memory_id"), F.array(label("d", 3), label("d", 2)).alias("domains"), label("c", 4).alias("chain"), F.col("source_kind").alias("kind"))
+    return rank.authority_levels(records, spark.createDataFrame(_REGISTRY, "domain string, name string, value string, level string"))
+
+
+@query(
+    """
+WITH e AS (SELECT doc_id % 40 AS query_id, doc_id AS memory_id, ['credential-location', 'token-material', NULL, 'private-endpoint', NULL, 'secret-reference'][CAST(doc_id % 6 + 1 AS INT)] AS secret_class, ['trusted', 'low', 'normal', 'untrusted'][CAST(doc_id % 4 + 1 AS INT)] AS trust, doc_id % 23 AS rank FROM documents),
+f AS (SELECT *, coalesce(secret_class IN ('credential-location', 'secret-reference', 'private-endpoint', 'internal-hostname', 'internal-share-path', 'private-network-range'), false) AS s, CASE WHEN trust IN ('trusted', 'normal') THEN rank ELSE 0 END AS k FROM e),
+g AS (SELECT *, coalesce(max(k) FILTER (WHERE s) OVER (PARTITION BY query_id), 0) AS best FROM f)
+SELECT query_id, memory_id FROM g WHERE NOT s OR best <= 0 OR k = best"""
+)
+def sensitive_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = F.expr("element_at(array('credential-location','token-material',NULL,'private-endpoint',NULL,'secret-reference'), CAST(id % 6 + 1 AS INT))")
+    trust = F.expr("element_at(array('trusted','low','normal','untrusted'), CAST(id % 4 + 1 AS INT))")
+    e = tables.memories(spark, sf_dir).select((F.col("id") % 40).alias("query_id"), F.col("id").alias("memory_id"), kinds.alias("secret_class"), trust.alias("trust"), (F.col("id") % 23).alias("rank"))
+    return rank.best_sensitive(e).select("query_id", "memory_id")
+
+
+@query()
+def near_duplicate_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = tables.vectors(spark, sf_dir)
+    listed = v.select((F.col("memory_id") % 25).alias("query_id"), "memory_id", (F.lit(1.0) - (F.col("memory_id") % 97) / 100).cast("double").alias("score"))
+    return rank.suppress_near_duplicates(listed, v, 0.3)
+
+
+def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.expr("element_at(array('allowed','pending','denied',NULL), CAST(id % 4 + 1 AS INT))")
+    ends = F.expr("CASE WHEN id % 3 = 0 THEN timestampadd(DAY, CAST(id % 90 AS INT), TIMESTAMP_NTZ'2024-01-15 00:00:00') END")
+    note = F.expr("CASE WHEN id % 5 = 0 THEN 'checked' END")
+    return tables.memories(spark, sf_dir).where("memory_type = 'procedural'").select("id", "created_at", (F.col("id") % 2 == 1).alias("review_required"), status.alias("review_status"), ends.alias("review_expires_at"), note.alias("review_note"))
+
+
+_ITEMS = f"""SELECT id, created_at, id % 2 = 1 AS review_required, ['allowed','pending','denied',NULL][CAST(id % 4 + 1 AS INT)] AS review_status,
+  CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-15' + to_days(CAST(id % 90 AS INT)) END AS review_expires_at, CASE WHEN id % 5 = 0 THEN 'checked' END AS review_note FROM ({_M}) WHERE memory_type = 'procedural'"""
+
+
+@query(f"SELECT id, e AS effective_status FROM (SELECT *, CASE WHEN review_status = 'allowed' AND review_expires_at <= {_NOW} THEN 'expired' WHEN review_status IS NULL AND review_required THEN 'pending' ELSE review_status END AS e FROM ({_ITEMS})) WHERE e IN ('pending', 'expired')")
+def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.queue(review_items(spark, sf_dir), "pending", now()).select("id", "effective_status")
+
+
+@query(f"SELECT id, CASE WHEN due THEN 'expired' ELSE review_status END AS review_status, CASE WHEN due THEN coalesce(review_note, '{review.EXPIRED_NOTE}') ELSE review_note END AS review_note FROM (SELECT *, coalesce(review_status = 'allowed' AND review_expires_at <= {_NOW}, false) AS due FROM ({_ITEMS}))")
+def review_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.expire_due(review_items(spark, sf_dir), now()).select("id", "review_status", "review_note")
+
+
+_TEMPLATES_SQL = ", ".join(f"({k}, '{name}', '{s}', '{p}', {n})" for k, (name, (s, p, n)) in enumerate(review.TEMPLATES.items()))
+
+
+@query(
+    f"""
+WITH t(k, template, scope, policy, days) AS (VALUES {_TEMPLATES_SQL}), d AS (SELECT doc_id AS id, CASE WHEN doc_id % 6 = 5 THEN 'denied' ELSE 'allowed' END AS status, doc_id % 8 AS k, CASE WHEN doc_id % 7 = 0 THEN 'lab' END AS own FROM documents WHERE doc_id % 2 = 1)
+SELECT i.id, CASE WHEN d.id IS NOT NULL THEN d.status ELSE i.review_status END AS review_status, CASE WHEN d.id IS NULL THEN review_expires_at WHEN d.status = 'allowed' THEN {_NOW} + to_days(days) END AS review_expires_at,
+  review_note, coalesce(own, scope) AS review_scope, policy AS review_policy_class FROM ({_ITEMS}) i LEFT JOIN d ON d.id = i.id LEFT JOIN t ON t.k = d.k"""
+)
+def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.element_at(F.array(*[F.lit(x) for x in review.TEMPLATES]), (F.col("id") % 8 + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    d = tables.memories(spark, sf_dir).where("id % 2 = 1").select("id", F.when(F.col("id") % 6 == 5, "denied").otherwise("allowed").alias("status"), names.alias("template"), F.when(F.col("id") % 7 == 0, "lab").alias("scope"), none.alias("policy_class"), F.lit(None).cast("timestamp_ntz").alias("expires_at"), none.alias("note"))
+    return review.resolve(review_items(spark, sf_dir), d, now()).select("id", "review_status", "review_expires_at", "review_note", "review_scope", "review_policy_class")
+
+
+@query()
+def session_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.chunk_sessions(tables.read(spark, sf_dir, "conversations"))
+
+
+_ANSWER = "CASE doc_id % 4 WHEN 0 THEN 'Decision|' || (doc_id % 14) || '| text ' || doc_id || ' |a, b,,c|x>y>z;broken' WHEN 1 THEN 'odd|many|only three' WHEN 2 THEN 'no fields but a long line' ELSE 'short' END"
+
+
+@query(
+    f"""
+WITH p AS (SELECT doc_id AS id, string_split({_ANSWER}, '|') AS p FROM documents WHERE doc_id % 4 <> 3)
+SELECT id, 0::BIGINT AS line, CASE WHEN len(p) >= 3 AND lower(p[1]) IN ('fact','decision','preference','note','lesson') THEN lower(p[1]) ELSE 'fact' END AS category,
+  (CASE WHEN len(p) >= 3 THEN least(greatest(coalesce(try_cast(p[2] AS INT), 5), 1), 10) ELSE 5 END)::BIGINT AS importance, trim(CASE WHEN len(p) >= 3 THEN p[3] ELSE p[1] END) AS text,
+  CASE WHEN id % 4 = 0 THEN 'a,b,c' ELSE '' END AS entities, CASE WHEN id % 4 = 0 THEN 'x y z' ELSE '' END AS relationships FROM p"""
+)
+def extracted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ingest.parse_facts(tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.expr(_ANSWER).alias("answer")))
+    triples = F.transform("relationships", lambda t: F.concat_ws(" ", t["subject"], t["relation"], t["object"]))
+    return found.withColumn("entities", F.array_join("entities", ",")).withColumn("relationships", F.array_join(triples, ";"))
+
+
+@query("SELECT old_id, event_id AS new_id, subject, event_type AS relation FROM (SELECT *, 'user ' || user_id AS subject, lag(event_id) OVER w AS old_id, lag(floor(value / 50)) OVER w AS old_value FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY event_id)) WHERE old_id IS NOT NULL AND old_value <> floor(value / 50)")
+def fact_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.read(spark, sf_dir, "events")
+    return ingest.fact_conflicts(e.select(F.col("event_id").alias("id"), F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("subject"), F.col("event_type").alias("relation"), F.floor(F.col("value") / 50).cast("string").alias("object")))
+
+
+@query(
+    f"""SELECT query_id, CASE WHEN score >= 0.95 THEN 'noop' WHEN score >= 0.85 THEN 'update' ELSE 'add' END AS action, CASE WHEN score >= 0.85 AND score < 0.95 THEN memory_id END AS target_id
+FROM ({_VECTOR.format("q.vec_id % 20 = 0 AND v.vec_id % 20 <> 0", 1)})"""
+)
+def similarity_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = tables.vectors(spark, sf_dir)
+    new = v.where("memory_id % 20 = 0").select(F.col("memory_id").alias("query_id"), "embedding")
+    return ingest.consolidation(search.vector_topk(v.where("memory_id % 20 <> 0"), new, 1)).select("query_id", "action", "target_id")
+
+
+@query(
+    """
+WITH i AS (SELECT doc_id % 40 AS query_id, doc_id, doc_id % 50 AS p, doc_id % 13 AS rel, lag(doc_id % 50) OVER (PARTITION BY doc_id % 40 ORDER BY doc_id % 50, doc_id % 13 DESC, doc_id) AS before FROM documents),
+l AS (SELECT *, CASE WHEN before IS NULL THEN '## ' || h || chr(10) || chr(10) WHEN before <> p THEN chr(10) || '## ' || h || chr(10) || chr(10) ELSE '' END || 'item ' || doc_id || chr(10) AS line
+  FROM (SELECT *, CASE WHEN p <= 0 THEN 'Critical Context' WHEN p <= 10 THEN 'Retry Context' WHEN p <= 15 THEN 'Specifications' WHEN p <= 25 THEN 'Similar Tasks' WHEN p <= 40 THEN 'Learnings' ELSE 'Historical Context' END AS h FROM i))
+SELECT query_id, string_agg(line, '' ORDER BY p, rel DESC, doc_id) AS text FROM l GROUP BY query_id"""
+)
+def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = tables.memories(spark, sf_dir)
+    return ingest.render(m.select((F.col("id") % 40).alias("query_id"), F.col("id").alias("memory_id"), (F.col("id") % 50).alias("priority"), (F.col("id") % 13).cast("double").alias("relevance"), F.concat(F.lit("item "), F.col("id").cast("string")).alias("content")))
