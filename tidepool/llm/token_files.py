@@ -2,8 +2,8 @@
 
 A file is one row of a Parquet table in the shared folder, so that any store Spark can write will do:
 
-    shard, block, first_token   place of the block in the order of doc_id
-    n_docs, n_tokens            its size
+    shard, block                place of the block in the order of doc_id
+    n_docs, n_tokens, before    its size, and the ids of the shard's blocks before it
     keys                        int64 doc_ids, in order (a null id is the smallest)
     ordinals                    uint32: 0 for the first row of a doc_id, 1 for its second ...
     seeds                       int32: the minimal perfect hash (hash, displace): a seed for each bucket
@@ -95,7 +95,7 @@ def prints_of(hashes: np.ndarray) -> np.ndarray:
 
 
 ENCODED = "doc_id long, n_tokens long, ids binary"
-BLOCKS = "shard int, block int, n_docs long, n_tokens long, keys binary, ordinals binary, seeds binary, prints binary, offsets binary, lengths binary, width int, payload binary"
+BLOCKS = "shard int, block int, n_docs long, n_tokens long, before long, keys binary, ordinals binary, seeds binary, prints binary, offsets binary, lengths binary, width int, payload binary"
 
 
 def encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
@@ -112,7 +112,7 @@ def encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
     return docs.mapInArrow(run, ENCODED)
 
 
-def block_row(shard: int, block: int, keys: list[int], ordinals: list[int], ids: list[bytes], lengths: list[int]) -> list:
+def block_row(shard: int, block: int, before: int, keys: list[int], ordinals: list[int], ids: list[bytes], lengths: list[int]) -> list:
     keys_, ords = np.array(keys, "<i8"), np.array(ordinals, "<u4")
     h = hashed_keys(keys_, ords)
     ph = PerfectHash.build(h)
@@ -121,7 +121,7 @@ def block_row(shard: int, block: int, keys: list[int], ordinals: list[int], ids:
     width = sum(map(len, ids)) // max(1, int(n.sum()))
     at = np.zeros((3, len(n)), "<u4")
     at[0, slot], at[1, slot], at[2, slot] = prints_of(h), np.cumsum(n) - n, n
-    return [shard, block, len(n), int(n.sum()), keys_.tobytes(), ords.tobytes(), ph.seeds.astype("<i4").tobytes(), at[0].tobytes(), at[1].tobytes(), at[2].tobytes(), width, b"".join(ids)]
+    return [shard, block, len(n), int(n.sum()), before, keys_.tobytes(), ords.tobytes(), ph.seeds.astype("<i4").tobytes(), at[0].tobytes(), at[1].tobytes(), at[2].tobytes(), width, b"".join(ids)]
 
 
 def write_token_files(df: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 2, block_tokens: int = 1 << 20, block_docs: int = 4096) -> DataFrame:
@@ -130,22 +130,22 @@ def write_token_files(df: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: i
     spread = by_range(encoded(docs, vocab, end_id), "doc_id", ["ids"], docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, block, held, last, ordinal, tokens = None, 0, ([], [], [], []), None, 0, 0
+        shard, block, held, last, ordinal, tokens, before = None, 0, ([], [], [], []), None, 0, 0, 0
         names = [x.split()[0] for x in BLOCKS.split(", ")]
 
         def flush():
-            nonlocal block, held, tokens
+            nonlocal block, held, tokens, before
             if held[0]:
-                row = block_row(shard, block, *held)
-                block, held, tokens = block + 1, ([], [], [], []), 0
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32()] * 2 + [pa.int64()] * 2 + [pa.binary()] * 6 + [pa.int32(), pa.binary()], strict=True)], names)
+                row = block_row(shard, block, before, *held)
+                block, held, tokens, before = block + 1, ([], [], [], []), 0, before + tokens
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32()] * 2 + [pa.int64()] * 3 + [pa.binary()] * 6 + [pa.int32(), pa.binary()], strict=True)], names)
 
         for b in batches:
             for pid, key, n, ids in zip(*[b.column(b.schema.names.index(c)).to_pylist() for c in ("range_id", "doc_id", "n_tokens", "ids")], strict=True):
                 key = int(_EMPTY) if key is None else key
                 if pid != shard:
                     yield from flush()
-                    shard, block, last = pid, 0, None
+                    shard, block, last, before = pid, 0, None, 0
                 ordinal = ordinal + 1 if key == last else 0
                 last = key
                 for k, v in enumerate((key, ordinal, ids, n)):
@@ -173,12 +173,11 @@ def lookup(row: dict, keys: np.ndarray, ordinals: np.ndarray) -> list[np.ndarray
 
 
 def with_first_token(files: DataFrame) -> DataFrame:
-    """first_token: ids before the block. Sums by shard first (as many rows as shards), then within each shard."""
+    """first_token: ids before the block. Only the shards' sums are joined, a row a shard; the payload stays where it is read."""
     sums = files.groupBy("shard").agg(F.sum("n_tokens").alias("_t"))
-    before = F.coalesce(F.sum("_t").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = files.select("shard", "block", own.alias("_own")).join(F.broadcast(sums.select("shard", before.alias("_before"))), "shard")
-    return files.join(starts, ["shard", "block"]).withColumn("first_token", F.col("_before") + F.col("_own")).drop("_before", "_own")
+    earlier = F.coalesce(F.sum("_t").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(sums.select("shard", earlier.alias("_earlier")))
+    return files.join(starts, "shard").withColumn("first_token", F.col("_earlier") + F.col("before")).drop("_earlier")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
