@@ -142,7 +142,7 @@ class ChunkEncoder:
                     out.append(self.young[c])
             return b"".join(out)
         if missing := set(chunks).difference(self.young):
-            self._add(sorted(missing))
+            self._add(list(missing))
         found = b"".join(map(self.young.__getitem__, chunks))
         if len(self.young) > _GENERATION:
             self.old, self.young = self.young, {}
