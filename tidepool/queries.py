@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import scoring as sc
 from tidepool.functions import text as tx
-from tidepool.operators import ingest, lifecycle, rank, review, search, state
+from tidepool.operators import ann, ingest, lifecycle, rank, review, search, state
 from tidepool.plans.route import route
 from tidepool.sources import tables
 from tidepool.streaming import access
@@ -434,6 +434,15 @@ def near_duplicate_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.suppress_near_duplicates(listed, v, 0.3)
 
 
+@query()
+def vector_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = tables.vectors(spark, sf_dir)
+    asked = v.where("memory_id % 20 = 0").select(F.col("memory_id").alias("query_id"), "embedding")
+    centres = ann.train(v, 16)
+    found = ann.search(ann.build(v, centres), centres, asked, 10, 12)
+    return found.select("query_id", "memory_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 def review_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.expr("element_at(array('allowed','pending','denied',NULL), CAST(id % 4 + 1 AS INT))")
     ends = F.expr("CASE WHEN id % 3 = 0 THEN timestampadd(DAY, CAST(id % 90 AS INT), TIMESTAMP_NTZ'2024-01-15 00:00:00') END")
