@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from contextlib import suppress
 
 import numpy as np
 
@@ -66,15 +67,19 @@ class ChunkEncoder:
         self.sizes = np.array([len(x) for x in names], np.int64)
         self.ends = np.array([x.endswith("</w>") for x in names])
 
+    def _ids(self, text: str) -> np.ndarray:
+        """The library's ids; its fast call leaves out the spans, which nothing here reads."""
+        return np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def _one(self, chunk: str) -> bytes:
-        return np.array(self.plain.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(chunk).tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """Remembers the ids of words of letters alone, a blank before each or not: one call for many words, cut by the bytes that
         the ids stand for, or by the ids that end a word."""
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
-            ids = np.array(self.plain.encode(("" if self.mode == "prefix" else " ").join(part), add_special_tokens=False).ids, "<u4")
+            ids = self._ids(("" if self.mode == "prefix" else " ").join(part))
             if self.mode == "prefix":
                 ends = np.cumsum(self.sizes[ids])
                 want = np.cumsum([len(w.encode()) for w in part])
@@ -141,12 +146,19 @@ class ChunkEncoder:
                     self._add([c])
                     out.append(self.young[c])
             return b"".join(out)
-        if missing := set(chunks).difference(self.young):
-            self._add(list(missing))
-        found = b"".join(map(self.young.__getitem__, chunks))
+        found = list(map(self.young.get, chunks))
+        gaps, at = [], -1
+        with suppress(ValueError):  # index() searches faster than a loop would; gaps are few
+            while True:
+                at = found.index(None, at + 1)
+                gaps.append(at)
+        if gaps:
+            self._add(list({chunks[k] for k in gaps}))
+            for k in gaps:
+                found[k] = self.young[chunks[k]]
         if len(self.young) > _GENERATION:
             self.old, self.young = self.young, {}
-        return found
+        return b"".join(found)
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), "<u4")
