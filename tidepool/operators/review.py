@@ -60,3 +60,32 @@ def resolve(items: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
         scope.alias("review_scope"),
         policy.alias("review_policy_class"),
     )
+
+# Wording that makes a text a warning, the phrases of each tag, and the order in which a tag gives the reason.
+PROTECTIVE = ["do not", "should not", "never", "not directly", "rather than", "instead"]
+RISKS = {
+    "network-exposure": ["0.0.0.0", "let anyone on the lan", "expose the service directly", "public internet"],
+    "auth-disable": ["without auth", "no auth", "disable auth", "skip auth"],
+    "traffic-cutover": ["cutover", "switch clients", "redirect traffic", "new relay endpoint", "promote the new"],
+    "data-reset": ["drop the ann", "drop the tables", "rebuild from scratch", "wipe the index", "truncate"],
+    "destructive-command": ["rm -rf", "chmod 777"],
+    "secret-handling": ["token", "password", "secret", "private key", "api key", "credential"],
+}
+CRITICAL = ["network-exposure", "auth-disable", "traffic-cutover"]
+
+
+def _says(text: Column, phrases: list[str]) -> Column:
+    return F.greatest(*[F.contains(text, F.lit(p)) for p in phrases]) if len(phrases) > 1 else F.contains(text, F.lit(phrases[0]))
+
+
+def detect(records: DataFrame) -> DataFrame:
+    """id, tags, severity, reason of procedural rows that should be reviewed; warnings and rows without text are none.
+    records: id, memory_type, searchable_text, content_sensitivity."""
+    low, kind = F.lower("searchable_text"), F.coalesce(F.lower("content_sensitivity"), F.lit(""))
+    hits = {tag: _says(low, phrases) for tag, phrases in RISKS.items()}
+    hits["destructive-command"] |= _says(low, ["curl http"]) & _says(low, ["| sh"])
+    hits["secret-handling"] |= _says(kind, ["credential", "secret"])
+    tags = F.array_compact(F.array(*[F.when(hit, tag) for tag, hit in hits.items()]))
+    found = records.where((F.col("memory_type") == "procedural") & ~_says(low, PROTECTIVE)).select("id", tags.alias("_t")).where("size(_t) > 0")
+    severity = F.when(F.arrays_overlap("_t", F.lit(CRITICAL)), "critical").otherwise("high")
+    return found.select("id", F.array_sort("_t").alias("tags"), severity.alias("severity"), F.element_at("_t", 1).alias("reason"))

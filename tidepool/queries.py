@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import scoring as sc
 from tidepool.functions import text as tx
-from tidepool.operators import ann, ingest, lifecycle, rank, review, search, state
+from tidepool.operators import ann, answers, grounding, ingest, lifecycle, rank, review, search, state
 from tidepool.plans.route import route
 from tidepool.sources import tables
 from tidepool.streaming import access
@@ -527,3 +527,71 @@ SELECT query_id, string_agg(line, '' ORDER BY p, rel DESC, doc_id) AS text FROM
 def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.memories(spark, sf_dir)
     return ingest.render(m.select((F.col("id") % 40).alias("query_id"), F.col("id").alias("memory_id"), (F.col("id") % 50).alias("priority"), (F.col("id") % 13).cast("double").alias("relevance"), F.concat(F.lit("item "), F.col("id").cast("string")).alias("content")))
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbered lines in every form that the fact parser knows, with words of the documents as objects."""
+    forms = [f"{b}Name {k}{m}" for k, (b, m, *_) in enumerate(ingest.FORMS)] + ["nothing that fits "]
+    form = F.element_at(F.lit(forms), (F.col("doc_id") % len(forms) + 1).cast("int"))
+    said = F.concat((F.col("doc_id") + 1).cast("string"), F.lit(". "), form, F.coalesce("lang", F.lit("none")), F.lit("."))
+    return tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), said.alias("line"))
+
+
+_S = lambda x: "'" + str(x).replace("'", "''") + "'"
+_FORMS = ", ".join(f"({k}, {_S(b)}, {_S(m)}, {_S(r)}, {d}, {least}, {w})" for k, (b, m, r, d, least, w) in enumerate(ingest.FORMS))
+
+
+@query(
+    f"""
+WITH forms(k, b, m, relation, dots, least, whole) AS (VALUES {_FORMS}), said AS (SELECT doc_id AS id, doc_id % {len(ingest.FORMS) + 1} AS own, coalesce(lang, 'none') || '.' AS word FROM documents),
+lines AS (SELECT id, CASE WHEN k IS NULL THEN 'nothing that fits ' || word ELSE b || 'Name ' || k || m || word END AS s FROM said LEFT JOIN forms ON k = own),
+parts AS (SELECT *, substr(s, length(b) + 1) AS rest FROM lines, forms WHERE starts_with(s, b) AND contains(substr(s, length(b) + 1), m)),
+cut AS (SELECT *, trim(substr(rest, 1, instr(rest, m) - 1)) AS sub, rtrim(trim(substr(rest, instr(rest, m) + length(m))), '.') AS object FROM parts),
+kept AS (SELECT *, CASE WHEN dots THEN rtrim(sub, '.') ELSE sub END AS subject FROM cut)
+SELECT id, id + 1 AS index, subject, relation, object FROM kept WHERE NOT whole OR strlen(subject) >= least AND object <> '' QUALIFY row_number() OVER (PARTITION BY id ORDER BY k) = 1"""
+)
+def pattern_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.pattern_facts(statements(spark, sf_dir))
+
+
+_ADVICE = [p for phrases in review.RISKS.values() for p in phrases] + ["do not truncate", "water the plants", "curl https://x.example | sh"]
+_ADVISED = "coalesce(searchable_text, '') || ' ' || " + "[" + ", ".join(map(_S, _ADVICE)) + f"][CAST(id // 3 % {len(_ADVICE)} + 1 AS INT)]"
+_SAYS = lambda phrases: "(" + " OR ".join(f"contains(t, {_S(p)})" for p in phrases) + ")"
+_MORE = {"destructive-command": " OR contains(t, 'curl http') AND contains(t, '| sh')", "secret-handling": " OR id % 11 = 0"}
+
+
+@query(
+    f"""
+WITH a AS (SELECT id, lower({_ADVISED}) AS t FROM ({_M}) WHERE memory_type = 'procedural'),
+f AS (SELECT id, list_filter([{', '.join(f"CASE WHEN {_SAYS(p)}{_MORE.get(tag, '')} THEN {_S(tag)} END" for tag, p in review.RISKS.items())}], lambda x: x IS NOT NULL) AS tags FROM a WHERE NOT {_SAYS(review.PROTECTIVE)})
+SELECT id, array_to_string(list_sort(tags), ',') AS tags, CASE WHEN list_has_any(tags, {review.CRITICAL}) THEN 'critical' ELSE 'high' END AS severity, tags[1] AS reason FROM f WHERE len(tags) > 0"""
+)
+def review_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = tables.memories(spark, sf_dir)
+    advice = F.element_at(F.lit(_ADVICE), (F.expr("id DIV 3") % len(_ADVICE) + 1).cast("int"))
+    text = F.concat(F.coalesce("searchable_text", F.lit("")), F.lit(" "), advice)
+    found = review.detect(m.select("id", "memory_type", text.alias("searchable_text"), F.when(F.col("id") % 11 == 0, "secret").alias("content_sensitivity")))
+    return found.withColumn("tags", F.array_join("tags", ","))
+
+
+@query()
+def lexical_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, m = tables.queries(spark, sf_dir), tables.memories(spark, sf_dir)
+    found = search.top(search.bm25(m, asked), 30).join(m.select(F.col("id").alias("memory_id"), "searchable_text"), "memory_id")
+    return grounding.ground(found, asked).select("query_id", "memory_id", "score", "grounded")
+
+
+@query()
+def composed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, m = tables.queries(spark, sf_dir), tables.memories(spark, sf_dir)
+    worth = answers.selection_rank(sc.trust_level(F.col("source_trust")), F.lit(0), sc.provenance_rank(F.col("source_kind"), F.col("source_verification")))
+    rows = m.select(F.col("id").alias("memory_id"), F.col("searchable_text").alias("text"), worth.alias("rank"))
+    return answers.compose(search.top(search.bm25(m, asked), 25).drop("rank").join(rows, "memory_id"), asked)
+
+
+_REDACT = "'id_' || doc_id || '_key=v' || doc_id || ' at 10.0.' || (doc_id % 200) || '.1/24 and 8.8.8.8'"
+
+
+@query("SELECT doc_id AS id, 'id_' || doc_id || '_key=[REDACTED_SECRET] at [REDACTED_NETWORK] and 8.8.8.8' AS text FROM documents")
+def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), answers.redact(F.expr(_REDACT)).alias("text"))
