@@ -67,18 +67,17 @@ def temporal_bias(candidates: DataFrame, newer: bool = True) -> DataFrame:
     w = Window.partitionBy("query_id")
     at = F.unix_seconds(F.col("created_at").cast("timestamp")).cast("double")
     low, high = F.min(at).over(w), F.max(at).over(w)
-    place = (at - low) / (high - low) if newer else (high - at) / (high - low)
-    return candidates.withColumn("score", F.col("score") * F.when(high > low, F.lit(0.9) + F.lit(0.2) * place).otherwise(1.0))
-
-
-def state_bias(current: bool, now: Column) -> Column:
-    """A factor from is_superseded, supersedes_other, in_conflict, valid_from and valid_until."""
-    ended, future = F.col("valid_until") <= now, F.col("valid_from") > now
-    if current:
-        out = F.when(F.col("is_superseded"), 0.42).otherwise(1.0) * F.when(F.col("supersedes_other"), 1.18).otherwise(1.0) * F.when(ended, 0.6).otherwise(1.0) * F.when(future, 0.75).otherwise(1.0)
-    else:
-        out = F.when(F.col("is_superseded"), 1.3).otherwise(1.0) * F.when(F.col("supersedes_other"), 0.82).otherwise(1.0) * F.when(ended, 1.08).otherwise(1.0) * F.when(future, 0.7).otherwise(1.0)
-    return out * F.when(F.col("in_conflict"), 0.97).otherwise(1.0)
+    past = at - low if newer else high - at
+    return candidates.withColumn("score", F.col("score") * F.when(high > low, F.lit(0.9) + F.lit(0.2) * past / (high - low)).otherwise(1.0))
+
+
+def state_bias(score: Column, current: bool, now: Column) -> Column:
+    """The score, weighed in turn by is_superseded, supersedes_other, valid_until, valid_from and in_conflict."""
+    flags = [F.col("is_superseded"), F.col("supersedes_other"), F.col("valid_until") <= now, F.col("valid_from") > now, F.col("in_conflict")]
+    weights = [0.42, 1.18, 0.6, 0.75, 0.97] if current else [1.3, 0.82, 1.08, 0.7, 0.97]
+    for flag, weight in zip(flags, weights, strict=True):
+        score = score * F.when(flag, weight).otherwise(1.0)
+    return score
 
 
 def linked_demotion(candidates: DataFrame, relations: DataFrame, now: Column, newer: bool = True) -> DataFrame:

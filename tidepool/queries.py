@@ -207,7 +207,7 @@ SELECT query_id, memory_id, round(score * CASE WHEN high > low THEN 0.9 + 0.2 *
 def temporal_and_state_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = state.temporal_bias(candidates(spark, sf_dir))
     s = state.snapshot(tables.memories(spark, sf_dir).select(F.col("id").alias("memory_id")), tables.relations(spark, sf_dir), now())
-    return c.join(s, "memory_id").select("query_id", "memory_id", F.round(F.col("score") * state.state_bias(True, now()), 6).alias("score"))
+    return c.join(s, "memory_id").select("query_id", "memory_id", F.round(state.state_bias(F.col("score"), True, now()), 6).alias("score"))
 
 
 @query(
