@@ -2,7 +2,7 @@
 
 import pytest
 
-from tidepool.operators import answers, grounding, ingest, review
+from tidepool.operators import answers, grounding, ingest, policy, review
 from tidepool.plans.route import Query
 
 
@@ -96,3 +96,32 @@ def test_answers(spark):
         8: ("Gardens grow", "direct", "medium", False, "top-evidence", 1),
         9: (answers.NOTHING, "abstain", "low", True, "no-supporting-evidence", 0),
     }
+
+
+@pytest.mark.parametrize(
+    "query, text, want",
+    [
+        ("Tell me about gardens", "a garden", 1.0),
+        ("What is the latest plan", "the current plan", 1.55),
+        ("What is the latest plan", "the earlier plan", 0.8),
+        ("What was the plan previously", "the earlier plan", 1.5),
+        ("Tell me about the script", "run scripts/a.sh", 1.45),
+        ("Tell me about the script", "run it", 0.82),
+        ("Which file is the source of truth", "x.json is the source of truth", 1.45 * 1.35),
+        ("What comes next", "this should come next", 1.5),
+        ("Things it did not show", "it cannot", 2.4),
+        ("Did we ever mention boats", "none without sails", 1.1),
+        ("Tell me about gardens", None, 1.0),
+        (None, "text", 1.0),
+    ],
+)
+def test_alignment(spark, query, text, want):
+    c = spark.createDataFrame([(1, 1, 1.0, text)], "query_id long, memory_id long, score double, searchable_text string")
+    q = spark.createDataFrame([(1, query)], "query_id long, query string")
+    assert grounding.align(c, q).first().score == pytest.approx(want)
+
+
+def test_empty_tables(spark):
+    c = spark.createDataFrame([], "query_id long, memory_id long, score double, searchable_text string, derived_kind string, reflection_status string")
+    q = spark.createDataFrame([], "query_id long, query string")
+    assert grounding.ground(c, q).count() == grounding.align(c, q).count() == policy.prefer_reflections(c).count() == 0

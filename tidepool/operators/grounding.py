@@ -21,8 +21,22 @@ DETAIL = (
     + UNITS
     + "cost token price version number id first second third fourth fifth reserved remove removed fail failed duration filename file path endpoint hostname host address port subnet network range cidr script runner label header deployment parameter value hnsw subtype plist hash threshold emotion".split()
 )
+FOUND = ["strict", "together", "yes_no", "artifact", "constraint", "intent"]
 EXCLUSION = ["except", "without", "excluding", "not with"]
 
+# What asks for a sort of text, what shows it, and the factors where it is shown and where not.
+ARTIFACTS = ["scripts/", "target/", ".db", ".json", ".sh", ".sql", ".md", ".toml"]
+SUPPORT = ["support", "approved", "enabled", "stateful"]
+NEXT = ["next validation step", "come next", "rather than continuing"]
+PREREQUISITE = ["before", "had to be completed", "complete ann", "pending explicit user approval"]
+LIMIT = ["did not", "not test", "not prove", "cannot", "can not"]
+PREFER = ["matters more", "matter more", "rather than", "prioritize"]
+CURRENT = ["current", "right now", "latest", "active", "prefer", "going with", "using now", "final"]
+HISTORICAL = ["earlier", "previous", "before", "prior", "used to", "originally", "initial", "formerly", "at first"]
+SHARED = ["auth", "expose", "bind", "token", "credential", "password", "service", "directly"]
+#: Intent: factors of texts that show the state asked for and of those that show the other one.
+STATES = {"current-state": (1.55, 0.8), "stable-summary": (1.6, 0.78), "historical-state": (1.5, 0.82)}
+
 
 def meaning(text: Column) -> Column:
     """The words of a text that carry meaning, repeats kept: synonyms joined, and the endings ing, ed and s cut, in that order."""
@@ -38,14 +52,14 @@ def numbers(text: Column) -> Column:
 
 
 def asked(queries: DataFrame) -> DataFrame:
-    """query_id, query, strict, together, yes_no: what only the query's own words tell. One row a query; a null query asks nothing."""
+    """query_id, query, strict, together, yes_no, artifact, constraint, intent: what only the query's own words tell. One row a query; a null query asks nothing."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [Query(x or "") for x in b["query"]]
-            yield b.assign(strict=[q.strict for q in found], together=[q.together for q in found], yes_no=[q.yes_no for q in found])
+            yield b.assign(strict=[q.strict for q in found], together=[q.together for q in found], yes_no=[q.yes_no for q in found], artifact=[q.artifact for q in found], constraint=[q.constraint for q in found], intent=[q.intent for q in found])
 
-    return queries.select("query_id", "query").mapInPandas(run, "query_id long, query string, strict boolean, together boolean, yes_no boolean")
+    return queries.select("query_id", "query").mapInPandas(run, "query_id long, query string, strict boolean, together boolean, yes_no boolean, artifact boolean, constraint boolean, intent string")
 
 
 def grounded(query: Column, text: Column, strict: Column, together: Column, yes_no: Column) -> Column:
@@ -67,4 +81,45 @@ def ground(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """Adds grounded. candidates: query_id and searchable_text; queries: query_id, query. A row whose query is not listed has none."""
     both = candidates.join(asked(queries), "query_id", "left")
     flag = grounded(F.col("query"), F.col("searchable_text"), F.col("strict"), F.col("together"), F.col("yes_no"))
-    return both.withColumn("grounded", flag).drop("query", "strict", "together", "yes_no")
+    return both.withColumn("grounded", flag).drop("query", *FOUND)
+
+
+def _any(text: Column, phrases: list[str]) -> Column:
+    return F.greatest(*[F.contains(text, F.lit(p)) for p in phrases])
+
+
+def alignment(query: Column, text: Column, artifact: Column, constraint: Column, intent: Column) -> Column:
+    """The product of a factor for each thing that the query asks for: above one where the text shows it, below where not."""
+    q, t, low = tx.normalize(query), tx.normalize(text), F.lower(text)
+    word = lambda s: F.arrays_overlap(F.split(s, " "), F.lit(["prefer", "preferred", "preference"]))
+    both = lambda p: (F.contains(q, F.lit(p)) & F.contains(t, F.lit(p))).cast("int")
+    shared = sum((both(p) for p in SHARED), 2 * both("0 0 0 0") + 2 * both("127 0 0 1")) >= 2
+    truth = F.contains(q, F.lit("source of truth"))
+    support = _any(t, SUPPORT) | F.contains(low, F.lit("codex-cli"))
+    limit, preference, current, past = _any(t, LIMIT), _any(t, PREFER) | word(t), _any(t, CURRENT), _any(t, HISTORICAL)
+    asked_for = [
+        (artifact, _any(low, ARTIFACTS), 1.45, 0.82),
+        (artifact & truth, F.contains(t, F.lit("source of truth")), 1.35, 0.82),
+        (_any(q, SUPPORT), support, 1.45, 0.82),
+        (constraint, shared, 1.55, 0.62),
+        (F.array_contains(F.split(q, " "), "next"), _any(t, NEXT), 1.5, 0.8),
+        (_any(q, ["before", "had to be completed"]), _any(t, PREREQUISITE), 1.45, 0.84),
+        (_any(q, ["did not", "not test", "not prove", "alone prove"]), limit, 2.4, 0.45),
+        (_any(q, ["matters more than", "rather than", "prioritize"]) | word(q), preference, 1.65, 0.78),
+        (intent == "abstention-risk", _any(t, EXCLUSION) | limit, 1.1, 0.95),
+    ]
+    out = F.lit(1.0)
+    for asks, shows, up, down in asked_for:
+        out = out * F.when(asks, F.when(shows, up).otherwise(down)).otherwise(1.0)
+    for name, (up, down) in STATES.items():
+        own, other = (past, current) if name == "historical-state" else (current | support | preference if name == "stable-summary" else current, past)
+        out = out * F.when(intent == name, F.when(own, up).when(other, down).otherwise(1.0)).otherwise(1.0)
+    return F.coalesce(out, F.lit(1.0))
+
+
+def align(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """Weighs score by how the text suits the query. candidates: with searchable_text; queries: query_id, query. A row whose query is not
+    listed, or without text, keeps its score where nothing is asked for."""
+    both = candidates.join(asked(queries), "query_id", "left")
+    factor = alignment(F.col("query"), F.coalesce("searchable_text", F.lit("")), F.col("artifact"), F.col("constraint"), F.col("intent"))
+    return both.withColumn("score", F.col("score") * factor).drop("query", *FOUND)

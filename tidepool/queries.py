@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import scoring as sc
 from tidepool.functions import text as tx
-from tidepool.operators import ann, answers, grounding, ingest, lifecycle, rank, review, search, state
+from tidepool.operators import ann, answers, grounding, ingest, lifecycle, policy, rank, review, search, state
 from tidepool.plans.route import route
 from tidepool.sources import tables
 from tidepool.streaming import access
@@ -595,3 +595,38 @@ _REDACT = "'id_' || doc_id || '_key=v' || doc_id || ' at 10.0.' || (doc_id % 200
 @query("SELECT doc_id AS id, 'id_' || doc_id || '_key=[REDACTED_SECRET] at [REDACTED_NETWORK] and 8.8.8.8' AS text FROM documents")
 def redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), answers.redact(F.expr(_REDACT)).alias("text"))
+
+
+def policed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = lambda x: F.expr(x)
+    c = candidates(spark, sf_dir).select("query_id", "memory_id", "score", "memory_type", sc.trust_level(F.col("source_trust")).alias("trust"))
+    return c.select("*", i("query_id % 4 <> 0").alias("asks_guidance"), i("memory_id % 9 = 2").alias("pending"), i("memory_id % 13 = 2").alias("denied"), i("CASE WHEN memory_id % 6 = 2 THEN 'lab' END").alias("policy_class"), i("memory_id % 5 <> 0").alias("scope_fits"), i("CASE WHEN memory_id % 11 <> 0 THEN memory_id % 8 <> 0 END").alias("class_fits"))
+
+
+@query(
+    f"""
+WITH m AS ({_M}), c AS (SELECT query_id, memory_id, memory_type = 'procedural' AS proc, {_LEVEL} IN ('trusted', 'normal') AS ok, id % 9 = 2 AS pending, id % 13 = 2 AS denied, id % 6 = 2 AS classed, id % 5 <> 0 AND (id % 11 = 0 OR id % 8 <> 0) AS fits FROM ({_CAND})),
+f AS (SELECT *, bool_or(proc AND ok AND NOT pending AND NOT denied AND fits) OVER (PARTITION BY query_id) AS has_safe, count(*) OVER (PARTITION BY query_id) AS n FROM c)
+SELECT query_id, memory_id FROM f WHERE NOT (proc AND n > 1 AND query_id % 4 <> 0 AND (denied OR (classed AND NOT fits) OR (has_safe AND (NOT ok OR pending))))"""
+)
+def procedural_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.isolate(policed(spark, sf_dir)).select("query_id", "memory_id")
+
+
+@query(
+    f"""
+WITH m AS ({_M}), c AS (SELECT query_id, memory_id, score, CASE WHEN id % 2 = 1 THEN 'other' WHEN id % 3 = 0 THEN 'current' WHEN id % 3 = 1 THEN 'superseded' WHEN id % 5 = 0 THEN 'current' ELSE 'other' END AS s FROM ({_CAND})),
+w AS (SELECT query_id, memory_id, s, round(score * CASE s WHEN 'current' THEN 0.7::DOUBLE WHEN 'superseded' THEN 0.45::DOUBLE ELSE 1.15::DOUBLE END, 6) AS score FROM c)
+SELECT query_id, memory_id, score, row_number() OVER (PARTITION BY query_id ORDER BY CASE s WHEN 'current' THEN 1 WHEN 'superseded' THEN 0 ELSE 2 END DESC, score DESC, memory_id) AS rank FROM w"""
+)
+def reflection_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind, status = F.expr("CASE WHEN memory_id % 2 = 0 THEN 'Reflection' END"), F.expr("CASE memory_id % 3 WHEN 1 THEN 'superseded' WHEN 2 THEN CASE WHEN memory_id % 5 = 0 THEN 'Contested' ELSE 'retired' END END")
+    c = candidates(spark, sf_dir).select("query_id", "memory_id", "score", kind.alias("derived_kind"), status.alias("reflection_status"))
+    return policy.prefer_reflections(c, "prefer-source").select("query_id", "memory_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query()
+def query_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, m = tables.queries(spark, sf_dir), tables.memories(spark, sf_dir)
+    found = search.top(search.bm25(m, asked), 30).join(m.select(F.col("id").alias("memory_id"), "searchable_text"), "memory_id")
+    return grounding.align(found, asked).select("query_id", "memory_id", F.round("score", 6).alias("score"))
