@@ -360,11 +360,11 @@ WITH m AS ({_M}), c AS ({_CAND}), q AS (SELECT item_id, list_filter(string_split
 p AS (SELECT item_id, words, list_transform(generate_series(1, len(words) - 1), lambda k: words[k] || ' ' || words[k + 1]) AS pairs FROM q),
 t AS (SELECT query_id, memory_id, score, strlen(searchable_text) AS n, words, len(list_filter(words, lambda w: contains(lower(searchable_text), w)))::DOUBLE / len(words) AS u,
   CASE WHEN len(pairs) > 0 THEN len(list_filter(pairs, lambda w: contains(lower(searchable_text), w)))::DOUBLE / len(pairs) ELSE 0 END AS b FROM c JOIN p ON item_id = query_id)
-SELECT query_id, memory_id, round(score * CASE WHEN len(words) = 0 THEN 1.0 ELSE (1 + u * 0.3 + b * 0.2) * CASE WHEN n < 20 THEN 0.3 WHEN n < 50 THEN 0.7 ELSE 1.0 END END, 6)::DOUBLE AS score FROM t"""
+SELECT query_id, memory_id, round(score * CASE WHEN len(words) = 0 THEN 1.0 ELSE (1 + u * 0.3 + b * 0.2) * CASE WHEN n < 20 THEN 0.3 WHEN n < 50 THEN 0.7 ELSE 1.0 END END, 9)::DOUBLE AS score FROM t"""
 )
 def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rank.lexical_rerank(candidates(spark, sf_dir), F.broadcast(tables.queries(spark, sf_dir)))
-    return out.select("query_id", "memory_id", F.round("score", 6).alias("score"))
+    return out.select("query_id", "memory_id", F.round("score", 9).alias("score"))
 
 
 @query(
@@ -383,11 +383,11 @@ def graph_state_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""
 WITH m AS ({_M}), c AS ({_CAND}), t AS (SELECT *, CASE WHEN memory_id % 4 <> 0 THEN memory_id % 17 END AS turn_index FROM c)
-SELECT query_id, memory_id, round(score * (1 + 0.25 * coalesce(turn_index, 0) / greatest(coalesce(max(turn_index) OVER (PARTITION BY query_id), 1), 1)), 6)::DOUBLE AS score FROM t"""
+SELECT query_id, memory_id, round(score * (1 + 0.25 * coalesce(turn_index, 0) / greatest(coalesce(max(turn_index) OVER (PARTITION BY query_id), 1), 1)), 9)::DOUBLE AS score FROM t"""
 )
 def position_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir).withColumn("turn_index", F.when(F.col("memory_id") % 4 != 0, F.col("memory_id") % 17))
-    return rank.position_boost(c, 0.25).select("query_id", "memory_id", F.round("score", 6).alias("score"))
+    return rank.position_boost(c, 0.25).select("query_id", "memory_id", F.round("score", 9).alias("score"))
 
 
 @query(f"WITH m AS ({_M}), c AS ({_CAND}) SELECT query_id, memory_id, round(max(s), 6)::DOUBLE AS score FROM (SELECT query_id, memory_id, score AS s FROM c WHERE memory_id % 3 <> 0 UNION ALL SELECT query_id, memory_id, score * 1.5 FROM c WHERE memory_id % 2 = 0) GROUP BY ALL")
