@@ -17,9 +17,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
+#: Near copies share at least so many of 100 five-word shingles.
+PERCENT = 80
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the least doc_id, once."""
-    found = dedup.near_duplicates(docs)
+    found = dedup.near_duplicates(docs, PERCENT)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count()

@@ -1,8 +1,10 @@
 """Near-duplicate documents by min-max hashing, confirmed on full shingle sets.
 
 A permutation of the shingle hashes gives two signature values, the minimum and the maximum, so PERMUTATIONS hash evaluations a shingle
-give twice as many values. Each matches with the probability of the Jaccard index. Bands of ROWS values (minima and maxima of the same
-permutations) are bucket keys; at an index of 0.85 a pair misses all BANDS bands about three times in a million, at 0.9 never in practice.
+give twice as many values. Each matches with the probability of the Jaccard index. Bands of values (minima and maxima of the same
+permutations) are bucket keys. There are so many bands that a pair just at the threshold misses all of them with a chance of MISSES at most (0.85: 40
+bands of 8 values; 0.80: 70 of 8), and one well above it never in practice. Sets of a few shingles miss more often, as the minimum and the maximum of so
+few depend on each other: at 0.80 up to 6 in 100,000, for 4 shingles against 5.
 
 1. Documents with equal sets are one class, represented by the least doc_id; copies go no further.
 2. In each bucket of two or more classes each class is compared with the bucket's least one: a star, not all pairs.
@@ -17,7 +19,9 @@ A link is confirmed on the full sets of 64-bit shingle hashes, computed again fr
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -30,22 +34,47 @@ from tidepool.llm.common import documents_of, materialize
 from tidepool.llm.components import components
 
 SHINGLE = 5
-BANDS, ROWS = 40, 8
-PERMUTATIONS = BANDS * ROWS // 2
+#: Bands have up to ROWS values, and fewer where more than MOST_BANDS would be needed; LEAST_BANDS also fill the sketch.
+ROWS, LEAST_BANDS, MOST_BANDS = 8, 40, 80
+MISSES = 3e-6
 SKETCH = 160
-#: A pair is compared if so many of 100 sketch bytes match: six deviations below what a link of 85 would show.
-SKETCH_PERCENT = 66
+#: A pair is compared if its sketches differ from what a link at the threshold would show by no more deviations than this.
+DEVIATIONS = 6.7
 BLOCK = 500
 #: Up to so many class ids are sent to all tasks; more are joined by shuffle.
 BROADCAST_IDS = 200_000
 _C = np.random.default_rng(20240607)
-_MULT = (_C.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32) | np.uint32(1))[:, None]
-_ADD = _C.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)[:, None]
+_MULT = _C.integers(0, 2**32, 160, dtype=np.uint32) | np.uint32(1)
+_ADD = _C.integers(0, 2**32, 160, dtype=np.uint32)
 _POS = _C.integers(0, 2**63, SHINGLE, dtype=np.uint64) | np.uint64(1)
 _BAND = _C.integers(0, 2**63, ROWS, dtype=np.uint64) | np.uint64(1)
 _K1, _K2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+@cache
+def layout(percent: int) -> tuple[int, int]:
+    """Bands, and values in each, for links of percent."""
+    for rows in range(ROWS, 0, -2):
+        hit = (percent / 100) ** rows
+        bands = max(LEAST_BANDS * ROWS // rows, math.ceil(math.log(MISSES) / math.log1p(-hit)) if hit < 1 else 0)
+        if bands * rows <= MOST_BANDS * ROWS:
+            break
+    return bands, rows
+
+
+@cache
+def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Factors and summands of n permutations; the first ones are the same for all n."""
+    more = np.random.default_rng(20240608).integers(0, 2**32, (max(0, n - len(_MULT)), 2), dtype=np.uint32)
+    return np.concatenate([_MULT, more[:, 0] | np.uint32(1)])[:n, None], np.concatenate([_ADD, more[:, 1]])[:n, None]
+
+
+def sketch_bound(percent: int) -> int:
+    """The least number of equal bytes in the sketches of a pair that is compared."""
+    p = percent / 100
+    return math.ceil(SKETCH * math.floor(100 * (p - DEVIATIONS * math.sqrt(p * (1 - p) / SKETCH))) / 100)
+
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _K1
     x = (x ^ (x >> np.uint64(27))) * _K2
@@ -71,32 +100,35 @@ def shingle_set(text: str) -> np.ndarray:
         return np.unique(_mix(total))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """Minima, then maxima, of all permutations."""
-    low = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
-    high = np.zeros(PERMUTATIONS, np.uint32)
+def signature(shingles: np.ndarray, n: int) -> np.ndarray:
+    """Minima, then maxima, of n permutations."""
+    mult, add = permutations(n)
+    low = np.full(n, 0xFFFFFFFF, np.uint32)
+    high = np.zeros(n, np.uint32)
     # only minima and maxima matter, so many shingles are taken in steps
     base = (shingles >> np.uint64(32)).astype(np.uint32)
     for at in range(0, len(base), 4096):
-        v = base[None, at : at + 4096] * _MULT + _ADD
+        v = base[None, at : at + 4096] * mult + add
         np.minimum(low, v.min(1), out=low)
         np.maximum(high, v.max(1), out=high)
     return np.concatenate([low, high])
 
 
-def bands_of(values: np.ndarray) -> np.ndarray:
+def bands_of(values: np.ndarray, bands: int) -> np.ndarray:
     """A 64-bit key for each band, from half as many minima and as many maxima."""
-    half = ROWS // 2
-    v = np.concatenate([values[:PERMUTATIONS].reshape(BANDS, half), values[PERMUTATIONS:].reshape(BANDS, half)], 1).astype(np.uint64)
+    v = np.concatenate([x.reshape(bands, -1) for x in np.split(values, 2)], 1).astype(np.uint64)
+    place = _BAND[: v.shape[1]]
     with np.errstate(over="ignore"):
-        return _mix((_mix(v + _BAND) * _BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _K2).view(np.int64)
+        return _mix((_mix(v + place) * place).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _K2).view(np.int64)
 
 
 SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"
 
 
-def signed(docs: DataFrame, least: int) -> DataFrame:
+def signed(docs: DataFrame, least: int, percent: int) -> DataFrame:
     """Set size, set key, band keys and sketch. Sets below least shingles link with equal sets alone: no bands."""
+    count, rows = layout(percent)
+    n_permutations = count * rows // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -111,9 +143,9 @@ def signed(docs: DataFrame, least: int) -> DataFrame:
                         bands.append([])
                         sketches.append(None)
                         continue
-                    values = signature(s)
-                    bands.append(bands_of(values))
-                    sketches.append((values[:: 2 * PERMUTATIONS // SKETCH] >> np.uint32(11)).astype(np.uint8).tobytes())
+                    values = signature(s, n_permutations)
+                    bands.append(bands_of(values, count))
+                    sketches.append((values[:: len(values) // SKETCH][:SKETCH] >> np.uint32(11)).astype(np.uint8).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
     return docs.mapInArrow(run, SIGNED)
@@ -156,14 +188,14 @@ def links_in_bucket(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     names, place = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in pdf["shingles"]]), return_inverse=True)
     ends = np.cumsum([len(s) // 8 for s in pdf["shingles"]])
     sets = np.split(place, ends[:-1])
-    mark, out = np.zeros(len(names), bool), []
+    mark, out, bound = np.zeros(len(names), bool), [], sketch_bound(percent)
     for k in range(len(node) - 1):
         m = np.arange(k + 1, len(node))
         m = m[(component[m] != component[k]) & (100 * np.minimum(n[m], n[k]) >= percent * np.maximum(n[m], n[k]))]
         if across:
             m = m[block[m] != block[k]]
         if len(m):
-            m = m[100 * (sketch[m] == sketch[k]).sum(1) >= SKETCH_PERCENT * SKETCH]
+            m = m[(sketch[m] == sketch[k]).sum(1) >= bound]
         if len(m):
             m = m[~(earlier[m] == earlier[k]).any(1)]
         if not len(m):
@@ -196,7 +228,7 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     docs = documents_of(df)
     # below this size two different sets cannot share enough
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
-    rows = materialize(signed(docs, least), "signed")
+    rows = materialize(signed(docs, least, percent), "signed")
     known = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"))
     # a representative's own row has its bands, so they don't move with the aggregate
