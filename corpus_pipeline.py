@@ -22,18 +22,20 @@ PERCENT = 80
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id, once."""
+    """One document of each group of near copies stays: the one with the least doc_id, once. Rows without a doc_id all stay."""
     found = dedup.near_duplicates(docs, PERCENT)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count()
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL")) if repeated else left
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").cast("int").alias("_copies"))
-    taken = docs.join(copies.where("_copies > 0"), "doc_id")
+    """Each row as often as the mix takes it: not at all, once or twice. Rows without a doc_id and repeated ones are told apart by a row
+    number, which is written with them."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    copies = mixing.mix(rows, row="_row").select(F.col("row").alias("_row"), F.col("copies").cast("int").alias("_copies"))
+    taken = rows.join(copies.where("_copies > 0"), "_row")
     return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(docs.columns)
 
 
@@ -42,7 +44,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates), ("mixing", mixed), ("packing", packed)]
-#: Trees, random rounding and packing are not SQL; tests/llm compares the stages with brute force.
+#: Trees, random rounding and packing are not SQL; tests/llm/test_pipeline.py compares the stages with brute force.
 ORACLE_SQL = None
 
 

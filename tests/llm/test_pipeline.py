@@ -54,3 +54,60 @@ def test_bands_and_sketch_follow_the_threshold(percent):
     assert 6 <= (160 * p - bound) / np.sqrt(160 * p * (1 - p)) < 7
     if percent == 85:
         assert (bands, rows, bound) == (40, 8, 106)
+
+
+def prose(name, n):
+    return " ".join(f"{name}word{k}" for k in range(n))
+
+
+def texts_of(rows):
+    return sorted((str(r.doc_id), r.text) for r in rows)
+
+
+@pytest.fixture
+def corpus(spark, tmp_path):
+    """Documents of one source, so that the mix takes each row once or twice (1.5 times the words); ids are missing and repeated."""
+    docs = [(k, prose(f"d{k}", 40 + k)) for k in range(20)]
+    docs += [(100, copies_of(prose("base", 150), 0)), (101, copies_of(prose("base", 150), 3)), (102, copies_of(prose("base", 150), 1))]
+    docs += [(5, docs[5][1]), (5, docs[5][1])]  # one id thrice
+    docs += [(None, prose("n", 90)), (None, prose("m", 91)), (None, prose("o", 92)), (None, prose("n", 90)), (None, docs[7][1])]
+    docs += [(200, "too short"), (None, "short too"), (None, None)]
+    rows = [(k, t, "en", "s", len(t or "")) for k, t in docs]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return str(tmp_path), docs
+
+
+def test_run_keeps_rows_without_and_with_repeated_ids(spark, corpus):
+    folder, docs = corpus
+    long = [(k, t) for k, t in docs if t and len(t.split()) >= 20]
+    label = groups([(k, t) for k, t in long if k is not None], corpus_pipeline.PERCENT)
+    known = {k: t for k, t in long if k is not None and label[k] == k}
+    want = sorted([(str(k), t) for k, t in known.items()] + [("None", t) for k, t in long if k is None])
+
+    left = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        left = corpus_pipeline.materialize(stage(spark, left, folder), "tested")
+        if name == "quality rules":
+            assert texts_of(left.collect()) == sorted((str(k), t) for k, t in long)
+        elif name == "near duplicates":
+            assert texts_of(left.collect()) == want
+    mixed = texts_of(left.collect())
+    assert set(mixed) == set(want) and all(want.count(x) <= mixed.count(x) <= 2 * want.count(x) for x in want)
+    words = sum(len(t.split()) for _, t in want)
+    assert abs(sum(len(t.split()) for _, t in mixed) - 1.5 * words) <= 0.02 * 1.5 * words
+
+    size = {(r.doc_id, r.doc_tokens) for r in corpus_pipeline.packing.pack(left).collect()}
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert {(r.doc_id, r.doc_tokens) for r in packed} == size
+    starts = [str(r.doc_id) for r in packed if r.start == 0]
+    ids = [k for k, _ in want]
+    assert all(ids.count(k) <= starts.count(k) <= 2 * ids.count(k) for k in ids) and set(starts) == set(ids)
+
+
+def test_mix_without_ids_takes_rows_apart(spark):
+    """Equal ids, or none, have copies of their own: their words add up to the target."""
+    docs = spark.createDataFrame([(None if k % 2 else 1, prose(f"x{k}", 30 + k), "en", "s", 0) for k in range(60)], "doc_id long, text string, lang string, source string, n_chars long")
+    words = sum(30 + k for k in range(60))
+    found = sum(len(r.text.split()) for r in corpus_pipeline.mixed(spark, docs, "").collect())
+    assert abs(found - 1.5 * words) <= 0.01 * words

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import materialize
@@ -27,7 +27,7 @@ FAN_IN = 32
 ROOT_TRIES = 32
 
 
-def sized(df: DataFrame, *more: str) -> DataFrame:
+def sized(df: DataFrame, *more: str | Column) -> DataFrame:
     """doc_id, source, size: the words of each text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *more)
@@ -128,14 +128,14 @@ def weigh(df: DataFrame, weights: tuple[float, ...], share: float, most: float)
     return df.sparkSession.createDataFrame([(*r, float(g)) for r, g in zip(rows, goals, strict=True)], "source string, source_size long, target double")
 
 
-def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, leaf_rows: int = 20_000) -> DataFrame:
+def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, leaf_rows: int = 20_000, row: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row a row of df, in no order.
 
     Null text: size 0, and no copies. A null source is a source, the last one. Repeated rows are documents of their own, told apart by a
-    row number that follows from their place in the written table. Sources without words: target 0. An empty table gives no rows. Other
+    row number that follows from their place in the written table, or by the column row of df, a different long in each row. Sources without words: target 0. An empty table gives no rows. Other
     columns are ignored.
     """
-    docs = materialize(sized(df).withColumn("row", F.monotonically_increasing_id()), "sizes")
+    docs = materialize(sized(df, (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row")), "sizes")
     sources = weigh(docs, weights, share, most)
     leaves = max(1, -(-docs.count() // leaf_rows))
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
