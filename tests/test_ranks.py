@@ -69,3 +69,25 @@ def test_head_and_tail(spark):
     c = spark.createDataFrame([(1, k, float(k)) for k in range(6)], "query_id long, memory_id long, score double")
     got = rank.rerank_head(c, -c["score"] / 10, 3).orderBy("rank").collect()
     assert [r.memory_id for r in got] == [3, 4, 5, 2, 1, 0] and got[3].score == 2.0
+
+
+def test_suppression_judges_whole_lists(spark):
+    """Two lists of 330 and 5 rows, in one block and in several, against brute force; some rows have no vector."""
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(330, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v[300:] = v[:30]  # exact copies of early rows, past any block of theirs
+    lists = [(q, m, 1.0 - m / 1000) for q, n in ((1, 330), (None, 5)) for m in range(n)]
+    c = spark.createDataFrame(lists, "query_id long, memory_id long, score double")
+    vectors = spark.createDataFrame([(k, None if k % 50 == 7 else x.tolist()) for k, x in enumerate(v)], "memory_id long, embedding array<double>")
+    want = set()
+    for q, n in ((1, 330), (None, 5)):
+        seen = []
+        for m in range(n):
+            if m % 50 == 7 or all(float(v[m] @ v[s]) <= 0.9 for s in seen):
+                want.add((q, m))
+                seen += [] if m % 50 == 7 else [m]
+    for block in (2000, 70):
+        assert {(r.query_id, r.memory_id) for r in rank.suppress_near_duplicates(c, vectors, 0.9, block=block).collect()} == want
+    assert len(want) > 205 and (1, 300) not in want
+    assert rank.suppress_near_duplicates(c.where("false"), vectors).count() == 0

@@ -5,11 +5,13 @@ A candidate list has query_id, memory_id, score; what else a function reads is n
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import scoring as sc
@@ -47,12 +49,43 @@ def rerank_head(candidates: DataFrame, scorer: Column, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(place)).drop("_r", "_head")
 
 
-def suppress_near_duplicates(candidates: DataFrame, vectors: DataFrame, most: float = 0.95, limit: int = 200) -> DataFrame:
-    """Rows in order of score, without those whose vector is nearer than most to a kept one's; rows without a vector stay. Each
-    query's list is cut to limit first, so a group is bounded."""
-    listed = top(candidates, limit).join(vectors.select("memory_id", "embedding").dropDuplicates(["memory_id"]), "memory_id", "left")
+def _shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset on one machine, a temporary folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return found or tempfile.mkdtemp(prefix="tidepool-")
 
-    def run(t: pa.Table) -> pa.Table:
+
+def _near(vectors: np.ndarray, seen: np.ndarray, most: float) -> np.ndarray:
+    out = np.zeros(len(vectors), bool)
+    for at in range(0, len(seen), 256):
+        out |= (vectors @ seen[at : at + 256].T > most).any(1)
+    return out
+
+
+def _vectors(t: pa.Table) -> np.ndarray:
+    return np.array(t.column("embedding").to_pylist(), np.float64)
+
+
+def suppress_near_duplicates(candidates: DataFrame, vectors: DataFrame, most: float = 0.95, limit: int | None = None, block: int = 2000) -> DataFrame:
+    """Rows in order of score, without those whose vector is nearer than most to a kept one's; rows without a vector stay. Whole lists, or their limit
+    best rows. A list is judged in blocks of ranks, a block a round: first against what each earlier block has kept, a task a pair of blocks, then
+    within itself. A task holds two blocks at most; kept rows are written to spark.checkpoint.dir."""
+    spark = candidates.sparkSession
+    folder = f"{_shared_dir(spark)}/suppressed-{uuid.uuid4().hex}"
+    one_each = vectors.select("memory_id", "embedding").dropDuplicates(["memory_id"])
+    columns = [F.col(c).cast(kind).alias(c) for c, kind in (("query_id", "long"), ("memory_id", "long"), ("score", "double"), ("rank", "long"), ("embedding", "array<double>"))]
+    listed = top(candidates, 2**31 - 1 if limit is None else limit).join(one_each, "memory_id", "left").select(*columns).withColumn("block", F.floor((F.col("rank") - 1) / block).cast("long"))
+    listed.write.partitionBy("block").parquet(f"{folder}/listed")
+    schema = listed.schema
+    listed = spark.read.schema(schema).parquet(f"{folder}/listed")
+
+    def across(own: pa.Table, seen: pa.Table) -> pa.Table:
+        found = _near(_vectors(own), _vectors(seen), most) if own.num_rows and seen.num_rows else np.zeros(own.num_rows, bool)
+        return own.filter(pa.array(found)).select(["query_id", "rank"])
+
+    def within(t: pa.Table) -> pa.Table:
         t = t.sort_by("rank")
         kept, seen = [], []
         for k, v in enumerate(t.column("embedding").to_pylist()):
@@ -62,9 +95,21 @@ def suppress_near_duplicates(candidates: DataFrame, vectors: DataFrame, most: fl
                     continue
                 seen.append(v)
             kept.append(k)
-        return t.take(kept).select(["query_id", "memory_id", "score"])
-
-    return listed.select("query_id", "memory_id", "score", "rank", "embedding").groupBy("query_id").applyInArrow(run, "query_id long, memory_id long, score double")
+        return t.take(kept)
+
+    last = listed.agg(F.max("block")).first()[0]
+    paths: list[str] = []
+    for k in range(0 if last is None else last + 1):
+        own = listed.where(F.col("block") == k)
+        if paths:
+            seen = spark.read.schema(schema).parquet(*paths).where("embedding IS NOT NULL")
+            asked = own.where("embedding IS NOT NULL").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long"))))
+            gone = asked.groupBy("query_id", "block").cogroup(seen.groupBy("query_id", "block")).applyInArrow(across, "query_id long, rank long").select(F.col("query_id").alias("_q"), F.col("rank").alias("_r"))
+            own = own.join(gone, F.col("query_id").eqNullSafe(F.col("_q")) & (F.col("rank") == F.col("_r")), "left_anti")
+        paths.append(f"{folder}/kept-{k}")
+        own.select(schema.names).groupBy("query_id").applyInArrow(within, schema).write.parquet(paths[-1])
+    kept = spark.read.schema(schema).parquet(*paths) if paths else listed
+    return kept.select("query_id", "memory_id", "score")
 
 
 def merge(lists: Iterable[DataFrame]) -> DataFrame:
