@@ -1,16 +1,25 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines: a line is the text between two block tags or line breaks. Parts that are no reading matter by their tag
-or by a word of their class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of
-readers) weigh nothing, and stand as a gap as wide as the window; so do the borders of article and main. The text lengths
-of the lines (without those inside links) are summed over a sliding window of lines. A surge is the first line of a window that has text
-after one that has none, and a dive the last line before the sum falls to nothing again; the text between a surge and its dive is a region.
-Where a page marks an article or main part, the regions inside are kept; else the region with most text is, and every region of
-at least a quarter of its length, so that an advert between paragraphs does not end the article.
+Markup is stripped to lines: a line is the text between two block tags or line breaks. Each line has a weight, and tags do no more than set it:
+
+* a character weighs BARE, in a paragraph, heading or list item PROSE, in article or main AREA;
+* characters inside links count against a line, but not in article or main;
+* parts that are no reading matter by their tag or by the name of their class, id or role (menus, headers, footers, sidebars, notices, adverts,
+  forms, scripts, styles, comments of readers), and the borders of article and main, are walls: lines without text that no window looks over.
+  A part told by its name alone is no wall if it holds all of the page's article and main parts or, where there are none, three quarters of its
+  text. In an article's header only headings count, and an article inside another whose name says so is a comment.
+
+The weights are summed over a sliding window of WINDOW lines. A surge is a place where the sum rises above nothing and reaches SURGE before it
+falls again (or the page's greatest sum, where that is less); the dive is where it has fallen to nothing. The text from the surge's first line that weighs more than nothing to the dive's last
+one is a region, lines of links between them included. A window that never reaches SURGE begins no region: a lone short
+line, a copyright notice or a list of links. The side with the greater weight, the regions in article and main or those outside, shows where
+the page's text is: if article and main weigh more, nothing outside is kept, else all regions are. So a page without either is
+judged by its blocks alone, and an article tag around a teaser does not hide the text beside it.
 
 Character references are decoded after the tags are gone; white space in a line becomes one blank; lines are joined by one blank in the
 order of the page. Null or empty html, and a page without any region, give an empty text. Unclosed tags end with the page or with
-the part around them. Repeated rows give repeated rows; an empty table gives none; other columns are ignored.
+the part around them; a quote left open ends with its tag. Repeated rows give repeated rows, a null page_id or url stays null; an empty table gives
+none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +27,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,133 +35,262 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
+BARE, PROSE, AREA = 1, 4, 40
+SURGE = 40
 #: Elements whose text is never shown as text.
-SILENT = {"script", "style", "noscript", "template", "svg", "head", "title", "iframe", "object", "canvas", "math", "audio", "video"}
+SILENT = {"template", "svg", "head", "iframe", "object", "canvas", "math", "audio", "video"}
+#: Those whose inside is no markup.
+RAW = {"script", "style", "textarea", "title", "noscript"}
 #: Elements with text that is no reading matter.
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea", "label", "fieldset", "input", "option"}
+ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "label", "fieldset", "option"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+PROSAIC = HEADINGS | {"p", "li", "dt", "dd", "blockquote", "pre", "figcaption", "td", "th"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-#: Words of a class, id or role that mark a part as no reading matter.
-MARKS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "banner", "promo", "promotion", "sponsor", "sponsored", "sidebar", "side", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
-    "header", "masthead", "footer", "comment", "comments", "reply", "replies", "disqus", "respond", "cookie", "cookies", "consent", "notice", "notices", "alert", "popup", "modal", "newsletter", "subscribe", "signup", "login", "search",
-    "share", "sharing", "social", "related", "recommended", "widget", "toolbar", "copyright", "complementary", "contentinfo", "alertdialog", "dialog", "form",
+#: Elements that a new one of their kind closes, and what they lie in.
+CLOSED_BY_NEXT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+SIBLINGS = {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: Words that name such a part where they end a class, id or role, whatever stands before them.
+STRONG = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertisements", "promo", "promotion", "sponsor", "sponsored", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs",
+    "footer", "comment", "comments", "reply", "replies", "disqus", "cookie", "cookies", "consent", "newsletter", "share", "sharing", "social", "related", "recommended", "popup", "modal", "toolbar",
+    "complementary", "contentinfo", "alertdialog",
 }
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)(>)|<[!?][^>]*>", re.S)
-_LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)>")
+#: Words that do where the whole name is made of such words.
+WEAK = {"header", "masthead", "side", "banner", "respond", "notice", "notices", "alert", "subscribe", "signup", "login", "search", "widget", "widgets", "copyright", "dialog", "form", "forms"}
+#: Words that say nothing about a part.
+NEUTRAL = {"site", "page", "top", "bottom", "left", "right", "box", "block", "area", "container", "wrapper", "wrap", "list", "item", "items", "section", "bar", "inner", "outer", "row", "col", "column", "links", "link", "slot", "unit", "zone", "group", "panel", "global", "primary", "secondary", "main", "js", "posts", "body", "buttons", "icons", "thread"}
+#: Words after which a name speaks of a part elsewhere.
+ELSEWHERE = {"has", "with", "no", "without", "is", "not"}
+_VALUE = r"(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[^\s\"'<>]+)"
+_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\s+|/|[^\s\"'<>/=]+(?:\s*=\s*" + _VALUE + r")?)*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)|<[!?/][^>]*(?:>|\Z)",
+    re.S,
+)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _BLANKS = re.compile(r"\s+")
+_ENDS = {tag: re.compile(f"</{tag}(?=[\\s/>])[^>]*(?:>|\\Z)", re.I) for tag in RAW}
+
+
+def names_aside(name: str) -> bool:
+    """Whether one class, id or role names a part that is no reading matter."""
+    words = [w.lower() for w in _WORDS.findall(name)]
+    while words and words[-1] in NEUTRAL:
+        words.pop()
+    if not words or ELSEWHERE & set(words):
+        return False
+    return words[-1] in STRONG or words[-1] in WEAK and all(w in STRONG or w in WEAK or w in NEUTRAL for w in words)
 
 
 def marked(attributes: str) -> bool:
-    """Whether a class, id or role names a part that is no reading matter."""
-    return any(w in MARKS for m in _NAMES.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").lower().split() for w in _WORDS.findall(name))
-
-
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside article or main) of each line; gaps are lines without text."""
-    out: list[tuple[str, int, bool]] = []
-    held: list[str] = []
-    linked = 0  # characters of the held line that lie in links
-    stack: list[tuple[str, bool, bool]] = []  # tag, silences what is inside, is article or main
-    muted = main = anchors = 0
-    gap = [("", 0, False)] * WINDOW
-    low = page.lower()
-
-    def flush() -> None:
-        nonlocal linked
-        if held:
-            line = _BLANKS.sub(" ", html.unescape("".join(held))).strip()
+    return any(names_aside(name) for m in _NAMES.finditer(attributes) for name in (m[1] or m[2] or m[3] or "").split())
+
+
+@dataclass
+class Line:
+    """text "": a wall. linked: characters in links. named: parts around it that are told by name alone, by number."""
+
+    text: str
+    linked: int = 0
+    prose: bool = False
+    inside: bool = False
+    named: tuple[int, ...] = ()
+
+
+@dataclass
+class Part:
+    """An open block element."""
+
+    tag: str
+    silent: bool = False  # a wall by its tag
+    area: bool = False
+    named: int = -1  # its number, if it is told by its name
+    heads: bool = False  # an article's header: a wall, but for its headings
+
+
+class Lines:
+    """One pass over a page."""
+
+    def __init__(self) -> None:
+        self.out: list[Line] = []
+        self.stack: list[Part] = []
+        self.held: list[str] = []
+        self.linked = self.muted = self.inside = self.prose = self.heads = self.headings = 0
+        self.link_depth = -1  # depth of the stack where the open link began
+        self.asides: list[tuple[str, int]] = []  # inline elements that are no reading matter, and the stack's depth there
+        self.named: list[int] = []
+        self.n_named = 0
+        self.n_areas = 0
+        self.areas_in: dict[int, int] = {}
+
+    def flush(self) -> None:
+        if self.held:
+            line = _BLANKS.sub(" ", html.unescape("".join(self.held))).strip()
             if line:
-                out.append((line, max(0, len(line) - linked), main > 0))
-            held.clear()
-        linked = 0
-
-    def say(text: str) -> None:
-        nonlocal linked
-        if text and not muted:
-            held.append(text)
-            if anchors:
-                linked += len(_BLANKS.sub(" ", html.unescape(text)).strip())
-
-    at = 0
+                self.out.append(Line(line, min(self.linked, len(line)), self.prose > 0, self.inside > 0, tuple(self.named)))
+            self.held.clear()
+        self.linked = 0
+
+    def wall(self) -> None:
+        self.out.append(Line("", named=tuple(self.named)))
+
+    def say(self, text: str) -> None:
+        if text and not self.muted and not self.asides and (self.headings or not self.heads):
+            self.held.append(text)
+            if self.link_depth >= 0:
+                self.linked += len(_BLANKS.sub(" ", html.unescape(text)).strip())
+
+    def push(self, part: Part) -> None:
+        self.around(part)
+        self.stack.append(part)
+        self.count(part, 1)
+        if part.named >= 0:
+            self.named.append(part.named)
+        if part.area:
+            self.n_areas += 1
+            for k in self.named:
+                self.areas_in[k] = self.areas_in.get(k, 0) + 1
+
+    def around(self, part: Part) -> None:
+        if part.silent or part.area or part.heads or part.named >= 0:
+            self.wall()
+
+    def count(self, part: Part, by: int) -> None:
+        self.muted += by * part.silent
+        self.inside += by * part.area
+        self.heads += by * part.heads
+        self.prose += by * (part.tag in PROSAIC)
+        self.headings += by * (part.tag in HEADINGS)
+
+    def pop(self) -> None:
+        part = self.stack.pop()
+        self.count(part, -1)
+        if part.named >= 0:
+            self.named.pop()
+        self.around(part)
+        if self.link_depth > len(self.stack):
+            self.link_depth = -1
+        while self.asides and self.asides[-1][1] > len(self.stack):
+            self.asides.pop()
+
+    def close(self, tag: str) -> None:
+        if any(p.tag == tag for p in self.stack):
+            while self.stack[-1].tag != tag:
+                self.pop()
+            self.pop()
+
+    def open(self, tag: str, attributes: str) -> None:
+        if self.stack and self.stack[-1].tag == "p":  # no block lies in a paragraph
+            self.pop()
+        around = CLOSED_BY_NEXT.get(tag, ())
+        for k in range(len(self.stack) - 1, -1, -1):
+            if not around or self.stack[k].tag in around:
+                break
+            if self.stack[k].tag in SIBLINGS.get(tag, {tag}):
+                while len(self.stack) > k:
+                    self.pop()
+                break
+        heads = tag == "header" and any(p.tag == "article" for p in self.stack)
+        silent = not heads and (tag in SILENT or tag in ASIDE)
+        area = tag in ("article", "main") and not self.muted and not (self.inside and marked(attributes))
+        named = -1
+        if not silent and not area and not heads and tag not in ("body", "html") and marked(attributes):
+            named, self.n_named = self.n_named, self.n_named + 1
+        self.push(Part(tag, silent, area, named, heads))
+
+
+def lines_of(page: str) -> list[Line]:
+    p, at = Lines(), 0
     while True:
         m = _TAG.search(page, at)
         if not m:
-            say(page[at:])
+            p.say(page[at:])
             break
-        say(page[at : m.start()])
+        p.say(page[at : m.start()])
         at = m.end()
-        if not m[2]:
+        tag = (m[2] or m[5] or "").lower()
+        if not tag:
             continue
-        tag, closing = m[2].lower(), bool(m[1])
-        if closing:
-            if tag in INLINE:
-                if tag == "a" and anchors:
-                    anchors -= 1
-                continue
-            flush()
-            if any(t == tag for t, _, _ in stack):
-                while True:
-                    t, silent, area = stack.pop()
-                    muted -= silent
-                    main -= area
-                    if silent or area:
-                        out.extend(gap)
-                    if t == tag:
-                        break
-            continue
-        if tag in ("script", "style", "textarea", "title", "noscript"):  # their inside is no markup
-            flush()
-            end = low.find(f"</{tag}", at)
-            close = page.find(">", end) if end >= 0 else -1
-            at = close + 1 if close >= 0 else len(page)
-            continue
-        if tag in INLINE:
+        attributes = m[3] or m[6] or ""
+        if m[1] or m[4]:
             if tag == "a":
-                anchors += 1
-            if tag not in VOID and marked(m[3]) and tag == "span":
-                end = low.find("</span", at)
-                at = page.find(">", end) + 1 if end >= 0 else at
+                p.link_depth = -1
+            elif p.asides and p.asides[-1][0] == tag:
+                p.asides.pop()
+            elif tag not in INLINE:
+                p.flush()
+                p.close(tag)
             continue
-        flush()
-        if tag in VOID or m[3].endswith("/"):
-            continue
-        silent = tag in SILENT or tag in ASIDE or tag not in ("body", "html", "main", "article") and marked(m[3])
-        area = tag in ("article", "main") and not silent
-        if silent or area:
-            out.extend(gap)
-        if tag in ("p", "li", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == tag:  # closed by the next one
-            t, s, a = stack.pop()
-            muted -= s
-            main -= a
-        if tag == "p" or tag not in INLINE:
-            stack.append((tag, silent, area))
-            muted += silent
-            main += area
-    flush()
+        if tag in RAW:
+            p.flush()
+            end = _ENDS[tag].search(page, at)
+            at = end.end() if end else len(page)
+        elif tag in INLINE:
+            if tag == "a":
+                p.link_depth = len(p.stack)
+            elif p.asides and p.asides[-1][0] == tag or tag not in VOID and marked(attributes):
+                p.asides.append((tag, len(p.stack)))
+        else:
+            p.flush()
+            if tag not in VOID and not attributes.endswith("/"):
+                p.open(tag, attributes)
+    p.flush()
+    return without_named(p)
+
+
+def without_named(p: Lines) -> list[Line]:
+    """Lines in parts that are told by name become walls, but for parts that hold all article and main parts, or else most of the page's text."""
+    if not p.n_named:
+        return p.out
+    plain = [max(0, len(x.text) - x.linked) for x in p.out]
+    own = np.zeros(p.n_named, int)
+    for x, n in zip(p.out, plain, strict=True):
+        for k in x.named:
+            own[k] += n
+    asides = {k for k in range(p.n_named) if (p.areas_in.get(k, 0) < p.n_areas if p.n_areas else 4 * own[k] < 3 * sum(plain))}
+    return [Line("") if asides.intersection(x.named) else x for x in p.out]
+
+
+def weight(line: Line) -> int:
+    if not line.text:
+        return 0
+    n = len(line.text)
+    return AREA * n if line.inside else (PROSE if line.prose else BARE) * (n - 2 * line.linked)
+
+
+def regions(weights: list[int], walls: list[bool], window: int = WINDOW) -> list[tuple[int, int]]:
+    """Places of the first and after the last line of each region."""
+    edges = [-1, *np.flatnonzero(walls).tolist(), len(walls)]
+    # for each run of lines between walls, sums[k]: of the window that ends in line k; it may begin before the first line and end after the last
+    runs = [(a + 1, np.array(weights[a + 1 : b])) for a, b in zip(edges, edges[1:], strict=False) if b > a + 1]
+    summed = [(a, own, np.convolve(own, np.ones(window, int))) for a, own in runs]
+    enough = min([SURGE, max((int(s.max()) for _, _, s in summed), default=0)])
+    out = []
+    for a, own, sums in summed:
+        up, done = np.concatenate([[False], sums > 0, [False]]), 0
+        for surge, dive in zip(np.flatnonzero(up[1:] & ~up[:-1]), np.flatnonzero(~up[1:] & up[:-1]), strict=True):
+            if sums[surge:dive].max() < enough:
+                continue
+            first = max(done, surge - window + 1)
+            heavy = first + np.flatnonzero(own[first:dive] > 0)
+            if len(heavy):
+                done = int(heavy[-1]) + 1
+                out.append((a + int(heavy[0]), a + done))
     return out
 
 
+def main_lines(lines: list[Line], window: int = WINDOW) -> list[str]:
+    weights = [weight(x) for x in lines]
+    found = regions(weights, [not x.text for x in lines], window)
+    mass = {True: 0, False: 0}
+    for a, b in found:
+        mass[lines[a].inside] += sum(weights[a:b])
+    return [lines[k].text for a, b in found if lines[a].inside or mass[False] > mass[True] for k in range(a, b)]
+
+
 def extract(page: str) -> str:
-    lines = lines_of(page)
-    if any(inside for _, n, inside in lines if n):
-        lines = [x if x[2] else ("", 0, False) for x in lines]
-        whole = True
-    else:
-        whole = False
-    lengths = np.array([n for _, n, _ in lines] + [0] * WINDOW)
-    if not lengths.any():
-        return ""
-    sums = np.convolve(lengths, np.ones(WINDOW, int))[WINDOW - 1 : WINDOW - 1 + len(lengths)]  # of a line and those after it
-    has = np.concatenate([[False], (sums > 0), [False]])
-    surges = np.flatnonzero(has[1:] & ~has[:-1])
-    dives = np.flatnonzero(~has[1:] & has[:-1])
-    regions = [(a, b, int(lengths[a:b].sum())) for a, b in zip(surges, dives, strict=True)]
-    most = max(n for _, _, n in regions)
-    kept = [(a, b) for a, b, n in regions if whole or 4 * n >= most]
-    return " ".join(lines[k][0] for a, b in kept for k in range(a, min(b, len(lines))) if lines[k][0])
+    return " ".join(main_lines(lines_of(page)))
 
 
 def extract_text(df: DataFrame) -> DataFrame:
