@@ -62,7 +62,7 @@ _tables: dict[str, list[bytes]] = {}
 
 def decode(ids: np.ndarray, vocab: str) -> str:
     if vocab not in _tables:
-        _tables[vocab] = byte_table(encoder(vocab))
+        _tables[vocab] = byte_table(encoder(vocab, literal=True))
     return b"".join(map(_tables[vocab].__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
@@ -74,7 +74,7 @@ def encoded_turns(df: DataFrame, vocab: str) -> DataFrame:
     """Each turn's segments, joined by reserved ids, before any row moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocab)
+        enc = encoder(vocab, literal=True)
         size = len(enc.sizes)
         mark = [np.array([size + k], "<u4").tobytes() for k in range(len(MARKERS))]
         for b in batches:
@@ -93,7 +93,7 @@ def format_conversations(df: DataFrame, vocab: str = "byte_bpe_50k.json", frame_
     turns = encoded_turns(df, vocab).repartition(partitions, "conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), "role", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(encoder(vocab).sizes)
+        size = len(encoder(vocab, literal=True).sizes)
         mark = [np.array([size + k], "<u4").tobytes() for k in range(len(MARKERS))]
         conv, frame, held, loss, total = None, -1, [], [], 0
 
@@ -137,7 +137,7 @@ def read_conversations(frames: DataFrame, vocab: str = "byte_bpe_50k.json") -> D
     dealt = frames.repartition(partitions, "conv_id").sortWithinPartitions(F.col("conv_id").asc_nulls_first(), "frame")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = len(encoder(vocab).sizes)
+        size = len(encoder(vocab, literal=True).sizes)
         names, kinds = [x.split()[0] for x in DIGESTS.split(", ")], [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         for b in batches:
             done: list[list] = []

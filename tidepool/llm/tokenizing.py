@@ -7,7 +7,9 @@ Two kinds of public vocabularies cut a text at places that can be told without t
 * white space dropped: no match holds a blank, so the text can be cut at blanks and line ends.
 
 The ids of a text are the ids of its chunks, in order. Chunks repeat far more than texts do, so their ids
-are remembered, in two generations of bounded size. Any other tokenizer gets the whole text.
+are remembered, in two generations of bounded size. Any other tokenizer gets the whole text, and so does a text that holds one
+of the vocabulary's own added tokens (such as an end-of-text marker), which the library makes one id of. Where a text must not be able to
+make such an id (chat formatting), a literal encoder reads them as any other characters.
 Tests compare all of it with plain calls of the library on whole texts.
 """
 
@@ -26,7 +28,7 @@ _ODD = ["  ", " \n", "\n ", "\n\n", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 _TAIL = ".,;:!?*$%&#|()[]{}<>\"/+=-_@~^"
 _GENERATION = 500_000
 _LONGEST = 200
-_encoders: dict[str, "ChunkEncoder"] = {}
+_encoders: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
 
 def vocabulary(name: str) -> str:
@@ -36,27 +38,32 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(name: str) -> "ChunkEncoder":
-    """One encoder a Python worker, kept between tasks. name: a public vocabulary's name, or a path."""
-    if name not in _encoders:
-        _encoders[name] = ChunkEncoder(name if os.path.sep in name else vocabulary(name))
-    return _encoders[name]
+def encoder(name: str, literal: bool = False) -> "ChunkEncoder":
+    """One encoder a Python worker, kept between tasks. name: a public vocabulary's name, or a path. literal: added tokens in texts
+    are plain characters; else ids are the library's own."""
+    if (name, literal) not in _encoders:
+        _encoders[name, literal] = ChunkEncoder(name if os.path.sep in name else vocabulary(name), literal)
+    return _encoders[name, literal]
 
 
 class ChunkEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.plain = Tokenizer.from_file(path)
-        self.plain.encode_special_tokens = True
+        self.plain.encode_special_tokens = literal
+        added = spec.get("added_tokens") or []
+        self.added = [] if literal else [t["content"] for t in added]
         pre = spec.get("pre_tokenizer") or {}
         norm = json.dumps(spec.get("normalizer"))
         steps = pre.get("pretokenizers") or [pre]
         self.mode = "whole"
-        if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm == "null":
+        if any(t["normalized"] or not t["special"] for t in added):
+            pass  # found in normalised texts, or whatever the setting
+        elif pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm == "null":
             self.mode = "prefix"
         elif steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") and "\\s\\p{L}\\p{N}" in json.dumps(steps[0]).replace("\\\\", "\\"):
             self.mode = "dropped"
@@ -130,11 +137,15 @@ class ChunkEncoder:
                 end = young[tail] = self._one(tail)
             young[c] = young[word] + end
 
+    def _holds_added(self, text: str) -> bool:
+        """Also where lower-casing, which chunks do before the library sees them, would make an added token."""
+        return any(t in text for t in self.added) or self.mode == "dropped" and (low := text.lower()) != text and any(t in low for t in self.added)
+
     def encode_bytes(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if self.mode == "whole":
+        if self.mode == "whole" or self._holds_added(text):
             return self._one(text)
         chunks = self.chunks(text)
         if max(map(len, chunks)) > _LONGEST:  # a chunk of endless length is not remembered
