@@ -8,9 +8,17 @@ import numpy as np
 import pytest
 
 from tidepool.llm import chat, dedup, fingerprints, html_text, mixing, packing, quality, token_counts, token_files, url_filter
-from tidepool.llm.tokenizing import encoder
+from tidepool.llm.tokenizing import encoder, vocabulary
 from tidepool.llm.trees import train
 
+
+def library(vocab):
+    """The library as it is, for plain calls on whole texts."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary(vocab))
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, component_id string, kept int, size string"
 LONG = "word number " + " ".join(f"w{k % 700} x{k}" for k in range(6000))
 BASE = " ".join(f"term{k}" for k in range(120))
@@ -43,16 +51,19 @@ def text(row):
 
 @pytest.mark.parametrize("vocab", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_chunks_encode_as_whole_texts(vocab):
-    e = encoder(vocab)
-    texts = ["  a  b\n\n c\td", "it's they'll. 'S", " ", "\n", "<|endoftext|> x<|endoftext|>", "á ́b ŠÉ Ȩ́", "x" * 500 + " y", "日本語 テキスト 12 4a", "a\x00b", "a\xa0b  c", "hi... (foo) -bar- ΑΣ İx ﬁ", "a \nb\n c", "é. a.́", LONG]
+    e, plain = encoder(vocab), library(vocab)
+    texts = ["a <|endoftext|> b", "<|EndOfText|> x", "<|startoftext|>y<|ENDOFTEXT|>", "  a  b\n\n c\td", "it's they'll. 'S", " ", "\n", "<|endoftext|> x<|endoftext|>", "á ́b ŠÉ Ȩ́", "x" * 500 + " y", "日本語 テキスト 12 4a", "a\x00b", "a\xa0b  c", "hi... (foo) -bar- ΑΣ İx ﬁ", "a \nb\n c", "é. a.́", LONG]
     for t in texts:
-        assert e.encode(t).tolist() == e.plain.encode(t, add_special_tokens=False).ids
+        assert e.encode(t).tolist() == plain.encode(t, add_special_tokens=False).ids
+    apart, size = encoder(vocab, literal=True), plain.get_vocab_size()
+    ends = {plain.token_to_id("<|endoftext|>")}
+    assert ends & set(e.encode("a<|endoftext|>")) and not ends & set(apart.encode("a<|endoftext|>")) and max(apart.encode(LONG)) < size
 
 
 def test_packing(odd, none):
     rows = packing.pack(odd).collect()
     assert packing.pack(none).count() == 0
-    plain = encoder("word_bpe_49k.json").plain
+    plain = library("word_bpe_49k.json")
     want = sorted(len(plain.encode(text(r), add_special_tokens=False).ids) + 1 for r in ODD)
     by_start = [r for r in rows if r.start == 0]
     assert sorted(r.doc_tokens for r in by_start) == want
@@ -71,6 +82,15 @@ def test_packing(odd, none):
         assert at <= 2048
 
 
+def test_written_sequences(odd):
+    plain = library("word_bpe_49k.json")
+    of = {r[0]: plain.encode(text(r), add_special_tokens=False).ids + [1] for r in ODD}
+    for r in packing.write_sequences(odd, window=300, pad_id=7).collect():
+        ids = np.frombuffer(r.ids, f"<u{r.width}").tolist()
+        assert ids[: r.n_ids] == [i for s in r.segments for i in of[s.doc_id][s.start : s.start + s.length]]
+        assert set(ids[r.n_ids :]) <= {7} and len(ids) == (r.n_ids if r.n_ids & (r.n_ids - 1) == 0 else 300)
+
+
 def test_plan_takes_every_piece():
     rng = np.random.default_rng(1)
     h = np.bincount(rng.integers(1, 2049, 30_000), minlength=2049)
@@ -169,7 +189,7 @@ def test_cascade_is_exact(spark, monkeypatch):
 def test_token_counts(odd, none, rule):
     rows = token_counts.count_tokens(odd, rule=rule).collect()
     assert token_counts.count_tokens(none).count() == 0
-    plain = encoder("byte_bpe_50k.json").plain
+    plain = library("byte_bpe_50k.json")
     e = plain.encode(ODD[7][1], add_special_tokens=False)
     own = sorted((r for r in rows if r.doc_id == 7), key=lambda r: r.section)
     assert sum(r.n_tokens for r in own) == pytest.approx(len(e.ids)) and sum(r.length for r in own) == len(ODD[7][1])
@@ -261,11 +281,11 @@ def test_token_files(odd, none):
     files = token_files.write_token_files(odd, block_docs=2)
     got = token_files.read_token_files(files).collect()
     assert token_files.read_token_files(token_files.write_token_files(none)).count() == 0
-    plain = encoder("byte_bpe_50k.json")
+    plain = library("byte_bpe_50k.json")
     order = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0))
     at, want = 0, []
     for r in order:
-        ids = np.append(plain.plain.encode(text(r), add_special_tokens=False).ids, 2).astype("<u4")
+        ids = np.append(plain.encode(text(r), add_special_tokens=False).ids, 2).astype("<u4")
         want.append((str(r[0]), at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted(want) == sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in got)

@@ -10,7 +10,11 @@ many numbers as a window has places) goes to the driver, which
 
 The plan is a table of rank intervals by length. A piece's rank among the pieces of its length is its partition's
 base plus its ordinal there, so no window function sorts a frequent length. The plan's size depends on the
-window alone. A window's last piece is followed by padding, unless the window's sum is a power of two.
+window alone.
+
+The pieces, with their ids, are then dealt out by sequence and written: a row of the sequences' table is one training sequence, its
+ids followed by padding up to the window (unless its length is a power of two), and beside them which document each
+segment comes from and where it begins there, so that attention and loss can be kept to a segment.
 """
 
 from __future__ import annotations
@@ -25,10 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import documents_of, materialize
-from tidepool.llm.tokenizing import encoder
+from tidepool.llm.tokenizing import ChunkEncoder, encoder
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, ordinal long"
+PIECES = "doc_id long, start long, length long, doc_tokens long, part int, ordinal long, ids binary"
+SEGMENTS = "array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint>>"
+SEQUENCES = f"sequence_id long, n_ids long, width int, ids binary, segments {SEGMENTS}"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Pieces whose ids are held at once while a batch is made.
+BATCH_IDS = 1 << 20
 
 
 def combinations_of(lengths: np.ndarray, window: int, triples: int = 12) -> np.ndarray:
@@ -139,33 +147,51 @@ def slots_of(planned: list[tuple[list[int], int]], window: int) -> np.ndarray:
 
 
 def pieces(docs: DataFrame, vocab: str, end_id: int, window: int) -> DataFrame:
-    """One row a piece, with its partition and its ordinal among that partition's pieces of its length."""
+    """One row a piece, with its ids, its partition and its ordinal among that partition's pieces of its length. Ids are two bytes
+    wide where the vocabulary fits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(vocab), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
-        end = np.array([end_id], "<u4").tobytes()
+        wide, end = id_type(enc, end_id), np.array([end_id], "<u4").tobytes()
+        kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
+        rows: list[list] = [[] for _ in kinds]
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
+            for x in rows:
+                x.clear()
+            return out
+
+        held = 0
         for b in batches:
-            rows: list[list] = [[] for _ in range(7)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = enc.encode_bytes(text) + end
-                n = len(ids) // 4
+                ids = np.frombuffer(enc.encode_bytes(text) + end, "<u4").astype(wide).tobytes()
+                step = np.dtype(wide).itemsize
+                n = len(ids) // step
                 for start in range(0, n, window):
                     size = min(window, n - start)
-                    for k, v in enumerate((doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, part, int(seen[size]))):
+                    for k, v in enumerate((doc, start, size, n, part, int(seen[size]), ids[step * start : step * (start + size)])):
                         rows[k].append(v)
                     seen[size] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32() if k == 5 else pa.int64()) for k, x in enumerate(rows)], [x.split()[0] for x in PIECES.split(", ")])
+                held += n
+                if held > BATCH_IDS:
+                    yield batch()
+                    held = 0
+        yield batch()
 
     return docs.mapInArrow(run, PIECES)
 
 
-def pack(df: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048) -> DataFrame:
-    """Packs every document; one row a piece.
+def id_type(enc: ChunkEncoder, end_id: int) -> str:
+    return "<u2" if enc.plain.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
 
-    Null text: only the end id. Repeated rows are documents of their own. An empty table gives no rows. Null doc_ids stay null. Other
-    columns are ignored.
-    """
-    cut = materialize(pieces(documents_of(df), vocab, end_id, window), "pieces")
+
+def padded_size(n: int, window: int) -> int:
+    return n if n & (n - 1) == 0 else window
+
+
+def placed(cut: DataFrame, window: int) -> DataFrame:
+    """The pieces with their sequence and offset."""
     counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = np.zeros(window + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # a number for each length, at most
@@ -173,15 +199,80 @@ def pack(df: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, windo
     table = slots_of(plan(histogram, window), window)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = cut.join(base, ["part", "length"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("ordinal")).alias("rank"))
+    ranked = cut.join(base, ["part", "length"]).select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("base") + F.col("ordinal")).alias("rank"))
     high = np.int64(1) << np.int64(50)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = table[:, 0] * high + table[:, 1]
         for b in batches:
             length, rank = b.column(2).to_numpy(), b.column(5).to_numpy()
-            at = np.searchsorted(keys, length * high + rank, "right") - 1
-            row = table[at]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], [x.split()[0] for x in PACKED.split(", ")])
+            row = table[np.searchsorted(keys, length * high + rank, "right") - 1]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
+
+    return ranked.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
+
+
+def write_sequences(df: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048, pad_id: int = 0) -> DataFrame:
+    """Packs every document and writes the sequences to the shared folder; returns them as a DataFrame that reads them.
+
+    sequence_id, n_ids (without padding), width (bytes an id), ids (with padding), segments (doc_id, start, length, doc_tokens, in order).
+    Null text: only the end id. Repeated rows are documents of their own. An empty table gives no rows. Null doc_ids stay null. Other
+    columns are ignored.
+    """
+    cut = materialize(pieces(documents_of(df), vocab, end_id, window), "pieces", compression="zstd")
+    partitions = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = placed(cut, window).repartition(partitions, "sequence_id").sortWithinPartitions("sequence_id", "offset")
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens")]))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence, parts, segments = None, [], []
+        rows: list[tuple] = []
+
+        def close() -> None:
+            if segments:
+                n = sum(s["length"] for s in segments)
+                width = sum(map(len, parts)) // n
+                pad = np.full(padded_size(n, window) - n, pad_id, f"<u{width}").tobytes()
+                rows.append((sequence, n, width, b"".join(parts) + pad, list(segments)))
+                parts.clear()
+                segments.clear()
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in SEQUENCES.split(", ")])
+            rows.clear()
+            return out
+
+        for b in batches:
+            for doc, start, size, tokens, ids, s in zip(*[c.to_pylist() for c in b.columns[:6]], strict=True):
+                if s != sequence:
+                    close()
+                    sequence = s
+                parts.append(ids)
+                segments.append({"doc_id": doc, "start": start, "length": size, "doc_tokens": tokens})
+            yield batch()
+        close()
+        yield batch()
+
+    return materialize(dealt.mapInArrow(run, SEQUENCES), "sequences", compression="zstd")
+
 
-    return ranked.mapInArrow(run, PACKED)
+def read_sequences(sequences: DataFrame) -> DataFrame:
+    """One row a piece, read back from the written sequences: where it lies, and its ids' crc32 as unsigned 32-bit integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for s, width, data, segments in zip(*[b.column(k).to_pylist() for k in (0, 2, 3, 4)], strict=True):
+                ids, at = np.frombuffer(data, f"<u{width}").astype("<u4"), 0
+                for x in segments:
+                    size = x["length"]
+                    rows.append((x["doc_id"], x["start"], size, zlib.crc32(ids[at : at + size].tobytes()), x["doc_tokens"], s, at))
+                    at += size
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(7)], [x.split()[0] for x in PACKED.split(", ")])
+
+    return sequences.mapInArrow(run, PACKED)
+
+
+def pack(df: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048) -> DataFrame:
+    """Packs every document into written sequences and reads them back: one row a piece."""
+    return read_sequences(write_sequences(df, vocab, end_id, window))
