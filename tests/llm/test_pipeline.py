@@ -71,9 +71,10 @@ def corpus(spark, tmp_path):
     docs += [(100, copies_of(prose("base", 150), 0)), (101, copies_of(prose("base", 150), 3)), (102, copies_of(prose("base", 150), 1))]
     docs += [(5, docs[5][1]), (5, docs[5][1])]  # one id thrice
     docs += [(None, prose("n", 90)), (None, prose("m", 91)), (None, prose("o", 92)), (None, prose("n", 90)), (None, docs[7][1])]
+    docs += [(7, prose("other", 70)), (300, prose("clash", 80)), (300, prose("clash2", 80))]  # other texts under one id
     docs += [(200, "too short"), (None, "short too"), (None, None)]
-    rows = [(k, t, "en", "s", len(t or "")) for k, t in docs]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(k, t, "en", "s", len(t or ""), "x", 1, "y") for k, t in docs]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _copies string, size int, component_id string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     return str(tmp_path), docs
 
@@ -81,9 +82,11 @@ def corpus(spark, tmp_path):
 def test_run_keeps_rows_without_and_with_repeated_ids(spark, corpus):
     folder, docs = corpus
     long = [(k, t) for k, t in docs if t and len(t.split()) >= 20]
-    label = groups([(k, t) for k, t in long if k is not None], corpus_pipeline.PERCENT)
-    known = {k: t for k, t in long if k is not None and label[k] == k}
-    want = sorted([(str(k), t) for k, t in known.items()] + [("None", t) for k, t in long if k is None])
+    label = groups([(n, t) for n, (_, t) in enumerate(long)], corpus_pipeline.PERCENT)
+    best = {}
+    for n, (k, t) in enumerate(long):
+        best.setdefault(label[n], []).append((k is None, k or 0, t))
+    want = sorted((str(None if none else k), t) for none, k, t in map(min, best.values()))
 
     left = spark.read.parquet(f"{folder}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:3]:
@@ -111,3 +114,26 @@ def test_mix_without_ids_takes_rows_apart(spark):
     words = sum(30 + k for k in range(60))
     found = sum(len(r.text.split()) for r in corpus_pipeline.mixed(spark, docs, "").collect())
     assert abs(found - 1.5 * words) <= 0.01 * words
+
+
+def test_an_empty_corpus(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_open_buckets_lose_no_link(spark, monkeypatch):
+    """Blocks of two members, and few stars: links between blocks, inside the others and across to the major component are all found."""
+    monkeypatch.setattr(dedup, "BLOCK", 2)
+    monkeypatch.setattr(dedup, "STARS", 2)
+    rng = np.random.default_rng(5)
+    base = prose("b", 60).split()
+    docs = []
+    for k in range(90):  # a cloud around one text in which most pairs share bands and about half are linked
+        w = list(base)
+        for at in rng.choice(60, rng.integers(0, 3), replace=False):
+            w[at] = f"z{rng.integers(40)}"
+        docs.append((k, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in dedup.near_duplicates(df, 80).collect()} == groups(docs, 80)

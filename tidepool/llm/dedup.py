@@ -8,10 +8,14 @@ few depend on each other: at 0.80 up to 6 in 100,000, for 4 shingles against 5.
 
 1. Documents with equal sets are one class, represented by the least doc_id; copies go no further.
 2. In each bucket of two or more classes each class is compared with the bucket's least one: a star, not all pairs.
-3. Components of the confirmed links. Buckets that lie in one component are done, however large. In the others, pairs of different
-   components that a sketch of the signature cannot rule out are compared in the bucket itself, so no link between different texts is
-   lost and no pair is written. Large buckets are dealt out in pairs of blocks.
-4. Components of all links.
+3. Components of the confirmed links. Buckets that lie in one component are done, however large. In the others (open ones) the component with most
+   members is the major one. As long as an open bucket has more than a block of other members, there is another round of stars: the least of
+   these members of which no star was made yet is compared with all of the bucket, up to STARS rounds.
+4. In buckets that are still open, pairs of different components that a sketch of the signature cannot rule out are compared in the bucket
+   itself, so no link between different texts is lost and no pair is written. A bucket is dealt out in blocks of bounded rows and bytes, the
+   major component's apart from the others; pairs of blocks of the major component need no look. So a bucket of m members of which few are
+   not in its major component costs in proportion to m.
+5. Components of all links.
 
 A link is confirmed on the full sets of 64-bit shingle hashes, computed again from the whole texts of the classes that share a bucket.
 """
@@ -40,9 +44,10 @@ MISSES = 3e-6
 SKETCH = 160
 #: A pair is compared if its sketches differ from what a link at the threshold would show by no more deviations than this.
 DEVIATIONS = 6.7
-BLOCK = 500
-#: Up to so many class ids are sent to all tasks; more are joined by shuffle.
-BROADCAST_IDS = 200_000
+#: Members, and shingles, of a bucket's block.
+BLOCK, BLOCK_SHINGLES = 500, 1 << 21
+#: Rounds of further stars in open buckets.
+STARS = 6
 _C = np.random.default_rng(20240607)
 _MULT = _C.integers(0, 2**32, 160, dtype=np.uint32) | np.uint32(1)
 _ADD = _C.integers(0, 2**32, 160, dtype=np.uint32)
@@ -211,6 +216,30 @@ def links_in_bucket(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def open_buckets(labelled: DataFrame) -> DataFrame:
+    """key, major (the component with most members), others (members not in it), and the blocks that both need, of buckets that lie in several
+    components. Counts are by component first, so a large bucket is no task's alone."""
+    parts = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    best = F.max(F.struct("m", F.col("component").alias("major"), "s"))
+    found = parts.groupBy("key").agg(best.alias("best"), F.sum("m").alias("m"), F.sum("s").alias("s"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+
+    def blocks(members: F.Column, shingles: F.Column) -> F.Column:
+        return F.greatest(F.ceil(members / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+
+    return found.select("key", "best.major", (F.col("m") - F.col("best.m")).alias("others"), blocks(F.col("best.m"), F.col("best.s")).alias("majors"), blocks(F.col("m") - F.col("best.m"), F.col("s") - F.col("best.s")).alias("minors"))
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """Each member of an open bucket with its own block, once for each pair of blocks (low, high) that needs a look. The major component's blocks come first."""
+    is_major = F.col("component") == F.col("major")
+    hashed = F.xxhash64("node")
+    own = F.when(is_major, F.pmod(hashed, F.col("majors").cast("long"))).otherwise(F.col("majors") + F.pmod(hashed, F.col("minors").cast("long"))).cast("int")
+    last = F.col("majors") + F.col("minors") - 1
+    others = F.sequence(F.when(is_major, F.col("majors")).otherwise(F.lit(0)), last)
+    dealt = members.withColumn("own", own).withColumn("other", F.explode(others))
+    return dealt.select("key", "band", "node", "n", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+
 def _linked(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = links_in_bucket(pdf, percent) if len(pdf) > 1 else []
@@ -239,22 +268,26 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     fits = 100 * F.least(F.col("n"), F.col("head.n")) >= percent * F.greatest(F.col("n"), F.col("head.n"))
     stars = buckets.where((F.col("node") != F.col("head.node")) & fits).select(F.col("head.node").alias("u"), F.col("node").alias("v")).distinct()
 
-    members = buckets.select("node").distinct()
-    if members.count() <= BROADCAST_IDS:
-        members = F.broadcast(members)
+    # written, so that Spark knows its size and sends it to the texts if it is small
+    members = materialize(buckets.select("node").distinct(), "members")
     sets = materialize(sets_of(docs.join(members, F.col("doc_id") == F.col("node"), "left_semi")), "shingles")
-    links = materialize(confirmed(stars, sets, percent), "links-1")
-    first = components(links)
-
+    links = materialize(confirmed(stars, sets, percent), "links-0")
     label = F.coalesce(F.col("component"), F.col("node"))
-    labelled = buckets.select("key", "band", "node", "n").join(first, "node", "left").select("key", "band", "node", "n", label.alias("component"))
-    open_ = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("m")).where(F.col("least") != F.col("most")).select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+    used = heads.select("key", F.col("head.node").alias("node"))
+    for k in range(1, STARS + 1):
+        labelled = buckets.select("key", "band", "node", "n").join(components(links), "node", "left").select("key", "band", "node", "n", label.alias("component"))
+        open_ = materialize(open_buckets(labelled), "open")
+        if k == STARS or not open_.where(F.col("others") > BLOCK).limit(1).count():
+            break
+        wide = labelled.join(open_.where(F.col("others") > BLOCK).select("key", "major"), "key")
+        fresh = wide.where(F.col("component") != F.col("major")).join(used, ["key", "node"], "left_anti").groupBy("key").agg(F.min(F.struct("node", "n", "component")).alias("head"))
+        used = materialize(used.unionByName(fresh.select("key", F.col("head.node").alias("node"))), "stars")
+        stars = wide.join(fresh, "key").where(fits & (F.col("component") != F.col("head.component"))).select(F.col("head.node").alias("u"), F.col("node").alias("v")).distinct()
+        links = materialize(links.unionByName(confirmed(stars, sets, percent)), f"links-{k}")
+
     full = reps.select("node", "sketch", "bands").join(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "node")
-    dealt = labelled.join(open_, "key").join(full, "node")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "band", "node", "n", "component", "sketch", "bands", "shingles", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    more = materialize(dealt.groupBy("key", "low", "high").applyInPandas(_linked(percent), "u long, v long"), "links-2")
+    dealt = in_blocks(labelled.join(open_, "key")).join(full, "node")
+    more = materialize(dealt.groupBy("key", "low", "high").applyInPandas(_linked(percent), "u long, v long"), "links")
     final = components(links.unionByName(more))
 
     labels = classes.join(final, "node", "left").select("set_key", label.alias("component_id"))
