@@ -19,24 +19,29 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 #: Near copies share at least so many of 100 five-word shingles.
 PERCENT = 80
+#: Columns that a stage adds for itself; documents have none of these names.
+ROW, GROUP, COPIES, COPY = "__row__", "__group__", "__copies__", "__copy__"
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the least doc_id, once. Rows without a doc_id all stay."""
-    found = dedup.near_duplicates(docs, PERCENT)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").limit(1).count()
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id IS NULL")) if repeated else left
+    """One row of each group of near copies stays: the one with the least doc_id, of rows with one doc_id that with the least hash of its text.
+    Rows are compared by their texts, whatever their doc_ids: copies without a doc_id go, and different texts under one doc_id stay.
+    Rows without words are linked with nothing and stay."""
+    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), PERCENT).select(F.col("doc_id").alias(ROW), F.col("component_id").alias(GROUP))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
+    groups = found.join(rows.select(ROW, order.alias("o")), ROW).groupBy(GROUP).agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    gone = found.join(groups.select(GROUP, F.col(f"o.{ROW}").alias("best")), GROUP).where(F.col(ROW) != F.col("best")).select(ROW)
+    # written, so that Spark knows its size and sends it to the texts if it is small
+    return rows.join(materialize(gone, "gone"), ROW, "left_anti").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: not at all, once or twice. Rows without a doc_id and repeated ones are told apart by a row
     number, which is written with them."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    copies = mixing.mix(rows, row="_row").select(F.col("row").alias("_row"), F.col("copies").cast("int").alias("_copies"))
-    taken = rows.join(copies.where("_copies > 0"), "_row")
-    return taken.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_copies")))).select(docs.columns)
+    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    copies = mixing.mix(rows, row=ROW).select(F.col("row").alias(ROW), F.col("copies").cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
+    return rows.join(copies, ROW).withColumn(COPY, F.explode(F.array_repeat(F.lit(1), F.col(COPIES)))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
