@@ -45,7 +45,7 @@ SKETCH = 160
 #: A pair is compared if its sketches differ from what a link at the threshold would show by no more deviations than this.
 DEVIATIONS = 6.7
 #: Members, and shingles, of a bucket's block.
-BLOCK, BLOCK_SHINGLES = 500, 1 << 21
+BLOCK, BLOCK_SHINGLES = 500, 1 << 19
 #: Rounds of further stars in open buckets.
 STARS = 6
 _C = np.random.default_rng(20240607)
@@ -112,8 +112,9 @@ def signature(shingles: np.ndarray, n: int) -> np.ndarray:
     high = np.zeros(n, np.uint32)
     # only minima and maxima matter, so many shingles are taken in steps
     base = (shingles >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(base), 4096):
-        v = base[None, at : at + 4096] * mult + add
+    for at in range(0, len(base), 1024):
+        v = base[None, at : at + 1024] * mult
+        v += add
         np.minimum(low, v.min(1), out=low)
         np.maximum(high, v.max(1), out=high)
     return np.concatenate([low, high])
@@ -166,6 +167,15 @@ def sets_of(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, shingles binary")
 
 
+def n_common(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets that are not empty."""
+    if len(a) < len(b):
+        a, b = b, a
+    at = a.searchsorted(b)
+    at[at == len(a)] = 0
+    return int(np.count_nonzero(a[at] == b))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= percent * union."""
     joined = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v").select("u", "v", "su", "sv")
@@ -175,7 +185,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             good = []
             for x, y in zip(b.column(2), b.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(x) + len(y) - len(np.union1d(x, y))
+                common = n_common(x, y)
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
@@ -190,10 +200,8 @@ def links_in_bucket(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     across = pdf["low"].iloc[0] != pdf["high"].iloc[0]
     earlier = np.stack(pdf["bands"].to_numpy())[:, : int(band[0])]
     sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
-    names, place = np.unique(np.concatenate([np.frombuffer(s, np.uint64) for s in pdf["shingles"]]), return_inverse=True)
-    ends = np.cumsum([len(s) // 8 for s in pdf["shingles"]])
-    sets = np.split(place, ends[:-1])
-    mark, out, bound = np.zeros(len(names), bool), [], sketch_bound(percent)
+    sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
+    out, bound = [], sketch_bound(percent)
     for k in range(len(node) - 1):
         m = np.arange(k + 1, len(node))
         m = m[(component[m] != component[k]) & (100 * np.minimum(n[m], n[k]) >= percent * np.maximum(n[m], n[k]))]
@@ -205,14 +213,12 @@ def links_in_bucket(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
             m = m[~(earlier[m] == earlier[k]).any(1)]
         if not len(m):
             continue
-        mark[sets[k]] = True
         for v in m.tolist():
             if component[v] != component[k]:
-                common = int(np.count_nonzero(mark[sets[v]]))
+                common = n_common(sets[k], sets[v])
                 if 100 * common >= percent * (n[k] + n[v] - common):
                     out.append((node[k], node[v]))
                     component[component == component[v]] = component[k]
-        mark[sets[k]] = False
     return out
 
 
