@@ -4,7 +4,8 @@ A cascade is exact for the keys it was built over. Level 1 holds the listed keys
 listed pass it: level 2 holds those. Some listed keys pass level 2: level 3 holds those, and so on until a level has nothing to
 hold. A key is listed if the first level that it does not pass is even (or none is left, after an odd one). Level 1 is so wide that
 about as many unlisted keys pass it as there are listed ones; the size of all levels therefore follows the list and the logarithm of
-the corpus's number of keys, and is checked. Membership of a page's keys needs no join: the filters are literals of the plan.
+the corpus's number of keys, and is checked: MOST_WORDS, 8 MB for each level, is enough for some millions of hosts. Membership of a page's keys
+needs no join: each filter is one array literal of the plan. Building does join the list with the universe, both as tables.
 
 The universe is all distinct keys the corpus has in the shapes that the lists use. A shape is (labels of the host, characters of the
 path), so a page has as many keys as there are shapes, however long its host or path.
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.common import materialize
 
-#: Words of 64 bits that all levels of a cascade may have together.
-MOST_WORDS = 1 << 17
+#: Words of 64 bits that a level may have.
+MOST_WORDS = 1 << 20
 #: Bits of a key in its word.
 HASHES = 6
 
@@ -52,7 +53,9 @@ class Level:
 
     def passes(self, key: Column) -> Column:
         word, mask = place(key, len(self.words), self.seed)
-        return F.element_at(F.lit(self.words), word + 1).bitwiseAND(mask) == mask
+        # one constant once the plan is optimised, however many words
+        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")
+        return F.element_at(words, word + 1).bitwiseAND(mask) == mask
 
 
 def place(key: Column, words: int, seed: int) -> tuple[Column, Column]:
@@ -96,16 +99,16 @@ class Cascade:
         self.levels = levels
 
     @classmethod
-    def build(cls, universe: DataFrame, listed: Sequence[str]) -> "Cascade":
-        spark = universe.sparkSession
-        listed = sorted(set(listed))
-        if not listed:
+    def build(cls, universe: DataFrame, listed: DataFrame) -> "Cascade":
+        """universe, listed: key. Listed keys that the universe lacks need no filter."""
+        inside = materialize(listed.select("key").where("key IS NOT NULL").distinct().join(universe, "key", "left_semi"), "url-list")
+        n = inside.count()
+        if not n:
             return cls([])
         all_keys = universe.agg(F.approx_count_distinct("key")).first()[0]
-        rate = min(0.5, len(listed) * math.sqrt(0.5) / max(1, all_keys))
-        inside = spark.createDataFrame([(k,) for k in listed], "key string")
-        outside = universe.where(~F.col("key").isin(listed))
-        levels = [level_over(inside, len(listed), rate, 0)]
+        rate = min(0.5, n * math.sqrt(0.5) / max(1, all_keys))
+        outside = universe.join(inside, "key", "left_anti")
+        levels = [level_over(inside, n, rate, 0)]
         # keys that passed all levels so far, by turns of the two sides
         sides = [outside, inside]
         while True:
@@ -143,11 +146,19 @@ def key_of(shape: tuple[int, int]) -> Column:
     return F.when(long_enough, F.concat(F.substring_index("host", ".", -labels), F.substring("path", 1, chars)))
 
 
-def judge_urls(df: DataFrame, rules: Sequence[Rule], blocklist: Sequence[str]) -> DataFrame:
+def as_keys(df: DataFrame, listed: Sequence[str] | DataFrame) -> DataFrame:
+    """key: of a list, or of a table's column host."""
+    if isinstance(listed, DataFrame):
+        return listed.select(F.col("host").cast("string").alias("key"))
+    return df.sparkSession.createDataFrame([(k,) for k in listed], "key string")
+
+
+def judge_urls(df: DataFrame, rules: Sequence[Rule], blocklist: Sequence[str] | DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict of every page.
 
     The longest rule that fits gives the verdict; a rule fits its host and all subdomains, where the path starts with its path. Without
-    a rule, a page is blocked if its host or a domain above it is in the blocklist. Null urls and urls without `://`: empty host and path,
+    a rule, a page is blocked if its host or a domain above it is in the blocklist (hosts, or a table of any size with a column host). Rules
+    are few, as they are written by hand; hosts of any number of labels may be listed. Null urls and urls without `://`: empty host and path,
     no rule, allowed. Repeated rows are judged alike; an empty table gives no rows; other columns are ignored.
     """
     if len({r.key for r in rules}) < len(rules):
@@ -155,13 +166,15 @@ def judge_urls(df: DataFrame, rules: Sequence[Rule], blocklist: Sequence[str]) -
     host, path = parsed(F.col("url"))
     pages = df.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
     shapes = sorted({r.shape for r in rules}, key=lambda s: (-s[0], -s[1]))
-    list_shapes = sorted({(d.count(".") + 1, 0) for d in blocklist})
+    hosts = as_keys(df, blocklist)
+    # as many numbers as hosts have labels
+    list_shapes = sorted((r.n, 0) for r in hosts.where("key IS NOT NULL").select(F.size(F.split("key", r"\.")).alias("n")).distinct().collect())
     key_columns = [key_of(s) for s in dict.fromkeys([*shapes, *list_shapes])]
     universe = pages.select(F.explode(F.array_compact(F.array(*key_columns))).alias("key")).distinct() if key_columns else pages.select(F.col("host").alias("key")).limit(0)
     universe = materialize(universe, "url-keys")
     verdicts = sorted({r.verdict for r in rules})
-    cascades = {v: Cascade.build(universe, [r.key for r in rules if r.verdict == v]) for v in verdicts}
-    listed = Cascade.build(universe, list(blocklist))
+    cascades = {v: Cascade.build(universe, as_keys(df, [r.key for r in rules if r.verdict == v])) for v in verdicts}
+    listed = Cascade.build(universe, hosts)
 
     named = pages.select("*", *[key_of(s).alias(f"_k{i}") for i, s in enumerate(shapes)], *[key_of(s).alias(f"_d{i}") for i, s in enumerate(list_shapes)])
     none = F.lit(None).cast("struct<n:int,key:string,verdict:string>")
