@@ -4,16 +4,19 @@ A file is one row of a Parquet table in the shared folder, so that any store Spa
 
     shard, block                place of the block in the order of doc_id
     n_docs, n_tokens, before    its size, and the ids of the shard's blocks before it
-    keys                        int64 doc_ids, in order (a null id is the smallest)
+    n_null                      how many of its documents, the first ones, have no doc_id
+    first_key, first_ordinal    its first document that has a doc_id; null if none has
+    keys                        int64 doc_ids, in order (those without one first, as 0)
     ordinals                    uint32: 0 for the first row of a doc_id, 1 for its second ...
     seeds                       int32: the minimal perfect hash (hash, displace): a seed for each bucket
     prints                      uint32: stored fingerprint of the key in each slot
     offsets, lengths            uint32: where the slot's ids lie in the payload
     payload                     the ids, uint16 where the vocabulary fits, else uint32
 
-A lookup hashes the key twice, reads one slot, compares the fingerprint, and slices the payload: constant time.
+A lookup in a block hashes the key twice, reads one slot, compares the fingerprint, and slices the payload: constant time. find() takes a table
+of keys to their blocks by the blocks' first keys and looks each up there.
 
-Rows with one doc_id keep the order of their texts. Null text: only the end id. Empty table: no rows. Columns
+Rows with one doc_id are in order of a hash of their ids, then of the ids' bytes, and a doc_id with a great share of all rows is dealt out over several ranges. Null text: only the end id. Empty table: no rows. Columns
 beside doc_id and text are ignored, whatever their names.
 """
 
@@ -32,7 +35,6 @@ from tidepool.llm.ranges import by_range
 from tidepool.llm.tokenizing import encoder
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_EMPTY = np.int64(-(2**63))
 
 
 def mix(x: np.ndarray, seed) -> np.ndarray:
@@ -44,8 +46,11 @@ def mix(x: np.ndarray, seed) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def hashed_keys(keys: np.ndarray, ordinals: np.ndarray) -> np.ndarray:
-    return mix(keys.view(np.uint64), ordinals.astype(np.uint64) + np.uint64(77))
+def hashed_keys(keys: np.ndarray, ordinals: np.ndarray, n_null: int = 0) -> np.ndarray:
+    """n_null: how many of the keys, the first ones, stand for no doc_id."""
+    salt = ordinals.astype(np.uint64) + np.uint64(77)
+    salt[:n_null] += np.uint64(1 << 40)
+    return mix(keys.view(np.uint64), salt)
 
 
 class PerfectHash:
@@ -95,7 +100,7 @@ def prints_of(hashes: np.ndarray) -> np.ndarray:
 
 
 ENCODED = "doc_id long, n_tokens long, ids binary"
-BLOCKS = "shard int, block int, n_docs long, n_tokens long, before long, keys binary, ordinals binary, seeds binary, prints binary, offsets binary, lengths binary, width int, payload binary"
+BLOCKS = "shard int, block int, n_docs long, n_tokens long, before long, n_null long, first_key long, first_ordinal long, keys binary, ordinals binary, seeds binary, prints binary, offsets binary, lengths binary, width int, payload binary"
 
 
 def encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
@@ -112,22 +117,25 @@ def encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
     return docs.mapInArrow(run, ENCODED)
 
 
-def block_row(shard: int, block: int, before: int, keys: list[int], ordinals: list[int], ids: list[bytes], lengths: list[int]) -> list:
-    keys_, ords = np.array(keys, "<i8"), np.array(ordinals, "<u4")
-    h = hashed_keys(keys_, ords)
+def block_row(shard: int, block: int, before: int, keys: list[int | None], ordinals: list[int], ids: list[bytes], lengths: list[int]) -> list:
+    n_null = keys.count(None)
+    known = [k for k in keys if k is not None]
+    keys_, ords = np.array([0] * n_null + known, "<i8"), np.array(ordinals, "<u4")
+    h = hashed_keys(keys_, ords, n_null)
     ph = PerfectHash.build(h)
     slot = ph.slots(h)
     n = np.array(lengths, np.int64)
     width = sum(map(len, ids)) // max(1, int(n.sum()))
     at = np.zeros((3, len(n)), "<u4")
     at[0, slot], at[1, slot], at[2, slot] = prints_of(h), np.cumsum(n) - n, n
-    return [shard, block, len(n), int(n.sum()), before, keys_.tobytes(), ords.tobytes(), ph.seeds.astype("<i4").tobytes(), at[0].tobytes(), at[1].tobytes(), at[2].tobytes(), width, b"".join(ids)]
+    first = (known[0], ordinals[n_null]) if known else (None, None)
+    return [shard, block, len(n), int(n.sum()), before, n_null, *first, keys_.tobytes(), ords.tobytes(), ph.seeds.astype("<i4").tobytes(), at[0].tobytes(), at[1].tobytes(), at[2].tobytes(), width, b"".join(ids)]
 
 
 def write_token_files(df: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 2, block_tokens: int = 1 << 20, block_docs: int = 4096) -> DataFrame:
     """Encodes documents and writes the files; returns them as a DataFrame that reads them."""
     docs = documents_of(df)
-    spread = by_range(encoded(docs, vocab, end_id), "doc_id", ["ids"], docs)
+    spread = by_range(encoded(docs, vocab, end_id), "doc_id", F.xxhash64("ids"), ["ids"], docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, held, last, ordinal, tokens, before = None, 0, ([], [], [], []), None, 0, 0, 0
@@ -138,14 +146,14 @@ def write_token_files(df: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: i
             if held[0]:
                 row = block_row(shard, block, before, *held)
                 block, held, tokens, before = block + 1, ([], [], [], []), 0, before + tokens
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32()] * 2 + [pa.int64()] * 3 + [pa.binary()] * 6 + [pa.int32(), pa.binary()], strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.int32()] * 2 + [pa.int64()] * 6 + [pa.binary()] * 6 + [pa.int32(), pa.binary()], strict=True)], names)
 
         for b in batches:
             for pid, key, n, ids in zip(*[b.column(b.schema.names.index(c)).to_pylist() for c in ("range_id", "doc_id", "n_tokens", "ids")], strict=True):
-                key = int(_EMPTY) if key is None else key
                 if pid != shard:
                     yield from flush()
-                    shard, block, last, before = pid, 0, None, 0
+                    shard, block, before = pid, 0, 0
+                    ordinal, last = -1, key
                 ordinal = ordinal + 1 if key == last else 0
                 last = key
                 for k, v in enumerate((key, ordinal, ids, n)):
@@ -161,10 +169,10 @@ def write_token_files(df: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: i
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def lookup(row: dict, keys: np.ndarray, ordinals: np.ndarray) -> list[np.ndarray | None]:
+def lookup(row: dict, keys: np.ndarray, ordinals: np.ndarray, n_null: int = 0) -> list[np.ndarray | None]:
     """The ids of keys in one file; None for a key that it does not hold."""
     n = row["n_docs"]
-    h = hashed_keys(np.asarray(keys, "<i8"), np.asarray(ordinals, "<u4"))
+    h = hashed_keys(np.asarray(keys, "<i8"), np.asarray(ordinals, "<u4"), n_null)
     slot = PerfectHash(np.frombuffer(row["seeds"], "<i4"), n).slots(h)
     prints, at, size = (np.frombuffer(row[c], "<u4") for c in ("prints", "offsets", "lengths"))
     ids = np.frombuffer(row["payload"], f"<u{row['width']}")
@@ -187,9 +195,57 @@ def read_token_files(files: DataFrame) -> DataFrame:
         for b in batches:
             for row in b.to_pylist():
                 keys, ords = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["ordinals"], "<u4")
-                ids = lookup(row, keys, ords)
+                ids = lookup(row, keys, ords, row["n_null"])
                 n = np.array([len(x) for x in ids], np.int64)
                 crc = [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=keys == _EMPTY), pa.array(row["first_token"] + np.cumsum(n) - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64(), mask=np.arange(len(keys)) < row["n_null"]), pa.array(row["first_token"] + np.cumsum(n) - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return with_first_token(files).mapInArrow(run, READ)
+
+
+FOUND = "doc_id long, ordinal long, n_tokens long, ids array<long>"
+
+
+def find(files: DataFrame, keys: DataFrame) -> DataFrame:
+    """The ids of the documents in keys (doc_id, and ordinal if it has that column: 0 for the first row of a doc_id). One row a row of keys whose
+    document is there; null doc_ids are not looked for.
+
+    Keys and the blocks' first keys are put in one order within a shard, where each key follows its block; the key's shard is told from
+    the shards' first keys, a row a shard. Payloads stay in place if few blocks are asked for, and meet their keys by a join otherwise."""
+    ordinal = F.col("ordinal").cast("long") if "ordinal" in keys.columns else F.lit(0).cast("long")
+    asked = keys.select(F.col("doc_id").cast("long").alias("doc_id"), ordinal.alias("ordinal")).where("doc_id IS NOT NULL")
+    starts = files.where("first_key IS NOT NULL").select("shard", "block", F.col("first_key").alias("k"), F.col("first_ordinal").alias("o"), (F.col("n_docs") - F.col("n_null")).alias("docs"))
+    shards = starts.groupBy("shard").agg(F.min("k").alias("k"), F.sum("docs").alias("docs")).orderBy("shard").collect()  # a row a shard
+    if not shards:
+        return keys.sparkSession.createDataFrame([], FOUND)
+    # only a doc_id with shards of its own is in several; ordinals go on from shard to shard
+    before, bases = {}, []
+    for r in shards:
+        bases.append(before.get(r.k, 0))
+        before[r.k] = bases[-1] + r.docs
+
+    def shard_of(low: int, high: int) -> F.Column:
+        """The last shard that does not begin after the key, and the ordinal it begins with."""
+        if low == high:
+            return F.struct(F.lit(shards[low].shard).alias("shard"), F.lit(bases[low]).cast("long").alias("base"))
+        mid = (low + high + 1) // 2
+        k = F.lit(shards[mid].k)
+        after = (F.col("doc_id") > k) | (F.col("doc_id") == k) & (F.col("ordinal") >= F.lit(bases[mid]))
+        return F.when(after, shard_of(mid, high)).otherwise(shard_of(low, mid - 1))
+
+    both = asked.withColumn("s", shard_of(0, len(shards) - 1)).select("s.shard", F.col("doc_id").alias("k"), (F.col("ordinal") - F.col("s.base")).alias("o"), "s.base", F.lit(None).cast("int").alias("block"))
+    order = Window.partitionBy("shard").orderBy("k", "o", F.col("block").asc_nulls_last())
+    all_ = starts.select("shard", "k", "o", F.lit(0).cast("long").alias("base"), "block").unionByName(both)
+    placed = all_.select("*", F.last("block", ignorenulls=True).over(order).alias("own")).where("block IS NULL AND own IS NOT NULL")
+    wanted = placed.groupBy("shard", F.col("own").alias("block")).agg(F.collect_list(F.struct("k", "o", "base")).alias("wanted"))
+    columns = ["n_docs", "seeds", "prints", "offsets", "lengths", "width", "payload", "wanted"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in b.to_pylist():
+                at = row["wanted"]
+                ids = lookup(row, np.array([x["k"] for x in at], "<i8"), np.array([x["o"] for x in at], "<u4"))
+                rows = [(x["k"], x["o"] + x["base"], len(i), i.astype(np.int64)) for x, i in zip(at, ids, strict=True) if i is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64()] * 3 + [pa.list_(pa.int64())])], ["doc_id", "ordinal", "n_tokens", "ids"])
+
+    return files.join(wanted, ["shard", "block"]).select(columns).mapInArrow(run, FOUND)
