@@ -22,10 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidepool.llm.common import documents_of
-from tidepool.llm.ranges import boundaries, range_id
+from tidepool.llm.ranges import ranges_of
 
 LEVELS = (2, 3)
 WIDTH = 96
+#: Characters that are parsed at once; each takes some fifty bytes meanwhile.
+GROUP_CHARS = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -132,15 +134,28 @@ def likeness_of(a: str, b: str) -> float:
     return likeness(*[np.frombuffer(bytes.fromhex(x), ">u4").astype(np.uint32) for x in (a, b)])
 
 
+def in_groups(texts: list[str], most: int) -> Iterator[int]:
+    """Sizes of consecutive groups of at most so many texts and GROUP_CHARS characters; a longer text is a group of its own."""
+    n = chars = 0
+    for t in texts:
+        if n and (n == most or chars + len(t) > GROUP_CHARS):
+            yield n
+            n = chars = 0
+        n, chars = n + 1, chars + len(t)
+    if n:
+        yield n
+
+
 def fingerprints(df: DataFrame) -> DataFrame:
     """doc_id, fingerprint of every document. Null text: empty, with an empty fingerprint. Repeated rows give repeated rows; an empty table gives
     none; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 128):
-                part = b.slice(at, 128)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([as_text(s) for s in sketches(part.column(1).to_pylist())], pa.string())], ["doc_id", "fingerprint"])
+            texts, at = b.column(1).to_pylist(), 0
+            for n in in_groups(texts, 128):
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, n), pa.array([as_text(s) for s in sketches(texts[at : at + n])], pa.string())], ["doc_id", "fingerprint"])
+                at += n
 
     return documents_of(df).mapInArrow(run, "doc_id long, fingerprint string")
 
@@ -153,24 +168,26 @@ def edit_study(df: DataFrame, group: int = 128) -> DataFrame:
     last), and beside that next document.
 
     Documents are dealt out by ranges of doc_id and sorted there; the head of the range below is read as a guest at a range's end, so the
-    texts move once. Equal doc_ids follow in order of their texts; a null doc_id comes last. A table of one row is its own next.
+    texts move once. Equal doc_ids follow in order of a hash of their texts, then of the texts; a null doc_id comes last. A table of one row is its own next.
     """
-    docs = documents_of(df)
-    bounds = boundaries(docs.select("doc_id"), "doc_id")
-    dealt = docs.withColumn("range_id", range_id("doc_id", bounds))
-    # a range's first document in descending order: a number a range
-    heads = {r.range_id: r.m for r in dealt.groupBy("range_id").agg(F.max("doc_id").alias("m")).collect()}
+    docs = documents_of(df).withColumn("mark", F.xxhash64("text"))
+    ranges = ranges_of(docs.select("doc_id"), "doc_id")
+    dealt = docs.withColumn("range_id", ranges.id_of("doc_id", F.col("mark"), descending=True))
+    # a range's first document in descending order: a row a range
+    heads = {r.range_id: r.m for r in dealt.groupBy("range_id").agg(F.max(F.struct("doc_id", F.bitwise_not("mark").alias("inverse"))).alias("m")).collect()}
     if not heads:
         return df.sparkSession.createDataFrame([], EDITED)
-    ranges = sorted(heads, reverse=True)
-    guests = [(r, heads[ranges[(k + 1) % len(ranges)]]) for k, r in enumerate(ranges)]
-    wanted = F.broadcast(df.sparkSession.createDataFrame(guests, "range_id int, guest long"))  # a row a range
-    read = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["guest"])).groupBy("range_id").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
+    order = sorted(heads, reverse=True)
+    guests = [(r, n, heads[n].doc_id, ~heads[n].inverse) for r, n in zip(order, order[1:] + order[:1], strict=True)]
+    wanted = F.broadcast(df.sparkSession.createDataFrame(guests, "range_id int, own int, guest long, guest_mark long"))  # a row a range
+    met = dealt.withColumnRenamed("range_id", "own").join(wanted, "own").where(F.col("doc_id").eqNullSafe(F.col("guest")) & (F.col("mark") == F.col("guest_mark")))
+    read = met.groupBy("range_id").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"), F.first("mark").alias("mark"))
     both = dealt.withColumn("is_guest", F.lit(False)).unionByName(read.withColumn("is_guest", F.lit(True)))
-    both = both.repartitionById(len(bounds) + 1, "range_id").sortWithinPartitions("is_guest", F.col("doc_id").desc_nulls_last(), "text")
+    both = both.repartitionById(ranges.n, "range_id").sortWithinPartitions("is_guest", F.col("doc_id").desc_nulls_last(), "mark", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        chars = 0
 
         def emit(rows: list[tuple]) -> pa.RecordBatch:
             # rows: documents in order, the last one only as the next of the one before it
@@ -195,12 +212,13 @@ def edit_study(df: DataFrame, group: int = 128) -> DataFrame:
         for b in batches:
             for row in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("is_guest").to_pylist(), strict=True):
                 held.append(row)
+                chars += len(row[1])
                 if row[2]:
                     if len(held) > 1:
                         yield emit(held)
-                    held = []
-                elif len(held) > group:
+                    held, chars = [], 0
+                elif len(held) > group or chars > GROUP_CHARS and len(held) > 1:
                     yield emit(held)
-                    held = held[-1:]
+                    held, chars = held[-1:], len(row[1])
 
     return both.mapInArrow(run, EDITED)
