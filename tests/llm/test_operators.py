@@ -171,13 +171,17 @@ def test_url_rules(spark):
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(df, rules, ["bad.com"]).collect()}
     assert got == {k: v[1:] for k, v in urls.items()}
     assert url_filter.judge_urls(df.limit(0), rules, ["bad.com"]).count() == 0
+    twice = df.unionByName(df).unionByName(spark.createDataFrame([(None, "http://bad.com", "z")], df.schema))
+    listed = spark.range(3000).selectExpr("concat('h', id, '.com') AS host").unionByName(spark.createDataFrame([("bad.com",), (None,), ("",)], "host string"))
+    rows = url_filter.judge_urls(twice, rules, listed).collect()
+    assert sorted((str(r.page_id), r.rule or "", r.verdict) for r in rows) == sorted(2 * [(str(k), v[1] or "", v[2]) for k, v in urls.items()] + [("None", "", "block")])
 
 
 def test_cascade_is_exact(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "HASHES", 2)
     universe = spark.range(300).selectExpr("concat('k', id) AS key")
     listed = [f"k{k}" for k in range(0, 300, 3)]
-    cascade = url_filter.Cascade.build(universe, listed)
+    cascade = url_filter.Cascade.build(universe, spark.createDataFrame([(k,) for k in [*listed, "k0", "elsewhere", None]], "key string"))
     assert len(cascade.levels) > 1
     from pyspark.sql import functions as F
 
@@ -260,7 +264,7 @@ def test_trees_are_monotonic_and_learn():
 def test_fingerprints(odd, none):
     got = fingerprints.edit_study(odd).collect()
     assert len(got) == len(ODD) and fingerprints.edit_study(none).count() == 0
-    order = sorted(ODD, key=lambda r: (r[0] is None, -(r[0] or 0), text(r)))
+    order = sorted(ODD, key=lambda r: (r[0] is None, -(r[0] or 0)))  # equal doc_ids have equal texts here
     want = []
     for k, r in enumerate(order):
         t, n = text(r), text(order[(k + 1) % len(order)])
@@ -289,9 +293,32 @@ def test_token_files(odd, none):
         want.append((str(r[0]), at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted(want) == sorted((str(r.doc_id), r.start, r.n_tokens, r.ids_crc32) for r in got)
-    row = next(r.asDict() for r in files.collect() if 3 in np.frombuffer(r.keys, "<i8"))
-    known, unknown = token_files.lookup(row, np.array([3, 12345]), np.array([0, 0]))
-    assert len(known) == [w for w in want if w[0] == "3"][0][2] and unknown is None
+    keys = odd.sparkSession.createDataFrame([(3, 0), (3, 1), (4, 1), (12345, 0), (-1, 0), (None, 0), (2, 0)], "doc_id long, ordinal int")
+    found = {(r.doc_id, r.ordinal): r.ids for r in token_files.find(files, keys).collect()}
+    assert set(found) == {(3, 0), (4, 1), (2, 0)} and found[2, 0] == [2]
+    assert zlib.crc32(np.array(found[3, 0], "<u4").tobytes()) == [w for w in want if w[0] == "3"][0][3]
+    assert token_files.find(token_files.write_token_files(none), keys).count() == 0
+
+
+def test_hot_and_extreme_ids(spark):
+    """A third of all rows under one doc_id, a third without one, and the least long: found, in order, and dealt out over several ranges."""
+    rows = [(7 if k % 3 == 0 else None if k % 3 == 1 else k - 2**63, f"text {k} " * (k % 5)) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    files = token_files.write_token_files(df, block_docs=16)
+    got = token_files.read_token_files(files).collect()
+    assert len(got) == 600 and {r.shard for r in files.where("n_null > 0").collect()} != {r.shard for r in files.collect()}
+    in_order = [r.doc_id for r in sorted(got, key=lambda r: (r.start, r.n_tokens))]
+    assert in_order == [None] * 200 + sorted(k for k, _ in rows if k is not None)
+    asked = df.select("doc_id").distinct()
+    assert {r.doc_id for r in token_files.find(files, asked).collect()} == {k for k, _ in rows if k is not None}
+    ids = spark.createDataFrame([(7, k) for k in range(200)], "doc_id long, ordinal long")
+    sizes = sorted(r.n_tokens for r in got if r.doc_id == 7)
+    again = token_files.find(files, ids).collect()
+    assert sorted(r.ordinal for r in again) == list(range(200)) and sorted(r.n_tokens for r in again) == sizes
+    studied = fingerprints.edit_study(df).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in studied) == sorted((k or 0, len(t)) for k, t in rows)
+    by_text = {r.edited_sha256 for r in studied}
+    assert len(by_text) > 300
 
 
 def test_perfect_hash_is_minimal():

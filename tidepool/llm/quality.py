@@ -6,7 +6,8 @@ over the texts, scores all documents. The score can only fall as symbols, repeat
 exclamation marks become more frequent.
 
 Null text: no words, so it fails the base rules. Repeated rows are judged alike. Labels without a document, null labels and
-documents without a label take no part in training; several labels of one document count as the worst of them. Without any labels the
+documents without a label take no part in training; several labels of one document count as the worst of them, and of several documents with one doc_id
+that with the least statistics is learnt from. Without any labels the
 trees are a constant that keeps what passes the base rules. An empty table gives no rows.
 """
 
@@ -114,7 +115,7 @@ def labelled_sample(labels: DataFrame, max_train_rows: int) -> DataFrame:
 def fit(stats: DataFrame, labels: DataFrame, max_train_rows: int = 20_000) -> Forest:
     """Trees from at most max_train_rows labelled rows."""
     sample = labelled_sample(labels, max_train_rows)
-    rows = stats.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ["label", *BASE, *MORE]]).orderBy("doc_id").toPandas()
+    rows = stats.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("label", *BASE, *MORE)).alias("row")).orderBy("doc_id").select("row.*").toPandas()
     return train(features({c: rows[c].to_numpy() for c in BASE + MORE}), rows["label"].to_numpy().astype(float), list(FEATURES.values()))
 
 
