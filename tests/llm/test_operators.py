@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidepool.llm import chat, dedup, fingerprints, html_text, mixing, packing, quality, token_counts, token_files, url_filter
 from tidepool.llm.tokenizing import encoder, vocabulary
@@ -183,8 +184,6 @@ def test_cascade_is_exact(spark, monkeypatch):
     listed = [f"k{k}" for k in range(0, 300, 3)]
     cascade = url_filter.Cascade.build(universe, spark.createDataFrame([(k,) for k in [*listed, "k0", "elsewhere", None]], "key string"))
     assert len(cascade.levels) > 1
-    from pyspark.sql import functions as F
-
     assert universe.where(cascade.holds(F.col("key"))).count() == len(listed)
     assert universe.where(cascade.holds(F.col("key")) & F.col("key").isin(listed)).count() == len(listed)
 
@@ -194,13 +193,24 @@ def test_token_counts(odd, none, rule):
     rows = token_counts.count_tokens(odd, rule=rule).collect()
     assert token_counts.count_tokens(none).count() == 0
     plain = library("byte_bpe_50k.json")
-    e = plain.encode(ODD[7][1], add_special_tokens=False)
-    own = sorted((r for r in rows if r.doc_id == 7), key=lambda r: r.section)
-    assert sum(r.n_tokens for r in own) == pytest.approx(len(e.ids)) and sum(r.length for r in own) == len(ODD[7][1])
-    if rule == "first":
-        starts = [r.start for r in own]
-        want = np.bincount([np.searchsorted(starts, a, "right") - 1 for a, _ in e.offsets], minlength=len(own))
-        assert [r.n_tokens for r in own] == want.tolist()
+    for doc, t in ((7, ODD[7][1]), (3, LONG), (2, ""), (6, ODD[6][1])):
+        own = sorted((r for r in rows if r.doc_id == doc), key=lambda r: r.section)
+        sections = re.findall(r"[^\n]*\n|[^\n]+", t) or [""]
+        assert [r.length for r in own] == [len(x) for x in sections]
+        ids = plain.encode(t, add_special_tokens=False).ids
+        ends = np.cumsum([len(x.encode()) for x in sections])
+        section_of = [int(np.searchsorted(ends, k, "right")) for k in range(len(t.encode()))]  # of each byte
+        want, at = [0.0] * len(sections), 0
+        for i in ids:  # byte by byte
+            mine = section_of[at : at + len(plain.id_to_token(i))]
+            at += len(mine)
+            counts = {s: mine.count(s) for s in dict.fromkeys(mine)}
+            if rule == "share":
+                for s, n in counts.items():
+                    want[s] += n / len(mine)
+            else:
+                want[{"first": mine[0], "last": mine[-1], "most": max(counts, key=counts.get)}[rule]] += 1
+        assert [r.n_tokens for r in own] == pytest.approx(want) and all(r.doc_tokens == len(ids) for r in own)
 
 
 def test_mixing(odd, none, spark):
@@ -217,8 +227,93 @@ def test_mixing(odd, none, spark):
     assert sum({r.source: r.target for r in a}.values()) == pytest.approx(1.5 * sum(r.size for r in a))
 
 
-def test_targets_stop_at_twice_the_size():
-    assert mixing.targets([10, 1000, 1000], [3, 1, 2], 1.5, 2) == pytest.approx([20, 3015 / 3 - 20 / 3, (3015 - 20) * 2 / 3])
+def brute_targets(sizes, weights, share, most):
+    """Round after round: share by weight, stop those above, share the rest again."""
+    left, out = share * sum(sizes), [0.0] * len(sizes)
+    open_ = [k for k in range(len(sizes)) if sizes[k] > 0]
+    while open_ and left > 0:
+        total = sum(weights[k % len(weights)] for k in open_)
+        over = [k for k in open_ if left * weights[k % len(weights)] / total > most * sizes[k]]
+        for k in over or open_:
+            out[k] = most * sizes[k] if over else left * weights[k % len(weights)] / total
+        left -= sum(out[k] for k in over)
+        open_ = [k for k in open_ if k not in set(over)] if over else []
+    return out
+
+
+@pytest.mark.parametrize("share", [0.4, 1.5, 1.9, 2.5])
+def test_targets_by_brute_force(spark, share):
+    rng = np.random.default_rng(7)
+    for n in (1, 3, 40):
+        sizes = [int(x) for x in rng.integers(0, 3, n) * rng.integers(1, 10 ** rng.integers(1, 7), n)]
+        names = sorted(f"s{rng.integers(10**6)}-{k}" for k in range(n - 1)) + [None]
+        df = spark.createDataFrame([(s, int(p)) for s, v in zip(names, sizes, strict=True) for p in (v // 3, v - v // 3)], "source string, size long").repartition(3)
+        got = {r.source: r for r in mixing.weigh(df, (3, 1, 2), share, 2.0).collect()}
+        assert [got[s].source_size for s in names] == sizes
+        assert [got[s].target for s in names] == pytest.approx(brute_targets(sizes, [3, 1, 2], share, 2.0))
+
+
+def test_mixing_does_not_follow_places(spark):
+    """One doc_id for many texts of one size: as many copies of each text, however the rows are dealt out."""
+    rows = [(k % 3, f"a{k} b c d", f"s{k % 2}") for k in range(300)] + [(1, "same words here", "s0")] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+    def taken(d):
+        rows_ = d.withColumn("key", F.monotonically_increasing_id()).cache()
+        found = rows_.join(mixing.mix(rows_, leaf_rows=50, row="key").select(F.col("row").alias("key"), "copies"), "key")
+        return sorted((r.text, r.n) for r in found.groupBy("text").agg(F.sum("copies").alias("n")).collect())
+
+    assert taken(df.repartition(2)) == taken(df.orderBy(F.xxhash64("text")).repartition(5))
+
+
+def parsed_plainly(text):
+    """Phrases of both levels, place by place, by recursion over Python numbers."""
+    mask = 2**64 - 1
+    a, b = int(fingerprints._A), int(fingerprints._B)
+
+    def mix(x):
+        x = ((x ^ (x >> 32)) * b) & mask
+        x = ((x ^ (x >> 29)) * a) & mask
+        return x ^ (x >> 32)
+
+    def toss(labels):
+        out = []
+        for k, x in enumerate(labels):
+            differ = x ^ (labels[k - 1] if k else x ^ 1)
+            bit = (differ & -differ).bit_length() - 1 if differ else 63
+            out.append(2 * bit + (x >> bit & 1))
+        return out
+
+    def level(names):
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [mix((x * a + n) & mask) if n > 1 else x for x, n in runs]
+        labels = toss(toss(toss(names)))
+        n = len(names)
+        starts = [k for k in range(n) if k == 0 or k > 1 and k < n - 1 and labels[k] > labels[k - 1] and labels[k] >= labels[k + 1]]
+        out = []
+        for k, end in zip(starts, starts[1:] + [n], strict=True):
+            own = sum(mix((names[k + i] + (i + 1) * a) & mask) for i in range(end - k))
+            out.append(mix((own + (end - k) * b) & mask))
+        return out
+
+    def phrases(names, depth):
+        if depth > max(fingerprints.LEVELS) or not names:
+            return set()
+        names = level(names)
+        own = {mix((x + depth) & mask) >> 32 for x in names} if depth in fingerprints.LEVELS else set()
+        return own | phrases(names, depth + 1)
+
+    return sorted(phrases([mix(ord(c) + 1) for c in text], 1))[: fingerprints.WIDTH]
+
+
+def test_phrases_by_plain_recursion():
+    texts = ["", "a", "ab", "aaaa bbbb", LONG[:3000], "日本語 é́ " * 9, "abcabcabc" * 40, BASE, "x" * 500]
+    assert [x.tolist() for x in fingerprints.sketches(texts)] == [parsed_plainly(t) for t in texts]
 
 
 def test_html(spark):

@@ -28,29 +28,9 @@ ROOT_TRIES = 32
 
 
 def sized(df: DataFrame, *more: str | Column) -> DataFrame:
-    """doc_id, source, size: the words of each text."""
+    """doc_id, source, size (the words of each text), mark (a hash of it)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), *more)
-
-
-def targets(sizes: list[int], weights: list[float], share: float, most: float) -> list[float]:
-    """Words to take from each source: share of all, by weight; a target stops at most times its source's size, and the excess goes to the
-    others by weight until none is above."""
-    left = share * sum(sizes)
-    out = [0.0] * len(sizes)
-    open_ = [k for k in range(len(sizes)) if sizes[k] > 0]
-    while open_ and left > 0:
-        total = sum(weights[k] for k in open_)
-        over = [k for k in open_ if left * weights[k] / total > most * sizes[k]]
-        if not over:
-            for k in open_:
-                out[k] = left * weights[k] / total
-            break
-        for k in over:
-            out[k] = most * sizes[k]
-        left -= sum(out[k] for k in over)
-        open_ = [k for k in open_ if k not in set(over)]
-    return out
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text).alias("mark"), *more)
 
 
 def _draws(pdf: pd.DataFrame, level: int) -> np.ndarray:
@@ -113,7 +93,7 @@ ROWS = "doc_id long, row long, source string, size long, base long, p double, dr
 
 def _node(level: int, last: bool):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.sort_values(["size", "doc_id", "draw", "row"], ascending=[False, True, True, True], kind="stable")
         pdf["p"] = resolve(pdf["size"].to_numpy(float), pdf["p"].to_numpy(float), _draws(pdf, level), last)
         return pdf
 
@@ -121,33 +101,50 @@ def _node(level: int, last: bool):
 
 
 def weigh(df: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """source, source_size, target: one row a source; sources by code point, null last, and weights repeating."""
-    found = df.groupBy("source").agg(F.sum("size").cast("long").alias("source_size")).collect()  # a row a source
-    rows = sorted(((r.source, r.source_size or 0) for r in found), key=lambda r: (r[0] is None, r[0] or ""))
-    goals = targets([r[1] for r in rows], [weights[k % len(weights)] for k in range(len(rows))], share, most)
-    return df.sparkSession.createDataFrame([(*r, float(g)) for r, g in zip(rows, goals, strict=True)], "source string, source_size long, target double")
+    """source, source_size, target: one row a source; sources by code point, null last, and weights repeating. A target is its share of all
+    words, by weight, but stops at most times its source's size; the excess goes to the others by weight until none is above.
+
+    Sources in order of size for their weight stop first. With the first k of them stopped, each weight left is worth level(k) words,
+    what is left to share over the weights left; the sources that stop are those before the first one with room for its level. Both
+    are running sums over the sources, a row a source, which no other row needs."""
+    found = df.groupBy("source").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("source_size"))
+    numbered = found.withColumn("_n", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
+    weight = F.element_at(F.lit(list(map(float, weights))), (F.col("_n") % len(weights) + 1).cast("int"))
+    rows = numbered.withColumn("_w", weight).withColumn("_most", F.lit(float(most)) * F.col("source_size"))
+    with_words = rows.where("source_size > 0")
+    order = [F.col("_most") / F.col("_w"), F.col("_n")]
+    earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    zero = F.lit(0.0)
+    left = F.lit(float(share)) * F.sum("source_size").over(everything) - F.coalesce(F.sum("_most").over(earlier), zero)
+    weights_left = F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(earlier), zero)
+    levels = with_words.withColumn("_level", F.greatest(left, zero) / weights_left).withColumn("_stops", F.col("_level") * F.col("_w") > F.col("_most"))
+    level = F.min(F.when(~F.col("_stops"), F.struct(*[c.alias(f"_{k}") for k, c in enumerate(order)], F.col("_level")))).over(everything)["_level"]
+    goals = levels.withColumn("_level", level).select("_n", F.least(F.coalesce(F.col("_level") * F.col("_w"), F.col("_most")), "_most").alias("target"))
+    return rows.join(goals, "_n", "left").select("source", "source_size", F.coalesce("target", zero).alias("target"))
 
 
 def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 0, leaf_rows: int = 20_000, row: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row a row of df, in no order.
 
-    Null text: size 0, and no copies. A null source is a source, the last one. Repeated rows are documents of their own, told apart by a
-    row number that follows from their place in the written table, or by the column row of df, a different long in each row. Sources without words: target 0. An empty table gives no rows. Other
+    Null text: size 0, and no copies. A null source is a source, the last one. Repeated rows are documents of their own. row is their
+    place in the written table, or the column row of df, a different long in each row; draws follow doc_id, text and source, so reruns take as many
+    copies of each text, wherever its rows lie. Sources without words: target 0. An empty table gives no rows. Other
     columns are ignored.
     """
     docs = materialize(sized(df, (F.monotonically_increasing_id() if row is None else F.col(row)).alias("row")), "sizes")
-    sources = weigh(docs, weights, share, most)
+    # written, so that Spark knows its size and sends it to the documents if it is small
+    sources = materialize(weigh(docs, weights, share, most), "sources").withColumnRenamed("source", "_source")
     leaves = max(1, -(-docs.count() // leaf_rows))
     factor = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    # sources are few (their sums came to the driver a moment ago), so their table is small enough to send
-    joined = docs.join(F.broadcast(sources), docs["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "_again", F.lit(seed)), 11) / F.lit(float(1 << 53))
-    # rows with one doc_id and text would draw alike: their ordinal within the group of repeats tells them apart
-    copies = Window.partitionBy("doc_id", "size").orderBy("row")
+    joined = docs.join(sources, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "mark", "_again", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    # equal rows would draw alike: their ordinal tells them apart, and it does not matter which of them has which
+    copies = Window.partitionBy("doc_id", "mark", "source").orderBy("row")
     known = joined.withColumn("_again", F.row_number().over(copies)).withColumn("draw", draw)
     whole = F.when(F.col("size") > 0, F.floor(factor + 1e-12)).otherwise(0)
     rest = F.when(F.col("size") > 0, F.greatest(factor - whole, F.lit(0.0))).otherwise(0.0)
-    start = known.select("doc_id", "row", "source", "size", whole.cast("long").alias("base"), F.when(rest < 1e-12, 0.0).otherwise(rest).alias("p"), "draw", F.pmod(F.xxhash64("doc_id", "_again", F.lit(seed + 1)), F.lit(leaves)).alias("node"))
+    start = known.select("doc_id", "row", "source", "size", whole.cast("long").alias("base"), F.when(rest < 1e-12, 0.0).otherwise(rest).alias("p"), "draw", F.pmod(F.xxhash64("doc_id", "mark", "_again", F.lit(seed + 1)), F.lit(leaves)).alias("node"))
     settled, level = [], 0
     while True:
         last = leaves == 1
@@ -163,5 +160,5 @@ def mix(df: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.
     for more in settled[1:]:
         out = out.unionByName(more)
     count = (F.col("base") + (F.col("p") >= 0.5).cast("long")).alias("copies")
-    out = out.join(F.broadcast(sources.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")))
+    out = out.join(sources, F.col("source").eqNullSafe(F.col("_source")))
     return out.select("doc_id", "row", "source", "size", "source_size", "target", count, (count * F.col("size")).alias("taken"))
