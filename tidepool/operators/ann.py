@@ -1,4 +1,5 @@
-"""Approximate vector search: vectors are put in the list of their nearest centre, and a query reads the lists of its nearest centres.
+"""Approximate vector search: vectors are put in the list of their nearest centre, and a query reads the lists of its nearest centres. Queries of any number are
+answered in blocks.
 
 The centres are fitted on a bounded sample (SAMPLE rows, by a hash of the id); every vector is in the index. Scores of what is read are
 exact. Written with partitionBy("list"), the index lets a search read only the lists it asks for.
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.operators.search import MOST_NUMBERS, top
+from tidepool.operators.search import MOST_NUMBERS, in_blocks, top
 
 SAMPLE, ROUNDS = 20_000, 8
 
@@ -53,10 +54,11 @@ def build(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 def search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """query_id, memory_id, score, rank: the k best in the probes nearest lists of each query; all lists: exact."""
     known = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    size = known.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
-    if size > MOST_NUMBERS:
-        raise ValueError(f"query vectors of {size} numbers; run the queries in parts")
-    rows = known.orderBy("query_id").collect()
+    return in_blocks(known, F.size("embedding"), MOST_NUMBERS, lambda part: _search(index, centres, part, k, probes), "lists")
+
+
+def _search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
+    rows = queries.orderBy("query_id").collect()
     ids = np.array([r.query_id for r in rows], np.int64)
     matrix = np.array([r.embedding for r in rows], np.float64).reshape(len(rows), len(rows[0].embedding) if rows else 0)
     near = np.argsort(-(matrix @ centres.T), axis=1, kind="stable")[:, :probes] if len(rows) and len(centres) else np.zeros((0, 0), np.int64)

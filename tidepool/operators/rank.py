@@ -5,18 +5,18 @@ A candidate list has query_id, memory_id, score; what else a function reads is n
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import scoring as sc
 from tidepool.functions import text as tx
 from tidepool.operators.search import top
+from tidepool.sources.folder import shared_dir
 
 #: Kinds of secrets that evidence may point to without holding them.
 SENSITIVE = ["credential-location", "secret-reference", "private-endpoint", "internal-hostname", "internal-share-path", "private-network-range"]
@@ -49,14 +49,6 @@ def rerank_head(candidates: DataFrame, scorer: Column, limit: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(place)).drop("_r", "_head")
 
 
-def _shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset on one machine, a temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return found or tempfile.mkdtemp(prefix="tidepool-")
-
-
 def _near(vectors: np.ndarray, seen: np.ndarray, most: float) -> np.ndarray:
     out = np.zeros(len(vectors), bool)
     for at in range(0, len(seen), 256):
@@ -73,7 +65,7 @@ def suppress_near_duplicates(candidates: DataFrame, vectors: DataFrame, most: fl
     best rows. A list is judged in blocks of ranks, a block a round: first against what each earlier block has kept, a task a pair of blocks, then
     within itself. A task holds two blocks at most; kept rows are written to spark.checkpoint.dir."""
     spark = candidates.sparkSession
-    folder = f"{_shared_dir(spark)}/suppressed-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/suppressed-{uuid.uuid4().hex}"
     one_each = vectors.select("memory_id", "embedding").dropDuplicates(["memory_id"])
     columns = [F.col(c).cast(kind).alias(c) for c, kind in (("query_id", "long"), ("memory_id", "long"), ("score", "double"), ("rank", "long"), ("embedding", "array<double>"))]
     listed = top(candidates, 2**31 - 1 if limit is None else limit).join(one_each, "memory_id", "left").select(*columns).withColumn("block", F.floor((F.col("rank") - 1) / block).cast("long"))

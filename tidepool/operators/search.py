@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as tx
-from tidepool.functions.stem import stem, stems
+from tidepool.functions.stem import porter, stem
+from tidepool.sources.folder import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Terms, and vector numbers, of all queries together that may be sent to every task.
+#: Terms, and vector numbers, of the queries that are answered at once.
 MOST_TERMS, MOST_NUMBERS = 200_000, 8_000_000
+#: Pairs of a query and a document that a task scores at once, and stems that it remembers.
+CELLS, MOST_STEMS = 1 << 21, 1_000_000
 
 
 def top(candidates: DataFrame, k: int, score: str = "score", by: str = "query_id", key: str = "memory_id") -> DataFrame:
@@ -29,63 +35,161 @@ def query_terms(queries: DataFrame, stop_words: bool = True) -> DataFrame:
     return queries.select("query_id", words.alias("w")).select("query_id", F.explode("w").alias("term"), F.size("w").alias("n_terms"))
 
 
-def vocabulary_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """word, term: the words of docs whose stem is a query's. Each distinct word is stemmed once; what the queries match is small, and its size is checked."""
-    found = stems(docs.select(F.explode("words").alias("word"))).join(F.broadcast(terms.select("term").distinct()), "term")
-    rows = found.select("word", "term").limit(MOST_TERMS + 1).collect()
-    if len(rows) > MOST_TERMS:
-        raise ValueError(f"over {MOST_TERMS} words match; run the queries in parts")
-    return docs.sparkSession.createDataFrame(rows, "word string, term string")
+def in_blocks(queries: DataFrame, size: Column, most: int, answer: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """answer(queries), at once if their sizes add up to no more than most, else in so many blocks (by a hash of query_id), one after the other,
+    each written to the shared folder: the driver and the tasks hold one block at a time, whatever the number of queries."""
+    total = queries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    n = -(-total // most)
+    if n <= 1:
+        return answer(queries)
+    parts = [written(answer(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)), f"{name}-{b}") for b in range(n)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-def bm25(memories: DataFrame, queries: DataFrame, match_all: bool = False, where: Column | None = None, stemmed: bool = False) -> DataFrame:
-    """query_id, memory_id, score of all matches. Texts are tokenised where they are read; only terms that some query has are shuffled.
-    stemmed: words of one stem are one term."""
+def best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of each query, ties by id."""
+    order = np.lexsort((ids, -score, query))
+    query, ids, score = query[order], ids[order], score[order]
+    first = np.searchsorted(query, query)  # of the row's query
+    kept = np.arange(len(query)) - first < k
+    return query[kept], ids[kept], score[kept]
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than there are cores (a file or two) is dealt out to all of them; any other stays where it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Bytes that are no letter or digit become blanks; the same words as tokens() makes.
+_BLANK = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
+POSTINGS = "memory_id long, ok boolean, size int, terms array<int>, counts array<int>"
+
+
+def postings(memories: DataFrame, terms: list[str], stemmed: bool, where: Column | None) -> DataFrame:
+    """Each memory's words (size), and which of the terms occur in it how often, by number. A memory is one row, so no word is shuffled.
+    stemmed: terms are stems; each task remembers the stems of the words it has met."""
+    number = {t.encode(): n for n, t in enumerate(terms)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {} if stemmed else number
+
+        def number_of(word: bytes) -> int:
+            if stemmed and word not in known:
+                if len(known) > MOST_STEMS:
+                    known.clear()
+                known[word] = number.get(porter(word.decode()).encode(), -1)
+            return known.get(word, -1)
+
+        for b in batches:
+            sizes, found, counts = [], [], []
+            for text in b.column(1).to_pylist():
+                words = text.lower().encode("ascii", "replace").translate(_BLANK).split()
+                sizes.append(len(words))
+                code = np.fromiter(map(number_of, words) if stemmed else map(number.get, words, repeat(-1)), np.int32, len(words))
+                own, n = np.unique(code[code >= 0], return_counts=True)
+                found.append(own)
+                counts.append(n)
+            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int32)) if x else pa.array([], pa.int32())) for x in (found, counts)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int32()), *lists], ["memory_id", "ok", "size", "terms", "counts"])
+
+    ok = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    texts = memories.select(F.col("id").cast("long").alias("memory_id"), F.coalesce(F.col("searchable_text"), F.lit("")).alias("text"), ok.alias("ok"))
+    return spread(texts).mapInArrow(run, POSTINGS)
+
+
+def bm25(memories: DataFrame, queries: DataFrame, match_all: bool = False, where: Column | None = None, stemmed: bool = False, k: int | None = None) -> DataFrame:
+    """query_id, memory_id, score of all matches, or of the k best of each task (of which top() then takes the best). stemmed: words of one stem are one term.
+
+    The texts are read once, into postings of the queries' terms, which are written. Documents and words in all, and documents with each
+    term, are counted there; then each document is scored where its row is read. Queries with more than MOST_TERMS terms together are answered
+    in blocks."""
     terms = query_terms(queries, stop_words=not match_all)
     if stemmed:
-        terms = terms.select("query_id", stem(F.col("term")).alias("term")).distinct().withColumn("n_terms", F.count(F.lit(1)).over(Window.partitionBy("query_id")))
-    if (n := terms.select("term").distinct().count()) > MOST_TERMS:
-        raise ValueError(f"{n} query terms; run the queries in parts")
-    docs = memories.select(F.col("id").alias("memory_id"), tx.tokens(F.col("searchable_text")).alias("words"), (F.lit(True) if where is None else where).alias("ok"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("words")).alias("avg_len")).first()
-    n_docs, avg_len = stats.n_docs, stats.avg_len or 1.0
-    vocabulary = vocabulary_of(docs, terms) if stemmed else terms.select("term").distinct().withColumn("word", F.col("term"))
-    tf = docs.select("memory_id", "ok", F.size("words").alias("dl"), F.explode("words").alias("word")).join(F.broadcast(vocabulary), "word").groupBy("term", "memory_id", "dl", "ok").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.log((F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
-    weighted = terms.join(F.broadcast(df), "term").select("query_id", "term", "n_terms", idf.alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(avg_len)))
-    found = tf.where("ok").join(F.broadcast(weighted), "term").groupBy("query_id", "memory_id").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("matched"), F.first("n_terms").alias("n_terms"))
-    return found.where(F.col("matched") == F.col("n_terms")).select("query_id", "memory_id", "score") if match_all else found.select("query_id", "memory_id", "score")
+        terms = terms.select("query_id", stem(F.col("term")).alias("term")).distinct()
+    return in_blocks(terms, F.lit(1), MOST_TERMS, lambda part: _bm25(memories, part, match_all, where, stemmed, k), "keyword")
+
+
+def _bm25(memories: DataFrame, asked: DataFrame, match_all: bool, where: Column | None, stemmed: bool, k: int | None) -> DataFrame:
+    rows = asked.select("query_id", "term").collect()  # MOST_TERMS or so at most
+    terms, ids = sorted({r.term for r in rows}), np.array(sorted({r.query_id for r in rows}), np.int64)
+    number = {t: n for n, t in enumerate(terms)}
+    term, query = np.array([number[r.term] for r in rows], np.int64), np.searchsorted(ids, np.array([r.query_id for r in rows], np.int64))
+    order = np.argsort(term, kind="stable")
+    asking, starts = query[order], np.searchsorted(term[order], np.arange(len(terms) + 1))  # the queries of each term
+    needed = np.bincount(query, minlength=len(ids))
+    if not len(ids):
+        return memories.select(F.lit(0).cast("long").alias("query_id"), F.col("id").cast("long").alias("memory_id"), F.lit(0.0).alias("score")).limit(0)
+    table = written(postings(memories, terms, stemmed, where), "postings")
+    n_docs, n_words = table.agg(F.count(F.lit(1)), F.sum("size")).first()
+    average = n_words / n_docs if n_words else 1.0
+    df = np.zeros(len(terms))
+    for t, n in table.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a number for each term
+        df[t] = n
+    idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), LEAST_IDF)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, names = max(1, CELLS // len(ids)), ["query_id", "memory_id", "score"]
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        for b in batches:
+            for at in range(0, b.num_rows, step):
+                part = b.slice(at, step)
+                size, t, n = (c.to_numpy(zero_copy_only=False) for c in (part.column(1), part.column(2).flatten(), part.column(3).flatten()))
+                doc = pc.list_parent_indices(part.column(2)).to_numpy(zero_copy_only=False)
+                weight = idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * size[doc] / average))
+                many = starts[t + 1] - starts[t]
+                which = asking[np.arange(many.sum()) + np.repeat(starts[t] + many - np.cumsum(many), many)]
+                cell = np.repeat(doc, many) * len(ids) + which
+                matched = np.bincount(cell, minlength=part.num_rows * len(ids)).reshape(-1, len(ids))
+                sums = np.bincount(cell, np.repeat(weight, many), part.num_rows * len(ids)).reshape(-1, len(ids))
+                hit = matched == needed if match_all else matched > 0
+                sums = np.where(hit, np.floor(sums * 1e6 + 0.5) / 1e6, -1.0)
+                if k is not None and len(sums) > k:  # what is below the k-th best of these is not among the best
+                    hit &= sums >= np.partition(sums, len(sums) - k, axis=0)[len(sums) - k]
+                row, column = np.nonzero(hit)
+                found = (column, part.column(0).to_numpy(zero_copy_only=False)[row], sums[row, column])
+                if k is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[1]), pa.array(found[2])], names)
+                else:
+                    held = best_of(*[np.concatenate(x) for x in zip(held, found, strict=True)], k)
+        if k is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names)
+
+    return table.where("ok").select("memory_id", "size", "terms", "counts").mapInArrow(score, "query_id long, memory_id long, score double")
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, models: list[str] | None = None) -> DataFrame:
-    """query_id, memory_id, score, rank: exact dot products. queries: query_id, embedding. Each task keeps its k best a query."""
+    """query_id, memory_id, score, rank: exact dot products. queries: query_id, embedding. Each task keeps its k best a query. Query vectors of more than
+    MOST_NUMBERS numbers together are answered in blocks."""
     if models:
         vectors = vectors.where(F.col("model_name").isin(models))
     known = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    size = known.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0))).first()[0]
-    if size > MOST_NUMBERS:
-        raise ValueError(f"query vectors of {size} numbers; run the queries in parts")
-    rows = known.orderBy("query_id").collect()
+    return in_blocks(known, F.size("embedding"), MOST_NUMBERS, lambda part: _vector_topk(vectors, part, k), "vectors")
+
+
+def _vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    rows = queries.orderBy("query_id").collect()
     ids = np.array([r.query_id for r in rows], np.int64)
     matrix = np.array([r.embedding for r in rows], np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_score, best_id = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        step = max(1, CELLS // max(1, len(ids)))
         for b in batches:
             b = b.filter(b.column(1).is_valid())
-            if not b.num_rows or not len(ids):
-                continue
-            values = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            score = np.round(matrix @ values.T, 6)
-            best_score = np.concatenate([best_score, score], 1)
-            best_id = np.concatenate([best_id, np.broadcast_to(b.column(0).to_numpy(), score.shape)], 1)
-            order = np.lexsort((best_id, -best_score), axis=1)[:, :k]
-            best_score, best_id = np.take_along_axis(best_score, order, 1), np.take_along_axis(best_id, order, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_id.shape[1])), pa.array(best_id.ravel()), pa.array(best_score.ravel())], ["query_id", "memory_id", "score"])
-
-    return top(vectors.select("memory_id", "embedding").mapInArrow(run, "query_id long, memory_id long, score double"), k)
+            for at in range(0, b.num_rows if len(ids) else 0, step):
+                part = b.slice(at, step)
+                values = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                score = np.round(matrix @ values.T, 6)
+                # what is not below the k-th best of the batch may be among the best
+                least = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
+                query, column = np.nonzero(score >= least[:, None])
+                found = (query, part.column(0).to_numpy(zero_copy_only=False)[column], score[query, column])
+                held = best_of(*[np.concatenate(x) for x in zip(held, found, strict=True)], k)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]] if len(ids) else held[0]), pa.array(held[1]), pa.array(held[2])], ["query_id", "memory_id", "score"])
+
+    return top(vectors.select(F.col("memory_id").cast("long").alias("memory_id"), "embedding").mapInArrow(run, "query_id long, memory_id long, score double"), k)
 
 
 def rrf_parameters(query: Column) -> tuple[Column, Column]:

@@ -68,13 +68,13 @@ SELECT query_id, memory_id, score, row_number() OVER (PARTITION BY query_id ORDE
 
 @query(_bm25_sql(True, False))
 def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.bm25(tables.memories(spark, sf_dir), tables.queries(spark, sf_dir))
+    found = search.bm25(tables.memories(spark, sf_dir), tables.queries(spark, sf_dir), k=10)
     return search.top(found, 10).select("query_id", "memory_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(_bm25_sql(False, True))
 def keyword_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.bm25(tables.memories(spark, sf_dir), tables.queries(spark, sf_dir), match_all=True)
+    found = search.bm25(tables.memories(spark, sf_dir), tables.queries(spark, sf_dir), match_all=True, k=10)
     return search.top(found, 10).select("query_id", "memory_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -101,7 +101,7 @@ SELECT query_id, memory_id, score, row_number() OVER (PARTITION BY query_id ORDE
 )
 def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, v = tables.queries(spark, sf_dir), tables.vectors(spark, sf_dir)
-    keyword = search.top(search.bm25(tables.memories(spark, sf_dir), asked), 30)
+    keyword = search.top(search.bm25(tables.memories(spark, sf_dir), asked, k=30), 30)
     own = v.join(F.broadcast(asked.select(F.col("query_id").alias("memory_id"))), "memory_id").select(F.col("memory_id").alias("query_id"), "embedding")
     fused = search.rrf(keyword, search.vector_topk(v, own, 30), asked, 10)
     return fused.select("query_id", "memory_id", "score", F.col("rank").cast("long").alias("rank"))
@@ -176,23 +176,23 @@ def state_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH RECURSIVE r AS ({_R}), l AS ({_LIVE}), walk(seed, memory_id, depth) AS (SELECT doc_id, doc_id, 0 FROM documents WHERE doc_id % 50 = 0
+WITH RECURSIVE r AS ({_R}), l AS ({_LIVE}), walk(seed, memory_id, depth) AS (SELECT doc_id, doc_id, 0 FROM documents WHERE doc_id % 20 = 0
   UNION SELECT seed, target_id, depth + 1 FROM walk JOIN l ON source_id = memory_id WHERE depth < 3)
 SELECT seed, memory_id, min(depth)::BIGINT AS depth FROM walk GROUP BY ALL HAVING min(depth) > 0"""
 )
 def graph_traversal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seeds = tables.memories(spark, sf_dir).where("id % 50 = 0").select(F.col("id").alias("seed"))
+    seeds = tables.memories(spark, sf_dir).where("id % 20 = 0").select(F.col("id").alias("seed"))
     return state.traverse(seeds, tables.relations(spark, sf_dir), now(), 3).select("seed", "memory_id", F.col("depth").cast("long").alias("depth"))
 
 
 @query(
     f"""
-WITH m AS ({_M}), r AS ({_R}), l AS ({_LIVE}), c AS ({_CAND} WHERE id % 3 = 0)
+WITH m AS ({_M}), r AS ({_R}), l AS ({_LIVE}), c AS ({_CAND})
 SELECT query_id, target_id AS memory_id, round(max(score) * 0.99, 6) AS score FROM c JOIN l ON source_id = memory_id AND relation = 'superseded_by'
 WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.query_id = c.query_id AND x.memory_id = target_id) GROUP BY ALL"""
 )
 def linked_successors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = candidates(spark, sf_dir).where("id % 3 = 0").select("query_id", "memory_id", "score")
+    c = candidates(spark, sf_dir).select("query_id", "memory_id", "score")
     return state.successors(c, tables.relations(spark, sf_dir), now()).withColumn("score", F.round("score", 6))
 
 
@@ -346,7 +346,7 @@ def streaming_access_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def keyword_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.bm25(tables.memories(spark, sf_dir), tables.queries(spark, sf_dir), stemmed=True)
+    found = search.bm25(tables.memories(spark, sf_dir), tables.queries(spark, sf_dir), stemmed=True, k=10)
     return search.top(found, 10).select("query_id", "memory_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -369,12 +369,12 @@ def lexical_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH m AS ({_M}), r AS ({_R}), l AS ({_LIVE}), s AS ({_SNAP}), c AS ({_CAND} WHERE id % 3 = 0),
+WITH m AS ({_M}), r AS ({_R}), l AS ({_LIVE}), s AS ({_SNAP}), c AS ({_CAND}),
 a AS (SELECT query_id, memory_id, score FROM c UNION ALL SELECT query_id, target_id, score * 0.96 FROM c JOIN l ON source_id = memory_id AND relation = 'superseded_by'), b AS (SELECT query_id, memory_id, max(score) AS score FROM a GROUP BY ALL)
 SELECT query_id, memory_id, round(score * CASE WHEN is_superseded THEN 0.1 ELSE 1.0 END, 6)::DOUBLE AS score FROM b JOIN s USING (memory_id)"""
 )
 def graph_state_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, r = candidates(spark, sf_dir).where("id % 3 = 0"), tables.relations(spark, sf_dir)
+    c, r = candidates(spark, sf_dir), tables.relations(spark, sf_dir)
     pulled = rank.pull_neighbours(c, state.live(r, now()).where("relation = 'superseded_by'"))
     s = state.snapshot(tables.memories(spark, sf_dir).select(F.col("id").alias("memory_id")), r, now())
     return rank.demote_by_state(pulled, s).select("query_id", "memory_id", F.round("score", 6).alias("score"))
@@ -577,7 +577,7 @@ def review_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lexical_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, m = tables.queries(spark, sf_dir), tables.memories(spark, sf_dir)
-    found = search.top(search.bm25(m, asked), 30).join(m.select(F.col("id").alias("memory_id"), "searchable_text"), "memory_id")
+    found = search.top(search.bm25(m, asked, k=30), 30).join(m.select(F.col("id").alias("memory_id"), "searchable_text"), "memory_id")
     return grounding.ground(found, asked).select("query_id", "memory_id", "score", "grounded")
 
 
@@ -586,7 +586,7 @@ def composed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, m = tables.queries(spark, sf_dir), tables.memories(spark, sf_dir)
     worth = answers.selection_rank(sc.trust_level(F.col("source_trust")), F.lit(0), sc.provenance_rank(F.col("source_kind"), F.col("source_verification")))
     rows = m.select(F.col("id").alias("memory_id"), F.col("searchable_text").alias("text"), worth.alias("rank"))
-    return answers.compose(search.top(search.bm25(m, asked), 25).drop("rank").join(rows, "memory_id"), asked)
+    return answers.compose(search.top(search.bm25(m, asked, k=25), 25).drop("rank").join(rows, "memory_id"), asked)
 
 
 _REDACT = "'id_' || doc_id || '_key=v' || doc_id || ' at 10.0.' || (doc_id % 200) || '.1/24 and 8.8.8.8'"
@@ -628,5 +628,5 @@ def reflection_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def query_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, m = tables.queries(spark, sf_dir), tables.memories(spark, sf_dir)
-    found = search.top(search.bm25(m, asked), 30).join(m.select(F.col("id").alias("memory_id"), "searchable_text"), "memory_id")
+    found = search.top(search.bm25(m, asked, k=30), 30).join(m.select(F.col("id").alias("memory_id"), "searchable_text"), "memory_id")
     return grounding.align(found, asked).select("query_id", "memory_id", F.round("score", 6).alias("score"))
