@@ -43,6 +43,10 @@ def test_routes(spark):
         ("What was used previously?", "historical-state"),
         ("What is the latest plan?", "current-state"),
         ("Tell me about gardens", "general"),
+        ("What was the second model tried?", "exact-detail"),
+        ("Which was the third candidate?", "exact-detail"),
+        ("Which first step helped?", "exact-detail"),
+        ("The first garden was green", "general"),
     ],
 )
 def test_intents(query, intent):

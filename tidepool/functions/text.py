@@ -46,7 +46,10 @@ def content_hash(text: Column) -> Column:
 
 
 def for_embedding(text: Column, most_bytes: int = 32_000) -> Column:
-    """At most so many bytes, cut after a blank where there is one."""
-    cut = F.substring(text, 1, most_bytes)
-    shorter = F.regexp_replace(cut, r"\s\S*$", "")
-    return F.when(F.octet_length(text) <= most_bytes, text).otherwise(F.when(shorter == "", cut).otherwise(shorter))
+    """At most so many bytes of UTF-8, cut before the last blank where there is one, else before a character."""
+    # whole characters within so many bytes, and the one that is cut through
+    n = F.length(F.substring(F.encode(text, "UTF-8"), 1, most_bytes).cast("string"))
+    full = F.substring(text, F.lit(1), n)
+    cut = F.when(F.octet_length(full) <= most_bytes, full).otherwise(F.substring(text, F.lit(1), n - 1))
+    blank = F.regexp_replace(cut, r"\s\S*$", "")
+    return F.when(F.octet_length(text) <= most_bytes, text).otherwise(F.when(blank == "", cut).otherwise(blank))

@@ -19,9 +19,12 @@ def store(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def update(memories: DataFrame, changes: DataFrame) -> DataFrame:
-    """Replaces texts by id; hash follows, the embedding becomes pending."""
-    c = changes.select("id", F.col("searchable_text").alias("_new"))
-    return memories.join(c, "id", "left").withColumn("embedding_status", F.when(F.col("_new").isNotNull(), "pending").otherwise("success")).withColumn("searchable_text", F.coalesce("_new", "searchable_text")).withColumn("content_hash", tx.content_hash(F.col("searchable_text"))).drop("_new")
+    """Replaces texts by id, a null text as well; the changed rows' hash follows and their embedding becomes pending. Other rows stay as they
+    are, and changes to ids that are not there change nothing. changes: id, searchable_text; one row an id. memories: with embedding_status and content_hash."""
+    c = changes.select("id", F.col("searchable_text").alias("_new"), F.lit(True).alias("_changed"))
+    pick = lambda new, old: F.when(F.col("_changed"), new).otherwise(F.col(old)).alias(old)
+    new = {"searchable_text": F.col("_new"), "content_hash": tx.content_hash(F.col("_new")), "embedding_status": F.lit("pending")}
+    return memories.join(c, "id", "left").select([pick(new[x], x) if x in new else F.col(x) for x in memories.columns])
 
 
 def delete(memories: DataFrame, relations: DataFrame, vectors: DataFrame, access: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -73,10 +76,13 @@ def distinct_evidence(ranked: DataFrame, top_n: int = 5) -> DataFrame:
     """query_id, total, n_distinct, ids: texts that differ only in case and punctuation count once, for the best row."""
     key = tx.normalize(F.col("searchable_text"))
     w = Window.partitionBy("query_id", key).orderBy(F.col("score").desc(), "memory_id")
-    firsts = ranked.withColumn("_r", F.row_number().over(w))
-    best = F.filter(F.array_sort(F.collect_list(F.when(F.col("_r") == 1, F.struct((-F.col("score")).alias("s"), F.col("memory_id").alias("m"))))), lambda x: x.isNotNull())
-    out = firsts.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("_r") == 1).alias("n_distinct"), best.alias("_b"))
-    return out.select("query_id", "total", "n_distinct", F.array_join(F.transform(F.slice("_b", 1, top_n), lambda x: x["m"].cast("string")), ",").alias("ids"))
+    firsts = ranked.select("query_id", "memory_id", "score", F.row_number().over(w).alias("_r"))
+    order = Window.partitionBy("query_id").orderBy((F.col("_r") > 1).asc(), F.col("score").desc(), "memory_id")
+    placed = firsts.withColumn("_place", F.row_number().over(order))
+    # only the rows that are named are gathered
+    named = F.when((F.col("_r") == 1) & (F.col("_place") <= top_n), F.struct("_place", F.col("memory_id").cast("string").alias("id")))
+    out = placed.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("_r") == 1).alias("n_distinct"), F.array_sort(F.collect_list(named)).alias("_b"))
+    return out.select("query_id", "total", "n_distinct", F.array_join(F.transform("_b", lambda x: x["id"]), ",").alias("ids"))
 
 
 def reflect(rows: DataFrame, least_support: int = 2, least_trusted: int = 1) -> DataFrame:

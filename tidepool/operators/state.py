@@ -62,34 +62,41 @@ def graph_scores(candidates: DataFrame, reached: DataFrame) -> DataFrame:
     return candidates.select("query_id", "memory_id", "score").unionByName(ways).groupBy("query_id", "memory_id").agg(F.round(F.max("score"), 6).alias("score"))
 
 
-def temporal_bias(candidates: DataFrame, newer: bool = True) -> DataFrame:
-    """Up to a tenth more or less by the place of created_at between the query's oldest and newest row."""
+def _asked(flag: bool | Column) -> Column:
+    return flag if isinstance(flag, Column) else F.lit(flag)
+
+
+def temporal_bias(candidates: DataFrame, newer: bool | Column = True) -> DataFrame:
+    """Up to a tenth more or less by the place of created_at between the query's oldest and newest row; none where newer is null. A list is what a search
+    has let through, so its window is bounded by the limit."""
+    newer = _asked(newer)
     w = Window.partitionBy("query_id")
     at = F.unix_seconds(F.col("created_at").cast("timestamp")).cast("double")
     low, high = F.min(at).over(w), F.max(at).over(w)
-    past = at - low if newer else high - at
-    return candidates.withColumn("score", F.col("score") * F.when(high > low, F.lit(0.9) + F.lit(0.2) * past / (high - low)).otherwise(1.0))
+    past = F.when(newer, at - low).otherwise(high - at)
+    return candidates.withColumn("score", F.col("score") * F.when((high > low) & newer.isNotNull(), F.lit(0.9) + F.lit(0.2) * past / (high - low)).otherwise(1.0))
 
 
-def state_bias(score: Column, current: bool, now: Column) -> Column:
-    """The score, weighed in turn by is_superseded, supersedes_other, valid_until, valid_from and in_conflict."""
+def state_bias(score: Column, current: bool | Column, now: Column) -> Column:
+    """The score, weighed in turn by is_superseded, supersedes_other, valid_until, valid_from and in_conflict; as it is where current is null."""
+    current = _asked(current)
     flags = [F.col("is_superseded"), F.col("supersedes_other"), F.col("valid_until") <= now, F.col("valid_from") > now, F.col("in_conflict")]
-    weights = [0.42, 1.18, 0.6, 0.75, 0.97] if current else [1.3, 0.82, 1.08, 0.7, 0.97]
-    for flag, weight in zip(flags, weights, strict=True):
-        score = score * F.when(flag, weight).otherwise(1.0)
+    weights = zip(flags, [0.42, 1.18, 0.6, 0.75, 0.97], [1.3, 0.82, 1.08, 0.7, 0.97], strict=True)
+    for flag, now_weight, then_weight in weights:
+        score = score * F.when(flag & current, now_weight).when(flag & ~current, then_weight).otherwise(1.0)
     return score
 
 
-def linked_demotion(candidates: DataFrame, relations: DataFrame, now: Column, newer: bool = True) -> DataFrame:
-    """For each linked pair among a query's rows the loser weighs 0.72: the superseded one, else the older (or newer) one."""
+def linked_demotion(candidates: DataFrame, relations: DataFrame, now: Column, newer: bool | Column = True) -> DataFrame:
+    """For each linked pair among a query's rows the loser weighs 0.72: the superseded one, else the older (or newer) one; none where newer is null."""
     edges = live(relations, now).select("source_id", "target_id", "relation")
-    a = candidates.select("query_id", F.col("memory_id").alias("source_id"), F.col("created_at").alias("at_s"))
+    a = candidates.select("query_id", F.col("memory_id").alias("source_id"), F.col("created_at").alias("at_s"), _asked(newer).alias("newer")).where("newer IS NOT NULL")
     b = candidates.select("query_id", F.col("memory_id").alias("target_id"), F.col("created_at").alias("at_t"))
     pairs = edges.join(a, "source_id").join(b, ["query_id", "target_id"])
     older = F.when(F.col("at_s") < F.col("at_t"), F.col("source_id")).when(F.col("at_t") < F.col("at_s"), F.col("target_id"))
     later = F.when(F.col("at_s") < F.col("at_t"), F.col("target_id")).when(F.col("at_t") < F.col("at_s"), F.col("source_id"))
-    plain = older if newer else later
-    loser = F.when(F.col("relation") == "superseded_by", F.col("source_id") if newer else F.col("target_id")).otherwise(plain)
+    plain = F.when(F.col("newer"), older).otherwise(later)
+    loser = F.when(F.col("relation") == "superseded_by", F.when(F.col("newer"), F.col("source_id")).otherwise(F.col("target_id"))).otherwise(plain)
     lost = pairs.select("query_id", F.least("source_id", "target_id").alias("x"), F.greatest("source_id", "target_id").alias("y"), loser.alias("memory_id")).where(F.col("memory_id").isNotNull()).groupBy("query_id", "x", "y").agg(F.min("memory_id").alias("memory_id"))
     times = lost.groupBy("query_id", "memory_id").agg(F.count(F.lit(1)).alias("_n"))
     return candidates.join(times, ["query_id", "memory_id"], "left").withColumn("score", F.col("score") * F.pow(F.lit(0.72), F.coalesce("_n", F.lit(0)))).drop("_n")

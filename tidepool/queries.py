@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import scoring as sc
 from tidepool.functions import text as tx
-from tidepool.operators import ann, answers, grounding, ingest, lifecycle, policy, rank, review, search, state
+from tidepool.operators import ann, answers, grounding, ingest, lifecycle, policy, rank, retrieve, review, search, state
 from tidepool.plans.route import route
 from tidepool.sources import tables
 from tidepool.streaming import access
@@ -630,3 +630,39 @@ def query_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, m = tables.queries(spark, sf_dir), tables.memories(spark, sf_dir)
     found = search.top(search.bm25(m, asked, k=30), 30).join(m.select(F.col("id").alias("memory_id"), "searchable_text"), "memory_id")
     return grounding.align(found, asked).select("query_id", "memory_id", F.round("score", 6).alias("score"))
+
+
+_FACTORS = f"""pow(2.0, -greatest(0.0, date_diff('second', created_at, {_NOW}) / 86400.0) / 30.0) * (0.5 + (importance - 1) / 9.0) * CASE memory_type WHEN 'episodic' THEN 0.8 WHEN 'procedural' THEN 1.2 ELSE 1.0 END
+  * CASE level WHEN 'trusted' THEN 1.15 WHEN 'low' THEN 0.78 WHEN 'untrusted' THEN 0.45 ELSE 1.0 END * ({_case_sql(_KIND, sc.SOURCE_KINDS, 1, 1.0)}) * ({_case_sql(_VER, sc.VERIFICATIONS, 1, 1.0)})
+  * CASE WHEN memory_type = 'procedural' AND level = 'untrusted' THEN 0.5 WHEN memory_type = 'procedural' AND level = 'low' THEN 0.72 ELSE 1.0 END"""
+
+
+@query(
+    f"""
+WITH m AS ({_M}), r AS ({_R}), l AS ({_LIVE}), s AS ({_SNAP}), kw AS ({_bm25_sql(True, False).replace('rank <= 10', 'rank <= 30')}),
+t AS (SELECT *, {_LEVEL} AS level FROM m),
+c AS (SELECT query_id, memory_id, score * {_FACTORS} AS score FROM kw JOIN t ON id = memory_id WHERE (valid_from IS NULL OR valid_from <= {_NOW}) AND (valid_until IS NULL OR valid_until > {_NOW})),
+u AS (SELECT * FROM c UNION ALL SELECT query_id, target_id, max(score) * 0.99 FROM c JOIN l ON source_id = memory_id AND relation = 'superseded_by'
+  WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.query_id = c.query_id AND x.memory_id = target_id) GROUP BY ALL),
+b AS (SELECT query_id, memory_id, score, created_at, valid_from, valid_until, epoch(created_at) AS t0, min(epoch(created_at)) OVER (PARTITION BY query_id) AS low, max(epoch(created_at)) OVER (PARTITION BY query_id) AS high FROM u JOIN m ON id = memory_id),
+w AS (SELECT query_id, memory_id, created_at, score * CASE WHEN high > low THEN 0.9 + 0.2 * (t0 - low) / (high - low) ELSE 1.0 END * CASE WHEN is_superseded THEN 0.42 ELSE 1.0 END * CASE WHEN supersedes_other THEN 1.18 ELSE 1.0 END
+  * CASE WHEN valid_until <= {_NOW} THEN 0.6 ELSE 1.0 END * CASE WHEN valid_from > {_NOW} THEN 0.75 ELSE 1.0 END * CASE WHEN in_conflict THEN 0.97 ELSE 1.0 END AS score FROM b JOIN s USING (memory_id)),
+p AS (SELECT a.query_id, least(source_id, target_id) AS x, greatest(source_id, target_id) AS y, CASE WHEN relation = 'superseded_by' THEN source_id WHEN a.created_at < z.created_at THEN source_id WHEN z.created_at < a.created_at THEN target_id END AS loser
+  FROM l JOIN w a ON a.memory_id = source_id JOIN w z ON z.memory_id = target_id AND z.query_id = a.query_id),
+lost AS (SELECT query_id, x, y, min(loser) AS memory_id FROM p WHERE loser IS NOT NULL GROUP BY ALL), n AS (SELECT query_id, memory_id, count(*) AS k FROM lost GROUP BY ALL),
+f AS (SELECT query_id, memory_id, round(score * pow(0.72, coalesce(k, 0)), 6)::DOUBLE AS score FROM w LEFT JOIN n USING (query_id, memory_id))
+SELECT query_id, memory_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM f QUALIFY rank <= 10"""
+)
+def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All steps of a search for the current state, by any word, on columns of the tables."""
+    no = F.lit(False)
+    plan = tables.queries(spark, sf_dir).select("query_id", "query", F.lit("keyword-any").alias("mode"), F.lit("newer").alias("temporal"), F.lit("current").alias("state"), no.alias("strict_grounding"), no.alias("alignment"), no.alias("asks_guidance"))
+    return retrieve.retrieve(plan, tables.memories(spark, sf_dir), tables.relations(spark, sf_dir), now())
+
+
+@query()
+def routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query by its own route, with vectors."""
+    asked, v = tables.queries(spark, sf_dir), tables.vectors(spark, sf_dir)
+    own = v.join(F.broadcast(asked.select(F.col("query_id").alias("memory_id"))), "memory_id").select(F.col("memory_id").alias("query_id"), "embedding")
+    return retrieve.retrieve(retrieve.routed(asked), tables.memories(spark, sf_dir), tables.relations(spark, sf_dir), now(), vectors=v, query_vectors=own)
