@@ -158,13 +158,24 @@ def signed(docs: DataFrame, least: int, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
+    """node, shingles: the hashes as signed numbers, in the order of the unsigned ones."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["node", "shingles"])
+                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
+                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["node", "shingles"])
+
+    return docs.mapInArrow(run, "node long, shingles array<long>")
+
 
-    return docs.mapInArrow(run, "node long, shingles binary")
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) with 100 * intersection >= percent * union, a pair at a time: sets of long texts are never held by the thousand."""
+    joined = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+    common = F.size(F.array_intersect("su", "sv"))
+    return joined.where(100 * common >= percent * (F.size("su") + F.size("sv") - common)).select("u", "v")
 
 
 def n_common(a: np.ndarray, b: np.ndarray) -> int:
@@ -176,22 +187,6 @@ def n_common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a[at] == b))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) with 100 * intersection >= percent * union."""
-    joined = pairs.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v").select("u", "v", "su", "sv")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            good = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = n_common(x, y)
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(good, pa.bool_()))
-
-    return joined.mapInArrow(run, "u long, v long")
-
-
 def links_in_bucket(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     """Links between different components of a bucket (or a pair of its blocks), confirmed on the full sets. A pair that shares several
     bands is looked at in the first of them alone."""
@@ -200,7 +195,7 @@ def links_in_bucket(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
     across = pdf["low"].iloc[0] != pdf["high"].iloc[0]
     earlier = np.stack(pdf["bands"].to_numpy())[:, : int(band[0])]
     sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
-    sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
+    sets = [np.asarray(s, np.int64).view(np.uint64) for s in pdf["shingles"]]
     out, bound = [], sketch_bound(percent)
     for k in range(len(node) - 1):
         m = np.arange(k + 1, len(node))
