@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidepool.llm.common import documents_of, materialize
+from tidepool.llm.common import documents_of, materialize, scratch
 from tidepool.llm.tokenizing import ChunkEncoder, encoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, part int, ordinal long, ids binary"
@@ -198,7 +198,8 @@ def placed(cut: DataFrame, window: int) -> DataFrame:
         histogram[length] = n
     table = slots_of(plan(histogram, window), window)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # written, so that Spark knows its size and sends it to the pieces if it is small
+    base = materialize(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
     ranked = cut.join(base, ["part", "length"]).select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("base") + F.col("ordinal")).alias("rank"))
     high = np.int64(1) << np.int64(50)
 
@@ -219,9 +220,6 @@ def write_sequences(df: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
     Null text: only the end id. Repeated rows are documents of their own. An empty table gives no rows. Null doc_ids stay null. Other
     columns are ignored.
     """
-    cut = materialize(pieces(documents_of(df), vocab, end_id, window), "pieces", compression="zstd")
-    partitions = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = placed(cut, window).repartition(partitions, "sequence_id").sortWithinPartitions("sequence_id", "offset")
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens")]))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,7 +251,11 @@ def write_sequences(df: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int
         close()
         yield batch()
 
-    return materialize(dealt.mapInArrow(run, SEQUENCES), "sequences", compression="zstd")
+    partitions = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    with scratch(df.sparkSession):
+        cut = materialize(pieces(documents_of(df), vocab, end_id, window), "pieces", compression="zstd")
+        dealt = placed(cut, window).repartition(partitions, "sequence_id").sortWithinPartitions("sequence_id", "offset")
+        return materialize(dealt.mapInArrow(run, SEQUENCES), "sequences", keep=True, compression="zstd")
 
 
 def read_sequences(sequences: DataFrame) -> DataFrame:
