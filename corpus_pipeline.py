@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.llm import dedup, mixing, packing, quality
-from tidepool.llm.common import materialize, table
+from tidepool.llm.common import materialize, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,19 +28,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows are compared by their texts, whatever their doc_ids: copies without a doc_id go, and different texts under one doc_id stay.
     Rows without words are linked with nothing and stay."""
     rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    found = dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), PERCENT).select(F.col("doc_id").alias(ROW), F.col("component_id").alias(GROUP))
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
-    groups = found.join(rows.select(ROW, order.alias("o")), ROW).groupBy(GROUP).agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    gone = found.join(groups.select(GROUP, F.col(f"o.{ROW}").alias("best")), GROUP).where(F.col(ROW) != F.col("best")).select(ROW)
-    # written, so that Spark knows its size and sends it to the texts if it is small
-    return rows.join(materialize(gone, "gone"), ROW, "left_anti").select(docs.columns)
+    with scratch(spark):
+        found = dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), PERCENT).select(F.col("doc_id").alias(ROW), F.col("component_id").alias(GROUP))
+        order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
+        groups = found.join(rows.select(ROW, order.alias("o")), ROW).groupBy(GROUP).agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        gone = found.join(groups.select(GROUP, F.col(f"o.{ROW}").alias("best")), GROUP).where(F.col(ROW) != F.col("best")).select(ROW)
+        # written, so that Spark knows its size and sends it to the texts if it is small
+        gone = materialize(gone, "gone", keep=True)
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: not at all, once or twice. Rows without a doc_id and repeated ones are told apart by a row
     number, which is written with them."""
     rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    copies = mixing.mix(rows, row=ROW).select(F.col("row").alias(ROW), F.col("copies").cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
+    with scratch(spark):
+        copies = mixing.mix(rows, row=ROW).select(F.col("row").alias(ROW), F.col("copies").cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
+        copies = materialize(copies, "copies", keep=True)
     return rows.join(copies, ROW).withColumn(COPY, F.explode(F.array_repeat(F.lit(1), F.col(COPIES)))).select(docs.columns)
 
 
