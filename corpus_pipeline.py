@@ -27,7 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near copies stays: the one with the least doc_id, of rows with one doc_id that with the least hash of its text.
     Rows are compared by their texts, whatever their doc_ids: copies without a doc_id go, and different texts under one doc_id stay.
     Rows without words are linked with nothing and stay."""
-    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows", compression="zstd")
     with scratch(spark):
         found = dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), PERCENT).select(F.col("doc_id").alias(ROW), F.col("component_id").alias(GROUP))
         order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
@@ -41,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: not at all, once or twice. Rows without a doc_id and repeated ones are told apart by a row
     number, which is written with them."""
-    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows", compression="zstd")
     with scratch(spark):
         copies = mixing.mix(rows, row=ROW).select(F.col("row").alias(ROW), F.col("copies").cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
         copies = materialize(copies, "copies", keep=True)
