@@ -5,7 +5,8 @@ Each stage works on all rows that the one before kept. All but the last return t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidepool.llm import dedup, mixing, packing, quality
@@ -21,13 +22,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 PERCENT = 80
 #: Columns that a stage adds for itself; documents have none of these names.
 ROW, GROUP, COPIES, COPY = "__row__", "__group__", "__copies__", "__copy__"
+FIRST, PLACE = "__first__", "__place__"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs and ROW, a long that differs from row to row and is the same in each read of the table.
+
+    A row of a table in files is known by its file and its place there, so no copy of the texts is written: ROW is a hash of the file plus the
+    place. Whether all rows of each file are there, and no two files' ranges meet, is checked on one row a file; if they meet another hash is
+    taken. Other DataFrames (made in memory, filtered, joined) are written to the shared folder and numbered there; one with a limit has to be written before.
+    """
+    for seed in range(3):
+        try:
+            kept = docs.metadataColumn("_metadata")
+            rows = docs.select("*", F.shiftright(F.xxhash64(kept["file_path"], F.lit(seed)), 1).alias(FIRST), kept["row_index"].alias(PLACE))
+        except AnalysisException:  # no files
+            break
+        files = rows.groupBy(FIRST).agg(F.count(F.lit(1)).alias("n"), F.max(PLACE).alias("last"), F.sum(PLACE).alias("sum"))
+        whole = (F.col("n") == F.col("last") + 1) & (2 * F.col("sum") == F.col("last") * F.col("n"))
+        apart = F.coalesce(F.lead(FIRST).over(Window.orderBy(FIRST)) > F.col(FIRST) + F.col("last"), F.lit(True))
+        if not files.select((whole & apart).alias("fine")).where(~F.col("fine")).limit(1).count():
+            return rows.withColumn(ROW, F.col(FIRST) + F.col(PLACE)).drop(FIRST, PLACE)
+    return materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows", compression="zstd")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies stays: the one with the least doc_id, of rows with one doc_id that with the least hash of its text.
     Rows are compared by their texts, whatever their doc_ids: copies without a doc_id go, and different texts under one doc_id stay.
     Rows without words are linked with nothing and stay."""
-    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows", compression="zstd")
+    rows = numbered(docs)
     with scratch(spark):
         found = dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), PERCENT).select(F.col("doc_id").alias(ROW), F.col("component_id").alias(GROUP))
         order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
@@ -40,8 +63,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: not at all, once or twice. Rows without a doc_id and repeated ones are told apart by a row
-    number, which is written with them."""
-    rows = materialize(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows", compression="zstd")
+    number."""
+    rows = numbered(docs)
     with scratch(spark):
         copies = mixing.mix(rows, row=ROW).select(F.col("row").alias(ROW), F.col("copies").cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
         copies = materialize(copies, "copies", keep=True)
