@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tidepool.llm import dedup
@@ -137,3 +138,25 @@ def test_open_buckets_lose_no_link(spark, monkeypatch):
         docs.append((k, " ".join(w)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in dedup.near_duplicates(df, 80).collect()} == groups(docs, 80)
+
+
+def test_rows_are_numbered_by_place(spark, tmp_path):
+    """A table's rows keep their numbers however it is split; what is not whole files is written first."""
+    spark.range(500).select(F.col("id").alias("doc_id"), F.lit("same text").alias("text")).repartition(5).write.parquet(f"{tmp_path}/d")
+
+    def numbers():
+        rows = corpus_pipeline.numbered(spark.read.parquet(f"{tmp_path}/d"))
+        return {r.doc_id: r[corpus_pipeline.ROW] for r in rows.collect()}
+
+    first = numbers()
+    assert len(set(first.values())) == 500
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        assert numbers() == first
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    for other in (docs.where("doc_id % 3 = 0"), docs.unionByName(docs), docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2)))), spark.createDataFrame([(1, "a"), (1, "a")], docs.schema)):
+        rows = corpus_pipeline.numbered(other).select(corpus_pipeline.ROW)
+        assert rows.distinct().count() == rows.count() == other.count()
