@@ -86,31 +86,26 @@ def distinct_evidence(ranked: DataFrame, top_n: int = 5) -> DataFrame:
 
 
 def reflect(rows: DataFrame, least_support: int = 2, least_trusted: int = 1) -> DataFrame:
-    """knowledge_key, summary, support, trusted, authority, provenance, n_rivals, confidence, contested: of the summaries of a key the one with
-    most authoritative rows, authority, trusted rows, support, provenance, and the newest. rows: knowledge_key, summary, trusted, authority, provenance, created_at."""
+    """knowledge_key, summary, support, trusted, authoritative, authority, provenance, n_rivals, confidence, contested, unresolved, and the runner-up's summary,
+    support and trusted rows: of the summaries of a key the one with most authoritative rows, authority, trusted rows, support, provenance, and
+    the newest. rows: knowledge_key, summary, trusted, authority, provenance, created_at."""
     groups = rows.groupBy("knowledge_key", "summary").agg(
         F.count(F.lit(1)).alias("support"), F.count_if("trusted").alias("trusted"), F.count_if(F.col("authority") >= 100).alias("authoritative"), F.sum("authority").alias("authority"), F.sum("provenance").alias("provenance"), F.max("created_at").alias("newest")
     )
     good = groups.where((F.col("support") >= least_support) & (F.col("trusted") >= least_trusted))
     order = [F.col(c).desc() for c in ("authoritative", "authority", "trusted", "support", "provenance", "newest")]
     w = Window.partitionBy("knowledge_key").orderBy(*order, "summary")
-    ranked = good.withColumn("_r", F.row_number().over(w)).withColumn("_rival", F.lead(F.struct("authoritative", "authority", "trusted", "support", "provenance")).over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("knowledge_key")))
+    ranked = good.withColumn("_r", F.row_number().over(w)).withColumn("_rival", F.lead(F.struct("authoritative", "authority", "trusted", "support", "provenance", "summary")).over(w)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("knowledge_key")))
     tie = F.col("_rival").isNotNull() & (F.col("authoritative") > 0)
     for c in ("authoritative", "authority", "trusted", "support", "provenance"):
         tie = tie & (F.col(f"_rival.{c}") == F.col(c))
     rival = F.coalesce(F.col("_rival.trusted") > 0, F.lit(False))
     level = F.when((F.col("trusted") > least_trusted) & ~rival, "high").when((F.col("trusted") > least_trusted) | ~rival, "medium").otherwise("low")
-    return ranked.where("_r = 1").select("knowledge_key", "summary", "support", "trusted", "authority", "provenance", (F.col("_n") - 1).alias("n_rivals"), level.alias("confidence"), rival.alias("contested"), F.coalesce(tie, F.lit(False)).alias("unresolved"))
-
-
-def refresh_plan(current: DataFrame, persisted: DataFrame) -> DataFrame:
-    """knowledge_key, action, reasons: what to persist, refresh or retire, from both tables side by side."""
-    a = current.select("knowledge_key", F.col("summary").alias("_s"), F.col("support").alias("_n"), F.col("confidence").alias("_c"))
-    b = persisted.select("knowledge_key", F.col("summary").alias("_ps"), F.col("support").alias("_pn"), F.col("confidence").alias("_pc"))
-    both = a.join(b, "knowledge_key", "full")
-    here, there = F.col("_s").isNotNull(), F.col("_ps").isNotNull()
-    reasons = F.array_compact(F.array(F.when(here & ~there, "missing"), F.when(~here & there, "unsupported"), F.when(here & there & (F.col("_s") != F.col("_ps")), "summary-changed"), F.when(F.col("_n") > F.col("_pn"), "support-grown"), F.when(F.col("_n") < F.col("_pn"), "support-dropped"), F.when(F.col("_c") != F.col("_pc"), "confidence-changed")))
-    return both.select("knowledge_key", F.when(here, "persist").otherwise("retire").alias("action"), F.array_join(reasons, ",").alias("reasons")).where("reasons != ''")
+    none = F.lit(0).cast("long")
+    return ranked.where("_r = 1").select(
+        "knowledge_key", "summary", "support", "trusted", "authoritative", "authority", "provenance", (F.col("_n") - 1).alias("n_rivals"), level.alias("confidence"), rival.alias("contested"), F.coalesce(tie, F.lit(False)).alias("unresolved"),
+        F.col("_rival.summary").alias("rival_summary"), F.coalesce(F.col("_rival.support"), none).alias("rival_support"), F.coalesce(F.col("_rival.trusted"), none).alias("rival_trusted"),
+    )
 
 
 def assemble(items: DataFrame, budget: int, by: str = "query_id") -> DataFrame:

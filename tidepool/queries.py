@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import scoring as sc
 from tidepool.functions import text as tx
-from tidepool.operators import ann, answers, grounding, ingest, lifecycle, policy, rank, retrieve, review, search, state
+from tidepool.operators import ann, answers, grounding, ingest, lifecycle, policy, rank, reflections, retrieve, review, search, state
 from tidepool.plans.route import route
 from tidepool.sources import tables
 from tidepool.streaming import access
@@ -272,8 +272,9 @@ def _reflect_sql(part: str) -> str:
 g AS (SELECT knowledge_key, summary, count(*) AS support, count(*) FILTER (WHERE k.trusted) AS trusted, count(*) FILTER (WHERE k.authority >= 100) AS authoritative, sum(k.authority)::BIGINT AS authority, sum(k.provenance)::BIGINT AS provenance, max(created_at) AS newest FROM k GROUP BY ALL),
 h AS (SELECT * FROM g WHERE support >= 2 AND trusted >= 1),
 w AS (SELECT *, row_number() OVER (PARTITION BY knowledge_key ORDER BY {order}) AS rn, count(*) OVER (PARTITION BY knowledge_key) AS n, coalesce(lead(trusted) OVER (PARTITION BY knowledge_key ORDER BY {order}) > 0, false) AS rival,
+  lead(summary) OVER (PARTITION BY knowledge_key ORDER BY {order}) AS rival_summary, coalesce(lead(support) OVER (PARTITION BY knowledge_key ORDER BY {order}), 0) AS rival_support, coalesce(lead(trusted) OVER (PARTITION BY knowledge_key ORDER BY {order}), 0) AS rival_trusted,
   coalesce(authoritative > 0 AND lead((authoritative, authority, trusted, support, provenance)) OVER (PARTITION BY knowledge_key ORDER BY {order}) = (authoritative, authority, trusted, support, provenance), false) AS tie FROM h)
-SELECT knowledge_key, summary, support, trusted, authority, provenance, n - 1 AS n_rivals, CASE WHEN trusted > 1 AND NOT rival THEN 'high' WHEN trusted > 1 OR NOT rival THEN 'medium' ELSE 'low' END AS confidence, rival AS contested, tie AS unresolved FROM w WHERE rn = 1)"""
+SELECT knowledge_key, summary, support, trusted, authoritative, authority, provenance, n - 1 AS n_rivals, CASE WHEN trusted > 1 AND NOT rival THEN 'high' WHEN trusted > 1 OR NOT rival THEN 'medium' ELSE 'low' END AS confidence, rival AS contested, tie AS unresolved, rival_summary, rival_support, rival_trusted FROM w WHERE rn = 1)"""
 
 
 @query(f"SELECT * FROM {_reflect_sql('true')}")
@@ -281,15 +282,59 @@ def reflection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.reflect(_knowledge(spark, sf_dir, "true"))
 
 
+@query(f"SELECT * FROM {_reflect_sql('true')} ORDER BY list_position(['low', 'medium', 'high'], confidence) DESC, trusted DESC, support DESC, knowledge_key LIMIT {reflections.MOST_OBJECTS}")
+def reflection_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reflections.strongest(lifecycle.reflect(_knowledge(spark, sf_dir, "true")))
+
+
+_WRITTEN = "id % 4 <> 0 AND id % 60 <> 7"
+_FRESH = "id % 11 <> 1 AND id % 60 <> 9"
+_OLD_SQL = f"(SELECT *, {_NOW} - to_hours(CAST(CAST(substr(knowledge_key, 2) AS INT) % 40 AS INT)) AS generated_at FROM {_reflect_sql(_WRITTEN)})"
+_RIVAL_CHANGED = " OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in reflections.RIVAL)
+_REASONS = [
+    ("missing-persisted", "b.knowledge_key IS NULL"),
+    ("no-longer-qualifies", "a.knowledge_key IS NULL"),
+    ("summary-changed", "a.summary <> b.summary"),
+    ("support-growth", "a.support > b.support"),
+    ("trusted-support-growth", "a.trusted > b.trusted"),
+    ("authority-strengthened", "a.authoritative > b.authoritative OR a.authority > b.authority"),
+    ("provenance-strengthened", "a.provenance > b.provenance"),
+    ("support-weakened", "a.support < b.support"),
+    ("trusted-support-weakened", "a.trusted < b.trusted"),
+    ("authority-weakened", "a.authoritative < b.authoritative OR a.authority < b.authority"),
+    ("provenance-weakened", "a.provenance < b.provenance"),
+    ("competing-trusted-summary", f"a.rival_trusted > 0 AND (NOT b.contested OR {_RIVAL_CHANGED})"),
+    ("unresolved-authoritative-conflict", "a.unresolved AND (NOT b.unresolved OR a.rival_summary IS DISTINCT FROM b.rival_summary)"),
+    ("stale-by-age", f"a.knowledge_key IS NOT NULL AND b.generated_at <= {_NOW} - INTERVAL 24 HOUR"),
+]
+_PLAN_SQL = f"""WITH a AS {_reflect_sql(_FRESH)}, b AS {_OLD_SQL},
+f AS (SELECT coalesce(a.knowledge_key, b.knowledge_key) AS knowledge_key, CASE WHEN a.knowledge_key IS NULL THEN 'retire' ELSE 'persist' END AS action,
+  concat_ws(',', {', '.join(f"CASE WHEN {hit} THEN '{name}' END" for name, hit in _REASONS)}) AS reasons, a.summary AS fresh, a.unresolved AS tied, b.summary AS old, b.unresolved AS was_tied FROM a FULL JOIN b ON a.knowledge_key = b.knowledge_key)"""
+
+
+def _persisted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reflections that were written up to 40 hours ago."""
+    old = reflections.written(lifecycle.reflect(_knowledge(spark, sf_dir, _WRITTEN)), now())
+    return old.withColumn("generated_at", now() - F.make_dt_interval(hours=F.substring("knowledge_key", 2, 9).cast("int") % 40))
+
+
+@query(f"{_PLAN_SQL} SELECT knowledge_key, action, reasons FROM f WHERE reasons <> ''")
+def refresh_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reflections.refresh_plan(lifecycle.reflect(_knowledge(spark, sf_dir, _FRESH)), _persisted(spark, sf_dir), now())
+
+
 @query(
-    f"""
-WITH a AS {_reflect_sql('id % 11 <> 1')}, b AS {_reflect_sql('id % 4 <> 0')},
-f AS (SELECT coalesce(a.knowledge_key, b.knowledge_key) AS knowledge_key, a.summary AS s, a.support AS n, a.confidence AS c, b.summary AS ps, b.support AS pn, b.confidence AS pc FROM a FULL JOIN b ON a.knowledge_key = b.knowledge_key)
-SELECT * FROM (SELECT knowledge_key, CASE WHEN s IS NOT NULL THEN 'persist' ELSE 'retire' END AS action, concat_ws(',', CASE WHEN s IS NOT NULL AND ps IS NULL THEN 'missing' END, CASE WHEN s IS NULL AND ps IS NOT NULL THEN 'unsupported' END,
-  CASE WHEN s <> ps THEN 'summary-changed' END, CASE WHEN n > pn THEN 'support-grown' END, CASE WHEN n < pn THEN 'support-dropped' END, CASE WHEN c <> pc THEN 'confidence-changed' END) AS reasons FROM f) WHERE reasons <> ''"""
+    f"""{_PLAN_SQL}, due AS (SELECT *, fresh IS NOT NULL AND reasons <> '' AS writes FROM f),
+rows AS (SELECT knowledge_key, fresh AS summary, CASE WHEN tied THEN 'contested' ELSE 'current' END AS status, NULL::TIMESTAMP AS valid_until, NULL AS replaced_by FROM due WHERE writes
+  UNION ALL SELECT knowledge_key, old, CASE WHEN writes THEN 'superseded' WHEN fresh IS NULL THEN 'retired' WHEN was_tied THEN 'contested' ELSE 'current' END, CASE WHEN writes OR fresh IS NULL THEN {_NOW} END, CASE WHEN writes THEN fresh END
+  FROM due WHERE old IS NOT NULL AND NOT (writes AND fresh = old))
+SELECT * FROM rows"""
 )
-def refresh_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lifecycle.refresh_plan(lifecycle.reflect(_knowledge(spark, sf_dir, "id % 11 <> 1")), lifecycle.reflect(_knowledge(spark, sf_dir, "id % 4 <> 0")))
+def reflection_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fresh, old = lifecycle.reflect(_knowledge(spark, sf_dir, _FRESH)), _persisted(spark, sf_dir)
+    out = reflections.refresh(reflections.refresh_plan(fresh, old, now()), fresh, old, now())
+    edges = reflections.superseding_edges(out).join(out.select(F.col("memory_id").alias("target_id"), F.col("summary").alias("replaced_by")), "target_id")
+    return out.drop("replaced_by").join(edges.select(F.col("source_id").alias("memory_id"), "replaced_by"), "memory_id", "left").select("knowledge_key", "summary", "status", "valid_until", "replaced_by")
 
 
 @query(
