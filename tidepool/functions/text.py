@@ -53,3 +53,8 @@ def for_embedding(text: Column, most_bytes: int = 32_000) -> Column:
     cut = F.when(F.octet_length(full) <= most_bytes, full).otherwise(F.substring(text, F.lit(1), n - 1))
     blank = F.regexp_replace(cut, r"\s\S*$", "")
     return F.when(F.octet_length(text) <= most_bytes, text).otherwise(F.when(blank == "", cut).otherwise(blank))
+
+
+def dated(text: Column, date: Column) -> Column:
+    """The text behind its session's date, if it has one."""
+    return F.when(date != "", F.concat(F.lit("[Date: "), date, F.lit("] "), text)).otherwise(text)

@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import text as tx
 
+# How fast each type fades, the text of a compacted entry, and the age that its accesses count with.
+DECAYS = {"episodic": 0.5, "semantic": 0.2, "procedural": 0.3}
+COMPACTED = r"^\[compacted: (\d+) accesses\]$"
+COMPACTED_SECONDS = 90 * 86400.0
+
 
 def store(existing: DataFrame, new: DataFrame) -> DataFrame:
     """id, content_hash, outcome ('added' or 'duplicate'), stored_id of each new row: the first row of a text that is not stored yet is added."""
@@ -34,6 +39,26 @@ def delete(memories: DataFrame, relations: DataFrame, vectors: DataFrame, access
     return memories.join(gone.select("id"), "id", "left_anti"), edges, vectors.join(ids, "memory_id", "left_anti"), access.join(ids, "memory_id", "left_anti")
 
 
+def get(memories: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ids (id); ids that are not there give none."""
+    return memories.join(ids.select("id"), "id", "left_semi")
+
+
+def with_embedding_status(memories: DataFrame, vectors: DataFrame, failed: DataFrame) -> DataFrame:
+    """memories and embedding_status: success where there is a vector, failed where the last try is in failed (id), else pending."""
+    done = vectors.select(F.col("memory_id").alias("id"), F.lit("success").alias("_done")).distinct()
+    bad = failed.select("id", F.lit("failed").alias("_bad")).distinct()
+    both = memories.join(done, "id", "left").join(bad, "id", "left")
+    return both.select(*memories.columns, F.coalesce("_done", "_bad", F.lit("pending")).alias("embedding_status"))
+
+
+def embedded_by_text(memories: DataFrame, vectors: DataFrame) -> DataFrame:
+    """The rows whose text has a vector already, their own or that of a row with the same text."""
+    hashed = memories.withColumn("_h", tx.content_hash(F.col("searchable_text")))
+    known = hashed.join(vectors.select(F.col("memory_id").alias("id")), "id", "left_semi").select("_h")
+    return hashed.join(known, "_h", "left_semi").drop("_h")
+
+
 def newest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row a key, the last by order: an upsert."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("_r = 1").drop("_r")
@@ -51,15 +76,39 @@ def activation(log: DataFrame, now: Column, decay: float = 0.5) -> DataFrame:
     return log.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n_accesses"), F.sum(-F.lit(decay) * F.log(age)).alias("activation"))
 
 
+def activation_of(memories: DataFrame, log: DataFrame, now: Column) -> DataFrame:
+    """memory_id, n_accesses, activation of all rows: a base by importance, a term for each access, which fades by the row's type, and for accesses that
+    were compacted (an entry with their number as its text) one of the age at which accesses are. Where the log has none: the base alone."""
+    decay = F.lit(DECAYS["episodic"])
+    for kind, rate in DECAYS.items():
+        decay = F.when(F.col("memory_type") == kind, rate).otherwise(decay)
+    micros = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("accessed_at").cast("timestamp"))
+    n = F.coalesce(F.regexp_extract("query_text", COMPACTED, 1).try_cast("long"), F.lit(0).cast("long"))
+    used = log.select("memory_id", F.log(F.greatest(micros / F.lit(1e6), F.lit(0.1))).alias("_age"), n.alias("_n"))
+    sums = used.groupBy("memory_id").agg(F.count(F.lit(1)).alias("n_accesses"), (F.sum("_age") + F.sum("_n") * F.log(F.lit(COMPACTED_SECONDS))).alias("_ages"))
+    both = memories.select(F.col("id").alias("memory_id"), "importance", decay.alias("_decay")).join(sums, "memory_id", "left")
+    zero = F.lit(0).cast("long")
+    return both.select("memory_id", F.coalesce("n_accesses", zero).alias("n_accesses"), (F.col("importance") / F.lit(10.0) - F.col("_decay") * F.coalesce("_ages", F.lit(0.0))).alias("activation"))
+
+
+def cached_activation(cache: DataFrame, computed: DataFrame) -> DataFrame:
+    """memory_id, activation: the kept figure (cache: memory_id, activation), or the computed one where there is none."""
+    kept = cache.select("memory_id", F.col("activation").alias("_kept"))
+    return computed.join(kept, "memory_id", "left").select("memory_id", F.coalesce("_kept", "activation").alias("activation"))
+
+
 def compact(log: DataFrame, now: Column, days: int = 90) -> tuple[DataFrame, DataFrame]:
     """(memory_id, last_access, n) of accesses older than so many days, and the log without them."""
     old = F.col("accessed_at") < now - F.make_dt_interval(F.lit(days))
     return log.where(old).groupBy("memory_id").agg(F.max("accessed_at").alias("last_access"), F.count(F.lit(1)).alias("n")), log.where(~old)
 
 
-def prunable(memories: DataFrame, activations: DataFrame, relations: DataFrame, now: Column, types: tuple[str, ...] = ("episodic",), days: int = 30, least_activation: float = -2.0, exempt_importance: int = 8) -> DataFrame:
-    """Old, seldom used rows of the types, but for important and linked ones."""
-    linked = relations.select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct()
+def prunable(memories: DataFrame, activations: DataFrame, relations: DataFrame, now: Column, types: tuple[str, ...] = ("episodic",), days: int = 30, least_activation: float = -2.0, exempt_importance: int = 8, derived: DataFrame | None = None) -> DataFrame:
+    """Old, seldom used rows of the types, but for important and linked ones, and those from which others are derived (derived: source_ids)."""
+    linked = relations.select(F.explode(F.array("source_id", "target_id")).alias("id"))
+    if derived is not None:
+        linked = linked.unionByName(derived.select(F.explode("source_ids").alias("id")))
+    linked = linked.distinct()
     old = memories.where(F.col("memory_type").isin(*types) & (F.col("created_at") < now - F.make_dt_interval(F.lit(days))) & (F.col("importance") < exempt_importance))
     known = old.join(activations.select(F.col("memory_id").alias("id"), "activation"), "id", "left")
     return known.where(F.col("activation").isNull() | (F.col("activation") < least_activation)).join(linked, "id", "left_anti")
@@ -109,10 +158,10 @@ def reflect(rows: DataFrame, least_support: int = 2, least_trusted: int = 1) ->
 
 
 def assemble(items: DataFrame, budget: int, by: str = "query_id") -> DataFrame:
-    """by, n_items, used_tokens, ids: first fit in order of priority and relevance; what is too large is skipped, not the end. One fold over
+    """by, n_items, used_tokens, remaining_tokens, truncated, ids: first fit in order of priority and relevance; what is too large is skipped, not the end. One fold over
     each group's (priority, -relevance, id, tokens), which a search's limit bounds."""
     rows = F.array_sort(F.collect_list(F.struct("priority", (-F.col("relevance")).alias("r"), "memory_id", "tokens")))
     empty = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
     fits = lambda s, x: s["used"] + x["tokens"] <= F.lit(budget)
     fold = F.aggregate("_rows", empty, lambda s, x: F.when(fits(s, x), F.struct((s["used"] + x["tokens"]).alias("used"), F.array_append(s["ids"], x["memory_id"]).alias("ids"))).otherwise(s))
-    return items.groupBy(by).agg(rows.alias("_rows")).select(by, fold.alias("f")).select(by, F.size("f.ids").cast("long").alias("n_items"), F.col("f.used").alias("used_tokens"), F.array_join(F.transform("f.ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return items.groupBy(by).agg(rows.alias("_rows")).select(by, F.size("_rows").alias("_all"), fold.alias("f")).select(by, F.size("f.ids").cast("long").alias("n_items"), F.col("f.used").alias("used_tokens"), (F.lit(budget) - F.col("f.used")).alias("remaining_tokens"), (F.size("f.ids") < F.col("_all")).alias("truncated"), F.array_join(F.transform("f.ids", lambda x: x.cast("string")), ",").alias("ids"))

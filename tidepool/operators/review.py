@@ -42,7 +42,7 @@ def expire_due(items: DataFrame, now: Column) -> DataFrame:
 
 def resolve(items: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
     """Writes decisions into items: status, scope, policy class and end. What a decision leaves open follows from its template.
-    decisions: id, status, and, or null, template, scope, policy_class, expires_at, note; one a row."""
+    decisions: id, status, and, or null, template, scope, policy_class, expires_at, note, and optionally replaced_by; one a row."""
     key = F.col("d.template")
     scope, policy, days = F.col("d.scope"), F.col("d.policy_class"), F.lit(None).cast("int")
     for name, (s, p, n) in TEMPLATES.items():
@@ -89,3 +89,46 @@ def detect(records: DataFrame) -> DataFrame:
     found = records.where((F.col("memory_type") == "procedural") & ~_says(low, PROTECTIVE)).select("id", tags.alias("_t")).where("size(_t) > 0")
     severity = F.when(F.arrays_overlap("_t", F.lit(CRITICAL)), "critical").otherwise("high")
     return found.select("id", F.array_sort("_t").alias("tags"), severity.alias("severity"), F.element_at("_t", 1).alias("reason"))
+
+
+def pending_count(items: DataFrame, now: Column) -> DataFrame:
+    """n, one row: how many items wait for a decision, the expired ones among them."""
+    return queue(items, "pending", now).agg(F.count(F.lit(1)).alias("n"))
+
+
+def renewed(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """Decisions that allow items again; note and end are kept where none is given. asked: id, note, expires_at."""
+    both = asked.alias("a").join(items.select("id", "review_note", "review_expires_at"), "id")
+    return _decisions(both, "allowed", F.coalesce("a.note", "review_note"), F.coalesce("a.expires_at", "review_expires_at"))
+
+
+def revoked(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """Decisions that deny items; the note is kept where none is given. asked: id, note."""
+    return _decisions(asked.alias("a").join(items.select("id", "review_note"), "id"), "denied", F.coalesce("a.note", "review_note"))
+
+
+def replaced(asked: DataFrame, items: DataFrame) -> DataFrame:
+    """Decisions that deny items for others, which the note names. asked: id, replaced_by, note."""
+    number = F.col("replaced_by").cast("string")
+    named = F.when(F.contains("note", number), F.col("note")).otherwise(F.concat("note", F.lit(" Replacement memory: #"), number, F.lit(".")))
+    note = F.coalesce(named, F.concat(F.lit("Replaced by memory #"), number, F.lit(".")))
+    return _decisions(asked.join(items.select("id"), "id", "left_semi"), "denied", note, None, F.col("replaced_by"))
+
+
+def _decisions(asked: DataFrame, status: str, note: Column, ends: Column | None = None, other: Column | None = None) -> DataFrame:
+    text, none = F.lit(None).cast("string"), F.lit(None)
+    return asked.select("id", F.lit(status).alias("status"), text.alias("template"), text.alias("scope"), text.alias("policy_class"), (none if ends is None else ends).cast("timestamp_ntz").alias("expires_at"), note.alias("note"), (none if other is None else other).cast("long").alias("replaced_by"))
+
+
+def annotate(records: DataFrame) -> DataFrame:
+    """records with review metadata filled in: what detect() finds of a row, as far as its metadata (a map, or null) has no entry of its own. Any review status makes a
+    review required."""
+    flags = detect(records).select(F.col("id").alias("_id"), "tags", "severity", "reason")
+    found = {"review_required": F.lit("true"), "review_severity": F.col("severity"), "review_reason": F.col("reason"), "review_status": F.lit("pending"), "review_tags": F.array_join("tags", ",")}
+    own = F.coalesce("metadata", F.expr("map()").cast("map<string,string>"))
+    flagged = F.when(F.col("_id").isNotNull(), F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)]))
+    required = F.when(F.map_contains_key(own, "review_status"), F.create_map(F.lit("review_required"), F.lit("true")))
+    defaults = F.coalesce(flagged, required, F.expr("map()").cast("map<string,string>"))
+    merged = F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(own, k)), own)
+    both = records.join(flags, F.col("id") == F.col("_id"), "left")
+    return both.select(*[c for c in records.columns if c != "metadata"], F.when(F.size(merged) > 0, merged).alias("metadata"))

