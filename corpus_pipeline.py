@@ -55,7 +55,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
         found = dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), PERCENT).select(F.col("doc_id").alias(ROW), F.col("component_id").alias(GROUP))
         order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), ROW)
         groups = found.join(rows.select(ROW, order.alias("o")), ROW).groupBy(GROUP).agg(F.min("o").alias("o"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        gone = found.join(groups.select(GROUP, F.col(f"o.{ROW}").alias("best")), GROUP).where(F.col(ROW) != F.col("best")).select(ROW)
+        # written, so that a group with very many rows can be split in the join: it no longer shares the aggregate's exchange
+        groups = materialize(groups.select(GROUP, F.col(f"o.{ROW}").alias("best")), "groups")
+        gone = found.join(groups, GROUP).where(F.col(ROW) != F.col("best")).select(ROW)
         # written, so that Spark knows its size and sends it to the texts if it is small
         gone = materialize(gone, "gone", keep=True)
     return rows.join(gone, ROW, "left_anti").select(docs.columns)
