@@ -42,13 +42,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, keep: bool = False, partition_by: str | None = None, **options: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: a cut lineage that outlives any executor. keep: also beyond a scratch() around it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if _scopes and not keep:
         _scopes[-1].append(path)
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).parquet(path, partitionBy=partition_by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -20,7 +20,7 @@ segment comes from and where it begins there, so that attention and loss can be
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -190,17 +190,22 @@ def padded_size(n: int, window: int) -> int:
     return n if n & (n - 1) == 0 else window
 
 
-def placed(cut: DataFrame, window: int) -> DataFrame:
-    """The pieces with their sequence and offset."""
+def ranked_pieces(cut: DataFrame, window: int, planned: Callable[[np.ndarray, int], list[tuple[list[int], int]]]) -> tuple[DataFrame, np.ndarray]:
+    """The pieces with their rank among those of their length, and the slots that a plan for the histogram of lengths gives to ranks."""
     counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = np.zeros(window + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # a number for each length, at most
         histogram[length] = n
-    table = slots_of(plan(histogram, window), window)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # written, so that Spark knows its size and sends it to the pieces if it is small
     base = materialize(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
-    ranked = cut.join(base, ["part", "length"]).select("doc_id", "start", "length", "doc_tokens", "ids", (F.col("base") + F.col("ordinal")).alias("rank"))
+    return cut.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("ordinal")), slots_of(planned(histogram, window), window)
+
+
+def placed(cut: DataFrame, window: int) -> DataFrame:
+    """The pieces with their sequence and offset."""
+    ranked, table = ranked_pieces(cut, window, plan)
+    ranked = ranked.select("doc_id", "start", "length", "doc_tokens", "ids", "rank")
     high = np.int64(1) << np.int64(50)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

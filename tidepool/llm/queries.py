@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidepool.llm import chat, dedup, fingerprints, html_text, mixing, packing, quality, token_counts, token_files, url_filter
+from tidepool.llm import best_fit, chat, dedup, fill_middle, fingerprints, html_text, mixing, packing, quality, token_counts, token_files, url_filter, whitening
 from tidepool.llm.common import table
 
 
@@ -59,9 +59,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(token_files.write_token_files(table(spark, sf_dir, "documents")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.read_back(fill_middle.format_documents(table(spark, sf_dir, "documents")))
+
+
+def op13_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_chat_formatting, op3_near_duplicates, op4_url_filters, op5_token_counts, op6_mixing, op7_html_text, op8_quality_rules, op9_fingerprints, op10_token_files)
+    for f in (op1_packing, op2_chat_formatting, op3_near_duplicates, op4_url_filters, op5_token_counts, op6_mixing, op7_html_text, op8_quality_rules, op9_fingerprints, op10_token_files, op11_whitening, op12_fill_middle, op13_best_fit)
 }
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
@@ -80,5 +92,18 @@ fits AS (SELECT page_id, host, path,
          (SELECT max_by(rverdict, length(rhost || rpath)) FROM rules WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS rverdict,
          EXISTS (SELECT 1 FROM blocked WHERE host = domain OR ends_with(host, '.' || domain)) AS is_listed FROM keys)
 SELECT page_id, host, path, rule, coalesce(rverdict, CASE WHEN is_listed THEN 'block' ELSE 'allow' END) AS verdict FROM fits
+""",
+    "op12_fill_middle": r"""
+WITH cut AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+draws AS (SELECT doc_id, text, units, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM cut),
+forms AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+parts AS (SELECT doc_id, text, n, form, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM forms)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256 FROM parts
 """,
 }
