@@ -1,20 +1,24 @@
 """Main text of web pages by line-block distribution.
 
-Markup is stripped to lines: a line is the text between two block tags or line breaks. Each line has a weight, and tags do no more than set it:
+Markup is stripped to lines: a line is the text between two block tags or line breaks. Each line has a weight:
 
-* a character weighs BARE, in a paragraph, heading or list item PROSE, in article or main AREA;
-* characters inside links count against a line, but not in article or main;
-* parts that are no reading matter by their tag or by the name of their class, id or role (menus, headers, footers, sidebars, notices, adverts,
-  forms, scripts, styles, comments of readers), and the borders of article and main, are walls: lines without text that no window looks over.
-  A part told by its name alone is no wall if it holds all of the page's article and main parts or, where there are none, three quarters of its
-  text. In an article's header only headings count, and an article inside another whose name says so is a comment.
+* its characters without those in links, less the latter once more: a line of links weighs less than nothing;
+* times a small factor for its tag: BARE, in a paragraph, heading or list item PROSE, in article or main AREA, where links count as text;
+* a bare line, which no tag speaks for, pays a toll: a TOLL-th of the page's level. The level is the length of the line that a character of the page's unlinked text
+  lies in on average, so a notice between long paragraphs weighs less than nothing, and a verse among verses does not.
 
 The weights are summed over a sliding window of WINDOW lines. A surge is a place where the sum rises above nothing and reaches SURGE before it
 falls again (or the page's greatest sum, where that is less); the dive is where it has fallen to nothing. The text from the surge's first line that weighs more than nothing to the dive's last
-one is a region, lines of links between them included. A window that never reaches SURGE begins no region: a lone short
-line, a copyright notice or a list of links. The side with the greater weight, the regions in article and main or those outside, shows where
-the page's text is: if article and main weigh more, nothing outside is kept, else all regions are. So a page without either is
-judged by its blocks alone, and an article tag around a teaser does not hide the text beside it.
+one is a region, light lines between them included, and so are paragraphs of links directly before or after it, if fewer than WINDOW follow each
+other. A window that never reaches SURGE begins no region: a lone short line, a copyright notice or a list of links.
+
+Some parts are markup and stripped with it: scripts, styles, and what is no reading matter by its tag or by the name of its class, id or role (menus, headers, footers,
+sidebars, notices, adverts, forms, comments of readers). Outside article and main no window looks over the place where one was, nor over the borders of article and
+main. A part told by its name alone stays if it holds all of the page's article and main parts, or three quarters of their text (without any, of the page's);
+in an article that does not hold for readers' comments. In an article's header headings and paragraphs count, and an article inside another whose name
+says so is a comment. The side with the greater weight, the regions in article and main or those outside, shows where the page's text is: if article and main
+weigh more, nothing outside is kept, else all regions are. So a page without either is judged by its blocks alone, and an article tag around a teaser does
+not hide the text beside it. Where all these tags and names are made plain, the windows find the same text: tests/llm says how nearly.
 
 Character references are decoded after the tags are gone; white space in a line becomes one blank; lines are joined by one blank in the
 order of the page. Null or empty html, and a page without any region, give an empty text. Unclosed tags end with the page or with
@@ -35,17 +39,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-BARE, PROSE, AREA = 1, 4, 40
+BARE, PROSE, AREA = 1, 4, 8
 SURGE = 40
+TOLL = 3
 #: Elements whose text is never shown as text.
 SILENT = {"template", "svg", "head", "iframe", "object", "canvas", "math", "audio", "video"}
 #: Those whose inside is no markup.
 RAW = {"script", "style", "textarea", "title", "noscript"}
 #: Elements with text that is no reading matter.
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "label", "fieldset", "option"}
+ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "fieldset", "option"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-PROSAIC = HEADINGS | {"p", "li", "dt", "dd", "blockquote", "pre", "figcaption", "td", "th"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+PARAGRAPHS = HEADINGS | {"p", "blockquote"}
+PROSAIC = PARAGRAPHS | {"li", "dt", "dd", "pre", "figcaption", "td", "th"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Elements that a new one of their kind closes, and what they lie in.
 CLOSED_BY_NEXT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -60,6 +66,8 @@ STRONG = {
 WEAK = {"header", "masthead", "side", "banner", "respond", "notice", "notices", "alert", "subscribe", "signup", "login", "search", "widget", "widgets", "copyright", "dialog", "form", "forms"}
 #: Words that say nothing about a part.
 NEUTRAL = {"site", "page", "top", "bottom", "left", "right", "box", "block", "area", "container", "wrapper", "wrap", "list", "item", "items", "section", "bar", "inner", "outer", "row", "col", "column", "links", "link", "slot", "unit", "zone", "group", "panel", "global", "primary", "secondary", "main", "js", "posts", "body", "buttons", "icons", "thread"}
+#: Names of readers' comments.
+READERS = {"comment", "comments", "reply", "replies", "disqus"}
 #: Words after which a name speaks of a part elsewhere.
 ELSEWHERE = {"has", "with", "no", "without", "is", "not"}
 _VALUE = r"(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>])|[^\s\"'<>]+)"
@@ -89,11 +97,12 @@ def marked(attributes: str) -> bool:
 
 @dataclass
 class Line:
-    """text "": a wall. linked: characters in links. named: parts around it that are told by name alone, by number."""
+    """text "": a wall. linked: characters in links. paragraph: of PARAGRAPHS. named: parts around it that are told by name alone, by number."""
 
     text: str
     linked: int = 0
     prose: bool = False
+    paragraph: bool = False
     inside: bool = False
     named: tuple[int, ...] = ()
 
@@ -106,7 +115,7 @@ class Part:
     silent: bool = False  # a wall by its tag
     area: bool = False
     named: int = -1  # its number, if it is told by its name
-    heads: bool = False  # an article's header: a wall, but for its headings
+    heads: bool = False  # an article's header: stripped, but for its headings and paragraphs
 
 
 class Lines:
@@ -116,27 +125,28 @@ class Lines:
         self.out: list[Line] = []
         self.stack: list[Part] = []
         self.held: list[str] = []
-        self.linked = self.muted = self.inside = self.prose = self.heads = self.headings = 0
+        self.linked = self.muted = self.inside = self.prose = self.heads = self.paragraphs = 0
         self.link_depth = -1  # depth of the stack where the open link began
         self.asides: list[tuple[str, int]] = []  # inline elements that are no reading matter, and the stack's depth there
         self.named: list[int] = []
         self.n_named = 0
         self.n_areas = 0
         self.areas_in: dict[int, int] = {}
+        self.readers: set[int] = set()
 
     def flush(self) -> None:
         if self.held:
             line = _BLANKS.sub(" ", html.unescape("".join(self.held))).strip()
             if line:
-                self.out.append(Line(line, min(self.linked, len(line)), self.prose > 0, self.inside > 0, tuple(self.named)))
+                self.out.append(Line(line, min(self.linked, len(line)), self.prose > 0, self.paragraphs > 0, self.inside > 0, tuple(self.named)))
             self.held.clear()
         self.linked = 0
 
     def wall(self) -> None:
-        self.out.append(Line("", named=tuple(self.named)))
+        self.out.append(Line("", inside=self.inside > 0, named=tuple(self.named)))
 
     def say(self, text: str) -> None:
-        if text and not self.muted and not self.asides and (self.headings or not self.heads):
+        if text and not self.muted and not self.asides and (self.paragraphs or not self.heads):
             self.held.append(text)
             if self.link_depth >= 0:
                 self.linked += len(_BLANKS.sub(" ", html.unescape(text)).strip())
@@ -161,7 +171,7 @@ class Lines:
         self.inside += by * part.area
         self.heads += by * part.heads
         self.prose += by * (part.tag in PROSAIC)
-        self.headings += by * (part.tag in HEADINGS)
+        self.paragraphs += by * (part.tag in PARAGRAPHS)
 
     def pop(self) -> None:
         part = self.stack.pop()
@@ -197,6 +207,8 @@ class Lines:
         named = -1
         if not silent and not area and not heads and tag not in ("body", "html") and marked(attributes):
             named, self.n_named = self.n_named, self.n_named + 1
+            if READERS & {w.lower() for m in _NAMES.finditer(attributes) for w in _WORDS.findall(m[0])}:
+                self.readers.add(named)
         self.push(Part(tag, silent, area, named, heads))
 
 
@@ -240,23 +252,31 @@ def lines_of(page: str) -> list[Line]:
 
 
 def without_named(p: Lines) -> list[Line]:
-    """Lines in parts that are told by name become walls, but for parts that hold all article and main parts, or else most of the page's text."""
+    """Lines in parts that are told by name become walls, but for parts that hold all article and main parts or most of the text."""
     if not p.n_named:
         return p.out
-    plain = [max(0, len(x.text) - x.linked) for x in p.out]
+    plain = [max(0, len(x.text) - x.linked) if x.inside or not p.n_areas else 0 for x in p.out]
     own = np.zeros(p.n_named, int)
     for x, n in zip(p.out, plain, strict=True):
         for k in x.named:
             own[k] += n
-    asides = {k for k in range(p.n_named) if (p.areas_in.get(k, 0) < p.n_areas if p.n_areas else 4 * own[k] < 3 * sum(plain))}
-    return [Line("") if asides.intersection(x.named) else x for x in p.out]
+    most = {k for k in range(p.n_named) if 4 * own[k] >= 3 * sum(plain) and not (p.n_areas and k in p.readers)}
+    asides = {k for k in range(p.n_named) if k not in most and not 0 < p.n_areas == p.areas_in.get(k, 0)}
+    return [Line("", inside=x.inside) if asides.intersection(x.named) else x for x in p.out]
+
 
+def weights_of(lines: list[Line]) -> list[float]:
+    """Walls weigh nothing."""
+    sizes = np.array([len(x.text) - x.linked for x in lines])
+    toll = (sizes**2).sum() / max(1, sizes.sum()) / TOLL
 
-def weight(line: Line) -> int:
-    if not line.text:
-        return 0
-    n = len(line.text)
-    return AREA * n if line.inside else (PROSE if line.prose else BARE) * (n - 2 * line.linked)
+    def weight(line: Line) -> float:
+        if line.inside:
+            return AREA * len(line.text)
+        n = len(line.text) - 2 * line.linked
+        return PROSE * n if line.prose else BARE * n - toll
+
+    return [weight(x) if x.text else 0 for x in lines]
 
 
 def regions(weights: list[int], walls: list[bool], window: int = WINDOW) -> list[tuple[int, int]]:
@@ -280,13 +300,29 @@ def regions(weights: list[int], walls: list[bool], window: int = WINDOW) -> list
     return out
 
 
+def with_links(lines: list[Line], found: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """The regions, with paragraphs of links directly before and after, fewer than the window's lines."""
+    links = [x.text != "" and not x.inside and x.linked == len(x.text) for x in lines]
+    out = []
+    for k, (a, b) in enumerate(found):
+        low, high = out[-1][1] if out else 0, found[k + 1][0] if k + 1 < len(found) else len(lines)
+        before, after = a, b
+        while before > low and links[before - 1]:
+            before -= 1
+        while after < high and links[after]:
+            after += 1
+        out.append((before if a - before < window and all(x.paragraph for x in lines[before:a]) else a, after if after - b < window and all(x.paragraph for x in lines[b:after]) else b))
+    return out
+
+
 def main_lines(lines: list[Line], window: int = WINDOW) -> list[str]:
-    weights = [weight(x) for x in lines]
+    lines = [x for x in lines if x.text or not x.inside]  # in article and main windows look over what was stripped
+    weights = weights_of(lines)
     found = regions(weights, [not x.text for x in lines], window)
     mass = {True: 0, False: 0}
     for a, b in found:
         mass[lines[a].inside] += sum(weights[a:b])
-    return [lines[k].text for a, b in found if lines[a].inside or mass[False] > mass[True] for k in range(a, b)]
+    return [lines[k].text for a, b in with_links(lines, found, window) if lines[a].inside or mass[False] > mass[True] for k in range(a, b)]
 
 
 def extract(page: str) -> str:
