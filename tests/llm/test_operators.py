@@ -165,6 +165,31 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert [(r.component_id, r.kept) for r in got if r.doc_id is None] == [(None, True)]
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Different texts under one doc_id are one document, and no text is taken for another's."""
+    rng = np.random.default_rng(11)
+    words = [[f"t{t}w{k}" for k in range(60)] for t in range(5)]
+
+    def near(t):
+        w = list(words[t])
+        w[rng.integers(60)] = f"z{rng.integers(1000)}"
+        return " ".join(w)
+
+    rows = [(3, near(0)), (5, near(0)), (5, near(1)), (5, near(1)), (9, near(1)), (9, near(2)), (9, near(3)), (11, near(4)), (11, near(4)), (12, ""), (12, near(4)), (2, near(3)), (-(1 << 63), "a b c"), ((1 << 63) - 1, "a b c"), (7, "only here"), (7, "and this")]
+    rows += [(r[0], r[1]) for r in rows[:4]]
+    ids = [r[0] for r in rows]
+    label = {i: i for i in ids}
+    sets = [{tuple(t.lower().split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} if t else set() for _, t in rows]
+    for _ in rows:
+        for (a, _), x in zip(rows, sets, strict=True):
+            for (b, _), y in zip(rows, sets, strict=True):
+                if x and y and (a == b or 100 * len(x & y) >= 85 * len(x | y)):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    want = [(i, len(s), label[i] if s else i, (label[i] if s else i) == i) for i, s in zip(ids, sets, strict=True)]
+    assert got == sorted(want)
+
+
 def test_url_rules(spark):
     rules = [url_filter.Rule(*r) for r in [("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow")]]
     urls = {1: ("http://A.example.NET/en/x?q", "example.net/en/", "allow"), 2: ("http://b.net/", "net/", "block"), 3: ("http://b.net", None, "allow"), 4: ("x://y.org/fr/", "org/fr/", "allow"), 5: (None, None, "allow"), 6: ("no scheme", None, "allow"), 7: ("http://bad.com/a", None, "block"), 8: ("http://w.bad.com", None, "block"), 9: ("http://notbad.com", None, "allow"), 10: ("http://xnet/", None, "allow")}

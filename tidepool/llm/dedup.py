@@ -105,6 +105,10 @@ def shingle_set(text: str) -> np.ndarray:
         return np.unique(_mix(total))
 
 
+def set_key(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def signature(shingles: np.ndarray, n: int) -> np.ndarray:
     """Minima, then maxima, of n permutations."""
     mult, add = permutations(n)
@@ -128,11 +132,12 @@ def bands_of(values: np.ndarray, bands: int) -> np.ndarray:
         return _mix((_mix(v + place) * place).sum(1, dtype=np.uint64) + np.arange(bands, dtype=np.uint64) * _K2).view(np.int64)
 
 
-SIGNED = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary"
+SIGNED = "doc_id long, mark long, n_shingles long, set_key binary, bands array<long>, sketch binary"
 
 
 def signed(docs: DataFrame, least: int, percent: int) -> DataFrame:
-    """Set size, set key, band keys and sketch. Sets below least shingles link with equal sets alone: no bands."""
+    """Set size, set key, band keys and sketch. mark: a hash of the text, which with the doc_id finds it again. Sets below least shingles link with
+    equal sets alone: no bands."""
     count, rows = layout(percent)
     n_permutations = count * rows // 2
 
@@ -144,7 +149,7 @@ def signed(docs: DataFrame, least: int, percent: int) -> DataFrame:
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text)
                     n.append(len(s))
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    keys.append(set_key(s))
                     if len(s) < least:
                         bands.append([])
                         sketches.append(None)
@@ -152,21 +157,23 @@ def signed(docs: DataFrame, least: int, percent: int) -> DataFrame:
                     values = signature(s, n_permutations)
                     bands.append(bands_of(values, count))
                     sketches.append((values[:: len(values) // SKETCH][:SKETCH] >> np.uint32(11)).astype(np.uint8).tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "mark", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.select("doc_id", "text", "mark").mapInArrow(run, SIGNED)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """node, shingles: the hashes as signed numbers, in the order of the unsigned ones."""
+    """node, shingles: the hashes as signed numbers, in the order of the unsigned ones. docs: node, text, set_key; rows whose set is another go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
-                ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], ["node", "shingles"])
+                found = [(node, shingle_set(t), key) for node, t, key in zip(*[part.column(k).to_pylist() for k in range(3)], strict=True)]
+                found = [(node, own) for node, own, key in found if set_key(own) == key]
+                ends = pa.array(np.cumsum([0, *[len(own) for _, own in found]]), pa.int32())
+                flat = np.concatenate([np.zeros(0, np.uint64), *[own for _, own in found]]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in found], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))], ["node", "shingles"])
 
     return docs.mapInArrow(run, "node long, shingles array<long>")
 
@@ -252,17 +259,22 @@ def _linked(percent: int):
 def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a row of df.
 
-    Null or empty texts, and texts of white space, have no shingles and are linked with nothing. Rows with one doc_id count as one document.
-    A null doc_id is linked with nothing, has no component and is kept. An empty table gives no rows; other columns are ignored.
+    Null or empty texts, and texts of white space, have no shingles and are linked with nothing. Other rows with one doc_id count as one document, whose
+    texts are all linked with each other. A null doc_id is linked with nothing, has no component and is kept. An empty table gives no rows; other columns are ignored.
     """
-    docs = documents_of(df)
+    docs = documents_of(df).withColumn("mark", F.xxhash64("text"))
     # below this size two different sets cannot share enough
     least = next(n for n in range(1, 1000) if 100 * n >= percent * (n + 1))
     rows = materialize(signed(docs, least, percent), "signed")
     known = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"))
+    repeated = materialize(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    repeats = repeated.limit(1).count() > 0
+    # a class is known by its least doc_id; where one doc_id has several texts, by a number that its row gets when it is written
+    found = known.groupBy("set_key").agg(F.min(F.struct("doc_id", "mark")).alias("r")).select("set_key", "r.doc_id", "r.mark")
+    classes = materialize(found.withColumn("node", F.monotonically_increasing_id() if repeats else F.col("doc_id")), "classes")
     # a representative's own row has its bands, so they don't move with the aggregate
-    reps = materialize(known.join(classes.withColumnRenamed("node", "doc_id"), ["set_key", "doc_id"], "left_semi").where(F.col("n_shingles") >= least).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "bands", "sketch"), "representatives")
+    reps = known.join(classes, ["set_key", "doc_id", "mark"]).where(F.col("n_shingles") >= least).select("node", "set_key", "doc_id", "mark", F.col("n_shingles").alias("n"), "bands", "sketch")
+    reps = materialize(reps.dropDuplicates(["node"]) if repeats else reps, "representatives")
     keys = reps.select("node", "n", F.posexplode("bands").alias("band", "key"))
     heads = keys.groupBy("key").agg(F.min(F.struct("node", "n")).alias("head"), F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
     buckets = materialize(keys.join(heads, "key"), "buckets")
@@ -270,8 +282,9 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     stars = buckets.where((F.col("node") != F.col("head.node")) & fits).select(F.col("head.node").alias("u"), F.col("node").alias("v")).distinct()
 
     # written, so that Spark knows its size and sends it to the texts if it is small
-    members = materialize(buckets.select("node").distinct(), "members")
-    sets = materialize(sets_of(docs.join(members, F.col("doc_id") == F.col("node"), "left_semi")), "shingles")
+    members = materialize(reps.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "mark", "set_key"), "members")
+    sets = sets_of(docs.join(members, ["doc_id", "mark"]).select("node", "text", "set_key"))
+    sets = materialize(sets.dropDuplicates(["node"]) if repeats else sets, "shingles")
     links = materialize(confirmed(stars, sets, percent), "links-0")
     label = F.coalesce(F.col("component"), F.col("node"))
     used = heads.select("key", F.col("head.node").alias("node"))
@@ -286,12 +299,16 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
         stars = wide.join(fresh, "key").where(fits & (F.col("component") != F.col("head.component"))).select(F.col("head.node").alias("u"), F.col("node").alias("v")).distinct()
         links = materialize(links.unionByName(confirmed(stars, sets, percent)), f"links-{k}")
 
-    full = reps.select("node", "sketch", "bands").join(sets.groupBy("node").agg(F.first("shingles").alias("shingles")), "node")
+    full = reps.select("node", "sketch", "bands").join(sets, "node")
     dealt = in_blocks(labelled.join(open_, "key")).join(full, "node")
-    more = materialize(dealt.groupBy("key", "low", "high").applyInPandas(_linked(percent), "u long, v long"), "links")
-    final = components(links.unionByName(more))
-
-    labels = classes.join(final, "node", "left").select("set_key", label.alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", "set_key").join(labels, "set_key", "left")
+    links = links.unionByName(materialize(dealt.groupBy("key", "low", "high").applyInPandas(_linked(percent), "u long, v long"), "links"))
+    if repeats:
+        own = known.join(repeated, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
+        first = own.groupBy("doc_id").agg(F.min("node").alias("u"))
+        links = links.unionByName(own.join(first, "doc_id").where("u <> node").select("u", F.col("node").alias("v")))
+    labels = classes.join(components(links), "node", "left").select("set_key", "doc_id", label.alias("component_id"))
+    if repeats:
+        labels = labels.join(labels.groupBy("component_id").agg(F.min("doc_id").alias("least")), "component_id").select("set_key", F.col("least").alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "set_key").join(labels.select("set_key", "component_id"), "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
