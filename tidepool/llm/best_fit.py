@@ -106,33 +106,44 @@ def cut(ids: np.ndarray, window: int) -> list[tuple[int, int]]:
     return [(0, first), *((start, window) for start in range(first, n, window))]
 
 
+def segments_of(columns: list, ends: list[int]) -> pa.ListArray:
+    """Lists of segments from the columns of all of them, and where each list ends (after 0, where the first begins)."""
+    columns = columns or [[]] * len(SEGMENT)
+    structs = pa.StructArray.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(columns, SEGMENT, strict=True)], names=[name for name, _ in SEGMENT])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
+
+
 def first_pass(docs: DataFrame, vocab: str, end_id: int, window: int, most_ids: int) -> DataFrame:
     """Full sequences, and (free) the pieces that are to be packed again, with their partition and ordinal among its pieces of their length."""
-    kinds = [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.struct(SEGMENT))]
+    kinds = [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = [x.split()[0] for x in FIRST.split(", ", 7)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, bins = encoder(vocab), TaskContext.get().partitionId(), Bins(window)
         wide, end = np.dtype(id_type(enc, end_id)), np.array([end_id], "<u4").tobytes()
-        seen, full, rows, written = np.zeros(window + 1, np.int64), 0, [], 0
+        seen, full, rows, pieces, ends, written = np.zeros(window + 1, np.int64), 0, [], [], [0], 0
 
         def emit(own: list[tuple], free: bool) -> None:
             nonlocal full, written
             size = sum(p[3] for p in own)
             written += size
-            segments = [dict(zip(("doc_id", "piece", "start", "length"), p[:4], strict=True)) for p in own]
             if free:
                 key = (None, part, int(seen[size]))
                 seen[size] += 1
             else:
                 key = ((part << 40) + full, part, None)
                 full += 1
-            rows.append((free, *key, size, wide.itemsize, b"".join(p[4] for p in own), segments))
+            rows.append((free, *key, size, wide.itemsize, b"".join([p[4] for p in own])))
+            pieces.extend(own)
+            ends.append(len(pieces))
 
         def batch() -> pa.RecordBatch:
             nonlocal written
-            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds]
+            out = pa.RecordBatch.from_arrays([*columns, segments_of(list(zip(*pieces, strict=True))[:4], ends)], names)
             rows.clear()
+            pieces.clear()
+            ends[1:] = []
             written = 0
             return out
 
@@ -218,15 +229,18 @@ def read_sequences(sequences: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for s, width, data, segments in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                ids, at = np.frombuffer(data, f"<u{width}").astype("<u4"), 0
-                for x in segments:
-                    size = x["length"]
-                    rows.append((x["doc_id"], x["piece"], x["start"], size, zlib.crc32(ids[at : at + size].tobytes()), s, at))
-                    at += size
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [x.split()[0] for x in PACKED.split(", ")])
+            segments = b.column(3)
+            doc, piece, start, length = segments.flatten().flatten()
+            sizes, ends = length.to_numpy(zero_copy_only=False), segments.offsets.to_numpy() - segments.offsets[0].as_py()
+            after = np.cumsum(sizes)
+            offsets = after - sizes
+            offsets = offsets - np.repeat(offsets[ends[:-1]], np.diff(ends)) if len(sizes) else offsets
+            crcs, spans = [], list(zip((4 * offsets).tolist(), (4 * (offsets + sizes)).tolist(), strict=True))
+            for width, data, low, high in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                own = memoryview(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes())
+                crcs += [zlib.crc32(own[x:y]) for x, y in spans[low:high]]
+            sequence = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(ends))))
+            yield pa.RecordBatch.from_arrays([doc, piece.cast(pa.int32()), start, length, pa.array(crcs, pa.int64()), sequence, pa.array(offsets, pa.int64())], [x.split()[0] for x in PACKED.split(", ")])
 
     return sequences.mapInArrow(run, PACKED)
 
