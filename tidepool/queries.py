@@ -844,3 +844,6 @@ def large_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts in parts for a model's window, joined again."""
     parts = tables.memories(spark, sf_dir).select("id", ingest.split_large("searchable_text").alias("p"))
     return parts.select("id", F.array_join("p", "").alias("text"), (F.size("p") > 1).alias("is_cut"))
+
+
+from tidepool import queries_search  # noqa: E402, F401  adds its queries to the tables above
