@@ -79,15 +79,14 @@ def suppress_near_duplicates(candidates: DataFrame, vectors: DataFrame, most: fl
 
     def within(t: pa.Table) -> pa.Table:
         t = t.sort_by("rank")
-        kept, seen = [], []
-        for k, v in enumerate(t.column("embedding").to_pylist()):
-            if v is not None:
-                v = np.array(v)
-                if any(float(v @ s) > most for s in seen):
-                    continue
-                seen.append(v)
-            kept.append(k)
-        return t.take(kept)
+        known = np.flatnonzero(t.column("embedding").is_valid().to_numpy())
+        gone = np.zeros(t.num_rows, bool)
+        if len(known):
+            vectors = _vectors(t.take(known))
+            near = vectors @ vectors.T > most
+            for k in range(1, len(known)):  # a row goes for an earlier one that has stayed
+                gone[known[k]] = (near[k, :k] & ~gone[known[:k]]).any()
+        return t.filter(pa.array(~gone))
 
     last = listed.agg(F.max("block")).first()[0]
     paths: list[str] = []
@@ -145,14 +144,35 @@ def authority_levels(records: DataFrame, registry: DataFrame) -> DataFrame:
     asked = records.select("memory_id", F.explode(F.array_distinct("domains")).alias("domain"), "chain", "kind").select("memory_id", "domain", keys)
     best = asked.join(ranked, ["domain", "name", "value"]).groupBy("memory_id", "domain").agg(F.max("_rank").alias("_rank"))
     found = best.groupBy("memory_id").agg(F.max("_rank").cast("long").alias("authority"), F.sum("_rank").cast("long").alias("total"))
-    level = F.lit(1.0)
-    for name, rank in sc.AUTHORITY_RANK.items():
-        level = F.when(F.col("authority") == rank, sc.AUTHORITY_WEIGHT[name]).otherwise(level)
+    level = authority_weight(F.col("authority"))
     out = records.select("memory_id").join(found, "memory_id", "left")
     zero = F.lit(0).cast("long")
     return out.select("memory_id", F.coalesce("authority", zero).alias("authority"), F.coalesce("total", zero).alias("total"), level.alias("weight"))
 
 
+def authority_by_domain(records: DataFrame, registry: DataFrame) -> DataFrame:
+    """memory_id, domain, authority: each record's best rank in each domain where the registry names its chain or its kind. records: memory_id, source_chain,
+    source_kind; registry: domain, name ('chain' or 'kind'), value, level."""
+    ranks = registry.select("domain", "name", "value", sc.authority_rank(F.col("level")).alias("_rank"))
+    keys = F.explode(F.create_map(F.lit("chain"), F.col("source_chain"), F.lit("kind"), F.col("source_kind"))).alias("name", "value")
+    return records.select("memory_id", keys).where("value IS NOT NULL").join(ranks, ["name", "value"]).groupBy("memory_id", "domain").agg(F.max("_rank").cast("long").alias("authority"))
+
+
+def authority_for(candidates: DataFrame, by_domain: DataFrame, domains: Column) -> DataFrame:
+    """candidates with authority: the best rank over the domains of the row's query, 0 where there is none. One row a (query_id, memory_id)."""
+    asked = candidates.select("query_id", "memory_id", F.explode(domains).alias("domain"))
+    best = asked.join(by_domain, ["memory_id", "domain"]).groupBy("query_id", "memory_id").agg(F.max("authority").alias("authority"))
+    return candidates.join(best, ["query_id", "memory_id"], "left").withColumn("authority", F.coalesce("authority", F.lit(0).cast("long")))
+
+
+def authority_weight(rank: Column) -> Column:
+    """The weight of the level that a rank stands for."""
+    out = F.lit(1.0)
+    for name, value in sc.AUTHORITY_RANK.items():
+        out = F.when(rank == value, sc.AUTHORITY_WEIGHT[name]).otherwise(out)
+    return out
+
+
 def best_sensitive(evidence: DataFrame) -> DataFrame:
     """Of the rows that tell where a secret is only the best trusted ones stay, where there is a trusted one at all.
     evidence: query_id, secret_class, trust (level), rank (provenance and authority)."""

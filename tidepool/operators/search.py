@@ -17,10 +17,10 @@ from tidepool.functions.stem import porter, stem
 from tidepool.sources.folder import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Terms, and vector numbers, of the queries that are answered at once.
-MOST_TERMS, MOST_NUMBERS = 200_000, 8_000_000
-#: Pairs of a query and a document that a task scores at once, and stems that it remembers.
-CELLS, MOST_STEMS = 1 << 21, 1_000_000
+#: Terms, vector numbers, and best rows of the queries that are answered at once.
+MOST_TERMS, MOST_NUMBERS, MOST_HELD = 200_000, 8_000_000, 1 << 22
+#: Pairs of a query and a document that a task scores at once, queries of a tile, and stems that a task remembers.
+CELLS, TILE, MOST_STEMS = 1 << 21, 1000, 1_000_000
 
 
 def top(candidates: DataFrame, k: int, score: str = "score", by: str = "query_id", key: str = "memory_id") -> DataFrame:
@@ -35,11 +35,11 @@ def query_terms(queries: DataFrame, stop_words: bool = True) -> DataFrame:
     return queries.select("query_id", words.alias("w")).select("query_id", F.explode("w").alias("term"), F.size("w").alias("n_terms"))
 
 
-def in_blocks(queries: DataFrame, size: Column, most: int, answer: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
-    """answer(queries), at once if their sizes add up to no more than most, else in so many blocks (by a hash of query_id), one after the other,
-    each written to the shared folder: the driver and the tasks hold one block at a time, whatever the number of queries."""
-    total = queries.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    n = -(-total // most)
+def in_blocks(queries: DataFrame, size: Column, most: int, answer: Callable[[DataFrame], DataFrame], name: str, k: int | None = None) -> DataFrame:
+    """answer(queries), at once if their sizes add up to no more than most and their k best rows to MOST_HELD, else in so many blocks (by a hash of
+    query_id), one after the other, each written to the shared folder: the driver and the tasks hold one block at a time, whatever the number of queries."""
+    total, asked = queries.agg(F.coalesce(F.sum(size), F.lit(0)), F.count_distinct("query_id")).first()
+    n = max(-(-total // most), -(-asked * (k or 0) // MOST_HELD))
     if n <= 1:
         return answer(queries)
     parts = [written(answer(queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == b)), f"{name}-{b}") for b in range(n)]
@@ -55,6 +55,28 @@ def best_of(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tu
     return query[kept], ids[kept], score[kept]
 
 
+class Best:
+    """The k best rows of each of n queries, as they are found. What is below a query's k-th best is not held."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least, self.n_held, self.parts = k, np.full(n, -np.inf), 0, [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        good = score >= self.least[query]
+        self.parts.append((query[good], ids[good], score[good]))
+        self.n_held += int(good.sum())
+        if self.n_held > 4 * len(self.parts[0][0]) + CELLS // 8:
+            self.rows()
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        query, ids, score = best_of(*[np.concatenate(x) for x in zip(*self.parts, strict=True)], self.k)
+        self.parts, self.n_held = [(query, ids, score)], len(query)
+        last = np.flatnonzero(np.diff(query, append=-1)) if len(query) else np.zeros(0, np.int64)
+        full = last[np.bincount(query, minlength=len(self.least))[query[last]] == self.k]
+        self.least[query[full]] = score[full]
+        return query, ids, score
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A table of fewer partitions than there are cores (a file or two) is dealt out to all of them; any other stays where it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -63,12 +85,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 #: Bytes that are no letter or digit become blanks; the same words as tokens() makes.
 _BLANK = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
-POSTINGS = "memory_id long, ok boolean, size int, terms array<int>, counts array<int>"
+POSTINGS = "memory_id long, ok array<boolean>, size int, terms array<int>, counts array<int>"
 
 
-def postings(memories: DataFrame, terms: list[str], stemmed: bool, where: Column | None) -> DataFrame:
-    """Each memory's words (size), and which of the terms occur in it how often, by number. A memory is one row, so no word is shuffled.
-    stemmed: terms are stems; each task remembers the stems of the words it has met."""
+def postings(memories: DataFrame, terms: list[str], stemmed: bool, where: list[Column]) -> DataFrame:
+    """Each memory's words (size), and which of the terms occur in it how often, by number; and which of the conditions it meets (ok). A memory is one
+    row, so no word is shuffled. stemmed: terms are stems; each task remembers the stems of the words it has met."""
     number = {t.encode(): n for n, t in enumerate(terms)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,13 +116,14 @@ def postings(memories: DataFrame, terms: list[str], stemmed: bool, where: Column
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x).astype(np.int32)) if x else pa.array([], pa.int32())) for x in (found, counts)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sizes, pa.int32()), *lists], ["memory_id", "ok", "size", "terms", "counts"])
 
-    ok = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    ok = F.array(*[F.coalesce(x, F.lit(False)) for x in where])
     texts = memories.select(F.col("id").cast("long").alias("memory_id"), F.coalesce(F.col("searchable_text"), F.lit("")).alias("text"), ok.alias("ok"))
     return spread(texts).mapInArrow(run, POSTINGS)
 
 
-def bm25(memories: DataFrame, queries: DataFrame, match_all: bool = False, where: Column | None = None, stemmed: bool = False, k: int | None = None) -> DataFrame:
+def bm25(memories: DataFrame, queries: DataFrame, match_all: bool = False, where: Column | list[Column] | None = None, stemmed: bool = False, k: int | None = None) -> DataFrame:
     """query_id, memory_id, score of all matches, or of the k best of each task (of which top() then takes the best). stemmed: words of one stem are one term.
+    where: which memories may match; a list of conditions if each query has its own one's number in a column group.
 
     The texts are read once, into postings of the queries' terms, which are written. Documents and words in all, and documents with each
     term, are counted there; then each document is scored where its row is read. Queries with more than MOST_TERMS terms together are answered
@@ -108,18 +131,27 @@ def bm25(memories: DataFrame, queries: DataFrame, match_all: bool = False, where
     terms = query_terms(queries, stop_words=not match_all)
     if stemmed:
         terms = terms.select("query_id", stem(F.col("term")).alias("term")).distinct()
-    return in_blocks(terms, F.lit(1), MOST_TERMS, lambda part: _bm25(memories, part, match_all, where, stemmed, k), "keyword")
+    conditions = where if isinstance(where, list) else [F.lit(True) if where is None else where]
+    terms = terms.join(queries.select("query_id", "group"), "query_id") if isinstance(where, list) else terms.withColumn("group", F.lit(0))
+    return in_blocks(terms, F.lit(1), MOST_TERMS, lambda part: _bm25(memories, part, match_all, conditions, stemmed, k), "keyword", k)
 
 
-def _bm25(memories: DataFrame, asked: DataFrame, match_all: bool, where: Column | None, stemmed: bool, k: int | None) -> DataFrame:
-    rows = asked.select("query_id", "term").collect()  # MOST_TERMS or so at most
-    terms, ids = sorted({r.term for r in rows}), np.array(sorted({r.query_id for r in rows}), np.int64)
+def steps_of(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to no more than most, or of one row."""
+    ends = np.cumsum(sizes)
+    out, at = [], 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        out.append((at, end))
+        at = end
+    return out
+
+
+def _bm25(memories: DataFrame, asked: DataFrame, match_all: bool, where: list[Column], stemmed: bool, k: int | None) -> DataFrame:
+    rows = asked.select("query_id", "term", "group").collect()  # MOST_TERMS or so at most
+    terms = sorted({r.term for r in rows})
     number = {t: n for n, t in enumerate(terms)}
-    term, query = np.array([number[r.term] for r in rows], np.int64), np.searchsorted(ids, np.array([r.query_id for r in rows], np.int64))
-    order = np.argsort(term, kind="stable")
-    asking, starts = query[order], np.searchsorted(term[order], np.arange(len(terms) + 1))  # the queries of each term
-    needed = np.bincount(query, minlength=len(ids))
-    if not len(ids):
+    if not rows:
         return memories.select(F.lit(0).cast("long").alias("query_id"), F.col("id").cast("long").alias("memory_id"), F.lit(0.0).alias("score")).limit(0)
     table = written(postings(memories, terms, stemmed, where), "postings")
     n_docs, n_words = table.agg(F.count(F.lit(1)), F.sum("size")).first()
@@ -129,34 +161,50 @@ def _bm25(memories: DataFrame, asked: DataFrame, match_all: bool, where: Column
         df[t] = n
     idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), LEAST_IDF)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step, names = max(1, CELLS // len(ids)), ["query_id", "memory_id", "score"]
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        for b in batches:
-            for at in range(0, b.num_rows, step):
-                part = b.slice(at, step)
-                size, t, n = (c.to_numpy(zero_copy_only=False) for c in (part.column(1), part.column(2).flatten(), part.column(3).flatten()))
-                doc = pc.list_parent_indices(part.column(2)).to_numpy(zero_copy_only=False)
-                weight = idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * size[doc] / average))
-                many = starts[t + 1] - starts[t]
-                which = asking[np.arange(many.sum()) + np.repeat(starts[t] + many - np.cumsum(many), many)]
-                cell = np.repeat(doc, many) * len(ids) + which
-                matched = np.bincount(cell, minlength=part.num_rows * len(ids)).reshape(-1, len(ids))
-                sums = np.bincount(cell, np.repeat(weight, many), part.num_rows * len(ids)).reshape(-1, len(ids))
-                hit = matched == needed if match_all else matched > 0
-                sums = np.where(hit, np.floor(sums * 1e6 + 0.5) / 1e6, -1.0)
-                if k is not None and len(sums) > k:  # what is below the k-th best of these is not among the best
-                    hit &= sums >= np.partition(sums, len(sums) - k, axis=0)[len(sums) - k]
-                row, column = np.nonzero(hit)
-                found = (column, part.column(0).to_numpy(zero_copy_only=False)[row], sums[row, column])
-                if k is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[1]), pa.array(found[2])], names)
-                else:
-                    held = best_of(*[np.concatenate(x) for x in zip(held, found, strict=True)], k)
-        if k is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], names)
-
-    return table.where("ok").select("memory_id", "size", "terms", "counts").mapInArrow(score, "query_id long, memory_id long, score double")
+    def scorer(own: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """For the queries of one condition."""
+        ids = np.array(sorted({r.query_id for r in own}), np.int64)
+        term, query = np.array([number[r.term] for r in own], np.int64), np.searchsorted(ids, np.array([r.query_id for r in own], np.int64))
+        order = np.argsort(term, kind="stable")
+        asking, starts = query[order], np.searchsorted(term[order], np.arange(len(terms) + 1))  # the queries of each term
+        needed = np.bincount(query, minlength=len(ids))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, best = ["query_id", "memory_id", "score"], Best(len(ids), k or 1)
+            for b in batches:
+                size, t, n = (c.to_numpy(zero_copy_only=False) for c in (b.column(1), b.column(2).flatten(), b.column(3).flatten()))
+                lengths = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
+                many, at = starts[t + 1] - starts[t], np.concatenate([[0], np.cumsum(lengths)])
+                before = np.concatenate([[0], np.cumsum(many)])
+                for low, high in steps_of(np.diff(before[at]), CELLS):
+                    part, doc = slice(at[low], at[high]), np.repeat(np.arange(high - low), lengths[low:high])
+                    weight = idf[t[part]] * n[part] * (K1 + 1) / (n[part] + K1 * (1 - B + B * size[low + doc] / average))
+                    m = many[part]
+                    which = asking[np.arange(m.sum()) + np.repeat(starts[t[part]] + m - np.cumsum(m), m)]
+                    cell = np.repeat(doc, m) * len(ids) + which
+                    # only cells that occur, unless most do
+                    if (high - low) * len(ids) > 4 * len(cell):
+                        cell, place = np.unique(cell, return_inverse=True)
+                    else:
+                        place, cell = cell, np.arange((high - low) * len(ids))
+                    matched, sums = np.bincount(place, minlength=len(cell)), np.bincount(place, np.repeat(weight, m), len(cell))
+                    hit = np.flatnonzero(matched == needed[cell % len(ids)] if match_all else matched > 0)
+                    found = (cell[hit] % len(ids), b.column(0).to_numpy(zero_copy_only=False)[low + cell[hit] // len(ids)], np.floor(sums[hit] * 1e6 + 0.5) / 1e6)
+                    if k is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[1]), pa.array(found[2])], names)
+                    else:
+                        best.add(*found)
+            if k is not None:
+                found = best.rows()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[1]), pa.array(found[2])], names)
+
+        return score
+
+    out = []
+    for g in sorted({r.group for r in rows}):
+        texts = table.where(F.col("ok")[g]).select("memory_id", "size", "terms", "counts")
+        out.append(texts.mapInArrow(scorer([r for r in rows if r.group == g]), "query_id long, memory_id long, score double"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, models: list[str] | None = None) -> DataFrame:
@@ -165,7 +213,7 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, models: list[str
     if models:
         vectors = vectors.where(F.col("model_name").isin(models))
     known = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    return in_blocks(known, F.size("embedding"), MOST_NUMBERS, lambda part: _vector_topk(vectors, part, k), "vectors")
+    return in_blocks(known, F.size("embedding"), MOST_NUMBERS, lambda part: _vector_topk(vectors, part, k), "vectors", k)
 
 
 def _vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -174,19 +222,21 @@ def _vector_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     matrix = np.array([r.embedding for r in rows], np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        step = max(1, CELLS // max(1, len(ids)))
+        best, step = Best(len(ids), k), CELLS // TILE
         for b in batches:
             b = b.filter(b.column(1).is_valid())
             for at in range(0, b.num_rows if len(ids) else 0, step):
                 part = b.slice(at, step)
                 values = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
-                score = np.round(matrix @ values.T, 6)
-                # what is not below the k-th best of the batch may be among the best
-                least = np.partition(score, max(0, score.shape[1] - k), axis=1)[:, max(0, score.shape[1] - k)]
-                query, column = np.nonzero(score >= least[:, None])
-                found = (query, part.column(0).to_numpy(zero_copy_only=False)[column], score[query, column])
-                held = best_of(*[np.concatenate(x) for x in zip(held, found, strict=True)], k)
+                own = part.column(0).to_numpy(zero_copy_only=False)
+                for first in range(0, len(ids), TILE):
+                    score = np.round(matrix[first : first + TILE] @ values.T, 6)
+                    least = best.least[first : first + TILE]
+                    if score.shape[1] > k and np.isinf(least).any():  # what is below the k-th best of these is not among the best
+                        least = np.maximum(least, np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k])
+                    query, column = np.nonzero(score >= least[:, None])
+                    best.add(first + query, own[column], score[query, column])
+        held = best.rows()
         yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]] if len(ids) else held[0]), pa.array(held[1]), pa.array(held[2])], ["query_id", "memory_id", "score"])
 
     return top(vectors.select(F.col("memory_id").cast("long").alias("memory_id"), "embedding").mapInArrow(run, "query_id long, memory_id long, score double"), k)
@@ -203,7 +253,7 @@ def rrf_parameters(query: Column) -> tuple[Column, Column]:
 def rrf(keyword: DataFrame, vector: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Reciprocal ranks of both lists summed; each list has query_id, memory_id, rank (from 1)."""
     kk, kv = rrf_parameters(F.col("query"))
-    ks = F.broadcast(queries.select("query_id", kk.alias("kk"), kv.alias("kv")))
+    ks = queries.select("query_id", kk.alias("kk"), kv.alias("kv"))
     both = keyword.select("query_id", "memory_id", "rank", F.lit(True).alias("is_kw")).unionByName(vector.select("query_id", "memory_id", "rank", F.lit(False).alias("is_kw")))
     share = F.lit(1.0) / (F.when(F.col("is_kw"), F.col("kk")).otherwise(F.col("kv")) + F.col("rank"))
     return top(both.join(ks, "query_id").groupBy("query_id", "memory_id").agg(F.round(F.sum(share), 9).alias("score")), k)
