@@ -1,57 +1,93 @@
-"""The whole ranked search, as one plan: candidates by mode, fusion, score factors, policies, states, grounding, alignment, best rows.
+"""The whole ranked search, as one plan: candidates by mode and filter, fusion, rerank, score factors, policies, states, grounding, alignment, best rows.
 
-A plan is a small table with a row a query: query_id, query, mode, temporal and state (what the query leans to: newer or older, current or
-historical, else neutral), strict_grounding, alignment, asks_guidance. routed() makes it from the queries' own words; a caller may set
-columns itself. All queries go through each step together.
+A plan is a small table with a row a query (PLAN): query_id, query, mode, temporal and state (what the query leans to: newer or older, current or
+historical, else neutral), strict_grounding, alignment, asks_guidance; and, where a caller wants them (OPTIONS), depth (the least tier: standard 1, deep 0, else
+any), category and memory_type (filters of keyword candidates), rerank_limit, reflection (how derived rows stand to others). routed() makes it from the queries' own words; a
+caller may set columns itself. All queries go through each step together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidepool.functions import labels
 from tidepool.functions import scoring as sc
 from tidepool.operators import grounding, lifecycle, policy, rank, search, state
 from tidepool.plans.route import Query, route
 from tidepool.sources.folder import written
 
 PLAN = "query_id long, query string, mode string, temporal string, state string, strict_grounding boolean, alignment boolean, asks_guidance boolean"
-#: Rows of a search in all modes but exhaustive are found in so many times the limit, and fused lists cut to FUSED times.
+ROUTED = PLAN + ", depth string, rerank_limit int, reflection string, graph_depth int"
+#: What a plan may hold besides, and what is taken where it does not.
+OPTIONS = {"depth": ("string", None), "category": ("string", None), "memory_type": ("string", None), "rerank_limit": ("int", 0), "reflection": ("string", "neutral"), "graph_depth": ("int", 0)}
+#: Rows are found in so many times the limit where a later step may drop some, and fused lists cut to FUSED times.
 FETCHED, FUSED = 3, 2
 EXHAUSTIVE = 10_000
-#: What isolate() reads, for memories that lack it.
-POLICY = {"pending": "boolean", "denied": "boolean", "policy_class": "string", "scope_fits": "boolean", "class_fits": "boolean"}
+LEAST_TIER = {"standard": 1, "deep": 0}
+#: What isolate() and resolve_conflicts() read of a review, and of a derived row.
+POLICY = {"pending": "boolean", "denied": "boolean", "policy_class": "string", "review_scope": "string", "review_status": "string", "review_severity": "string"}
+DERIVED = {"derived_kind": "string", "reflection_status": "string"}
 
+Reranker = Callable[[Column, Column, Column], Column]
+Scoring = Callable[[Column, Column], Column]
 
-def routed(queries: DataFrame, mode: str = "hybrid") -> DataFrame:
-    """The plan of queries (query_id, query); null queries find nothing."""
+
+def completed(plan: DataFrame) -> DataFrame:
+    """The plan with all options; queries of white space are left out, as they find nothing in any mode."""
+    more = [F.lit(value).cast(kind).alias(c) for c, (kind, value) in OPTIONS.items() if c not in plan.columns]
+    return plan.select("*", *more).where(F.length(F.trim("query")) > 0)
+
+
+def routed(queries: DataFrame, mode: str = "hybrid", depth: str | None = None, rerank_limit: int = 20) -> DataFrame:
+    """The plan of queries (query_id, query); null and empty queries find nothing. depth: of queries whose words set none; None: all tiers for them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, text in zip(b["query_id"], b["query"], strict=True):
-                r, q = route(text or "", mode), Query(text or "")
+                r, q = route(text or "", mode, depth or "any", rerank_limit), Query(text or "")
                 named = "keyword-any" if r.mode == "keyword" and q.precise_procedure else r.mode
-                rows.append((i, text, named, r.temporal, r.state, r.strict_grounding, r.alignment, q.guidance))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in PLAN.split(", ")])
+                rows.append((i, text, named, r.temporal, r.state, r.strict_grounding, r.alignment, q.guidance, r.depth, r.rerank_limit, r.reflection, r.graph_depth))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROUTED.split(", ")])
+
+    return queries.select("query_id", "query").mapInPandas(run, ROUTED)
 
-    return queries.select("query_id", "query").mapInPandas(run, PLAN)
+
+def filtered(plan: DataFrame, memories: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The plan with group, the number of each query's filter, and the filters as conditions on memories: one for each combination of
+    category, memory_type and least tier that occurs."""
+    tier = F.lit(None).cast("int")
+    for name, least in LEAST_TIER.items():
+        tier = F.when(F.col("depth") == name, least).otherwise(tier)
+    plan = plan.withColumn("_tier", tier if "tier" in memories.columns else F.lit(None).cast("int"))
+    keys = ["category", "memory_type", "_tier"]
+    found = plan.select(*keys).distinct().orderBy(*keys).collect()  # categories times types times tiers at most
+    group, conditions = F.lit(0), []
+    for n, r in enumerate(found):
+        group = F.when(F.lit(True) & F.col("category").eqNullSafe(F.lit(r.category)) & F.col("memory_type").eqNullSafe(F.lit(r.memory_type)) & F.col("_tier").eqNullSafe(F.lit(r._tier)), n).otherwise(group)
+        own = [F.col(c) == v for c, v in (("category", r.category), ("memory_type", r.memory_type)) if v is not None]
+        conditions.append(reduce(lambda a, b: a & b, own + ([F.col("tier") >= r._tier] if r._tier is not None else []), F.lit(True)))
+    return plan.withColumn("group", group).drop("_tier"), conditions or [F.lit(True)]
 
 
 def found(plan: DataFrame, memories: DataFrame, k: int, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
-    """query_id, memory_id, score of each query's first stage. keyword: all words; keyword-any: any word; vector; hybrid: both lists fused; exhaustive: any
-    word, EXHAUSTIVE rows at most. Without vectors, hybrid and vector are keyword. vectors: memory_id, embedding; query_vectors: query_id, embedding."""
+    """query_id, memory_id, score of each query's first stage. keyword: all words; keyword-any: any word; vector; hybrid or auto: both lists fused; exhaustive: any
+    word, EXHAUSTIVE rows at most. Without vectors, hybrid, auto and vector are keyword. Filters bind the keyword lists; a vector list holds what is near.
+    vectors: memory_id, embedding; query_vectors: query_id, embedding."""
+    plan, conditions = filtered(completed(plan), memories)
+    plan = plan.withColumn("mode", F.when(F.col("mode") == "auto", "hybrid").otherwise(F.col("mode")))
     if vectors is None:
         plan = plan.withColumn("mode", F.when(F.col("mode").isin("hybrid", "vector"), "keyword").otherwise(F.col("mode")))
     modes = {r.mode for r in plan.select("mode").distinct().collect()}
-    by = lambda *names: plan.where(F.col("mode").isin(*names)).select("query_id", "query")
+    by = lambda *names: plan.where(F.col("mode").isin(*names)).select("query_id", "query", "group")
     out = []
     if modes & {"keyword-any", "hybrid"}:
-        words = search.top(search.bm25(memories, by("keyword-any", "hybrid"), k=FETCHED * k), FETCHED * k)
+        words = search.top(search.bm25(memories, by("keyword-any", "hybrid"), where=conditions, k=FETCHED * k), FETCHED * k)
         out.append(words.join(by("keyword-any").select("query_id"), "query_id", "left_semi"))
     if modes & {"vector", "hybrid"}:
         asked = query_vectors.join(by("vector", "hybrid").select("query_id"), "query_id", "left_semi")
@@ -61,9 +97,12 @@ def found(plan: DataFrame, memories: DataFrame, k: int, vectors: DataFrame | Non
             both = [x.join(by("hybrid").select("query_id"), "query_id", "left_semi") for x in (words, near)]
             out.append(search.rrf(*both, by("hybrid"), FUSED * k))
     if "keyword" in modes:
-        out.append(search.top(search.bm25(memories, by("keyword"), match_all=True, k=FETCHED * k), FETCHED * k))
+        # more than the limit only where derived rows may push others out
+        most = plan.where("mode = 'keyword'").select("query_id", F.when(F.col("reflection").isin("prefer-current", "only-current"), FETCHED * k).otherwise(k).alias("_most"))
+        words = search.top(search.bm25(memories, by("keyword"), match_all=True, where=conditions, k=FETCHED * k), FETCHED * k)
+        out.append(words.join(most, "query_id").where(F.col("rank") <= F.col("_most")))
     if "exhaustive" in modes:
-        out.append(search.top(search.bm25(memories, by("exhaustive"), k=EXHAUSTIVE), EXHAUSTIVE))
+        out.append(search.top(search.bm25(memories, by("exhaustive"), where=conditions, k=EXHAUSTIVE), EXHAUSTIVE))
     columns = ["query_id", "memory_id", "score"]
     return reduce(DataFrame.unionByName, [x.select(columns) for x in out]) if out else plan.select("query_id", F.lit(0).cast("long").alias("memory_id"), F.lit(0.0).alias("score")).limit(0)
 
@@ -77,42 +116,84 @@ def factors(now: Column, query_guidance: Column) -> Column:
     )
 
 
-def ranked(plan: DataFrame, candidates: DataFrame, memories: DataFrame, relations: DataFrame, now: Column, k: int, vectors: DataFrame | None = None, least_score: float | None = None) -> DataFrame:
-    """query_id, memory_id, score, rank from first-stage candidates: score factors, validity, procedural isolation; then linked rows join; then the biases of
-    time and state, demotion of linked losers, near-duplicates (hybrid, with vectors), strict grounding, alignment, the least score, and the k
-    best rows (all, where the mode is exhaustive)."""
-    own = plan.select("query_id", "mode", "temporal", "state", "strict_grounding", "alignment", "asks_guidance")
-    facts = memories.withColumnRenamed("id", "memory_id")
-    facts = facts.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in POLICY.items() if c not in facts.columns])
-    rows = candidates.join(F.broadcast(own), "query_id").join(facts, "memory_id").withColumn("trust", sc.trust_level(F.col("source_trust")))
-    rows = rows.withColumn("score", F.col("score") * factors(now, F.col("asks_guidance"))).where(lifecycle.valid_at(now))
+def reviewed(memories: DataFrame, reviews: DataFrame | None, now: Column) -> DataFrame:
+    """memories with what their review says (POLICY); without a table of reviews, as far as they have these columns. reviews: id, review_required, review_status, review_expires_at,
+    and, if known, review_severity, review_scope, review_policy_class."""
+    if reviews is not None:
+        optional = [(F.col(c) if c in reviews.columns else F.lit(None).cast("string")).alias(name) for c, name in (("review_severity", "review_severity"), ("review_scope", "review_scope"), ("review_policy_class", "policy_class"))]
+        status = sc.effective_review(F.col("review_status"), F.coalesce("review_required", F.lit(False)), F.col("review_expires_at"), now)
+        own = reviews.select(F.col("id").alias("memory_id"), status.alias("review_status"), *optional)
+        own = own.withColumns({"pending": F.coalesce(F.col("review_status").isin("pending", "expired"), F.lit(False)), "denied": F.coalesce(F.col("review_status") == "denied", F.lit(False))})
+        memories = memories.drop(*POLICY).join(own, "memory_id", "left")
+    return memories.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in POLICY.items() if c not in memories.columns])
+
+
+def ranked(
+    plan: DataFrame, candidates: DataFrame, memories: DataFrame, relations: DataFrame, now: Column, k: int, vectors: DataFrame | None = None, least_score: float | None = None,
+    reviews: DataFrame | None = None, registry: DataFrame | None = None, derived: DataFrame | None = None, scoring: Scoring = factors, reranker: Reranker | None = None,
+) -> DataFrame:
+    """query_id, memory_id, score, rank from first-stage candidates: the reranker's scores for the head, score factors, validity, procedural isolation, trusted procedures that
+    contradict, preference of derived rows or sources; then linked rows join; then the biases of time and state, demotion of linked losers,
+    near-duplicates (hybrid, with vectors), strict grounding, alignment, the least score, and the k best rows (all, where the mode is exhaustive).
+
+    reviews: see reviewed(). registry: see rank.authority_by_domain(); memories with source_chain. derived: memory_id, derived_kind, reflection_status. scoring(now,
+    asks_guidance) and reranker(text, query, score) give columns."""
+    own = completed(plan).select("query_id", "query", "mode", "temporal", "state", "strict_grounding", "alignment", "asks_guidance", "rerank_limit", "reflection")
+    facts = reviewed(memories.withColumnRenamed("id", "memory_id"), reviews, now)
+    if "source_chain" not in facts.columns:
+        facts = facts.withColumn("source_chain", F.lit(None).cast("string"))
+    facts = facts.drop(*DERIVED).join(derived.select("memory_id", *DERIVED), "memory_id", "left") if derived is not None else facts.select("*", *[F.lit(None).cast(kind).alias(c) for c, kind in DERIVED.items() if c not in facts.columns])
+    rows = candidates.join(own, "query_id").join(facts, "memory_id").withColumn("trust", sc.trust_level(F.col("source_trust")))
+    if reranker is not None:
+        w = Window.partitionBy("query_id")
+        place, n = F.row_number().over(w.orderBy(F.col("score").desc(), "memory_id")), F.count(F.lit(1)).over(w)
+        rows = rows.withColumns({"_place": place, "_n": n})
+        head = (F.col("_n") > 1) & (F.col("_place") <= F.col("rerank_limit"))
+        rows = rows.withColumn("score", F.when(head, reranker(F.col("searchable_text"), F.col("query"), F.col("score"))).otherwise(F.col("score"))).drop("_place", "_n")
+    score = F.col("score") * scoring(now, F.col("asks_guidance")) * sc.review_safety(F.col("review_status"), F.col("review_severity"), F.col("asks_guidance"))
+    if registry is not None:
+        rows = rank.authority_for(rows, rank.authority_by_domain(facts, registry), labels.domains(F.col("query")))
+        score = score * rank.authority_weight(F.col("authority"))
+    rows = rows.withColumn("score", score).where(lifecycle.valid_at(now))
+    rows = rows.withColumns({"scope_fits": labels.scope_fits(F.col("review_scope"), labels.scope(F.col("query"))), "class_fits": labels.class_fits(F.col("policy_class"), F.col("query"))})
+    rows = policy.isolate(rows)
+    if registry is not None:
+        rows = policy.resolve_conflicts(rows.withColumn("provenance_rank", sc.provenance_rank(F.col("source_kind"), F.col("source_verification"))))
     # lists are short by now; they are written, as what follows reads them more than once
-    kept = written(policy.isolate(rows).select("query_id", "memory_id", "score"), "ranked")
+    kept = written(policy.weigh_reflections(rows, F.col("reflection")).select("query_id", "memory_id", "score"), "ranked")
     edges = relations
-    lists = kept.join(F.broadcast(own.select("query_id", "state")), "query_id")
+    lists = kept.join(own.select("query_id", "state"), "query_id")
     joined = [kept] + [state.successors(lists.where(F.col("state") == s).select("query_id", "memory_id", "score"), edges, now, backward=s == "historical") for s in ("current", "historical")]
     both = written(reduce(DataFrame.unionByName, joined), "linked")
 
-    rows = both.join(F.broadcast(own), "query_id").join(facts, "memory_id")
+    rows = both.join(own, "query_id").join(facts, "memory_id")
     newer = F.when(F.col("temporal") == "newer", True).when(F.col("temporal") == "older", False)
     current = F.when(F.col("state") == "current", True).when(F.col("state") == "historical", False)
     rows = state.temporal_bias(rows, newer)
     rows = rows.join(state.snapshot(both.select("memory_id").distinct(), edges, now), "memory_id").withColumn("score", state.state_bias(F.col("score"), current, now))
-    rows = state.linked_demotion(rows.withColumn("_current", current), edges, now, F.col("_current"))
+    rows = state.linked_demotion(rows.withColumn("_now", current), edges, now, F.col("_now"))
     if vectors is not None:
-        listed = rows.where(F.col("mode") == "hybrid").select("query_id", "memory_id", "score")
+        listed = rows.where(F.col("mode").isin("hybrid", "auto")).select("query_id", "memory_id", "score")
         single = rank.suppress_near_duplicates(listed, vectors)
-        rows = rows.where(F.col("mode") != "hybrid").unionByName(rows.join(single.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_semi"))
-    rows = written(rows.select("query_id", "memory_id", "score", "mode", "strict_grounding", "alignment", "searchable_text"), "weighed")
-    words = F.broadcast(plan.select("query_id", "query"))
-    rows = grounding.ground(rows, words).where(~F.col("strict_grounding") | F.col("grounded"))
-    aligned = grounding.align(rows.withColumn("_plain", F.col("score")), words)
-    rows = aligned.withColumn("score", F.round(F.when(F.col("alignment"), F.col("score")).otherwise(F.col("_plain")), 6))
+        rows = rows.where(~F.col("mode").isin("hybrid", "auto")).unionByName(rows.join(single.select("query_id", "memory_id"), ["query_id", "memory_id"], "left_semi"))
+    rows = written(rows.select("query_id", "memory_id", "score", "mode", "strict_grounding", "alignment", "reflection", "searchable_text", *DERIVED), "weighed")
+    words = own.select("query_id", "query")
+    rows = answering(rows, words)
     if least_score is not None:
         rows = rows.where(F.col("score") >= least_score)
-    return search.top(rows, 2**31 - 1).where((F.col("rank") <= k) | (F.col("mode") == "exhaustive")).select("query_id", "memory_id", "score", F.col("rank").cast("long").alias("rank"))
+    rows = policy.weigh_reflections(rows.withColumn("_own", F.col("score")), F.col("reflection")).withColumn("score", F.col("_own"))
+    order = Window.partitionBy("query_id").orderBy(F.col("_bucket").desc(), F.col("score").desc(), F.when(F.col("reflection") != "neutral", F.col("_current")).desc(), "memory_id")
+    out = rows.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) | (F.col("mode") == "exhaustive"))
+    return out.select("query_id", "memory_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def answering(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows that bear on their query, where it is strict, weighed by how they suit it, where it is to be aligned. rows: with searchable_text, strict_grounding, alignment."""
+    grounded = grounding.ground(rows, queries).where(~F.col("strict_grounding") | F.col("grounded")).drop("grounded")
+    aligned = grounding.align(grounded.withColumn("_plain", F.col("score")), queries)
+    return aligned.withColumn("score", F.round(F.when(F.col("alignment"), F.col("score")).otherwise(F.col("_plain")), 6)).drop("_plain")
 
 
-def retrieve(plan: DataFrame, memories: DataFrame, relations: DataFrame, now: Column, k: int = 10, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, least_score: float | None = None) -> DataFrame:
-    """The k best memories of each query of the plan."""
-    return ranked(plan, found(plan, memories, k, vectors, query_vectors), memories, relations, now, k, vectors, least_score)
+def retrieve(plan: DataFrame, memories: DataFrame, relations: DataFrame, now: Column, k: int = 10, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, least_score: float | None = None, **options) -> DataFrame:
+    """The k best memories of each query of the plan. options: those of ranked()."""
+    return ranked(plan, found(plan, memories, k, vectors, query_vectors), memories, relations, now, k, vectors, least_score, **options)

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidepool.functions import text as tx
-from tidepool.operators import boolean, inverted
-from tidepool.queries import _TOK, query
+from tidepool.operators import boolean, grounding, inverted, variants
+from tidepool.queries import _FACTORS, _LEVEL, _LIVE, _M, _NOW, _R, _SNAP, _TOK, now, query
 from tidepool.sources import tables
 from tidepool.sources.folder import shared_dir
 
@@ -79,3 +79,52 @@ def boolean_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = ["w[2] || ' AND ' || w[3]", "'(' || w[2] || ' OR ' || w[3] || ') NOT ' || w[4]", "'\"' || array_join(slice(w, 3, 3), ' ') || '\"'", "substr(w[2], 1, 3) || '* AND ' || w[3]", "'\"' || w[2] || ' ' || w[3] || '\" OR ' || w[4] || ' NOT ' || w[6]"]
     form = F.expr("CASE query_id DIV 20 % 5 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(forms)) + " END")
     return _best(boolean.search(index, words.select("query_id", form.alias("query")), 10))
+
+
+_CURRENT = "|".join(grounding.CURRENT)
+_PAST = "|".join(grounding.HISTORICAL)
+_WEIGHTS = "CASE relation " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in variants.RELATION_WEIGHTS.items()) + f" ELSE {variants.OTHER_RELATION} END"
+_VARIANTS = f"""m AS ({_M}), r AS ({_R}), l AS ({_LIVE}), s AS ({_SNAP}),
+d AS (SELECT doc_id AS memory_id, {_TOK.format('text')} AS words FROM documents), stats AS (SELECT count(*) AS n_docs, avg(len(words)) AS avg_len FROM d),
+q AS (SELECT memory_id AS query_id, memory_id // 20 % 3 AS form, list_distinct(big[1:2]) AS words FROM (SELECT memory_id, list_filter(words, lambda w: length(w) >= 8) AS big FROM d WHERE memory_id % 20 = 0) WHERE len(big) >= 2),
+terms AS (SELECT query_id, form, unnest(words) AS term, len(words) AS n_terms FROM q),
+tf AS (SELECT term, memory_id, dl, count(*) AS tf FROM (SELECT memory_id, len(words) AS dl, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+found AS (SELECT query_id, form, memory_id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * {_GAIN.format('tf')}), 6) AS score, count(*) AS n, any_value(n_terms) AS n_terms FROM terms JOIN df USING (term) JOIN tf USING (term), stats GROUP BY ALL),
+kw AS (SELECT * FROM found WHERE n = n_terms QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) <= 20), t AS (SELECT *, {_LEVEL} AS level FROM m),
+c AS (SELECT query_id, form, memory_id, round(score * {_FACTORS}, 6) * CASE WHEN form = 1 THEN 1 ELSE 1.35::DOUBLE END AS score FROM kw JOIN t ON id = memory_id WHERE (valid_from IS NULL OR valid_from <= {_NOW}) AND (valid_until IS NULL OR valid_until > {_NOW})),
+seeds AS (SELECT * FROM c WHERE form <> 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) <= 20),
+walk(query_id, form, memory_id, seed, depth, relation) AS (SELECT query_id, form, memory_id, score, 0, '' FROM seeds
+  UNION SELECT w.query_id, w.form, l.target_id, w.seed, w.depth + 1, l.relation FROM walk w JOIN l ON l.source_id = w.memory_id WHERE w.depth < 2),
+u AS (SELECT query_id, form, memory_id, score FROM c UNION ALL SELECT query_id, form, memory_id, seed / (depth + 1) * {_WEIGHTS} FROM walk WHERE depth > 0
+  UNION ALL SELECT query_id, form, target_id, score * 0.96 FROM seeds JOIN l ON source_id = memory_id AND relation = 'superseded_by' WHERE form = 2),
+b AS (SELECT query_id, form, memory_id, max(score) AS score FROM u GROUP BY ALL),
+a AS (SELECT query_id, memory_id, session, trim(regexp_replace(lower(searchable_text), '[^a-z0-9]+', ' ', 'g')) AS plain, searchable_text, form, score * CASE WHEN form = 2 AND is_superseded THEN 0.1::DOUBLE ELSE 1 END AS score FROM b JOIN s USING (memory_id) JOIN m ON id = memory_id),
+g AS (SELECT query_id, memory_id, session, searchable_text, round(score * CASE WHEN form <> 2 THEN 1 WHEN regexp_matches(plain, '{_CURRENT}') THEN 1.55::DOUBLE WHEN regexp_matches(plain, '{_PAST}') THEN 0.8 ELSE 1 END, 6)::DOUBLE AS score FROM a),
+e AS (SELECT query_id, memory_id, searchable_text, score FROM g QUALIFY row_number() OVER (PARTITION BY query_id, coalesce(session, '#' || memory_id) ORDER BY score DESC, memory_id) <= 2)"""
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three forms of questions about two long words of every twentieth memory's text: how they are linked, the words alone, how they are linked now."""
+    m = tables.memories(spark, sf_dir)
+    long = m.where("id % 20 = 0").select("id", F.filter(tx.tokens(F.col("searchable_text")), lambda w: F.length(w) >= 8).alias("w")).where("size(w) >= 2")
+    form = F.expr("CASE id DIV 20 % 3 WHEN 0 THEN 'How is ' || w[0] || ' linked to ' || w[1] || '?' WHEN 1 THEN w[0] || ' ' || w[1] ELSE 'How is the current ' || w[0] || ' linked to ' || w[1] || '?' END")
+    asked = long.select(F.col("id").alias("query_id"), form.alias("query"))
+    return variants.search(asked, m, tables.relations(spark, sf_dir), now(), variants.Assembly(max_per_session=2, search_limit=20))
+
+
+@query(f"WITH RECURSIVE {_VARIANTS} SELECT query_id, memory_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM e")
+def multi_query_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variants(spark, sf_dir)
+
+
+@query(
+    f"""WITH RECURSIVE {_VARIANTS},
+i AS (SELECT query_id, memory_id, ceil(strlen(searchable_text) * 0.25)::BIGINT AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rn FROM e),
+fold(query_id, rn, used, ids) AS (SELECT query_id, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT query_id FROM i)
+  UNION ALL SELECT f.query_id, i.rn, CASE WHEN used + tokens <= 1000 THEN used + tokens ELSE used END, CASE WHEN used + tokens <= 1000 THEN list_append(ids, memory_id) ELSE ids END FROM fold f JOIN i ON i.query_id = f.query_id AND i.rn = f.rn + 1)
+SELECT query_id, len(ids) AS n_items, used AS used_tokens, 1000 - used AS remaining_tokens, len(ids) < rn AS truncated, array_to_string(list_transform(ids, lambda x: CAST(x AS VARCHAR)), ',') AS ids FROM fold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rn DESC) = 1"""
+)
+def query_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a thousand tokens of context hold of what multi_query_search finds."""
+    return variants.assemble_context(_variants(spark, sf_dir), tables.memories(spark, sf_dir), 1000)
