@@ -12,7 +12,7 @@ few depend on each other: at 0.80 up to 6 in 100,000, for 4 shingles against 5.
    members is the major one. As long as an open bucket has more than a block of other members, there is another round of stars: the least of
    these members of which no star was made yet is compared with all of the bucket, up to STARS rounds.
 4. In buckets that are still open, pairs of different components that a sketch of the signature cannot rule out are compared in the bucket
-   itself, so no link between different texts is lost and no pair is written. A bucket is dealt out in blocks of bounded rows and bytes, the
+   itself, so no link between different texts is lost and no pair is written. Only members of such pairs bring their sets. A bucket is dealt out in blocks of bounded rows and bytes, the
    major component's apart from the others; pairs of blocks of the major component need no look. So a bucket of m members of which few are
    not in its major component costs in proportion to m.
 5. Components of all links.
@@ -163,14 +163,14 @@ def signed(docs: DataFrame, least: int, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """node, shingles: the hashes as signed numbers, in the order of the unsigned ones. docs: node, text, set_key; rows whose set is another go."""
+    """node, shingles: the hashes as signed numbers, in the order of the unsigned ones. docs: node, text, set_key; rows whose set is another than that go, if there is a set_key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 found = [(node, shingle_set(t), key) for node, t, key in zip(*[part.column(k).to_pylist() for k in range(3)], strict=True)]
-                found = [(node, own) for node, own, key in found if set_key(own) == key]
+                found = [(node, own) for node, own, key in found if key is None or set_key(own) == key]
                 ends = pa.array(np.cumsum([0, *[len(own) for _, own in found]]), pa.int32())
                 flat = np.concatenate([np.zeros(0, np.uint64), *[own for _, own in found]]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([node for node, _ in found], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(flat))], ["node", "shingles"])
@@ -194,28 +194,46 @@ def n_common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a[at] == b))
 
 
+class Bucket:
+    """The members of a bucket, or of a pair of its blocks, in order of node."""
+
+    def __init__(self, pdf: pd.DataFrame, percent: int):
+        self.pdf = pdf = pdf.sort_values("node", kind="stable")
+        self.node, self.component, self.n, self.block, band = (pdf[c].to_numpy(copy=True) for c in ("node", "component", "n", "own", "band"))
+        self.across, self.percent, self.bound = pdf["low"].iloc[0] != pdf["high"].iloc[0], percent, sketch_bound(percent)
+        self.earlier = np.stack(pdf["bands"].to_numpy())[:, : int(band[0])]
+        self.sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
+
+    def partners(self, k: int) -> np.ndarray:
+        """Later members of other components that sizes and sketches do not rule out as links of member k. A pair that shares several bands is looked at in the first of
+        them alone."""
+        n, m = self.n, np.arange(k + 1, len(self.node))
+        m = m[(self.component[m] != self.component[k]) & (100 * np.minimum(n[m], n[k]) >= self.percent * np.maximum(n[m], n[k]))]
+        if self.across:
+            m = m[self.block[m] != self.block[k]]
+        if len(m):
+            m = m[(self.sketch[m] == self.sketch[k]).sum(1) >= self.bound]
+        return m[~(self.earlier[m] == self.earlier[k]).any(1)] if len(m) else m
+
+
+def members_in_doubt(pdf: pd.DataFrame, percent: int) -> np.ndarray:
+    """Places of the members, in order of node, that have a partner: only their sets need to be compared."""
+    bucket = Bucket(pdf, percent)
+    found = np.zeros(len(pdf), bool)
+    for k in range(len(pdf) - 1):
+        m = bucket.partners(k)
+        found[m] = True
+        found[k] |= len(m) > 0
+    return found
+
+
 def links_in_bucket(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links between different components of a bucket (or a pair of its blocks), confirmed on the full sets. A pair that shares several
-    bands is looked at in the first of them alone."""
-    pdf = pdf.sort_values("node", kind="stable")
-    node, component, n, block, band = (pdf[c].to_numpy(copy=True) for c in ("node", "component", "n", "own", "band"))
-    across = pdf["low"].iloc[0] != pdf["high"].iloc[0]
-    earlier = np.stack(pdf["bands"].to_numpy())[:, : int(band[0])]
-    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
-    sets = [np.asarray(s, np.int64).view(np.uint64) for s in pdf["shingles"]]
-    out, bound = [], sketch_bound(percent)
+    """Links between different components of a bucket (or a pair of its blocks), confirmed on the full sets."""
+    bucket, out = Bucket(pdf, percent), []
+    node, component, n = bucket.node, bucket.component, bucket.n
+    sets = [np.asarray(s, np.int64).view(np.uint64) for s in bucket.pdf["shingles"]]
     for k in range(len(node) - 1):
-        m = np.arange(k + 1, len(node))
-        m = m[(component[m] != component[k]) & (100 * np.minimum(n[m], n[k]) >= percent * np.maximum(n[m], n[k]))]
-        if across:
-            m = m[block[m] != block[k]]
-        if len(m):
-            m = m[(sketch[m] == sketch[k]).sum(1) >= bound]
-        if len(m):
-            m = m[~(earlier[m] == earlier[k]).any(1)]
-        if not len(m):
-            continue
-        for v in m.tolist():
+        for v in bucket.partners(k).tolist():
             if component[v] != component[k]:
                 common = n_common(sets[k], sets[v])
                 if 100 * common >= percent * (n[k] + n[v] - common):
@@ -256,6 +274,14 @@ def _linked(percent: int):
     return run
 
 
+def _in_doubt(percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = pdf.sort_values("node", kind="stable")[["key", "low", "high", "node"]]
+        return out[members_in_doubt(pdf, percent)] if len(pdf) > 1 else out.iloc[:0]
+
+    return run
+
+
 def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a row of df.
 
@@ -282,9 +308,13 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     stars = buckets.where((F.col("node") != F.col("head.node")) & fits).select(F.col("head.node").alias("u"), F.col("node").alias("v")).distinct()
 
     # written, so that Spark knows its size and sends it to the texts if it is small
-    members = materialize(reps.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "mark", "set_key"), "members")
-    sets = sets_of(docs.join(members, ["doc_id", "mark"]).select("node", "text", "set_key"))
-    sets = materialize(sets.dropDuplicates(["node"]) if repeats else sets, "shingles")
+    if repeats:
+        members = materialize(reps.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "mark", "set_key"), "members")
+        sets = sets_of(docs.join(members, ["doc_id", "mark"]).select("node", "text", "set_key")).dropDuplicates(["node"])
+    else:
+        members = materialize(buckets.select("node").distinct(), "members")
+        sets = sets_of(docs.join(members, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text", F.lit(None).cast("binary")))
+    sets = materialize(sets, "shingles")
     links = materialize(confirmed(stars, sets, percent), "links-0")
     label = F.coalesce(F.col("component"), F.col("node"))
     used = heads.select("key", F.col("head.node").alias("node"))
@@ -299,8 +329,13 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
         stars = wide.join(fresh, "key").where(fits & (F.col("component") != F.col("head.component"))).select(F.col("head.node").alias("u"), F.col("node").alias("v")).distinct()
         links = materialize(links.unionByName(confirmed(stars, sets, percent)), f"links-{k}")
 
+    blocks = materialize(in_blocks(labelled.join(open_, "key")), "blocks")
+    place = ["key", "low", "high", "node"]
+    # sets are long and few of them are in doubt: first who has a partner at all, by sketches, then sets of these alone
+    doubt = blocks.join(reps.select("node", "sketch", "bands"), "node").groupBy("key", "low", "high").applyInPandas(_in_doubt(percent), "key long, low int, high int, node long")
+    doubt = materialize(doubt, "doubt")
     full = reps.select("node", "sketch", "bands").join(sets, "node")
-    dealt = in_blocks(labelled.join(open_, "key")).join(full, "node")
+    dealt = blocks.join(doubt, place, "left_semi").join(full, "node")
     links = links.unionByName(materialize(dealt.groupBy("key", "low", "high").applyInPandas(_linked(percent), "u long, v long"), "links"))
     if repeats:
         own = known.join(repeated, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
