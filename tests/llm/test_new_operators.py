@@ -9,8 +9,9 @@ import duckdb
 import numpy as np
 import pytest
 
-from tidepool.llm import best_fit, fill_middle, whitening
+from tidepool.llm import best_fit, fill_middle, sequences, whitening
 from tidepool.llm import queries as llm
+from tidepool.llm.sequences import Piece
 from tidepool.llm.tokenizing import vocabulary
 
 SF = "/root/testdata/sf0.001"
@@ -167,8 +168,8 @@ def test_sum_of_squares_by_trying_all_gaps():
             counts[gap] -= 1
         if gap > size:
             counts[gap - size] = counts.get(gap - size, 0) + 1
-        full = bins.put((k, 0, 0, size, b""))
-        assert (full is None) == (gap > size) and (full is None or sum(p[3] for p in full) == window)
+        full = list(bins.put(Piece(k, 0, 0, size, size, b"")))
+        assert len(full) == (gap == size) and all(sum(p.length for p in own) == window for own in full)
     assert {h: len(x) for h, x in enumerate(bins.bins) if x} == {h: n for h, n in counts.items() if n}
     assert bins.held == sum((window - h) * n for h, n in counts.items())
 
@@ -200,7 +201,7 @@ def test_best_fit(spark, most_ids):
     documents = [(k, " ".join("abcdefgh"[int(c)] for c in rng.integers(0, 8, n))) for k, n in enumerate(rng.integers(0, 70, 300).tolist())]
     documents += [(None, None), (1, ""), (1, "again"), (1, "again"), (900, "long text " * 2000), (901, "a b c d e f g h i j k l m n o " * 1)]
     df = spark.createDataFrame([(d, t, 7, "x") for d, t in documents], "doc_id long, text string, length int, free string").repartition(3)
-    rows = best_fit.read_sequences(best_fit.write_sequences(df, window=64, most_ids=most_ids)).collect()
+    rows = sequences.read(best_fit.write_sequences(df, window=64, most_ids=most_ids)).collect()
     n, total = check_packed(rows, documents, 64), sum(r.length for r in rows)
     assert n <= 1.03 * -(-total // 64)
     assert best_fit.pack(df.limit(0)).count() == 0

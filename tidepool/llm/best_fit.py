@@ -11,30 +11,20 @@ shuffled. A task of 10,000 documents sets about 1,500 of them free, one of 1,000
 
 A document longer than a window is cut into whole windows, each a sequence, and one shorter piece, the first, that is packed like a document.
 
-The rows of the sequences' table: sequence_id, width (bytes an id), ids, segments (which document each part comes from, and where). A task that is run
-again writes the same rows.
+The sequences' table is that of sequences.py.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidepool.llm.common import documents_of, materialize, scratch
-from tidepool.llm.packing import BATCH_IDS, greedy, id_type, ranked_pieces, slots_of
-from tidepool.llm.tokenizing import encoder
+from tidepool.llm import sequences
+from tidepool.llm.packing import greedy
+from tidepool.llm.sequences import Piece
 
-SEGMENT = [("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]
-SEGMENTS = "array<struct<doc_id:bigint,piece:bigint,start:bigint,length:bigint>>"
-SEQUENCES = f"sequence_id long, width int, ids binary, segments {SEGMENTS}"
-FIRST = f"free boolean, sequence_id long, part int, ordinal long, length int, width int, ids binary, segments {SEGMENTS}"
-PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 #: Ids that a task's open bins hold at most: 64 MB where they are four bytes wide.
 MOST_IDS = 1 << 24
 
@@ -63,15 +53,15 @@ class Gaps:
 
 
 class Bins:
-    """A task's open bins: for each gap a stack of lists of pieces. A piece is (doc_id, piece, start, length, ids)."""
+    """A task's open bins: for each gap a stack of lists of pieces."""
 
-    def __init__(self, window: int):
-        self.window, self.gaps, self.held = window, Gaps(window), 0
-        self.bins: list[list[list[tuple]]] = [[] for _ in range(window)]
+    def __init__(self, window: int, most_ids: int = MOST_IDS):
+        self.window, self.most_ids, self.gaps, self.held, self.ended = window, most_ids, Gaps(window), 0, False
+        self.bins: list[list[list[Piece]]] = [[] for _ in range(window)]
 
-    def put(self, piece: tuple) -> list[tuple] | None:
-        """Places a piece; a bin that it fills is returned."""
-        size = piece[3]
+    def put(self, piece: Piece) -> Iterator[list[Piece]]:
+        """Places a piece; a bin that it fills comes out."""
+        size = piece.length
         gap = self.gaps.best(size)
         if gap == self.window:
             own = [piece]
@@ -81,94 +71,30 @@ class Bins:
             self.gaps.add(gap, -1)
         if gap == size:
             self.held -= self.window - size
-            return own
-        self.bins[gap - size].append(own)
-        self.gaps.add(gap - size, 1)
-        self.held += size
-        return None
+            yield own
+        else:
+            self.bins[gap - size].append(own)
+            self.gaps.add(gap - size, 1)
+            self.held += size
 
-    def free(self, gap: int) -> list[tuple]:
+    def free(self, gap: int) -> list[Piece]:
         """The pieces of all bins of a gap, which are open no longer."""
         out = [p for own in self.bins[gap] for p in own]
         self.gaps.add(gap, -len(self.bins[gap]))
         self.bins[gap] = []
-        self.held -= sum(p[3] for p in out)
+        self.held -= sum(p.length for p in out)
         return out
 
-    def commonest(self) -> int:
-        return max(range(1, self.window), key=lambda h: len(self.bins[h]))
-
-
-def cut(ids: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: whole windows at the end, what is over at the beginning."""
-    n = len(ids)
-    first = (n - 1) % window + 1
-    return [(0, first), *((start, window) for start in range(first, n, window))]
-
-
-def segments_of(columns: list, ends: list[int]) -> pa.ListArray:
-    """Lists of segments from the columns of all of them, and where each list ends (after 0, where the first begins)."""
-    columns = columns or [[]] * len(SEGMENT)
-    structs = pa.StructArray.from_arrays([pa.array(x, kind) for x, (_, kind) in zip(columns, SEGMENT, strict=True)], names=[name for name, _ in SEGMENT])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)
-
-
-def first_pass(docs: DataFrame, vocab: str, end_id: int, window: int, most_ids: int) -> DataFrame:
-    """Full sequences, and (free) the pieces that are to be packed again, with their partition and ordinal among its pieces of their length."""
-    kinds = [pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-    names = [x.split()[0] for x in FIRST.split(", ", 7)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, bins = encoder(vocab), TaskContext.get().partitionId(), Bins(window)
-        wide, end = np.dtype(id_type(enc, end_id)), np.array([end_id], "<u4").tobytes()
-        seen, full, rows, pieces, ends, written = np.zeros(window + 1, np.int64), 0, [], [], [0], 0
-
-        def emit(own: list[tuple], free: bool) -> None:
-            nonlocal full, written
-            size = sum(p[3] for p in own)
-            written += size
-            if free:
-                key = (None, part, int(seen[size]))
-                seen[size] += 1
-            else:
-                key = ((part << 40) + full, part, None)
-                full += 1
-            rows.append((free, *key, size, wide.itemsize, b"".join([p[4] for p in own])))
-            pieces.extend(own)
-            ends.append(len(pieces))
-
-        def batch() -> pa.RecordBatch:
-            nonlocal written
-            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], kind) for kind in kinds]
-            out = pa.RecordBatch.from_arrays([*columns, segments_of(list(zip(*pieces, strict=True))[:4], ends)], names)
-            rows.clear()
-            pieces.clear()
-            ends[1:] = []
-            written = 0
-            return out
-
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(enc.encode_bytes(text) + end, "<u4").astype(wide)
-                for k, (start, size) in enumerate(cut(ids, window)):
-                    piece = (doc, k, start, size, ids[start : start + size].tobytes())
-                    if size == window:
-                        emit([piece], False)
-                    elif (own := bins.put(piece)) is not None:
-                        emit(own, False)
-                while bins.held > most_ids:
-                    for p in bins.free(bins.commonest()):
-                        emit([p], True)
-                if written > BATCH_IDS:
-                    yield batch()
-        for gap in range(1, window):
-            for p in bins.free(gap):
-                emit([p], True)
-            if written > BATCH_IDS:
-                yield batch()
-        yield batch()
-
-    return docs.mapInArrow(run, FIRST)
+    def loose(self) -> Iterator[Piece]:
+        if self.ended:
+            for gap in range(1, self.window):
+                yield from self.free(gap)
+        while self.held > self.most_ids:
+            yield from self.free(max(range(1, self.window), key=lambda h: len(self.bins[h])))
+
+    def end(self) -> Iterator[list[Piece]]:
+        self.ended = True
+        return iter(())
 
 
 def write_sequences(df: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 2, window: int = 1024, most_ids: int = MOST_IDS) -> DataFrame:
@@ -177,74 +103,9 @@ def write_sequences(df: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int
     Null text: only the end id. Repeated rows are documents of their own. An empty table gives no rows. Null doc_ids stay null. Texts of any
     length are packed whole. Other columns are ignored, whatever their names.
     """
-    packed = materialize(first_pass(documents_of(df), vocab, end_id, window, most_ids), "packed", keep=True, partition_by="free", compression="zstd")
-    loose = packed.where("free")
-    with scratch(df.sparkSession):
-        ranked, table = ranked_pieces(loose, window, greedy)
-        rows = ranked.select("part", "length", "width", "ids", "segments", "rank")
-        high = np.int64(1) << np.int64(50)
-
-        def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys = table[:, 0] * high + table[:, 1]
-            for b in batches:
-                length, rank = b.column(1).to_numpy().astype(np.int64), b.column(5).to_numpy()
-                row = table[np.searchsorted(keys, length * high + rank, "right") - 1]
-                yield pa.RecordBatch.from_arrays([pa.array(-1 - row[:, 2] - rank + row[:, 1]), pa.array(row[:, 3]), *b.columns[2:5]], ["sequence_id", "offset", "width", "ids", "segments"])
-
-        seated = rows.mapInArrow(seat, f"sequence_id long, offset long, width int, ids binary, segments {SEGMENTS}")
-
-        def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sequence, own = None, []
-            rows: list[tuple] = []
-
-            def close() -> None:
-                if own:
-                    rows.append((sequence, own[0][0], b"".join(x[1] for x in own), [s for x in own for s in x[2]]))
-                    own.clear()
-
-            def batch() -> pa.RecordBatch:
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct(SEGMENT))]
-                out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["sequence_id", "width", "ids", "segments"])
-                rows.clear()
-                return out
-
-            for b in batches:
-                for s, width, ids, segments in zip(*[b.column(k).to_pylist() for k in (0, 2, 3, 4)], strict=True):
-                    if s != sequence:
-                        close()
-                        sequence = s
-                    own.append((width, ids, segments))
-                yield batch()
-            close()
-            yield batch()
-
-        partitions = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        merged = seated.repartition(partitions, "sequence_id").sortWithinPartitions("sequence_id", "offset").mapInArrow(merge, SEQUENCES)
-        others = materialize(merged, "sequences", keep=True, compression="zstd")
-    return packed.where("NOT free").select(*[x.split()[0] for x in SEQUENCES.split(", ")]).unionByName(others)
-
-
-def read_sequences(sequences: DataFrame) -> DataFrame:
-    """One row a piece, read back from the written sequences: where it lies, and its ids' crc32 as unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            segments = b.column(3)
-            doc, piece, start, length = segments.flatten().flatten()
-            sizes, ends = length.to_numpy(zero_copy_only=False), segments.offsets.to_numpy() - segments.offsets[0].as_py()
-            after = np.cumsum(sizes)
-            offsets = after - sizes
-            offsets = offsets - np.repeat(offsets[ends[:-1]], np.diff(ends)) if len(sizes) else offsets
-            crcs, spans = [], list(zip((4 * offsets).tolist(), (4 * (offsets + sizes)).tolist(), strict=True))
-            for width, data, low, high in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                own = memoryview(np.frombuffer(data, f"<u{width}").astype("<u4").tobytes())
-                crcs += [zlib.crc32(own[x:y]) for x, y in spans[low:high]]
-            sequence = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), np.diff(ends))))
-            yield pa.RecordBatch.from_arrays([doc, piece.cast(pa.int32()), start, length, pa.array(crcs, pa.int64()), sequence, pa.array(offsets, pa.int64())], [x.split()[0] for x in PACKED.split(", ")])
-
-    return sequences.mapInArrow(run, PACKED)
+    return sequences.write(df, vocab, end_id, window, lambda: Bins(window, most_ids), greedy, short_first=True)
 
 
 def pack(df: DataFrame, vocab: str = "byte_bpe_50k.json", end_id: int = 2, window: int = 1024) -> DataFrame:
     """Packs every document into written sequences and reads them back: one row a piece."""
-    return read_sequences(write_sequences(df, vocab, end_id, window))
+    return sequences.read(write_sequences(df, vocab, end_id, window)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

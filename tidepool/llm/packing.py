@@ -1,42 +1,30 @@
 """Packing documents into windows by non-negative least squares over length combinations.
 
-Each document's ids are cut into whole windows and one remainder. The histogram of piece lengths (at most as
-many numbers as a window has places) goes to the driver, which
+Each document's ids are cut into whole windows and one remainder. A plan for a histogram of lengths
 
 1. enumerates shallow combinations, one to three lengths that fill a window exactly;
 2. solves min |A x - h| with x >= 0: how often each combination is repeated;
-3. rounds x down to what the histogram still holds;
-4. packs what remains greedily, longest first into the tightest open window, on counts and not on pieces.
+3. rounds x to what the histogram still holds;
+4. packs what remains greedily, longest first into the tightest open window.
 
-The plan is a table of rank intervals by length. A piece's rank among the pieces of its length is its partition's
-base plus its ordinal there, so no window function sorts a frequent length. The plan's size depends on the
-window alone.
-
-The pieces, with their ids, are then dealt out by sequence and written: a row of the sequences' table is one training sequence, its
-ids followed by padding up to the window (unless its length is a power of two), and beside them which document each
-segment comes from and where it begins there, so that attention and loss can be kept to a segment.
+Each task plans the pieces that it has encoded, a block of BLOCK_IDS ids at a time, by steps 1 to 3: so most windows are filled where their documents are read, and
+written at once. What is left of all tasks is planned once more, by all four steps, on counts and not on pieces; only this is shuffled. A plan's size depends on the window alone. The
+sequences' table is that of sequences.py: one row a training sequence, its ids followed by padding up to the window (unless its length is a power of two), and beside them which document
+each segment comes from and where it begins there, so that attention and loss can be kept to a segment.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from tidepool.llm.common import documents_of, materialize, scratch
-from tidepool.llm.tokenizing import ChunkEncoder, encoder
+from tidepool.llm import sequences
+from tidepool.llm.sequences import Piece, Plan
 
-PIECES = "doc_id long, start long, length long, doc_tokens long, part int, ordinal long, ids binary"
-SEGMENTS = "array<struct<doc_id:bigint,start:bigint,length:bigint,doc_tokens:bigint>>"
-SEQUENCES = f"sequence_id long, n_ids long, width int, ids binary, segments {SEGMENTS}"
-PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Pieces whose ids are held at once while a batch is made.
-BATCH_IDS = 1 << 20
+#: Ids of the pieces that a task plans together, and rounds of the solver then.
+BLOCK_IDS, BLOCK_ROUNDS = 1 << 22, 60
 
 
 def combinations_of(lengths: np.ndarray, window: int, triples: int = 12) -> np.ndarray:
@@ -76,24 +64,30 @@ def nnls(columns: np.ndarray, histogram: np.ndarray, rounds: int = 300) -> np.nd
     return x
 
 
-def plan(histogram: np.ndarray, window: int) -> list[tuple[list[int], int]]:
-    """(lengths in a window, how many such windows), for all pieces of the histogram."""
-    left = histogram.astype(np.int64).copy()
+def filled(left: np.ndarray, window: int, rounds: int = 300, least: int = 0) -> Plan:
+    """(lengths that fill a window, how many such windows), by least squares, for as much of the histogram as they take up; left keeps the rest. A combination is taken
+    as often as its rounded share says, and at least so often (least) as long as there are pieces for it."""
     left[0] = 0
     out = []
     columns = combinations_of(np.flatnonzero(left), window)
     if len(columns):
-        x = nnls(columns, left)
+        x = nnls(columns, left, rounds)
         for k in np.argsort(-x, kind="stable"):
             lengths = [int(v) for v in columns[k] if v]
-            n = int(round(x[k]))
+            n = max(int(round(x[k])), least)
             for v in set(lengths):
                 n = min(n, int(left[v]) // lengths.count(v))
             if n > 0:
                 for v in lengths:
                     left[v] -= n
                 out.append((lengths, n))
-    return out + greedy(left, window)
+    return out
+
+
+def plan(histogram: np.ndarray, window: int) -> Plan:
+    """(lengths in a window, how many such windows), for all pieces of the histogram."""
+    left = histogram.astype(np.int64).copy()
+    return filled(left, window) + greedy(left, window)
 
 
 def greedy(left: np.ndarray, window: int) -> list[tuple[list[int], int]]:
@@ -132,154 +126,50 @@ def greedy(left: np.ndarray, window: int) -> list[tuple[list[int], int]]:
     return out + [x for kinds in room.values() for x in kinds]
 
 
-def slots_of(planned: list[tuple[list[int], int]], window: int) -> np.ndarray:
-    """Rows (length, first rank, first sequence, offset), in order of length and rank."""
-    rank, rows, sequence = np.zeros(window + 1, np.int64), [], 0
-    for lengths, n in planned:
-        offset = 0
-        for v in lengths:
-            rows.append((v, rank[v], sequence, offset))
-            rank[v] += n
-            offset += v
-        sequence += n
-    out = np.array(rows, np.int64).reshape(-1, 4)
-    return out[np.lexsort((out[:, 1], out[:, 0]))]
-
-
-def pieces(docs: DataFrame, vocab: str, end_id: int, window: int) -> DataFrame:
-    """One row a piece, with its ids, its partition and its ordinal among that partition's pieces of its length. Ids are two bytes
-    wide where the vocabulary fits."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, seen = encoder(vocab), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
-        wide, end = id_type(enc, end_id), np.array([end_id], "<u4").tobytes()
-        kinds = [pa.int64()] * 4 + [pa.int32(), pa.int64(), pa.binary()]
-        rows: list[list] = [[] for _ in kinds]
-
-        def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], [x.split()[0] for x in PIECES.split(", ")])
-            for x in rows:
-                x.clear()
-            return out
-
-        held = 0
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(enc.encode_bytes(text) + end, "<u4").astype(wide).tobytes()
-                step = np.dtype(wide).itemsize
-                n = len(ids) // step
-                for start in range(0, n, window):
-                    size = min(window, n - start)
-                    for k, v in enumerate((doc, start, size, n, part, int(seen[size]), ids[step * start : step * (start + size)])):
-                        rows[k].append(v)
-                    seen[size] += 1
-                held += n
-                if held > BATCH_IDS:
-                    yield batch()
-                    held = 0
-        yield batch()
-
-    return docs.mapInArrow(run, PIECES)
-
-
-def id_type(enc: ChunkEncoder, end_id: int) -> str:
-    return "<u2" if enc.plain.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
-
-
-def padded_size(n: int, window: int) -> int:
-    return n if n & (n - 1) == 0 else window
-
-
-def ranked_pieces(cut: DataFrame, window: int, planned: Callable[[np.ndarray, int], list[tuple[list[int], int]]]) -> tuple[DataFrame, np.ndarray]:
-    """The pieces with their rank among those of their length, and the slots that a plan for the histogram of lengths gives to ranks."""
-    counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
-    histogram = np.zeros(window + 1, np.int64)
-    for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # a number for each length, at most
-        histogram[length] = n
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    # written, so that Spark knows its size and sends it to the pieces if it is small
-    base = materialize(counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
-    return cut.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("ordinal")), slots_of(planned(histogram, window), window)
-
-
-def placed(cut: DataFrame, window: int) -> DataFrame:
-    """The pieces with their sequence and offset."""
-    ranked, table = ranked_pieces(cut, window, plan)
-    ranked = ranked.select("doc_id", "start", "length", "doc_tokens", "ids", "rank")
-    high = np.int64(1) << np.int64(50)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = table[:, 0] * high + table[:, 1]
-        for b in batches:
-            length, rank = b.column(2).to_numpy(), b.column(5).to_numpy()
-            row = table[np.searchsorted(keys, length * high + rank, "right") - 1]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(row[:, 2] + rank - row[:, 1]), pa.array(row[:, 3])], ["doc_id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset"])
-
-    return ranked.mapInArrow(run, "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
-
-
-def write_sequences(df: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048, pad_id: int = 0) -> DataFrame:
+class Blocks:
+    """A task's pieces by length, planned a block at a time."""
+
+    def __init__(self, window: int, block_ids: int = BLOCK_IDS):
+        self.window, self.block_ids, self.held, self.new, self.ended = window, block_ids, 0, 0, False
+        self.by_length: list[list[Piece]] = [[] for _ in range(window)]
+
+    def put(self, piece: Piece) -> Iterator[list[Piece]]:
+        self.by_length[piece.length].append(piece)
+        self.held += piece.length
+        self.new += piece.length
+        if self.new >= self.block_ids:
+            yield from self.full()
+
+    def full(self) -> Iterator[list[Piece]]:
+        self.new = 0
+        left = np.array([len(x) for x in self.by_length] + [0], np.int64)
+        for lengths, n in filled(left, self.window, BLOCK_ROUNDS, 1):
+            for _ in range(n):
+                self.held -= self.window
+                yield [self.by_length[v].pop() for v in lengths]
+
+    def loose(self) -> Iterator[Piece]:
+        """All that is left at the end; before, what blocks have left over, if it comes to more than a block."""
+        if self.ended or self.held - self.new > self.block_ids:
+            for own in self.by_length:
+                yield from own
+                own.clear()
+            self.held = self.new = 0
+
+    def end(self) -> Iterator[list[Piece]]:
+        yield from self.full()
+        self.ended = True
+
+
+def write_sequences(df: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048, pad_id: int = 0, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Packs every document and writes the sequences to the shared folder; returns them as a DataFrame that reads them.
 
-    sequence_id, n_ids (without padding), width (bytes an id), ids (with padding), segments (doc_id, start, length, doc_tokens, in order).
-    Null text: only the end id. Repeated rows are documents of their own. An empty table gives no rows. Null doc_ids stay null. Other
-    columns are ignored.
+    Null text: only the end id. Repeated rows are documents of their own. An empty table gives no rows. Null doc_ids stay null. Texts of any length are packed
+    whole. Other columns are ignored, whatever their names.
     """
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.struct([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens")]))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sequence, parts, segments = None, [], []
-        rows: list[tuple] = []
-
-        def close() -> None:
-            if segments:
-                n = sum(s["length"] for s in segments)
-                width = sum(map(len, parts)) // n
-                pad = np.full(padded_size(n, window) - n, pad_id, f"<u{width}").tobytes()
-                rows.append((sequence, n, width, b"".join(parts) + pad, list(segments)))
-                parts.clear()
-                segments.clear()
-
-        def batch() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in SEQUENCES.split(", ")])
-            rows.clear()
-            return out
-
-        for b in batches:
-            for doc, start, size, tokens, ids, s in zip(*[c.to_pylist() for c in b.columns[:6]], strict=True):
-                if s != sequence:
-                    close()
-                    sequence = s
-                parts.append(ids)
-                segments.append({"doc_id": doc, "start": start, "length": size, "doc_tokens": tokens})
-            yield batch()
-        close()
-        yield batch()
-
-    partitions = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    with scratch(df.sparkSession):
-        cut = materialize(pieces(documents_of(df), vocab, end_id, window), "pieces", compression="zstd")
-        dealt = placed(cut, window).repartition(partitions, "sequence_id").sortWithinPartitions("sequence_id", "offset")
-        return materialize(dealt.mapInArrow(run, SEQUENCES), "sequences", keep=True, compression="zstd")
-
-
-def read_sequences(sequences: DataFrame) -> DataFrame:
-    """One row a piece, read back from the written sequences: where it lies, and its ids' crc32 as unsigned 32-bit integers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows: list[tuple] = []
-            for s, width, data, segments in zip(*[b.column(k).to_pylist() for k in (0, 2, 3, 4)], strict=True):
-                ids, at = np.frombuffer(data, f"<u{width}").astype("<u4"), 0
-                for x in segments:
-                    size = x["length"]
-                    rows.append((x["doc_id"], x["start"], size, zlib.crc32(ids[at : at + size].tobytes()), x["doc_tokens"], s, at))
-                    at += size
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(7)], [x.split()[0] for x in PACKED.split(", ")])
-
-    return sequences.mapInArrow(run, PACKED)
+    return sequences.write(df, vocab, end_id, window, lambda: Blocks(window, block_ids), plan, short_first=False, pad_id=pad_id)
 
 
 def pack(df: DataFrame, vocab: str = "word_bpe_49k.json", end_id: int = 1, window: int = 2048) -> DataFrame:
     """Packs every document into written sequences and reads them back: one row a piece."""
-    return read_sequences(write_sequences(df, vocab, end_id, window))
+    return sequences.read(write_sequences(df, vocab, end_id, window)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
