@@ -25,10 +25,10 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -194,54 +194,91 @@ def n_common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(a[at] == b))
 
 
+@dataclass
 class Bucket:
-    """The members of a bucket, or of a pair of its blocks, in order of node."""
-
-    def __init__(self, pdf: pd.DataFrame, percent: int):
-        self.pdf = pdf = pdf.sort_values("node", kind="stable")
-        self.node, self.component, self.n, self.block, band = (pdf[c].to_numpy(copy=True) for c in ("node", "component", "n", "own", "band"))
-        self.across, self.percent, self.bound = pdf["low"].iloc[0] != pdf["high"].iloc[0], percent, sketch_bound(percent)
-        self.earlier = np.stack(pdf["bands"].to_numpy())[:, : int(band[0])]
-        self.sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, SKETCH)
-
-    def partners(self, k: int) -> np.ndarray:
+    """The members of a bucket, or of a pair of its blocks (across), in order of node, as columns; sets: places of their shingles, if they brought them."""
+
+    node: np.ndarray
+    component: np.ndarray
+    n: np.ndarray
+    block: np.ndarray
+    earlier: np.ndarray
+    sketch: np.ndarray
+    sets: list[np.ndarray]
+    across: bool
+    percent: int
+
+    def partners(self, k: int, bound: int) -> np.ndarray:
         """Later members of other components that sizes and sketches do not rule out as links of member k. A pair that shares several bands is looked at in the first of
         them alone."""
         n, m = self.n, np.arange(k + 1, len(self.node))
         m = m[(self.component[m] != self.component[k]) & (100 * np.minimum(n[m], n[k]) >= self.percent * np.maximum(n[m], n[k]))]
-        if self.across:
+        if self.across and len(m):
             m = m[self.block[m] != self.block[k]]
         if len(m):
-            m = m[(self.sketch[m] == self.sketch[k]).sum(1) >= self.bound]
+            m = m[(self.sketch[m] == self.sketch[k]).sum(1) >= bound]
         return m[~(self.earlier[m] == self.earlier[k]).any(1)] if len(m) else m
 
 
-def members_in_doubt(pdf: pd.DataFrame, percent: int) -> np.ndarray:
-    """Places of the members, in order of node, that have a partner: only their sets need to be compared."""
-    bucket = Bucket(pdf, percent)
-    found = np.zeros(len(pdf), bool)
-    for k in range(len(pdf) - 1):
-        m = bucket.partners(k)
+def members_in_doubt(bucket: Bucket, bound: int) -> np.ndarray:
+    """The members that have a partner: only their sets need to be compared."""
+    found = np.zeros(len(bucket.node), bool)
+    for k in range(len(found) - 1):
+        m = bucket.partners(k, bound)
         found[m] = True
         found[k] |= len(m) > 0
     return found
 
 
-def links_in_bucket(pdf: pd.DataFrame, percent: int) -> list[tuple[int, int]]:
-    """Links between different components of a bucket (or a pair of its blocks), confirmed on the full sets."""
-    bucket, out = Bucket(pdf, percent), []
-    node, component, n = bucket.node, bucket.component, bucket.n
-    sets = [np.asarray(s, np.int64).view(np.uint64) for s in bucket.pdf["shingles"]]
+def links_in_bucket(bucket: Bucket, bound: int) -> list[tuple[int, int]]:
+    """Links between different components, confirmed on the full sets."""
+    node, component, n, out = bucket.node, bucket.component.copy(), bucket.n, []
     for k in range(len(node) - 1):
-        for v in bucket.partners(k).tolist():
+        for v in bucket.partners(k, bound).tolist():
             if component[v] != component[k]:
-                common = n_common(sets[k], sets[v])
-                if 100 * common >= percent * (n[k] + n[v] - common):
+                common = n_common(bucket.sets[k], bucket.sets[v])
+                if 100 * common >= bucket.percent * (n[k] + n[v] - common):
                     out.append((node[k], node[v]))
                     component[component == component[v]] = component[k]
     return out
 
 
+MEMBERS = ["key", "low", "high", "node", "n", "component", "own", "band", "bands", "sketch"]
+
+
+def buckets_of(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[tuple[int, int, int], Bucket]]:
+    """The buckets of rows (MEMBERS, and shingles or not) that lie in order of key, low, high and node. A bucket may begin in one batch and end in another."""
+
+    def of_table(t: pa.Table, starts: list[int]) -> Iterator[tuple[tuple[int, int, int], Bucket]]:
+        t = t.combine_chunks()
+        key, low, high, node, n, component, own, band = (t.column(c).to_numpy() for c in MEMBERS[:8])
+        one = lambda c: t.column(c).chunk(0)
+        bands = one("bands").flatten().to_numpy().reshape(t.num_rows, -1)
+        sketch = np.frombuffer(b"".join(one("sketch").to_pylist()), np.uint8).reshape(t.num_rows, -1)
+        sets = None
+        if "shingles" in t.column_names:
+            ends = one("shingles").offsets.to_numpy() - one("shingles").offsets[0].as_py()
+            flat = one("shingles").flatten().to_numpy().view(np.uint64)
+            sets = [flat[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        for a, b in zip(starts, [*starts[1:], t.num_rows], strict=True):
+            if b - a > 1:
+                at = slice(a, b)
+                yield (int(key[a]), int(low[a]), int(high[a])), Bucket(node[at], component[at], n[at], own[at], bands[at, : band[a]], sketch[at], sets[at] if sets else [], bool(low[a] != high[a]), percent)
+
+    rest: list[pa.RecordBatch] = []  # of the last bucket, which may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        t = pa.Table.from_batches([*rest, batch])
+        places = np.stack([t.column(c).to_numpy() for c in MEMBERS[:3]])
+        starts = [0, *(np.flatnonzero((places[:, 1:] != places[:, :-1]).any(0)) + 1).tolist()]
+        if starts[-1]:
+            yield from of_table(t.slice(0, starts[-1]), starts[:-1])
+        rest = t.slice(starts[-1]).to_batches()
+    if rest:
+        yield from of_table(pa.Table.from_batches(rest), [0])
+
+
 def open_buckets(labelled: DataFrame) -> DataFrame:
     """key, major (the component with most members), others (members not in it), and the blocks that both need, of buckets that lie in several
     components. Counts are by component first, so a large bucket is no task's alone."""
@@ -266,20 +303,45 @@ def in_blocks(members: DataFrame) -> DataFrame:
     return dealt.select("key", "band", "node", "n", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
 
-def _linked(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = links_in_bucket(pdf, percent) if len(pdf) > 1 else []
-        return pd.DataFrame({"u": np.array([x[0] for x in found], np.int64), "v": np.array([x[1] for x in found], np.int64)})
+def doubtful(members: DataFrame, percent: int) -> DataFrame:
+    """key, low, high, node of the members that sketches leave in doubt."""
+    bound = sketch_bound(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int32(), pa.int32(), pa.int64()])], MEMBERS[:4])
+            rows.clear()
+            return out
+
+        for place, bucket in buckets_of(batches, percent):
+            rows += [(*place, v) for v in bucket.node[members_in_doubt(bucket, bound)].tolist()]
+            if len(rows) > 10_000:
+                yield batch()
+        yield batch()
+
+    return in_order(members).mapInArrow(run, "key long, low int, high int, node long")
 
-    return run
 
+def linked(members: DataFrame, percent: int) -> DataFrame:
+    """u, v: the links within each bucket. members: with shingles."""
+    bound = sketch_bound(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, bucket in buckets_of(batches, percent):
+            if found := links_in_bucket(bucket, bound):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["u", "v"])
+
+    return in_order(members).mapInArrow(run, "u long, v long")
 
-def _in_doubt(percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pdf.sort_values("node", kind="stable")[["key", "low", "high", "node"]]
-        return out[members_in_doubt(pdf, percent)] if len(pdf) > 1 else out.iloc[:0]
 
-    return run
+def in_order(members: DataFrame) -> DataFrame:
+    """Each bucket, or pair of its blocks, in one partition and in order of node."""
+    more = [c for c in ("shingles",) if c in members.columns]
+    own = members.select(*MEMBERS, *more)
+    partitions = max(1, int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return own.repartition(partitions, "key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
 
 
 def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
@@ -332,11 +394,10 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
     blocks = materialize(in_blocks(labelled.join(open_, "key")), "blocks")
     place = ["key", "low", "high", "node"]
     # sets are long and few of them are in doubt: first who has a partner at all, by sketches, then sets of these alone
-    doubt = blocks.join(reps.select("node", "sketch", "bands"), "node").groupBy("key", "low", "high").applyInPandas(_in_doubt(percent), "key long, low int, high int, node long")
-    doubt = materialize(doubt, "doubt")
+    doubt = materialize(doubtful(blocks.join(reps.select("node", "sketch", "bands"), "node"), percent), "doubt")
     full = reps.select("node", "sketch", "bands").join(sets, "node")
     dealt = blocks.join(doubt, place, "left_semi").join(full, "node")
-    links = links.unionByName(materialize(dealt.groupBy("key", "low", "high").applyInPandas(_linked(percent), "u long, v long"), "links"))
+    links = links.unionByName(materialize(linked(dealt, percent), "links"))
     if repeats:
         own = known.join(repeated, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(classes.select("set_key", "node"), "set_key")
         first = own.groupBy("doc_id").agg(F.min("node").alias("u"))
