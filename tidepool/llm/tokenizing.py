@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from contextlib import suppress
 
 import numpy as np
@@ -28,6 +29,8 @@ _ODD = ["  ", " \n", "\n ", "\n\n", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 _TAIL = ".,;:!?*$%&#|()[]{}<>\"/+=-_@~^"
 _GENERATION = 500_000
 _LONGEST = 200
+#: Words of letters whose bytes and lower case no library takes for anything else: they are one piece of any text, so the vocabulary's model alone gives their ids.
+_LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _encoders: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
 
@@ -55,6 +58,7 @@ class ChunkEncoder:
             spec = json.load(f)
         self.plain = Tokenizer.from_file(path)
         self.plain.encode_special_tokens = literal
+        self.model = self.plain.model
         added = spec.get("added_tokens") or []
         self.added = [] if literal else [t["content"] for t in added]
         pre = spec.get("pre_tokenizer") or {}
@@ -73,6 +77,9 @@ class ChunkEncoder:
         names = [self.plain.id_to_token(i) or "" for i in range(size)]
         self.sizes = np.array([len(x) for x in names], np.int64)
         self.ends = np.array([x.endswith("</w>") for x in names])
+        # byte-level vocabularies write each byte as a character: itself where it can be seen, else the next one from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.written = {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
 
     def _ids(self, text: str) -> np.ndarray:
         """The library's ids; its fast call leaves out the spans, which nothing here reads."""
@@ -82,8 +89,19 @@ class ChunkEncoder:
         return self._ids(chunk).tobytes()
 
     def _learn(self, words: list[str]) -> None:
-        """Remembers the ids of words of letters alone, a blank before each or not: one call for many words, cut by the bytes that
-        the ids stand for, or by the ids that end a word."""
+        """Remembers the ids of words of letters alone, a blank before each or not: Latin ones by the model, the others by one call for many words, cut by the
+        bytes that the ids stand for, or by the ids that end a word."""
+        prefix, tokenize, written, others = self.mode == "prefix", self.model.tokenize, self.written, []
+        for w in words:
+            if not _LATIN.fullmatch(w, 1 if w[0] == " " else 0):
+                others.append(w)
+            elif w.isascii():
+                plain = ("\u0120" + w[1:] if w[0] == " " else w) if prefix else w.lower()
+                self.young[w] = array("I", [t.id for t in tokenize(plain)]).tobytes()
+            else:
+                plain = (w if prefix else w.lower()).encode().decode("latin-1").translate(written)
+                self.young[w] = array("I", [t.id for t in tokenize(plain)]).tobytes()
+        words = others
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
             ids = self._ids(("" if self.mode == "prefix" else " ").join(part))
@@ -157,6 +175,9 @@ class ChunkEncoder:
                     self._add([c])
                     out.append(self.young[c])
             return b"".join(out)
+        return self._joined(chunks)
+
+    def _joined(self, chunks: list[str]) -> bytes:
         found = list(map(self.young.get, chunks))
         gaps, at = [], -1
         with suppress(ValueError):  # index() searches faster than a loop would; gaps are few
