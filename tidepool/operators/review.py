@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +42,20 @@ def expire_due(items: DataFrame, now: Column) -> DataFrame:
     return items.withColumn("review_note", note).withColumn("review_status", F.when(due, "expired").otherwise(F.col("review_status")))
 
 
+#: What a decision may say of an item besides, and the item's column for it.
+SAID = {"scope": "review_scope", "policy_class": "review_policy_class", "template": "review_template", "reviewer": "reviewer"}
+
+
+def _known(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """df with those of the columns that it lacks, as nulls."""
+    return df.select("*", *[F.lit(None).cast("string").alias(c) for c in names if c not in df.columns])
+
+
 def resolve(items: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
-    """Writes decisions into items: status, scope, policy class and end. What a decision leaves open follows from its template.
-    decisions: id, status, and, or null, template, scope, policy_class, expires_at, note, and optionally replaced_by; one a row."""
+    """Writes decisions into items: status, scope, policy class, template, reviewer and end. What a decision leaves open follows from its template, and else stays as it
+    was; the end of an allowance follows from the template alone. decisions: id, status, and, or null, template, scope, policy_class, reviewer,
+    expires_at, note, and optionally replaced_by; one a row."""
+    items, decisions = _known(items, SAID.values()), _known(decisions, SAID)
     key = F.col("d.template")
     scope, policy, days = F.col("d.scope"), F.col("d.policy_class"), F.lit(None).cast("int")
     for name, (s, p, n) in TEMPLATES.items():
@@ -51,16 +64,36 @@ def resolve(items: DataFrame, decisions: DataFrame, now: Column) -> DataFrame:
     ends = F.coalesce(F.col("d.expires_at"), now + F.make_dt_interval(days))
     decided = F.col("d.id").isNotNull()
     both = items.alias("i").join(decisions.alias("d"), F.col("i.id") == F.col("d.id"), "left")
-    own = [F.col(f"i.{c}") for c in items.columns if c not in ("review_status", "review_expires_at", "review_note")]
+    own = [F.col(f"i.{c}") for c in items.columns if c not in ("review_status", "review_expires_at", "review_note", *SAID.values())]
+    said = {"review_scope": scope, "review_policy_class": policy, "review_template": key, "reviewer": F.col("d.reviewer")}
     return both.select(
         *own,
         F.when(decided, F.col("d.status")).otherwise(F.col("i.review_status")).alias("review_status"),
         F.when(decided, F.when(F.col("d.status") == "allowed", ends)).otherwise(F.col("i.review_expires_at")).alias("review_expires_at"),
         F.coalesce(F.col("d.note"), F.col("i.review_note")).alias("review_note"),
-        scope.alias("review_scope"),
-        policy.alias("review_policy_class"),
+        *[F.coalesce(value, F.col(f"i.{name}")).alias(name) for name, value in said.items()],
     )
 
+
+def item(items: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """The items of ids (id) with their effective status; ids without an item, or whose item needs no review, give none."""
+    return items.join(ids.select("id").distinct(), "id", "left_semi").withColumn("effective_status", effective(now)).where("effective_status IS NOT NULL")
+
+
+def with_status(items: DataFrame, changes: DataFrame) -> DataFrame:
+    """Sets statuses as they are given: any status makes a review required; an allowance without an end has none, and a status that is no allowance loses its end.
+    changes: id, status, and, or null, expires_at, note; one row an id."""
+    changes = changes.select(F.col("id").alias("_id"), "status", *[(F.col(c) if c in changes.columns else F.lit(None)).cast(kind).alias(f"_{c}") for c, kind in (("expires_at", "timestamp_ntz"), ("note", "string"))])
+    both, changed = items.join(changes, F.col("id") == F.col("_id"), "left"), F.col("_id").isNotNull()
+    new = {
+        "review_required": F.when(changed, True).otherwise(F.col("review_required")),
+        "review_status": F.when(changed, F.col("status")).otherwise(F.col("review_status")),
+        "review_expires_at": F.when(changed, F.when(F.col("status") == "allowed", F.col("_expires_at"))).otherwise(F.col("review_expires_at")),
+        "review_note": F.coalesce("_note", "review_note"),
+    }
+    return both.select(*[new[c].alias(c) if c in new else F.col(c) for c in items.columns])
+
+
 # Wording that makes a text a warning, the phrases of each tag, and the order in which a tag gives the reason.
 PROTECTIVE = ["do not", "should not", "never", "not directly", "rather than", "instead"]
 RISKS = {

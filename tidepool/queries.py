@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
 
@@ -15,6 +16,7 @@ from tidepool.functions import text as tx
 from tidepool.operators import ann, answers, grounding, ingest, lifecycle, policy, rank, reflections, retrieve, review, search, state
 from tidepool.plans.route import route
 from tidepool.sources import tables
+from tidepool.sources.folder import shared_dir
 from tidepool.streaming import access
 
 NOW_TEXT = "2024-03-01 00:00:00"
@@ -29,7 +31,9 @@ _TOK = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', '
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOP_WORDS) + "]"
 _SAN = r"""trim(regexp_replace(regexp_replace(text, '[*"():^{}+~?,.!;''\[\]\-]', ' ', 'g'), '\s+', ' ', 'g'))"""
 _KEPT = f"array_to_string(list_filter(string_split(s, ' '), lambda w: NOT list_contains({_STOP}, lower(w)) AND w <> ''), ' ')"
-_CAND = "SELECT id % 40 AS query_id, id AS memory_id, CAST(1.0 - (id % 97) / 100.0 AS DOUBLE) AS score, * FROM m"
+#: Lists of about 50 rows, however many there are.
+_LISTS = "(SELECT greatest(1, count(*) // 50) FROM documents)"
+_CAND = f"SELECT id % {_LISTS} AS query_id, id AS memory_id, CAST(1.0 - (id % 97) / 100.0 AS DOUBLE) AS score, * FROM m"
 _LIVE = f"SELECT * FROM r WHERE valid_until IS NULL OR valid_until > {_NOW}"
 
 
@@ -37,9 +41,14 @@ def now() -> F.Column:
     return F.expr(f"TIMESTAMP_NTZ'{NOW_TEXT}'")
 
 
+def listed_in(key: str, rows: DataFrame, size: int = 50) -> F.Column:
+    """The number of a row's list, of so many lists that each has about size rows."""
+    return F.col(key) % F.lit(max(1, rows.count() // size))
+
+
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.memories(spark, sf_dir)
-    return m.select((F.col("id") % 40).alias("query_id"), F.col("id").alias("memory_id"), (F.lit(1.0) - (F.col("id") % 97) / F.lit(100.0)).cast("double").alias("score"), "*")
+    return m.select(listed_in("id", m).alias("query_id"), F.col("id").alias("memory_id"), (F.lit(1.0) - (F.col("id") % 97) / F.lit(100.0)).cast("double").alias("score"), "*")
 
 
 def query(sql: str = "") -> Callable[[Q], Q]:
@@ -213,14 +222,14 @@ def temporal_and_state_bias(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH m AS ({_M}), r AS ({_R}), l AS ({_LIVE}), c AS (SELECT id % 3 AS query_id, id AS memory_id, 1.0::DOUBLE AS score, created_at FROM m),
+WITH m AS ({_M}), r AS ({_R}), l AS ({_LIVE}), c AS (SELECT id // 60 AS query_id, id AS memory_id, 1.0::DOUBLE AS score, created_at FROM m),
 p AS (SELECT a.query_id, least(source_id, target_id) AS x, greatest(source_id, target_id) AS y, CASE WHEN relation = 'superseded_by' THEN source_id WHEN a.created_at < b.created_at THEN source_id WHEN b.created_at < a.created_at THEN target_id END AS loser
   FROM l JOIN c a ON a.memory_id = source_id JOIN c b ON b.memory_id = target_id AND b.query_id = a.query_id),
 lost AS (SELECT query_id, x, y, min(loser) AS memory_id FROM p WHERE loser IS NOT NULL GROUP BY ALL), n AS (SELECT query_id, memory_id, count(*) AS k FROM lost GROUP BY ALL)
 SELECT query_id, memory_id, round(score * pow(0.72, coalesce(k, 0)), 6) AS score FROM c LEFT JOIN n USING (query_id, memory_id)"""
 )
 def linked_demotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = tables.memories(spark, sf_dir).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("memory_id"), F.lit(1.0).alias("score"), "created_at")
+    c = tables.memories(spark, sf_dir).select(F.expr("id DIV 60").alias("query_id"), F.col("id").alias("memory_id"), F.lit(1.0).alias("score"), "created_at")
     out = state.linked_demotion(c, tables.relations(spark, sf_dir), now())
     return out.select("query_id", "memory_id", F.round("score", 6).alias("score"))
 
@@ -387,9 +396,9 @@ def query_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streaming_access_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = tables.read(spark, sf_dir, "events").schema
     stream = access.access_stream(spark, sf_dir, schema)
-    started = access.windowed_counts(stream).writeStream.format("memory").queryName("tidepool_access").outputMode("complete").trigger(availableNow=True).start()
-    started.awaitTermination()
-    return spark.table("tidepool_access").withColumn("day", F.col("day").cast("timestamp_ntz"))
+    folder = f"{shared_dir(spark)}/access-{uuid.uuid4().hex}"
+    access.kept_counts(stream, folder).awaitTermination()
+    return access.read_counts(spark, folder).withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
 @query()
@@ -438,10 +447,10 @@ def position_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.position_boost(c, 0.25).select("query_id", "memory_id", F.round("score", 9).alias("score"))
 
 
-@query(f"WITH m AS ({_M}), c AS ({_CAND}) SELECT query_id, memory_id, round(max(s), 6)::DOUBLE AS score FROM (SELECT query_id, memory_id, score AS s FROM c WHERE memory_id % 3 <> 0 UNION ALL SELECT query_id, memory_id, score * 1.5 FROM c WHERE memory_id % 2 = 0) GROUP BY ALL")
+@query(f"WITH m AS ({_M}), c AS ({_CAND}) SELECT query_id, memory_id, round(max(s), 6)::DOUBLE AS score FROM (SELECT query_id, memory_id, score AS s FROM c WHERE memory_id % 3 <> 0 UNION ALL SELECT query_id, memory_id, score * 1.5 FROM c WHERE memory_id % 2 = 0 OR memory_id % 3 = 0) GROUP BY ALL")
 def two_tier_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = candidates(spark, sf_dir)
-    return rank.two_tiers(c.where("memory_id % 3 <> 0"), c.where("memory_id % 2 = 0")).withColumn("score", F.round("score", 6))
+    return rank.two_tiers(c.where("memory_id % 3 <> 0"), c.where("memory_id % 2 = 0 OR memory_id % 3 = 0")).withColumn("score", F.round("score", 6))
 
 
 _REGISTRY = [("d0", "chain", "c1", "authoritative"), ("d0", "kind", "web", "reference"), ("d1", "kind", "system", "primary"), ("d1", "chain", "c2", "delegated"), ("d2", "kind", "other", "delegated"), ("d2", "chain", "c0", "primary")]
@@ -462,8 +471,8 @@ def authority_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """
-WITH e AS (SELECT doc_id % 40 AS query_id, doc_id AS memory_id, ['credential-location', 'token-material', NULL, 'private-endpoint', NULL, 'secret-reference'][CAST(doc_id % 6 + 1 AS INT)] AS secret_class, ['trusted', 'low', 'normal', 'untrusted'][CAST(doc_id % 4 + 1 AS INT)] AS trust, doc_id % 23 AS rank FROM documents),
+    f"""
+WITH e AS (SELECT doc_id % {_LISTS} AS query_id, doc_id AS memory_id, ['credential-location', 'token-material', NULL, 'private-endpoint', NULL, 'secret-reference'][CAST(doc_id % 6 + 1 AS INT)] AS secret_class, ['trusted', 'low', 'normal', 'untrusted'][CAST(doc_id % 4 + 1 AS INT)] AS trust, doc_id % 23 AS rank FROM documents),
 f AS (SELECT *, coalesce(secret_class IN ('credential-location', 'secret-reference', 'private-endpoint', 'internal-hostname', 'internal-share-path', 'private-network-range'), false) AS s, CASE WHEN trust IN ('trusted', 'normal') THEN rank ELSE 0 END AS k FROM e),
 g AS (SELECT *, coalesce(max(k) FILTER (WHERE s) OVER (PARTITION BY query_id), 0) AS best FROM f)
 SELECT query_id, memory_id FROM g WHERE NOT s OR best <= 0 OR k = best"""
@@ -471,14 +480,24 @@ SELECT query_id, memory_id FROM g WHERE NOT s OR best <= 0 OR k = best"""
 def sensitive_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.expr("element_at(array('credential-location','token-material',NULL,'private-endpoint',NULL,'secret-reference'), CAST(id % 6 + 1 AS INT))")
     trust = F.expr("element_at(array('trusted','low','normal','untrusted'), CAST(id % 4 + 1 AS INT))")
-    e = tables.memories(spark, sf_dir).select((F.col("id") % 40).alias("query_id"), F.col("id").alias("memory_id"), kinds.alias("secret_class"), trust.alias("trust"), (F.col("id") % 23).alias("rank"))
+    m = tables.memories(spark, sf_dir)
+    e = m.select(listed_in("id", m).alias("query_id"), F.col("id").alias("memory_id"), kinds.alias("secret_class"), trust.alias("trust"), (F.col("id") % 23).alias("rank"))
     return rank.best_sensitive(e).select("query_id", "memory_id")
 
 
-@query()
+@query(
+    """
+WITH RECURSIVE v AS (SELECT vec_id AS memory_id, vec_id % (SELECT greatest(1, count(*) // 20) FROM embeddings) AS query_id, 1.0 - (vec_id % 97) / 100.0 AS score, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+i AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rn FROM v),
+fold(query_id, rn, kept, own) AS (SELECT query_id, 0::BIGINT, []::STRUCT(id BIGINT, score DOUBLE, e DOUBLE[])[], false FROM (SELECT DISTINCT query_id FROM i)
+  UNION ALL SELECT f.query_id, i.rn, CASE WHEN len(list_filter(kept, lambda k: list_dot_product(k.e, i.e) > 0.3)) = 0 THEN list_append(kept, {'id': i.memory_id, 'score': i.score::DOUBLE, 'e': i.e}) ELSE kept END, true
+  FROM fold f JOIN i ON i.query_id = f.query_id AND i.rn = f.rn + 1),
+last AS (SELECT query_id, unnest(kept) AS k FROM fold QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rn DESC) = 1)
+SELECT query_id, k.id AS memory_id, k.score AS score FROM last"""
+)
 def near_duplicate_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = tables.vectors(spark, sf_dir)
-    listed = v.select((F.col("memory_id") % 25).alias("query_id"), "memory_id", (F.lit(1.0) - (F.col("memory_id") % 97) / 100).cast("double").alias("score"))
+    listed = v.select(listed_in("memory_id", v, 20).alias("query_id"), "memory_id", (F.lit(1.0) - (F.col("memory_id") % 97) / 100).cast("double").alias("score"))
     return rank.suppress_near_duplicates(listed, v, 0.3)
 
 
@@ -566,15 +585,15 @@ def similarity_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """
-WITH i AS (SELECT doc_id % 40 AS query_id, doc_id, doc_id % 50 AS p, doc_id % 13 AS rel, lag(doc_id % 50) OVER (PARTITION BY doc_id % 40 ORDER BY doc_id % 50, doc_id % 13 DESC, doc_id) AS before FROM documents),
+    f"""
+WITH i AS (SELECT doc_id % {_LISTS} AS query_id, doc_id, doc_id % 50 AS p, doc_id % 13 AS rel, lag(doc_id % 50) OVER (PARTITION BY doc_id % {_LISTS} ORDER BY doc_id % 50, doc_id % 13 DESC, doc_id) AS before FROM documents),
 l AS (SELECT *, CASE WHEN before IS NULL THEN '## ' || h || chr(10) || chr(10) WHEN before <> p THEN chr(10) || '## ' || h || chr(10) || chr(10) ELSE '' END || 'item ' || doc_id || chr(10) AS line
   FROM (SELECT *, CASE WHEN p <= 0 THEN 'Critical Context' WHEN p <= 10 THEN 'Retry Context' WHEN p <= 15 THEN 'Specifications' WHEN p <= 25 THEN 'Similar Tasks' WHEN p <= 40 THEN 'Learnings' ELSE 'Historical Context' END AS h FROM i))
 SELECT query_id, string_agg(line, '' ORDER BY p, rel DESC, doc_id) AS text FROM l GROUP BY query_id"""
 )
 def context_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.memories(spark, sf_dir)
-    return ingest.render(m.select((F.col("id") % 40).alias("query_id"), F.col("id").alias("memory_id"), (F.col("id") % 50).alias("priority"), (F.col("id") % 13).cast("double").alias("relevance"), F.concat(F.lit("item "), F.col("id").cast("string")).alias("content")))
+    return ingest.render(m.select(listed_in("id", m).alias("query_id"), F.col("id").alias("memory_id"), (F.col("id") % 50).alias("priority"), (F.col("id") % 13).cast("double").alias("relevance"), F.concat(F.lit("item "), F.col("id").cast("string")).alias("content")))
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -778,16 +797,18 @@ def review_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""
 WITH i AS (SELECT * FROM ({_ITEMS})), d AS (SELECT id, CASE WHEN id % 4 = 1 THEN 'allowed' ELSE 'denied' END AS status, CASE id % 4 WHEN 1 THEN coalesce(CASE WHEN id % 8 = 1 THEN 'again' END, review_note) WHEN 2 THEN review_note ELSE
   CASE WHEN id % 8 = 3 THEN 'See ' || (id + 3) ELSE 'Old. Replacement memory: #' || (id + 3) || '.' END END AS note, CASE WHEN id % 4 = 1 THEN coalesce(CASE WHEN id % 5 = 0 THEN {_NOW} + to_days(9) END, review_expires_at) END AS ends FROM i WHERE id % 4 <> 0)
-SELECT i.id, coalesce(d.status, review_status) AS review_status, CASE WHEN d.id IS NOT NULL THEN ends ELSE review_expires_at END AS review_expires_at, coalesce(note, review_note) AS review_note, CASE WHEN i.id % 4 = 3 THEN i.id + 3 END AS replaced_by FROM i LEFT JOIN d USING (id)"""
+SELECT i.id, coalesce(d.status, review_status) AS review_status, CASE WHEN d.id IS NOT NULL THEN ends ELSE review_expires_at END AS review_expires_at, coalesce(note, review_note) AS review_note, CASE WHEN i.id % 4 = 3 THEN i.id + 3 END AS replaced_by,
+  CASE WHEN i.id % 5 < 2 THEN 'lab' END AS review_scope, CASE WHEN i.id % 5 = 1 THEN 'auth-bypass-exception' END AS review_policy_class, 'r' || (i.id % 3) AS reviewer FROM i LEFT JOIN d USING (id)"""
 )
 def review_follow_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items are renewed, revoked and replaced."""
-    items, i = review_items(spark, sf_dir), F.expr
+    """Items are renewed, revoked and replaced; what they say of scope, class and reviewer stays."""
+    i = F.expr
+    items = review_items(spark, sf_dir).withColumns({"review_scope": i("CASE WHEN id % 5 < 2 THEN 'lab' END"), "review_policy_class": i("CASE WHEN id % 5 = 1 THEN 'auth-bypass-exception' END"), "reviewer": i("concat('r', id % 3)")})
     again = items.where("id % 4 = 1").select("id", i("CASE WHEN id % 8 = 1 THEN 'again' END").alias("note"), i(f"CASE WHEN id % 5 = 0 THEN timestampadd(DAY, 9, TIMESTAMP_NTZ'{NOW_TEXT}') END").alias("expires_at"))
     no_more = items.where("id % 4 = 2").select("id", i("CAST(NULL AS STRING)").alias("note"))
     others = items.where("id % 4 = 3").select("id", i("id + 3").alias("replaced_by"), i("CASE WHEN id % 8 = 3 THEN concat('See ', id + 3) ELSE 'Old.' END").alias("note"))
     decisions = review.renewed(again, items).unionByName(review.revoked(no_more, items)).unionByName(review.replaced(others, items))
-    return review.resolve(items, decisions, now()).join(decisions.select("id", "replaced_by"), "id", "left").select("id", "review_status", "review_expires_at", "review_note", "replaced_by")
+    return review.resolve(items, decisions, now()).join(decisions.select("id", "replaced_by"), "id", "left").select("id", "review_status", "review_expires_at", "review_note", "replaced_by", "review_scope", "review_policy_class", "reviewer")
 
 
 _REFLECTED = """CASE WHEN id % 2 = 0 THEN 'Relay node' || id % 4 || CASE WHEN id % 3 = 0 THEN ': ' ELSE ' uses ' END ELSE '' END || CASE WHEN id % 7 = 0 THEN 'We prefer short. ' WHEN id % 7 = 1 THEN 'The decision stands! ' ELSE '' END || searchable_text"""

@@ -7,11 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidepool.functions import labels
+from tidepool.functions import scoring as sc
 from tidepool.functions import text as tx
-from tidepool.operators import boolean, grounding, inverted, variants
-from tidepool.queries import _FACTORS, _LEVEL, _LIVE, _M, _NOW, _R, _SNAP, _TOK, now, query
+from tidepool.operators import boolean, extraction, grounding, ingest, inverted, lifecycle, lineage, policy, reflections, retrieve, variants
+from tidepool.queries import _FACTORS, _ITEMS, _KIND, _LEVEL, _LIVE, _M, _NOW, _R, _SNAP, _STOP, _TOK, _VER, _case_sql, _knowledge, _reflect_sql, now, query, review_items
 from tidepool.sources import tables
-from tidepool.sources.folder import shared_dir
+from tidepool.sources.folder import shared_dir, written
 
 
 def index_of(spark: SparkSession) -> inverted.Index:
@@ -128,3 +130,85 @@ SELECT query_id, len(ids) AS n_items, used AS used_tokens, 1000 - used AS remain
 def query_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a thousand tokens of context hold of what multi_query_search finds."""
     return variants.assemble_context(_variants(spark, sf_dir), tables.memories(spark, sf_dir), 1000)
+
+
+@query(
+    f"""
+WITH d AS (SELECT doc_id AS id, text, lower(text) AS low, list_filter({_TOK.format('text')}, lambda w: length(w) >= 7) AS big FROM documents),
+f AS (SELECT id, big[1] AS subject, big[2] AS relation, big[1] || ' ' || big[2] || ' ' || (id % 3) AS text FROM d WHERE id % 20 = 0 AND len(big) >= 2),
+stored AS (SELECT min(id) AS id, text, any_value(subject) AS subject, any_value(relation) AS relation FROM f WHERE text NOT IN (SELECT text FROM d WHERE text IS NOT NULL) GROUP BY text),
+held AS (SELECT CAST(d.id AS VARCHAR) AS source, s.text AS target FROM stored s JOIN d ON contains(d.low, s.subject) AND contains(d.low, s.relation)
+  UNION ALL SELECT o.text, s.text FROM stored s JOIN stored o ON o.id < s.id AND contains(o.text, s.subject) AND contains(o.text, s.relation))
+SELECT source, target FROM held"""
+)
+def extraction_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts about two long words of every twentieth memory's text, as a model's answers would give them; the edges that storing them makes, new memories by their text."""
+    m = tables.memories(spark, sf_dir).select("id", "searchable_text")
+    words = m.where("id % 20 = 0").select("id", F.filter(tx.tokens(F.col("searchable_text")), lambda w: F.length(w) >= 7).alias("w")).where("size(w) >= 2")
+    answer = F.expr("concat('fact|7|', w[0], ' ', w[1], ' ', id % 3, '|', w[0], '|', w[0], '>', w[1], '>', id % 3)")
+    rows, edges, _ = extraction.store_facts(m, ingest.parse_facts(words.select("id", answer.alias("answer"))), now())
+    texts = rows.select("id", "searchable_text")
+    target = texts.select(F.col("id").alias("target_id"), F.col("searchable_text").alias("target"))
+    source = texts.select(F.col("id").alias("source_id"), F.col("searchable_text").alias("fact"))
+    return edges.join(target, "target_id").join(source, "source_id", "left").select(F.coalesce("fact", F.col("source_id").cast("string")).alias("source"), "target")
+
+
+@query(f"""WITH o AS {_reflect_sql('true')}, m AS ({_M}) SELECT o.knowledge_key, m.id AS target_id FROM o JOIN m ON o.knowledge_key = 'k' || (m.id % 60) AND o.summary = 's' || (m.id % 7 % 3)""")
+def reflection_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three quarters of the rows are reflected and written; the others come, and only the keys that they touch are reflected again. The rows that each object rests on then."""
+    before, rows = _knowledge(spark, sf_dir, "id % 4 <> 0"), _knowledge(spark, sf_dir, "true")
+    named = lambda part: tables.memories(spark, sf_dir).where(part).select("id", F.concat(F.lit("k"), (F.col("id") % 60).cast("string")).alias("knowledge_key"), F.concat(F.lit("s"), (F.col("id") % 7 % 3).cast("string")).alias("summary"))
+    objects = lifecycle.reflect(before)
+    persisted = reflections.persist(objects, reflections.written(objects.where("false"), now()), now())
+    edges = written(lineage.supports(objects, named("id % 4 <> 0"), now()), "edges")
+    keys = written(lineage.touched(named("id % 4 = 0")), "touched")
+    after = written(lineage.reflect_again(objects, rows, keys), "objects")
+    changed = after.join(keys, "knowledge_key", "left_semi")
+    persisted = written(reflections.persist(changed, persisted, now()), "persisted")
+    edges = lineage.edges_after(edges, changed, persisted, named("true"), now())
+    own = reflections.active(persisted).select(F.col("memory_id").alias("source_id"), "knowledge_key")
+    return edges.where("relation = 'validated_by'").join(own, "source_id").select("knowledge_key", "target_id")
+
+
+_REGISTRY = [("networking", "chain", "c1", "primary"), ("networking", "kind", "system", "authoritative"), ("networking", "kind", "web", "reference"), ("security", "kind", "other", "authoritative")]
+_AUTHORITY = "greatest(CASE WHEN chain = 'c1' THEN 80 ELSE 0 END, CASE source_kind WHEN 'system' THEN 100 WHEN 'web' THEN 30 ELSE 0 END)"
+_GUIDED = _FACTORS.split("\n  * CASE WHEN memory_type = 'procedural'")[0] + "\n  * CASE WHEN memory_type <> 'procedural' THEN 0.82 WHEN level = 'trusted' THEN 1.28 WHEN level = 'low' THEN 0.35 WHEN level = 'untrusted' THEN 0.12 ELSE 1.12 END"
+_RANKED = f"({_case_sql(_KIND, sc.SOURCE_KINDS, 2, sc.UNKNOWN_KIND_RANK)}) + ({_case_sql(_VER, sc.VERIFICATIONS, 2, sc.UNKNOWN_VERIFICATION_RANK)})"
+
+
+@query(
+    f"""
+WITH m AS ({_M}), d AS (SELECT doc_id AS memory_id, {_TOK.format('text')} AS words FROM documents), stats AS (SELECT count(*) AS n_docs, avg(len(words)) AS avg_len FROM d),
+q AS (SELECT memory_id AS query_id, list_filter(list_distinct(['supported', 'port'] || big[1:2]), lambda w: NOT list_contains({_STOP}, w)) AS words FROM (SELECT memory_id, list_filter(words, lambda w: length(w) >= 4) AS big FROM d WHERE memory_id % 20 = 0) WHERE len(big) >= 2),
+terms AS (SELECT query_id, unnest(words) AS term FROM q),
+tf AS (SELECT term, memory_id, dl, count(*) AS tf FROM (SELECT memory_id, len(words) AS dl, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+kw AS (SELECT query_id, memory_id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * {_GAIN.format('tf')}), 6) AS score FROM terms JOIN df USING (term) JOIN tf USING (term), stats GROUP BY query_id, memory_id
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) <= 30),
+i AS (SELECT id, CASE WHEN review_status = 'allowed' AND review_expires_at <= {_NOW} THEN 'expired' WHEN review_status IS NULL AND review_required THEN 'pending' ELSE review_status END AS status, id % 5 < 2 AS lab, id % 5 = 1 AS classed FROM ({_ITEMS})),
+t AS (SELECT m.*, {_LEVEL} AS level, 'c' || (m.id % 4) AS chain, i.status, coalesce(i.status IN ('pending', 'expired'), false) AS pending, coalesce(i.status = 'denied', false) AS denied, coalesce(lab, false) AS lab, coalesce(classed, false) AS classed FROM m LEFT JOIN i ON i.id = m.id),
+c AS (SELECT kw.query_id, kw.memory_id, t.*, {_AUTHORITY} AS authority, kw.score * {_GUIDED} * CASE WHEN status = 'denied' THEN 0.03 WHEN status IN ('pending', 'expired') THEN 0.18 ELSE 1.0 END
+  * CASE {_AUTHORITY} WHEN 100 THEN 1.18 WHEN 80 THEN 1.12 WHEN 30 THEN 1.02 ELSE 1.0 END AS points FROM kw JOIN t ON id = memory_id WHERE (valid_from IS NULL OR valid_from <= {_NOW}) AND (valid_until IS NULL OR valid_until > {_NOW})),
+f AS (SELECT *, memory_type = 'procedural' AS proc, level IN ('trusted', 'normal') AS ok, NOT lab AS fits FROM c),
+s AS (SELECT *, bool_or(proc AND ok AND NOT pending AND NOT denied AND fits) OVER (PARTITION BY query_id) AS has_safe, count(*) OVER (PARTITION BY query_id) AS n FROM f),
+k AS (SELECT * FROM s WHERE NOT (n > 1 AND proc AND (denied OR (classed AND NOT fits) OR (has_safe AND (NOT ok OR pending))))),
+e AS (SELECT *, proc AND ok AND NOT pending AND NOT denied AND count(*) OVER (PARTITION BY query_id) > 1 AS is_in, CASE level WHEN 'trusted' THEN 400 ELSE 300 END + authority + {_RANKED} + CAST(trunc(points * 100) AS BIGINT) + CASE WHEN lab THEN 0 ELSE 15 END + CASE WHEN classed THEN 0 ELSE 15 END
+  - CASE WHEN lab THEN 120 ELSE 0 END + CASE WHEN regexp_matches(lower(searchable_text), '{labels.any_of(policy.IS_DEFAULT)}') THEN 120 ELSE 0 END - CASE WHEN regexp_matches(lower(searchable_text), '{labels.any_of(policy.IS_EXCEPTION)}') THEN 160 ELSE 0 END AS place FROM k),
+p AS (SELECT *, CASE WHEN is_in THEN max(authority) FILTER (WHERE is_in) OVER (PARTITION BY query_id, chain) END AS power FROM e),
+tops AS (SELECT query_id, max(power) AS top_power FROM p GROUP BY query_id), heads AS (SELECT query_id, any_value(top_power) AS top_power, count(DISTINCT chain) = 1 AND any_value(top_power) > 0 AS leads FROM p JOIN tops USING (query_id) WHERE power = top_power GROUP BY query_id),
+g AS (SELECT p.*, is_in AND (NOT coalesce(leads, false) OR power = top_power) AS runs FROM p LEFT JOIN heads USING (query_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY runs DESC, place DESC, memory_id) AS pos FROM g),
+b AS (SELECT *, max(place) FILTER (WHERE runs AND pos = 1) OVER (PARTITION BY query_id) AS best, max(place) FILTER (WHERE runs AND pos = 2) OVER (PARTITION BY query_id) AS second FROM o),
+z AS (SELECT query_id, memory_id, round(points, 6)::DOUBLE AS score FROM b WHERE NOT (runs AND pos > 1 AND coalesce(best > second + {policy.LEAD}, false)))
+SELECT query_id, memory_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM z QUALIFY rank <= 10"""
+)
+def guided_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions for the supported way, with the memories' reviews and a registry of authority: procedures that are not safe go, of those that contradict each other one is left."""
+    m = tables.memories(spark, sf_dir).withColumn("source_chain", F.concat(F.lit("c"), (F.col("id") % 4).cast("string")))
+    reviews = review_items(spark, sf_dir).withColumns({"review_scope": F.expr("CASE WHEN id % 5 < 2 THEN 'lab' END"), "review_policy_class": F.expr("CASE WHEN id % 5 = 1 THEN 'auth-bypass-exception' END")})
+    long = m.where("id % 20 = 0").select("id", F.filter(tx.tokens(F.col("searchable_text")), lambda w: F.length(w) >= 4).alias("w")).where("size(w) >= 2")
+    asked = long.select(F.col("id").alias("query_id"), F.concat(F.lit("what is the supported "), F.col("w")[0], F.lit(" "), F.col("w")[1], F.lit(" port")).alias("query"))
+    no, neutral = F.lit(False), F.lit("neutral")
+    plan = asked.select("query_id", "query", F.lit("keyword-any").alias("mode"), neutral.alias("temporal"), neutral.alias("state"), no.alias("strict_grounding"), no.alias("alignment"), F.lit(True).alias("asks_guidance"))
+    registry = spark.createDataFrame(_REGISTRY, "domain string, name string, value string, level string")
+    return retrieve.retrieve(plan, m, tables.relations(spark, sf_dir), now(), reviews=reviews, registry=registry)
