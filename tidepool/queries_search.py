@@ -78,7 +78,7 @@ def boolean_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = index_of(spark)
     index.append(m)
     words = m.where("id % 20 = 0").select(F.col("id").alias("query_id"), tx.tokens(F.col("searchable_text")).alias("w")).where(F.size("w") >= 7)
-    forms = ["w[2] || ' AND ' || w[3]", "'(' || w[2] || ' OR ' || w[3] || ') NOT ' || w[4]", "'\"' || array_join(slice(w, 3, 3), ' ') || '\"'", "substr(w[2], 1, 3) || '* AND ' || w[3]", "'\"' || w[2] || ' ' || w[3] || '\" OR ' || w[4] || ' NOT ' || w[6]"]
+    forms = ["get(w, 2) || ' AND ' || get(w, 3)", "'(' || get(w, 2) || ' OR ' || get(w, 3) || ') NOT ' || get(w, 4)", "'\"' || array_join(slice(w, 3, 3), ' ') || '\"'", "substr(get(w, 2), 1, 3) || '* AND ' || get(w, 3)", "'\"' || get(w, 2) || ' ' || get(w, 3) || '\" OR ' || get(w, 4) || ' NOT ' || get(w, 6)"]
     form = F.expr("CASE query_id DIV 20 % 5 " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(forms)) + " END")
     return _best(boolean.search(index, words.select("query_id", form.alias("query")), 10))
 
@@ -110,7 +110,7 @@ def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three forms of questions about two long words of every twentieth memory's text: how they are linked, the words alone, how they are linked now."""
     m = tables.memories(spark, sf_dir)
     long = m.where("id % 20 = 0").select("id", F.filter(tx.tokens(F.col("searchable_text")), lambda w: F.length(w) >= 8).alias("w")).where("size(w) >= 2")
-    form = F.expr("CASE id DIV 20 % 3 WHEN 0 THEN 'How is ' || w[0] || ' linked to ' || w[1] || '?' WHEN 1 THEN w[0] || ' ' || w[1] ELSE 'How is the current ' || w[0] || ' linked to ' || w[1] || '?' END")
+    form = F.expr("CASE id DIV 20 % 3 WHEN 0 THEN 'How is ' || get(w, 0) || ' linked to ' || get(w, 1) || '?' WHEN 1 THEN get(w, 0) || ' ' || get(w, 1) ELSE 'How is the current ' || get(w, 0) || ' linked to ' || get(w, 1) || '?' END")
     asked = long.select(F.col("id").alias("query_id"), form.alias("query"))
     return variants.search(asked, m, tables.relations(spark, sf_dir), now(), variants.Assembly(max_per_session=2, search_limit=20))
 
@@ -145,7 +145,7 @@ def extraction_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts about two long words of every twentieth memory's text, as a model's answers would give them; the edges that storing them makes, new memories by their text."""
     m = tables.memories(spark, sf_dir).select("id", "searchable_text")
     words = m.where("id % 20 = 0").select("id", F.filter(tx.tokens(F.col("searchable_text")), lambda w: F.length(w) >= 7).alias("w")).where("size(w) >= 2")
-    answer = F.expr("concat('fact|7|', w[0], ' ', w[1], ' ', id % 3, '|', w[0], '|', w[0], '>', w[1], '>', id % 3)")
+    answer = F.expr("concat('fact|7|', get(w, 0), ' ', get(w, 1), ' ', id % 3, '|', get(w, 0), '|', get(w, 0), '>', get(w, 1), '>', id % 3)")
     rows, edges, _ = extraction.store_facts(m, ingest.parse_facts(words.select("id", answer.alias("answer"))), now())
     texts = rows.select("id", "searchable_text")
     target = texts.select(F.col("id").alias("target_id"), F.col("searchable_text").alias("target"))
@@ -207,7 +207,7 @@ def guided_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = tables.memories(spark, sf_dir).withColumn("source_chain", F.concat(F.lit("c"), (F.col("id") % 4).cast("string")))
     reviews = review_items(spark, sf_dir).withColumns({"review_scope": F.expr("CASE WHEN id % 5 < 2 THEN 'lab' END"), "review_policy_class": F.expr("CASE WHEN id % 5 = 1 THEN 'auth-bypass-exception' END")})
     long = m.where("id % 20 = 0").select("id", F.filter(tx.tokens(F.col("searchable_text")), lambda w: F.length(w) >= 4).alias("w")).where("size(w) >= 2")
-    asked = long.select(F.col("id").alias("query_id"), F.concat(F.lit("what is the supported "), F.col("w")[0], F.lit(" "), F.col("w")[1], F.lit(" port")).alias("query"))
+    asked = long.select(F.col("id").alias("query_id"), F.concat(F.lit("what is the supported "), F.get("w", F.lit(0)), F.lit(" "), F.get("w", F.lit(1)), F.lit(" port")).alias("query"))
     no, neutral = F.lit(False), F.lit("neutral")
     plan = asked.select("query_id", "query", F.lit("keyword-any").alias("mode"), neutral.alias("temporal"), neutral.alias("state"), no.alias("strict_grounding"), no.alias("alignment"), F.lit(True).alias("asks_guidance"))
     registry = spark.createDataFrame(_REGISTRY, "domain string, name string, value string, level string")
