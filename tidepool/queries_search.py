@@ -65,9 +65,12 @@ _LEAVES = """leaf AS (
 WITH d AS (SELECT doc_id AS memory_id, {_TOK.format('text')} AS words FROM documents), stats AS (SELECT count(*) AS n_docs, avg(len(words)) AS avg_len FROM d),
 q AS (SELECT memory_id AS query_id, memory_id // 20 % 5 AS kind, words[3] AS a, words[4] AS b, words[5] AS c, words[7] AS e FROM d WHERE memory_id % 20 = 0 AND len(words) >= 7),
 {_LEAVES},
-tf AS (SELECT query_id, kind, l.n AS n, memory_id, len(words) AS dl, CASE l.k WHEN 'word' THEN len(list_filter(words, lambda w: w = l.x[1])) WHEN 'prefix' THEN len(list_filter(words, lambda w: starts_with(w, l.x[1])))
-  ELSE len(list_filter(generate_series(1, len(words)), lambda i: words[i:i + len(l.x) - 1] = l.x)) END AS tf FROM leaf, d),
-hit AS (SELECT * FROM tf WHERE tf > 0), df AS (SELECT query_id, n, count(*) AS df FROM hit GROUP BY ALL),
+tok AS (SELECT memory_id, len(words) AS dl, generate_subscripts(words, 1) AS pos, unnest(words) AS w FROM d), f AS (SELECT query_id, kind, l.n AS n, l.k AS k, l.x AS x FROM leaf),
+hit AS (SELECT query_id, kind, n, memory_id, dl, count(*) AS tf FROM (SELECT * FROM f WHERE k = 'word') JOIN tok ON w = x[1] GROUP BY ALL
+  UNION ALL SELECT query_id, kind, n, memory_id, dl, count(*) FROM (SELECT * FROM f WHERE k = 'prefix') JOIN tok ON starts_with(w, x[1]) GROUP BY ALL
+  UNION ALL SELECT query_id, kind, n, o.memory_id, o.dl, count(*) FROM (SELECT * FROM f WHERE k = 'phrase') JOIN tok o ON o.w = x[1] JOIN tok p ON p.memory_id = o.memory_id AND p.pos = o.pos + 1 AND p.w = x[2]
+    LEFT JOIN tok r ON r.memory_id = o.memory_id AND r.pos = o.pos + 2 AND r.w = x[3] WHERE len(x) = 2 OR r.w IS NOT NULL GROUP BY ALL),
+df AS (SELECT query_id, n, count(*) AS df FROM hit GROUP BY ALL),
 scored AS (SELECT query_id, kind, memory_id, round(sum(greatest(ln((n_docs - df + 0.5) / (df + 0.5)), 1e-6) * {_GAIN.format('tf')}), 6) AS score, bool_or(n = 0) AS x, bool_or(n = 1) AS y, bool_or(n = 2) AS z FROM hit JOIN df USING (query_id, n), stats GROUP BY ALL)
 SELECT query_id, memory_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM scored
 WHERE CASE kind WHEN 0 THEN x AND y WHEN 1 THEN (x OR y) AND NOT z WHEN 2 THEN x WHEN 3 THEN x AND y ELSE x OR (y AND NOT z) END QUALIFY rank <= 10"""
