@@ -6,7 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from tidepool.llm import chat, mixing, quality
+from tidepool.llm import chat, dedup, mixing, quality
 from tidepool.llm.trees import train
 
 
@@ -104,3 +104,12 @@ def test_a_very_long_turn(spark):
     df = spark.createDataFrame([(1, 0, "user", "short"), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
     r = chat.read_conversations(chat.format_conversations(df)).first()
     assert (r.n_turns, r.loss_chars) == (2, len(long))
+
+
+def test_rows_that_are_needed_are_never_left_out(spark):
+    rows = spark.range(-3000, 3000).selectExpr("CAST(id * 1000003 AS BIGINT) AS doc_id", "'x' AS text")
+    ids = rows.where("doc_id % 17 = 0").select("doc_id")
+    got = {r.doc_id for r in dedup.perhaps_in(rows, "doc_id", ids).collect()}
+    want = {r.doc_id for r in ids.collect()}
+    assert want <= got and len(got) < len(want) + 20
+    assert dedup.perhaps_in(rows, "doc_id", ids.where("false")).count() == 0

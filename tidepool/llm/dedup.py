@@ -48,6 +48,8 @@ DEVIATIONS = 6.7
 BLOCK, BLOCK_SHINGLES = 500, 1 << 19
 #: Rounds of further stars in open buckets.
 STARS = 6
+#: Places in the table that tells which texts are needed again: 1 MB.
+BITS = 1 << 23
 _C = np.random.default_rng(20240607)
 _MULT = _C.integers(0, 2**32, 160, dtype=np.uint32) | np.uint32(1)
 _ADD = _C.integers(0, 2**32, 160, dtype=np.uint32)
@@ -303,6 +305,17 @@ def in_blocks(members: DataFrame) -> DataFrame:
     return dealt.select("key", "band", "node", "n", "component", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
 
+def perhaps_in(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among ids, and some others: what a table of BITS bits, a hash each, cannot tell apart. An exact join has to follow; it moves fewer
+    rows. The table, an eighth of BITS bytes, is put together in the driver from as many numbers at most."""
+    place = F.pmod(F.xxhash64(key), F.lit(BITS))
+    found = ids.select(place.alias("p")).groupBy(F.expr("p DIV 8").alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, CAST(p % 8 AS INT))")).alias("bits")).toArrow()
+    table = np.zeros(BITS // 8, np.uint8)
+    table[found.column("byte").to_numpy()] = found.column("bits").to_numpy()
+    own = F.conv(F.hex(F.substring(F.lit(bytearray(table.tobytes())), (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return rows.withColumn("_p", (place % 8).cast("int")).where(own.bitwiseAND(F.expr("shiftleft(1, _p)")) != 0).drop("_p")
+
+
 def doubtful(members: DataFrame, percent: int) -> DataFrame:
     """key, low, high, node of the members that sketches leave in doubt."""
     bound = sketch_bound(percent)
@@ -375,7 +388,8 @@ def near_duplicates(df: DataFrame, percent: int = 85) -> DataFrame:
         sets = sets_of(docs.join(members, ["doc_id", "mark"]).select("node", "text", "set_key")).dropDuplicates(["node"])
     else:
         members = materialize(buckets.select("node").distinct(), "members")
-        sets = sets_of(docs.join(members, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text", F.lit(None).cast("binary")))
+        wanted = perhaps_in(docs, "doc_id", members.select(F.col("node").alias("doc_id")))
+        sets = sets_of(wanted.join(members, F.col("doc_id") == F.col("node"), "left_semi").select("doc_id", "text", F.lit(None).cast("binary")))
     sets = materialize(sets, "shingles")
     links = materialize(confirmed(stars, sets, percent), "links-0")
     label = F.coalesce(F.col("component"), F.col("node"))
