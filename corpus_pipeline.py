@@ -23,6 +23,8 @@ PERCENT = 80
 #: Columns that a stage adds for itself; documents have none of these names.
 ROW, GROUP, COPIES, COPY = "__row__", "__group__", "__copies__", "__copy__"
 FIRST, PLACE = "__first__", "__place__"
+#: Rows of decisions that are sent to the texts at most: 12 MB of numbers.
+SENT_ROWS = 1 << 20
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -70,7 +72,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with scratch(spark):
         copies = mixing.mix(rows, row=ROW).select(F.col("row").alias(ROW), F.col("copies").cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
         copies = materialize(copies, "copies", keep=True)
-    return rows.join(copies, ROW).withColumn(COPY, F.explode(F.array_repeat(F.lit(1), F.col(COPIES)))).select(docs.columns)
+    sent = F.broadcast(copies) if copies.count() <= SENT_ROWS else copies  # two numbers a row; beyond that the texts move
+    return rows.join(sent, ROW).withColumn(COPY, F.explode(F.array_repeat(F.lit(1), F.col(COPIES)))).select(docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
