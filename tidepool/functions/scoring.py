@@ -82,8 +82,16 @@ def _looked_up(value: Column, table: dict, at: int, default: float | int) -> Col
     return out
 
 
-def provenance(kind: Column, verification: Column) -> Column:
-    return _looked_up(kind, SOURCE_KINDS, 1, 1.0) * _looked_up(verification, VERIFICATIONS, 1, 1.0)
+def source_kind(value: Column) -> Column:
+    return _looked_up(value, SOURCE_KINDS, 1, 1.0)
+
+
+def verification(value: Column) -> Column:
+    return _looked_up(value, VERIFICATIONS, 1, 1.0)
+
+
+def provenance(kind: Column, verified: Column) -> Column:
+    return source_kind(kind) * verification(verified)
 
 
 def provenance_rank(kind: Column, verification: Column) -> Column:
@@ -120,6 +128,11 @@ def authority_rank(level: Column) -> Column:
     return _cases(level, AUTHORITY_RANK, 0)
 
 
+def rounded(score: Column, digits: int = 6) -> Column:
+    """As SQL engines round doubles: by scaling, halves away from zero. Spark's own round() goes by the shortest decimal, which differs where that ends in a 5."""
+    return F.round(score * F.lit(10.0**digits)) / F.lit(10.0**digits)
+
+
 def composite(*factors: Column) -> Column:
     return reduce(lambda a, b: a * b, factors)
 

@@ -21,7 +21,7 @@ DETAIL = (
     + UNITS
     + "cost token price version number id first second third fourth fifth reserved remove removed fail failed duration filename file path endpoint hostname host address port subnet network range cidr script runner label header deployment parameter value hnsw subtype plist hash threshold emotion".split()
 )
-FOUND = ["strict", "together", "yes_no", "artifact", "constraint", "intent"]
+FOUND = ["wording", "strict", "together", "yes_no", "artifact", "constraint", "intent"]
 EXCLUSION = ["except", "without", "excluding", "not with"]
 
 # What asks for a sort of text, what shows it, and the factors where it is shown and where not.
@@ -52,14 +52,16 @@ def numbers(text: Column) -> Column:
 
 
 def asked(queries: DataFrame) -> DataFrame:
-    """query_id, query, strict, together, yes_no, artifact, constraint, intent: what only the query's own words tell. One row a query; a null query asks nothing."""
+    """query_id, query, wording, strict, together, yes_no, artifact, constraint, intent: what only the query's own words tell, those of wording where there is such a column (the
+    query without what it names). One row a query; a null query asks nothing."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [Query(x or "") for x in b["query"]]
+            found = [Query(x or "") for x in b["wording"]]
             yield b.assign(strict=[q.strict for q in found], together=[q.together for q in found], yes_no=[q.yes_no for q in found], artifact=[q.artifact for q in found], constraint=[q.constraint for q in found], intent=[q.intent for q in found])
 
-    return queries.select("query_id", "query").mapInPandas(run, "query_id long, query string, strict boolean, together boolean, yes_no boolean, artifact boolean, constraint boolean, intent string")
+    own = F.coalesce("wording", "query") if "wording" in queries.columns else F.col("query")
+    return queries.select("query_id", "query", own.alias("wording")).mapInPandas(run, "query_id long, query string, wording string, strict boolean, together boolean, yes_no boolean, artifact boolean, constraint boolean, intent string")
 
 
 def grounded(query: Column, text: Column, strict: Column, together: Column, yes_no: Column) -> Column:
@@ -121,5 +123,5 @@ def align(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """Weighs score by how the text suits the query. candidates: with searchable_text; queries: query_id, query. A row whose query is not
     listed, or without text, keeps its score where nothing is asked for."""
     both = candidates.join(asked(queries), "query_id", "left")
-    factor = alignment(F.col("query"), F.coalesce("searchable_text", F.lit("")), F.col("artifact"), F.col("constraint"), F.col("intent"))
+    factor = alignment(F.col("wording"), F.coalesce("searchable_text", F.lit("")), F.col("artifact"), F.col("constraint"), F.col("intent"))
     return both.withColumn("score", F.col("score") * factor).drop("query", *FOUND)

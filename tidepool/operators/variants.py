@@ -8,6 +8,7 @@ depth and its last relation. A query that asks for guidance is asked as it is al
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,7 @@ RELATION_WEIGHTS = {"superseded_by": 1.2, "validated_by": 1.0, "solved_by": 0.9,
 OTHER_RELATION = 0.75
 SEEDS = 20
 _STOP = set(tx.STOP_WORDS)
-VARIANTS = f"{retrieve.ROUTED}, asked long, weight double"
+VARIANTS = f"{retrieve.ROUTED}, asked long, weight double, wording string"
 
 
 @dataclass(frozen=True)
@@ -66,20 +67,40 @@ def variants_of(query: str) -> list[tuple[str, float]]:
     return out
 
 
+def wording(query: str, names: list[str]) -> tuple[str, Callable[[str], str]]:
+    """The query with words that signal nothing in place of the names in it (whole words, case aside), and what puts the names back."""
+    known = [re.escape(n) for n in sorted(names, key=len, reverse=True) if n]
+    if not known:
+        return query, lambda text: text
+    mark, found = "namedthing", []
+    while mark in query.lower():
+        mark += "x"
+
+    def hide(m: re.Match) -> str:
+        found.append(m[0])
+        return mark + "o" * len(found)
+
+    plain = re.sub(rf"(?<![A-Za-z0-9])({'|'.join(known)})(?![A-Za-z0-9])", hide, query, flags=re.IGNORECASE)
+    return plain, lambda text: re.sub(f"{mark}(o+)", lambda m: found[len(m[1]) - 1], text)
+
+
 def variant_plan(queries: DataFrame, mode: str = "hybrid", depth: str | None = None, rerank_limit: int = 20) -> DataFrame:
-    """A plan with a row a variant, routed by its own words: query_id is 4 times the query's (so ids lie within 2^61) plus the variant's number; asked, weight."""
+    """A plan with a row a variant, routed by its wording: query_id is 4 times the query's (so ids lie within 2^61) plus the variant's number; asked, weight. queries with names
+    (an array): what they name is searched for, but is no wording, so a thing called reserved makes no strict query."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for i, query in zip(b["query_id"], b["query"], strict=True):
-                for n, (text, weight) in enumerate(variants_of(query or "")):
+            for i, query, names in zip(b["query_id"], b["query"], b["names"], strict=True):
+                plain, back = wording(query or "", [] if names is None else list(names))
+                for n, (text, weight) in enumerate(variants_of(plain)):
                     r, q = route(text, mode, depth or "any", rerank_limit), Query(text)
                     named = "keyword-any" if r.mode == "keyword" and q.precise_procedure else r.mode
-                    rows.append((4 * i + n, text, named, r.temporal, r.state, r.strict_grounding, r.alignment, q.guidance, r.depth, r.rerank_limit, r.reflection, r.graph_depth, i, weight))
+                    rows.append((4 * i + n, back(text), named, r.temporal, r.state, r.strict_grounding, r.alignment, q.guidance, r.depth, r.rerank_limit, r.reflection, r.graph_depth, i, weight, text))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in VARIANTS.split(", ")])
 
-    return queries.select(F.col("query_id").cast("long").alias("query_id"), "query").mapInPandas(run, VARIANTS)
+    names = F.col("names") if "names" in queries.columns else F.lit(None).cast("array<string>")
+    return queries.select(F.col("query_id").cast("long").alias("query_id"), "query", names.alias("names")).mapInPandas(run, VARIANTS)
 
 
 def relation_weight(relation: Column) -> Column:
@@ -112,7 +133,7 @@ def expand(seeds: DataFrame, relations: DataFrame, now: Column) -> DataFrame:
 def search(
     queries: DataFrame, memories: DataFrame, relations: DataFrame, now: Column, config: Assembly = Assembly(), vectors: DataFrame | None = None, embed: Callable[[DataFrame], DataFrame] | None = None, mode: str = "hybrid", depth: str | None = None, **options
 ) -> DataFrame:
-    """query_id, memory_id, score, rank. queries: query_id, query; one row a query_id. embed(query_id, query) gives query_id, embedding of variants; without it and
+    """query_id, memory_id, score, rank. queries: query_id, query, or with names (see variant_plan()); one row a query_id. embed(query_id, query) gives query_id, embedding of variants; without it and
     vectors, keyword search. memories with turn_index where recency_boost is not 0, with session where max_per_session is not 0. options: those of retrieve.ranked()."""
     plan = written(variant_plan(queries, mode, depth), "variants")
     k = config.search_limit
@@ -142,7 +163,7 @@ def search(
     rows = rows.select("query_id", "memory_id", (F.col("score") * factor).alias("score"))
     texts = memories.select(F.col("id").alias("memory_id"), "searchable_text", *[c for c in ("session",) if c in memories.columns])
     rows = rows.join(own.select("query_id", "strict_grounding", "alignment"), "query_id").join(texts, "memory_id")
-    rows = retrieve.answering(rows, own.select("query_id", "query"))
+    rows = retrieve.answering(rows, own.select("query_id", "query", "wording"))
     if config.max_per_session:
         rows = lifecycle.diversify(rows, config.max_per_session)
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).select("query_id", "memory_id", "score", "rank")
