@@ -23,6 +23,22 @@ def test_substrings_by_brute_force(spark):
     assert extraction.containing(df, asked.where("needle = ''")).count() == 0
 
 
+def test_both_parts_in_older_texts_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    make = lambda n: "".join("abcdé "[int(k)] for k in rng.integers(0, 6, n))
+    texts = [(k, make(int(rng.integers(0, 90)))) for k in range(200)] + [(900, None), (901, ""), (902, "abcdabcdab" * 20_000)]
+    asked = sorted({(int(rng.integers(0, 950)), make(int(rng.integers(1, 12))), make(int(rng.integers(0, 4)))) for _ in range(300)})
+    df = spark.createDataFrame(texts, "id long, low string").repartition(3)
+    rows = spark.createDataFrame([*asked, (999, None, "a"), (999, "a", None), (999, "", "a")], "target_id long, needle string, relation string")
+    want = sorted((i, t) for t, needle, relation in asked for i, low in texts if low is not None and i < t and needle in low and relation in low)
+    for most in (200_000, 70):
+        extraction.MOST_ASKED, kept = most, extraction.MOST_ASKED
+        try:
+            assert sorted(tuple(r) for r in extraction.older_holding(df, rows).collect()) == want
+        finally:
+            extraction.MOST_ASKED = kept
+
+
 def test_facts_are_stored_once_and_supersede(spark):
     memories = spark.createDataFrame([(1, "The Relay lives in Oslo"), (2, "Nothing"), (7, "relay, it lives   in Rome"), (9, None)], "id long, searchable_text string")
     answers = [
