@@ -19,7 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.operators.inverted import Index, gain, weights
+from tidepool.operators import inverted
+from tidepool.operators.inverted import Index, gain, holds, weights
 from tidepool.operators.search import top
 from tidepool.sources.folder import written
 
@@ -85,16 +86,6 @@ def read(query: str | None) -> Reader | None:
         return None
 
 
-def holds(tree, mask: int) -> bool:
-    """Whether a set of leaves (bits) will do."""
-    if isinstance(tree, int):
-        return bool(mask >> tree & 1)
-    operator, left, right = tree
-    if operator == "OR":
-        return holds(left, mask) or holds(right, mask)
-    return holds(left, mask) and holds(right, mask) == (operator == "AND")
-
-
 def leaves_of(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """query_id, leaf, kind, words; and query_id, tree. A query has 63 leaves at most; one with more matches nothing."""
 
@@ -110,8 +101,8 @@ def leaves_of(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own.mapInPandas(lambda b: run(b, False), LEAVES), own.mapInPandas(lambda b: run(b, True), TREES)
 
 
-def places(index: Index, leaves: DataFrame) -> DataFrame:
-    """query_id, leaf, block, memory_id, size, count: how often each leaf occurs in each live memory."""
+def words_in(index: Index, leaves: DataFrame) -> DataFrame:
+    """query_id, leaf, term, m, at: the index's terms that leaves name; of a phrase (of m words) with their numbers in it."""
     key = ["query_id", "leaf"]
     single = leaves.where("kind = 'word'").select(*key, F.col("words")[0].alias("term"))
     starts = leaves.where("kind = 'prefix'").select(*key, F.col("words")[0].alias("start"))
@@ -121,13 +112,23 @@ def places(index: Index, leaves: DataFrame) -> DataFrame:
         cut = vocabulary.select("term", F.explode(F.lit(lengths)).alias("n")).where(F.length("term") >= F.col("n")).select("term", F.substring(F.col("term"), F.lit(1), F.col("n")).alias("start"))
         single = single.unionByName(starts.join(cut, "start").select(*key, "term"))
     phrase = leaves.where("kind = 'phrase'").select(*key, F.size("words").alias("m"), F.posexplode("words").alias("at", "term"))
-    asked = written(single.select(*key, "term", F.lit(None).cast("int").alias("m"), F.lit(0).alias("at")).unionByName(phrase.select(*key, "term", "m", "at")), "leaves")
+    return single.select(*key, "term", F.lit(None).cast("int").alias("m"), F.lit(0).alias("at")).unionByName(phrase.select(*key, "term", "m", "at"))
+
+
+def places(index: Index, leaves: DataFrame) -> DataFrame:
+    """query_id, leaf, block, memory_id, size, count: how often each leaf occurs in each live memory."""
+    key = ["query_id", "leaf"]
+    asked = written(words_in(index, leaves), "leaves")
     rows = index.live(index.table("postings").join(asked.select("term").distinct(), "term", "left_semi"))
     hits = rows.join(asked, "term")
     own = ["block", "memory_id", "size"]
     plain = hits.where("m IS NULL").groupBy(*key, *own).agg(F.sum("count").cast("long").alias("count"))
     # a phrase begins where all of its words, each at its number in it, lead back to
-    begins = hits.where("m IS NOT NULL").select(*key, *own, "m", F.explode("positions").alias("p"), "at").groupBy(*key, *own, "m", (F.col("p") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("n"))
+    # (places are read of the memories that have all of its words)
+    near = hits.where("m IS NOT NULL").select(*key, *own, "m", "term", "at")
+    whole = near.groupBy(*key, *own).agg(F.count_distinct("at").alias("n"), F.first("m").alias("m")).where("n = m").select(*key, *own)
+    spots = index.table("forward").join(whole.select("block", "memory_id").distinct(), ["block", "memory_id"], "left_semi").select("block", "memory_id", F.inline("words")).select("block", "memory_id", "term", "positions")
+    begins = near.join(whole, [*key, *own], "left_semi").join(spots, ["block", "memory_id", "term"]).select(*key, *own, "m", F.explode("positions").alias("p"), "at").groupBy(*key, *own, "m", (F.col("p") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("n"))
     phrases = begins.where("n = m").groupBy(*key, *own).agg(F.count(F.lit(1)).alias("count"))
     return plain.unionByName(phrases)
 
@@ -136,7 +137,10 @@ def search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """query_id, memory_id, score, rank. queries: query_id, query; one row a query_id."""
     n_docs, average = index.stats()
     leaves, trees = leaves_of(queries)
-    found = written(places(index, written(leaves, "asked")), "places")
+    leaves = written(leaves, "asked")
+    if inverted.hits_of(index, words_in(index, leaves)) > inverted.SCANNED:
+        return top(inverted.scan(index, leaves.join(trees, "query_id"), k, n_docs, average), k)
+    found = written(places(index, leaves), "places")
     idf = found.groupBy("query_id", "leaf").agg(weights(F.count(F.lit(1)), n_docs).alias("idf"))
     hits = found.join(idf, ["query_id", "leaf"])
     bit = F.expr("shiftleft(CAST(1 AS BIGINT), leaf)")

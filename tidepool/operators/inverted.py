@@ -3,64 +3,88 @@
 Tables in the index's folder, each a folder of Parquet files that append() adds to:
 
     docs       batch, block, memory_id, size         a row a memory; a block is BLOCK memories of one partition that were added together
-    postings   batch, block, term, memory_id, count, positions, size   in order of term and block, so that a filter on terms reads few row groups;
-               ranges are by term and block, so a frequent word is in many of them
+    postings   batch, block, term, memory_id, count, size   each file in order of term and block, so that a filter on terms reads few of its row groups; files
+               are by memory, so that nothing is shuffled and a frequent word is in all of them (compact() makes ranges of terms)
     blocks     batch, block, term, n, most, least     memories with the term, its greatest count and their least size: no memory of the block scores
                more for the term than these two would
+    forward    batch, block, memory_id, size, words, sums   what docs says, and each word with its places: the same by memory; sums are for append()
     gone       memory_id, before                      rows of batches below before are deleted
 
 top_k() first scores, for each query, the PROBES blocks that could score most; the k-th best score found is a bound, and of the other blocks only those are
 read that could reach it. Deleted rows count for nothing: neither as documents nor in a term's frequency.
+
+Many queries together would join the same postings again and again: the rows of that join grow with queries times memories. Where they are more than SCANNED of all postings,
+the queries go to the tasks (in blocks) and the forward rows are scored where they are read (scan()); nothing but each task's k best rows of a query is written.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators.search import B, K1, LEAST_IDF, query_terms, spread, top
+from tidepool.operators.search import B, CELLS, K1, LEAST_IDF, MOST_TERMS, Best, in_blocks, query_terms, spread, steps_of, top
 from tidepool.sources.folder import written
 
 BLOCK, PROBES = 256, 2
+SCANNED = 0.25
+#: Deletions that are sent to the rows at most: 12 MB of numbers.
+SENT_ROWS = 1 << 20
 _BLANK = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
-WORDS = "block long, memory_id long, size int, words array<struct<term:string,count:int,positions:array<int>>>"
+WORDS = "block long, memory_id long, size int, words array<struct<term:string,count:int,positions:array<int>>>, sums array<struct<term:string,n:bigint,most:int,least:int>>"
 SCHEMAS = {
     "docs": "batch int, block long, memory_id long, size int",
-    "postings": "batch int, block long, term string, memory_id long, count int, positions array<int>, size int",
+    "postings": "batch int, block long, term string, memory_id long, count int, size int",
     "blocks": "batch int, block long, term string, n long, most int, least int",
+    "forward": "batch int, block long, memory_id long, size int, words array<struct<term:string,count:int,positions:array<int>>>, sums array<struct<term:string,n:bigint,most:int,least:int>>",
     "gone": "memory_id long, before int",
 }
 
 
 def words_of(memories: DataFrame, batch: int) -> DataFrame:
-    """A row a memory: its block, its size, and each word with its places. Words are lower-case runs of ASCII letters and digits."""
+    """A row a memory: its block, its size, and each word with its places; at a block's first row, what blocks says of it. Words are lower-case runs of ASCII letters and digits."""
+
+    entry = pa.struct([("term", pa.string()), ("count", pa.int32()), ("positions", pa.list_(pa.int32()))])
+    total = pa.struct([("term", pa.string()), ("n", pa.int64()), ("most", pa.int32()), ("least", pa.int32())])
+
+    def made(block: int, rows: list[tuple[int, str]]) -> pa.RecordBatch:
+        sizes, ends, terms, counts, places = [], [0], [], [], []
+        for _, text in rows:
+            words = text.lower().encode("ascii", "replace").translate(_BLANK).decode().split()
+            own, code, found = np.unique(np.array(words, object), return_inverse=True, return_counts=True) if words else ([], np.zeros(0, int), np.zeros(0, int))
+            sizes.append(len(words))
+            terms.extend(own)
+            counts.append(found)
+            places.append(np.argsort(code, kind="stable"))
+            ends.append(len(terms))
+        counts, places, names = np.concatenate([*counts, []]).astype(np.int32), np.concatenate([*places, []]).astype(np.int32), pa.array(terms, pa.string())
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(places))
+        entries = pa.StructArray.from_arrays([names, pa.array(counts), lists], fields=list(entry))
+        of_term = pa.table({"term": names, "count": counts, "size": np.repeat(np.array(sizes, np.int32), np.diff(ends))}).group_by("term").aggregate([("count", "count"), ("count", "max"), ("size", "min")])
+        sums = pa.StructArray.from_arrays([of_term.column(c).combine_chunks() for c in ("term", "count_count", "count_max", "size_min")], fields=list(total))
+        first = pa.ListArray.from_arrays(pa.array([0] + [len(sums)] * len(rows), pa.int32()), sums)
+        columns = [pa.array([block] * len(rows), pa.int64()), pa.array([i for i, _ in rows], pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries), first]
+        return pa.RecordBatch.from_arrays(columns, ["block", "memory_id", "size", "words", "sums"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, n = (batch << 44) + (TaskContext.get().partitionId() << 24), 0
-        entry = pa.struct([("term", pa.string()), ("count", pa.int32()), ("positions", pa.list_(pa.int32()))])
+        block, rows = (batch << 44) + (TaskContext.get().partitionId() << 24), []
         for b in batches:
-            blocks, sizes, ends, terms, counts, places = [], [], [0], [], [], []
-            for text in b.column(1).to_pylist():
-                words = text.lower().encode("ascii", "replace").translate(_BLANK).decode().split()
-                own, code, found = np.unique(np.array(words, object), return_inverse=True, return_counts=True) if words else ([], np.zeros(0, int), np.zeros(0, int))
-                blocks.append(first + n // BLOCK)
-                n += 1
-                sizes.append(len(words))
-                terms.extend(own)
-                counts.append(found)
-                places.append(np.argsort(code, kind="stable"))
-                ends.append(len(terms))
-            counts, places = np.concatenate([*counts, []]).astype(np.int32), np.concatenate([*places, []]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(places))
-            entries = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts), lists], fields=list(entry))
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), b.column(0), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)], ["block", "memory_id", "size", "words"])
+            for at in range(0, b.num_rows, BLOCK):
+                part = b.slice(at, BLOCK)
+                rows += zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+                while len(rows) >= BLOCK:
+                    yield made(block, rows[:BLOCK])
+                    block, rows = block + 1, rows[BLOCK:]
+        if rows:
+            yield made(block, rows)
 
     texts = memories.select(F.col("id").cast("long").alias("memory_id"), F.coalesce(F.col("searchable_text"), F.lit("")).alias("text"))
     return spread(texts).mapInArrow(run, WORDS)
@@ -72,14 +96,14 @@ class Index:
     path: str
 
     def table(self, name: str) -> DataFrame:
-        """One of the four tables; empty before anything was written."""
+        """One of the five tables; empty before anything was written."""
         try:
             return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}")
         except AnalysisException:
             return self.spark.createDataFrame([], SCHEMAS[name])
 
     def add(self, df: DataFrame, name: str) -> None:
-        df.select(*[x.split()[0] for x in SCHEMAS[name].split(", ")]).write.mode("append").parquet(f"{self.path}/{name}")
+        df.select(*[F.col(x.split()[0]).cast(x.split()[1]) for x in SCHEMAS[name].split(", ")]).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{name}")
 
     def next_batch(self) -> int:
         last = self.table("docs").agg(F.max("batch")).first()[0]
@@ -88,12 +112,11 @@ class Index:
     def append(self, memories: DataFrame) -> None:
         """Adds memories (id, searchable_text). A null text has no words. An id that is there already is a second row of it: use replace()."""
         batch = self.next_batch()
-        found = written(words_of(memories, batch), "words").withColumn("batch", F.lit(batch))
-        partitions = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        flat = found.select("batch", "block", "memory_id", "size", F.inline("words")).repartitionByRange(partitions, "term", "block")
-        self.add(flat.sortWithinPartitions("term", "block", "memory_id"), "postings")
-        own = self.table("postings").where(F.col("batch") == batch)
-        self.add(own.groupBy("batch", "block", "term").agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most"), F.min("size").alias("least")), "blocks")
+        self.add(words_of(memories, batch).withColumn("batch", F.lit(batch)), "forward")
+        found = self.table("forward").where(F.col("batch") == batch)
+        pairs = F.arrays_zip(F.col("words.term").alias("term"), F.col("words.count").alias("count"))
+        self.add(found.select("batch", "block", "memory_id", "size", F.inline(pairs)).sortWithinPartitions("term", "block", "memory_id"), "postings")
+        self.add(found.select("batch", "block", F.inline("sums")).sortWithinPartitions("term", "block"), "blocks")
         self.add(found, "docs")  # last: what is not in docs is of no search
 
     def delete(self, ids: DataFrame) -> None:
@@ -105,7 +128,12 @@ class Index:
         self.append(memories)
 
     def live(self, rows: DataFrame) -> DataFrame:
+        """rows without deleted ones; where few are, their ids go to the rows, so that these are not shuffled."""
+        n = self.table("gone").limit(SENT_ROWS + 1).count()
+        if not n:
+            return rows
         gone = self.table("gone").groupBy(F.col("memory_id").alias("_id")).agg(F.max("before").alias("_before"))
+        gone = F.broadcast(gone) if n <= SENT_ROWS else gone
         return rows.join(gone, (F.col("memory_id") == F.col("_id")) & (F.col("batch") < F.col("_before")), "left_anti")
 
     def compact(self, path: str) -> "Index":
@@ -115,6 +143,7 @@ class Index:
         rows = self.live(self.table("postings")).repartitionByRange(partitions, "term", "block")
         new.add(rows.sortWithinPartitions("term", "block", "memory_id"), "postings")
         new.add(new.table("postings").groupBy("batch", "block", "term").agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most"), F.min("size").alias("least")), "blocks")
+        new.add(self.live(self.table("forward")).withColumn("sums", F.lit(None)), "forward")
         new.add(self.live(self.table("docs")), "docs")
         return new
 
@@ -132,11 +161,167 @@ def weights(frequency: Column, n_docs: int) -> Column:
     return F.greatest(F.log((F.lit(n_docs) - frequency + 0.5) / (frequency + 0.5)), F.lit(LEAST_IDF))
 
 
+def hits_of(index: Index, asked: DataFrame) -> float:
+    """Rows that a join of asked (with term) and the postings has, to all postings."""
+    of_term = index.table("blocks").groupBy("term").agg(F.sum("n").alias("df"))
+    counts = asked.groupBy("term").count()
+    hits, all_ = of_term.join(counts, "term", "left").agg(F.sum(F.col("df") * F.col("count")), F.sum("df")).first()
+    return (hits or 0) / all_ if all_ else 0.0
+
+
+class Leaves:
+    """Words, prefixes and phrases (numbered), found in batches of forward rows."""
+
+    def __init__(self, leaves: list[tuple[str, tuple[str, ...]]]):
+        of = lambda kind: {words: k for k, (name, words) in enumerate(leaves) if name == kind}
+        word, prefix, phrase = of("word"), of("prefix"), of("phrase")
+        self.words = (pa.array([w for (w,) in word], pa.string()), np.array(list(word.values()), np.int64))
+        self.prefixes = []
+        for n in sorted({len(w) for (w,) in prefix}):
+            own = {w: k for (w,), k in prefix.items() if len(w) == n}
+            self.prefixes.append((n, pa.array(list(own), pa.string()), np.array(list(own.values()), np.int64)))
+        # phrases as a tree of their beginnings: at each level the codes of a beginning and its next word, and the phrase that ends there
+        vocabulary = sorted({w for words in phrase for w in words})
+        self.vocabulary, number = pa.array(vocabulary, pa.string()), {w: k for k, w in enumerate(vocabulary)}
+        state, self.levels = {words: number[words[0]] for words in phrase}, []
+        for j in range(1, max(map(len, phrase), default=1)):
+            longer = [words for words in phrase if len(words) > j]
+            codes = {words: state[words] * len(vocabulary) + number[words[j]] for words in longer}
+            known = np.unique(np.array(list(codes.values()), np.int64))
+            state, ends = {words: int(np.searchsorted(known, code)) for words, code in codes.items()}, np.full(len(known), -1)
+            for words in longer:
+                if len(words) == j + 1:
+                    ends[state[words]] = phrase[words]
+            self.levels.append((known, ends))
+        self.n = len(leaves)
+
+    def found(self, size: np.ndarray, terms: pa.ListArray, counts: np.ndarray, places: pa.Array | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, leaf, how often: in order of row and leaf."""
+        flat = terms.flatten()
+        doc = np.repeat(np.arange(len(size)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+        parts = []
+        for text, values, numbers in [(flat, *self.words)] + [(pc.utf8_slice_codeunits(flat, 0, n), values, numbers) for n, values, numbers in self.prefixes]:
+            at = pc.fill_null(pc.index_in(text, value_set=values), -1).to_numpy(zero_copy_only=False)
+            hit = np.flatnonzero(at >= 0)
+            parts.append((doc[hit] * self.n + numbers[at[hit]], counts[hit]))
+        if self.levels:
+            at = pc.fill_null(pc.index_in(flat, value_set=self.vocabulary), -1).to_numpy(zero_copy_only=False)
+            # each row's words in their order, -1 for any that no phrase has, and behind them
+            base = np.concatenate([[0], np.cumsum(size + 1)])
+            line = np.full(base[-1] + len(self.levels), -1, np.int64)
+            many = pc.list_value_length(places).to_numpy(zero_copy_only=False)
+            line[np.repeat(base[doc], many) + places.flatten().to_numpy(zero_copy_only=False)] = np.repeat(at, many)
+            begin = np.flatnonzero(line >= 0)
+            state = line[begin]
+            for j, (known, ends) in enumerate(self.levels, 1):
+                code = state * len(self.vocabulary) + line[begin + j]
+                place = np.minimum(np.searchsorted(known, code), len(known) - 1)
+                good = (line[begin + j] >= 0) & (known[place] == code)
+                begin, state = begin[good], place[good]
+                ended = ends[state] >= 0
+                row = np.searchsorted(base, begin[ended], "right") - 1
+                parts.append((row * self.n + ends[state[ended]], np.ones(len(row), np.int64)))
+        key, inverse = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+        return key // self.n, key % self.n, np.bincount(inverse, np.concatenate([x for _, x in parts]), len(key)).astype(np.int64)
+
+
+def holds(tree, mask: int) -> bool:
+    """Whether a set of leaves (bits) will do."""
+    if isinstance(tree, int):
+        return bool(mask >> tree & 1)
+    operator, left, right = tree
+    if operator == "OR":
+        return holds(left, mask) or holds(right, mask)
+    return holds(left, mask) and holds(right, mask) == (operator == "AND")
+
+
+def scan(index: Index, leaves: DataFrame, k: int, n_docs: int, average: float) -> DataFrame:
+    """query_id, memory_id, score: the k best rows of each task. leaves: query_id, leaf (0 to 62 with a tree), kind (word, prefix or phrase), words, tree: null: all leaves have to
+    be there, any: one of them, else a tree of holds(), as JSON."""
+    return in_blocks(leaves, F.lit(1), MOST_TERMS, lambda part: _scan(index, part, k, n_docs, average), "scanned", k)
+
+
+def _scan(index: Index, leaves: DataFrame, k: int, n_docs: int, average: float) -> DataFrame:
+    asked = leaves.collect()  # MOST_TERMS or so at most
+    specs = sorted({(r.kind, tuple(r.words)) for r in asked})
+    number, ids = {x: n for n, x in enumerate(specs)}, np.array(sorted({r.query_id for r in asked}), np.int64)
+    schema = "query_id long, memory_id long, score double"
+    if not asked:
+        return index.spark.createDataFrame([], schema)
+    trees = sorted({r.tree for r in asked if r.tree is not None})
+    leaf, query = np.array([number[r.kind, tuple(r.words)] for r in asked], np.int64), np.searchsorted(ids, np.array([r.query_id for r in asked], np.int64))
+    tree, place_of = np.full(len(ids), -1), {None: -1} | {x: n for n, x in enumerate(trees)}
+    tree[query] = [place_of[r.tree] for r in asked]
+    needed = np.bincount(query, minlength=len(ids))
+    # what a leaf adds to its query's sum: its bit where there is a tree to ask, else one
+    plain = np.isin(tree, [-1, *[n for n, x in enumerate(trees) if x == "any"]])
+    bit = np.where(plain[query], 1, 1 << np.array([r.leaf for r in asked], np.int64) % 64)
+    order = np.argsort(leaf, kind="stable")
+    asking, bits, starts = query[order], bit[order], np.searchsorted(leaf[order], np.arange(len(specs) + 1))
+    is_any = np.array([n >= 0 and trees[n] == "any" for n in tree])
+    with_places = any(kind == "phrase" for kind, _ in specs)
+    rows = index.live(index.table("forward")).select("memory_id", "size", F.col("words.term").alias("terms"), F.col("words.count").alias("counts"), *[F.col("words.positions").alias("places")] * with_places)
+
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        own = Leaves(specs)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                size = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield b, size, *own.found(size, b.column(2), b.column(3).flatten().to_numpy(zero_copy_only=False), b.column(4).flatten() if with_places else None)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(len(specs), np.int64)
+        for *_, found, _ in parts_of(batches):
+            df += np.bincount(found, minlength=len(specs))
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(df)), pa.array(df[df > 0])], ["leaf", "n"])
+
+    df = np.zeros(len(specs))
+    for r in rows.mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # a number for each leaf
+        df[r.leaf] = r.n
+    idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), LEAST_IDF)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, parsed, known = Best(len(ids), k), [None if x == "any" else json.loads(x) for x in trees], {}
+        for b, size, doc, found, n in parts_of(batches):
+            weight = idf[found] * n * (K1 + 1) / (n + K1 * (1 - B + B * size[doc] / average))
+            many, members = starts[found + 1] - starts[found], b.column(0).to_numpy(zero_copy_only=False)
+            at = np.searchsorted(doc, np.arange(len(size) + 1))
+            before = np.concatenate([[0], np.cumsum(many)])
+            for low, high in steps_of(np.diff(before[at]), CELLS):
+                part = slice(at[low], at[high])
+                m = many[part]
+                which = np.arange(m.sum()) + np.repeat(starts[found[part]] + m - np.cumsum(m), m)
+                cell, place = np.unique(np.repeat(doc[part], m) * len(ids) + asking[which], return_inverse=True)
+                sums, mask = np.bincount(place, np.repeat(weight[part], m), len(cell)), np.zeros(len(cell), np.int64)
+                np.add.at(mask, place, bits[which])
+                who = cell % len(ids)
+                good = np.where(is_any[who], mask > 0, mask == needed[who])
+                told = np.flatnonzero(~plain[who])
+                if len(told):
+                    pairs, inverse = np.unique(np.stack([tree[who[told]], mask[told]]), axis=1, return_inverse=True)
+                    for pair in map(tuple, pairs.T.tolist()):
+                        if pair not in known:
+                            known[pair] = holds(parsed[pair[0]], pair[1])
+                    good[told] = np.array([known[pair] for pair in map(tuple, pairs.T.tolist())], bool)[inverse.ravel()]
+                    if len(known) > 1 << 16:
+                        known.clear()
+                hit = np.flatnonzero(good)
+                best.add(who[hit], members[cell[hit] // len(ids)], np.floor(sums[hit] * 1e6 + 0.5) / 1e6)
+        held = best.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "memory_id", "score"])
+
+    return rows.mapInArrow(score, schema)
+
+
 def top_k(index: Index, queries: DataFrame, k: int, match_all: bool = False, probes: int = PROBES) -> DataFrame:
     """query_id, memory_id, score, rank: the same rows as search.bm25 gives of the texts. queries: query_id, query."""
     n_docs, average = index.stats()
     asked = written(query_terms(queries, stop_words=not match_all), "asked")
     words = asked.select("term").distinct()
+    if hits_of(index, asked) > SCANNED:
+        leaves = asked.select("query_id", F.dense_rank().over(Window.partitionBy("query_id").orderBy("term")).alias("leaf"), F.lit("word").alias("kind"), F.array("term").alias("words"), F.lit(None if match_all else "any").cast("string").alias("tree"))
+        return top(scan(index, leaves, k, n_docs, average), k)
     rows = index.live(index.table("postings").join(words, "term", "left_semi"))
     # frequencies from the blocks, less what is deleted of these terms
     all_ = index.table("blocks").join(words, "term", "left_semi")
