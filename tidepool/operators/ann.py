@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidepool.operators.search import MOST_NUMBERS, in_blocks, top
+from tidepool.operators.search import CELLS, MOST_NUMBERS, TILE, Best, in_blocks, top
 
 SAMPLE, ROUNDS = 20_000, 8
 
@@ -54,7 +54,7 @@ def build(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 def search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
     """query_id, memory_id, score, rank: the k best in the probes nearest lists of each query; all lists: exact."""
     known = queries.select("query_id", "embedding").where(F.col("embedding").isNotNull())
-    return in_blocks(known, F.size("embedding"), MOST_NUMBERS, lambda part: _search(index, centres, part, k, probes), "lists")
+    return in_blocks(known, F.size("embedding"), MOST_NUMBERS, lambda part: _search(index, centres, part, k, probes), "lists", k)
 
 
 def _search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, probes: int) -> DataFrame:
@@ -65,14 +65,24 @@ def _search(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, p
     asking = {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # tiles of TILE queries and CELLS products, whatever the number of queries; the task holds its k best a query
+        best, step = Best(len(ids), k), max(1, CELLS // TILE)
         for b in batches:
             own = b.column(2).to_numpy(zero_copy_only=False)
             data, members = _matrix(b.column(1)) if b.num_rows else None, b.column(0).to_numpy(zero_copy_only=False)
             for c in np.unique(own):
-                at, who = np.flatnonzero(own == c), asking[int(c)]
-                score = np.round(matrix[who] @ data[at].T, 6)
-                order = np.lexsort((np.broadcast_to(members[at], score.shape), -score), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[who], order.shape[1])), pa.array(members[at][order].ravel()), pa.array(np.take_along_axis(score, order, 1).ravel())], ["query_id", "memory_id", "score"])
+                rows = np.flatnonzero(own == c)
+                for first in range(0, len(asking[int(c)]), TILE):
+                    who = asking[int(c)][first : first + TILE]
+                    for low in range(0, len(rows), step):
+                        at = rows[low : low + step]
+                        score, least = np.round(matrix[who] @ data[at].T, 6), best.least[who]
+                        if len(at) > k and np.isinf(least).any():  # what is below the k-th best of these is not among the best
+                            least = np.maximum(least, np.partition(score, len(at) - k, axis=1)[:, len(at) - k])
+                        query, column = np.nonzero(score >= least[:, None])
+                        best.add(who[query], members[at[column]], score[query, column])
+        held = best.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "memory_id", "score"])
 
     read = index.where(F.col("list").isin(sorted(asking))) if asking else index.limit(0)
     return top(read.select("memory_id", "embedding", "list").mapInArrow(run, "query_id long, memory_id long, score double"), k)
