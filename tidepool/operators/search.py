@@ -21,6 +21,8 @@ K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MOST_TERMS, MOST_NUMBERS, MOST_HELD = 200_000, 8_000_000, 1 << 22
 #: Pairs of a query and a document that a task scores at once, queries of a tile, and stems that a task remembers.
 CELLS, TILE, MOST_STEMS = 1 << 21, 1000, 1_000_000
+#: Texts that are Python objects at once.
+AT_ONCE = 256
 
 
 def top(candidates: DataFrame, k: int, score: str = "score", by: str = "query_id", key: str = "memory_id") -> DataFrame:
@@ -103,7 +105,7 @@ def postings(memories: DataFrame, terms: list[str], stemmed: bool, where: list[C
                 known[word] = number.get(porter(word.decode()).encode(), -1)
             return known.get(word, -1)
 
-        for b in batches:
+        for b in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             sizes, found, counts = [], [], []
             for text in b.column(1).to_pylist():
                 words = text.lower().encode("ascii", "replace").translate(_BLANK).split()
