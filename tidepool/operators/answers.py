@@ -51,9 +51,13 @@ def says(text: Column, phrases: list[str]) -> Column:
     return F.greatest(*[F.contains(low, F.lit(p)) for p in phrases])
 
 
+#: A text up to the end of its fourth word, so that no more of it is split.
+_FOUR_WORDS = r"^(?:[^A-Za-z0-9_-]*+(?>[A-Za-z0-9_-](?:\S*[A-Za-z0-9_-])?)){0,4}"
+
+
 def subject_label(text: Column) -> Column:
     """The first words, at most four, up to a word that says something of them; else null."""
-    words = F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, "^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$", ""))
+    words = F.transform(F.split(F.regexp_extract(text, _FOUR_WORDS, 0), r"\s+"), lambda w: F.regexp_replace(w, "^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$", ""))
     first = F.slice(F.filter(words, lambda w: w != ""), 1, 4)
     end = F.array_position(F.transform(first, lambda w: F.lower(w).isin(LABEL_ENDS)), True)
     kept = F.when(end > 0, F.slice(first, F.lit(1), F.greatest(end - 1, F.lit(0)).cast("int"))).otherwise(first)

@@ -6,6 +6,10 @@ retired), generated_at, valid_until and replaced_by. Keys and summaries are comp
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +19,10 @@ from tidepool.operators.answers import subject_label
 
 # The kinds with their synonyms, and the wording from which the kind of a semantic row follows.
 KINDS = {"stable-fact": ["stable-fact", "fact"], "stable-preference": ["stable-preference", "preference"], "stable-decision": ["stable-decision", "decision"], "stable-procedure": ["stable-procedure", "procedure", "procedural"]}
-PREFERS, DECIDES = r"(^| )prefer | preference ", r"(^| )decision | decided | plan "
+# (patterns for lower-case texts from their first word on: a word with another behind it, and, where so marked, one before; HELD: what a text must hold for that)
+_BEFORE, _BEHIND = "(?<=[^a-z0-9_-])", "[^a-z0-9_-]+[a-z0-9_-]"
+PREFERS, DECIDES = f"(?<![a-z0-9_-])prefer{_BEHIND}|{_BEFORE}preference{_BEHIND}", f"(?<![a-z0-9_-])decision{_BEHIND}|{_BEFORE}(?:decided|plan){_BEHIND}"
+HELD = {PREFERS: ["prefer"], DECIDES: ["decision", "decided", "plan"]}
 SHORTEST_SENTENCE, LABEL_WORDS, MOST_OBJECTS = 18, 4, 12
 CONFIDENCE = ["low", "medium", "high"]
 ACTIVE = ["current", "contested"]
@@ -25,12 +32,22 @@ OBJECT = ["knowledge_key", "summary", *MEASURES, "confidence", "contested", "unr
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value): a lambda's variable, so that value is computed once, however often it is used. Named columns would be put in wherever they are used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _filled(text: Column) -> Column:
+    """Null if it is empty."""
+    return _once(text, lambda x: F.when(x != "", x))
 
 
 def _given(text: Column) -> Column:
     """Without blanks around it; null if nothing is left."""
-    return F.nullif(_strip(text), F.lit(""))
+    return _filled(_strip(text))
 
 
 def normal(text: Column) -> Column:
@@ -40,27 +57,38 @@ def normal(text: Column) -> Column:
 
 def knowledge_key(text: Column, given: Column) -> Column:
     """The key that a row states, else its first words as a slug; null where there is neither."""
-    return F.coalesce(_given(given), F.nullif(F.replace(normal(subject_label(text)), F.lit(" "), F.lit("-")), F.lit("")))
+    return F.coalesce(_given(given), _filled(F.replace(normal(subject_label(text)), F.lit(" "), F.lit("-"))))
 
 
 def summary(text: Column, given: Column) -> Column:
     """The summary that a row states, else the first sentence of its first line behind a label; the line if the sentence is short."""
-    line = _strip(F.split(_strip(text), "\r?\n", 2)[0])
-    parts = F.split(line, ":", 2)
-    label_words = F.size(F.filter(F.split(parts[0], r"\s+"), lambda w: w != ""))
-    said = F.when((F.size(parts) == 2) & (label_words <= LABEL_WORDS), _strip(F.get(parts, F.lit(1)))).otherwise(line)
-    sentence = _strip(F.split(said, "[.!?]", 2)[0])
-    return F.coalesce(_given(given), F.nullif(F.when(F.octet_length(sentence) >= SHORTEST_SENTENCE, sentence).otherwise(said), F.lit("")))
+
+    def behind_label(line: Column) -> Column:
+        words = lambda part: F.size(F.filter(F.split(part, r"\s+"), lambda w: w != ""))
+        return _once(F.split(line, ":", 2), lambda parts: F.when((F.size(parts) == 2) & (words(parts[0]) <= LABEL_WORDS), _strip(F.get(parts, F.lit(1)))).otherwise(line))
+
+    def first_sentence(said: Column) -> Column:
+        return _once(_strip(F.split(said, "[.!?]", 2)[0]), lambda sentence: F.when(F.octet_length(sentence) >= SHORTEST_SENTENCE, sentence).otherwise(said))
+
+    line = _strip(F.regexp_extract(text, r"^\s*+([^\n]*)", 1))
+    return F.coalesce(_given(given), _filled(_once(_once(line, behind_label), first_sentence)))
 
 
 def kind(memory_type: Column, text: Column, given: Column) -> Column:
     """The kind that a row states, else what its type and wording say."""
-    stated, said = F.lit(None).cast("string"), normal(text)
-    for name, words in KINDS.items():
-        stated = F.when(normal(given).isin(words), name).otherwise(stated)
-    semantic = F.when(F.regexp_like(said, F.lit(PREFERS)), "stable-preference").when(F.regexp_like(said, F.lit(DECIDES)), "stable-decision")
+
+    def named(given: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for name, words in KINDS.items():
+            out = F.when(given.isin(words), name).otherwise(out)
+        return out
+
+    def says(low: Column, pattern: str) -> Column:
+        return reduce(or_, [F.contains(low, F.lit(w)) for w in HELD[pattern]]) & F.regexp_like(F.regexp_replace(low, "^[^a-z0-9_-]+", ""), F.lit(pattern))
+
+    semantic = _once(F.lower(text), lambda low: F.when(says(low, PREFERS), "stable-preference").when(says(low, DECIDES), "stable-decision"))
     own = F.when(memory_type == "procedural", F.lit("stable-procedure")).when(memory_type == "semantic", semantic)
-    return F.coalesce(stated, own, F.lit("stable-fact"))
+    return F.coalesce(_once(normal(given), named), own, F.lit("stable-fact"))
 
 
 def candidates(memories: DataFrame, now: Column) -> DataFrame:
@@ -70,11 +98,11 @@ def candidates(memories: DataFrame, now: Column) -> DataFrame:
     text, trust = F.col("searchable_text"), sc.trust_level(F.col("source_trust"))
     held = sc.effective_review(F.col("review_status"), F.col("review_required"), F.col("review_expires_at"), now).isin("pending", "denied", "expired")
     derived = F.lower("derived_kind") == "reflection"
-    usable = memories.where(_given(text).isNotNull() & ~F.coalesce(derived, F.lit(False)) & F.col("secret_class").isNull() & ~F.coalesce(held, F.lit(False)) & (trust != "untrusted"))
+    usable = memories.where(F.regexp_like(text, F.lit(r"\S")) & ~F.coalesce(derived, F.lit(False)) & F.col("secret_class").isNull() & ~F.coalesce(held, F.lit(False)) & (trust != "untrusted"))
     found = usable.select(
         "id",
-        knowledge_key(text, F.col("knowledge_key")).alias("knowledge_key"),
-        summary(text, F.col("knowledge_summary")).alias("summary"),
+        # inline(): the filter on these two is not pushed below, where all of it would be computed once more
+        F.inline(F.array(F.struct(knowledge_key(text, F.col("knowledge_key")).alias("knowledge_key"), summary(text, F.col("knowledge_summary")).alias("summary")))),
         kind(F.col("memory_type"), text, F.col("knowledge_kind")).alias("kind"),
         trust.isin("trusted", "normal").alias("trusted"),
         sc.provenance_rank(F.col("source_kind"), F.col("source_verification")).cast("long").alias("provenance"),
