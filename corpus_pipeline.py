@@ -13,8 +13,20 @@ from tidepool.llm import dedup, mixing, packing, quality
 from tidepool.llm.common import materialize, scratch, table
 
 
+#: Texts that go to Python in one batch at most. Spark's 10,000 are 34 MB of texts of 3.4 KB, which the JVM and the Python process of each running task hold several times over.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on this session hands Python no more than BATCH_ROWS rows at once; stages are run by the caller's write, so the setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the trees reject go."""
+    small_batches(spark)
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
@@ -52,6 +64,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near copies stays: the one with the least doc_id, of rows with one doc_id that with the least hash of its text.
     Rows are compared by their texts, whatever their doc_ids: copies without a doc_id go, and different texts under one doc_id stay.
     Rows without words are linked with nothing and stay."""
+    small_batches(spark)
     rows = numbered(docs)
     with scratch(spark):
         found = dedup.near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), PERCENT).select(F.col("doc_id").alias(ROW), F.col("component_id").alias(GROUP))
@@ -68,6 +81,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it: not at all, once or twice. Rows without a doc_id and repeated ones are told apart by a row
     number."""
+    small_batches(spark)
     rows = numbered(docs)
     with scratch(spark):
         copies = mixing.mix(rows, row=ROW).select(F.col("row").alias(ROW), F.col("copies").cast("int").alias(COPIES)).where(F.col(COPIES) > 0)
@@ -77,6 +91,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs)
 
 
