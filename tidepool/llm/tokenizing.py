@@ -19,7 +19,6 @@ import json
 import os
 import re
 from array import array
-from contextlib import suppress
 
 import numpy as np
 
@@ -27,7 +26,7 @@ _CUT = re.compile(r" (?=\S)")
 _UNEVEN = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]|[ \n]{2}")
 _ODD = ["  ", " \n", "\n ", "\n\n", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 _TAIL = ".,;:!?*$%&#|()[]{}<>\"/+=-_@~^"
-_GENERATION = 500_000
+_GENERATION = 250_000
 _LONGEST = 200
 #: Words of letters whose bytes and lower case no library takes for anything else: they are one piece of any text, so the vocabulary's model alone gives their ids.
 _LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
@@ -93,11 +92,11 @@ class ChunkEncoder:
         bytes that the ids stand for, or by the ids that end a word."""
         prefix, tokenize, written, others = self.mode == "prefix", self.model.tokenize, self.written, []
         for w in words:
-            if not _LATIN.fullmatch(w, 1 if w[0] == " " else 0):
-                others.append(w)
-            elif w.isascii():
+            if w.isascii():  # letters alone
                 plain = ("\u0120" + w[1:] if w[0] == " " else w) if prefix else w.lower()
                 self.young[w] = array("I", [t.id for t in tokenize(plain)]).tobytes()
+            elif not _LATIN.fullmatch(w, 1 if w[0] == " " else 0):
+                others.append(w)
             else:
                 plain = (w if prefix else w.lower()).encode().decode("latin-1").translate(written)
                 self.young[w] = array("I", [t.id for t in tokenize(plain)]).tobytes()
@@ -178,19 +177,12 @@ class ChunkEncoder:
         return self._joined(chunks)
 
     def _joined(self, chunks: list[str]) -> bytes:
-        found = list(map(self.young.get, chunks))
-        gaps, at = [], -1
-        with suppress(ValueError):  # index() searches faster than a loop would; gaps are few
-            while True:
-                at = found.index(None, at + 1)
-                gaps.append(at)
-        if gaps:
-            self._add(list({chunks[k] for k in gaps}))
-            for k in gaps:
-                found[k] = self.young[chunks[k]]
+        if new := set(chunks).difference(self.young):
+            self._add(list(new))
+        out = b"".join(map(self.young.__getitem__, chunks))
         if len(self.young) > _GENERATION:
             self.old, self.young = self.young, {}
-        return b"".join(found)
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), "<u4")
