@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_boolean import QUERIES, plain
 
 from tidepool.operators import boolean, inverted, search
@@ -54,3 +55,26 @@ def test_compacted(spark, index, tmp_path):
     new = index.compact(str(tmp_path / "new"))
     ids = lambda name: sorted(r[0] for r in new.table(name).select("memory_id").collect())
     assert ids("forward") == ids("docs") and 3 not in ids("docs")
+
+
+def test_few_tasks_score_many_files(spark, texts, tmp_path, monkeypatch, request):
+    # each task writes its k best rows of each query, so these grew with queries times files
+    cores = spark.sparkContext.defaultParallelism
+    made = inverted.Index(spark, str(tmp_path / "many"))
+    made.append(spark.createDataFrame(texts, "id long, searchable_text string").repartition(3 * cores))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5m")  # a file and its opening
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.files.maxPartitionBytes"))
+    assert made.table("forward").rdd.getNumPartitions() > cores
+    monkeypatch.setattr(inverted, "TASKS", 1)
+    leaves = spark.createDataFrame([(1, 1, "word", ["w1"], None), (1, 2, "word", ["w2"], None)], "query_id long, leaf int, kind string, words array<string>, tree string")
+    assert inverted.scan(made, leaves, 3, *made.stats()).rdd.getNumPartitions() <= cores
+
+
+def test_blocks_cut_by_tasks(spark, index):
+    forward = index.table("forward")
+    assert "sums" not in forward.columns and forward.schema["line"].dataType.elementType.typeName() == "integer"
+    want = {(r.block, r.term): (r.n, r.most, r.least) for r in index.table("postings").groupBy("block", "term").agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most"), F.min("size").alias("least")).collect()}
+    cut = inverted.blocks_of(forward.repartition(5))
+    assert cut.count() > len(want)
+    assert {(r.block, r.term): (r.n, r.most, r.least) for r in inverted.of_blocks(cut).collect()} == want
+    assert {(r.block, r.term): (r.n, r.most, r.least) for r in index.table("blocks").collect()} == want

@@ -127,8 +127,8 @@ def places(index: Index, leaves: DataFrame) -> DataFrame:
     # (places are read of the memories that have all of its words)
     near = hits.where("m IS NOT NULL").select(*key, *own, "m", "term", "at")
     whole = near.groupBy(*key, *own).agg(F.count_distinct("at").alias("n"), F.first("m").alias("m")).where("n = m").select(*key, *own)
-    spots = index.table("forward").join(whole.select("block", "memory_id").distinct(), ["block", "memory_id"], "left_semi").select("block", "memory_id", F.inline("words")).select("block", "memory_id", "term", "positions")
-    begins = near.join(whole, [*key, *own], "left_semi").join(spots, ["block", "memory_id", "term"]).select(*key, *own, "m", F.explode("positions").alias("p"), "at").groupBy(*key, *own, "m", (F.col("p") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("n"))
+    spots = index.table("forward").join(whole.select("block", "memory_id").distinct(), ["block", "memory_id"], "left_semi").select("block", "memory_id", F.posexplode(F.transform("line", lambda n: F.get(F.col("words.term"), n))).alias("p", "term"))
+    begins = near.join(whole, [*key, *own], "left_semi").join(spots, ["block", "memory_id", "term"]).select(*key, *own, "m", "p", "at").groupBy(*key, *own, "m", (F.col("p") - F.col("at")).alias("begin")).agg(F.count(F.lit(1)).alias("n"))
     phrases = begins.where("n = m").groupBy(*key, *own).agg(F.count(F.lit(1)).alias("count"))
     return plain.unionByName(phrases)
 

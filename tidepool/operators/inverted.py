@@ -6,15 +6,16 @@ Tables in the index's folder, each a folder of Parquet files that append() adds
     postings   batch, block, term, memory_id, count, size   each file in order of term and block, so that a filter on terms reads few of its row groups; files
                are by memory, so that nothing is shuffled and a frequent word is in all of them (compact() makes ranges of terms)
     blocks     batch, block, term, n, most, least     memories with the term, its greatest count and their least size: no memory of the block scores
-               more for the term than these two would
-    forward    batch, block, memory_id, size, words, sums   what docs says, and each word with its places: the same by memory; sums are for append()
+               more for the term than these two would; a block that two tasks read has a row of each (of_blocks() adds them up)
+    forward    batch, block, memory_id, size, words, line   what docs says, each word with its count, and the text's words in order, by their numbers in words, from 0
     gone       memory_id, before                      rows of batches below before are deleted
 
 top_k() first scores, for each query, the PROBES blocks that could score most; the k-th best score found is a bound, and of the other blocks only those are
 read that could reach it. Deleted rows count for nothing: neither as documents nor in a term's frequency.
 
 Many queries together would join the same postings again and again: the rows of that join grow with queries times memories. Where they are more than SCANNED of all postings,
-the queries go to the tasks (in blocks) and the forward rows are scored where they are read (scan()); nothing but each task's k best rows of a query is written.
+the queries go to the tasks (in blocks) and the forward rows are scored where they are read (scan()); nothing but each task's k best rows of a query is written, and
+tasks are TASKS a core at most, whatever the number of files, so that those rows grow with the queries alone. A query of all its words is looked for where its rarest word is.
 """
 
 from __future__ import annotations
@@ -36,43 +37,41 @@ from tidepool.sources.folder import written
 
 BLOCK, PROBES = 256, 2
 SCANNED = 0.25
+#: Tasks a core that score forward rows.
+TASKS = 2
 #: Deletions that are sent to the rows at most: 12 MB of numbers.
 SENT_ROWS = 1 << 20
 _BLANK = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
-WORDS = "block long, memory_id long, size int, words array<struct<term:string,count:int,positions:array<int>>>, sums array<struct<term:string,n:bigint,most:int,least:int>>"
+WORDS = "block long, memory_id long, size int, words array<struct<term:string,count:int>>, line array<int>"
 SCHEMAS = {
     "docs": "batch int, block long, memory_id long, size int",
     "postings": "batch int, block long, term string, memory_id long, count int, size int",
     "blocks": "batch int, block long, term string, n long, most int, least int",
-    "forward": "batch int, block long, memory_id long, size int, words array<struct<term:string,count:int,positions:array<int>>>, sums array<struct<term:string,n:bigint,most:int,least:int>>",
+    "forward": "batch int, block long, memory_id long, size int, words array<struct<term:string,count:int>>, line array<int>",
     "gone": "memory_id long, before int",
 }
 
 
 def words_of(memories: DataFrame, batch: int) -> DataFrame:
-    """A row a memory: its block, its size, and each word with its places; at a block's first row, what blocks says of it. Words are lower-case runs of ASCII letters and digits."""
+    """A row a memory: its block, its size, its words in alphabetical order, and the text as their numbers. Words are lower-case runs of ASCII letters and digits."""
 
-    entry = pa.struct([("term", pa.string()), ("count", pa.int32()), ("positions", pa.list_(pa.int32()))])
-    total = pa.struct([("term", pa.string()), ("n", pa.int64()), ("most", pa.int32()), ("least", pa.int32())])
+    entry = pa.struct([("term", pa.string()), ("count", pa.int32())])
 
     def made(block: int, rows: list[tuple[int, str]]) -> pa.RecordBatch:
-        sizes, ends, terms, counts, places = [], [0], [], [], []
+        sizes, ends, terms, counts, lines = [], [0], [], [], []
         for _, text in rows:
             words = text.lower().encode("ascii", "replace").translate(_BLANK).decode().split()
             own, code, found = np.unique(np.array(words, object), return_inverse=True, return_counts=True) if words else ([], np.zeros(0, int), np.zeros(0, int))
             sizes.append(len(words))
             terms.extend(own)
             counts.append(found)
-            places.append(np.argsort(code, kind="stable"))
+            lines.append(code)
             ends.append(len(terms))
-        counts, places, names = np.concatenate([*counts, []]).astype(np.int32), np.concatenate([*places, []]).astype(np.int32), pa.array(terms, pa.string())
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(places))
-        entries = pa.StructArray.from_arrays([names, pa.array(counts), lists], fields=list(entry))
-        of_term = pa.table({"term": names, "count": counts, "size": np.repeat(np.array(sizes, np.int32), np.diff(ends))}).group_by("term").aggregate([("count", "count"), ("count", "max"), ("size", "min")])
-        sums = pa.StructArray.from_arrays([of_term.column(c).combine_chunks() for c in ("term", "count_count", "count_max", "size_min")], fields=list(total))
-        first = pa.ListArray.from_arrays(pa.array([0] + [len(sums)] * len(rows), pa.int32()), sums)
-        columns = [pa.array([block] * len(rows), pa.int64()), pa.array([i for i, _ in rows], pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries), first]
-        return pa.RecordBatch.from_arrays(columns, ["block", "memory_id", "size", "words", "sums"])
+        counts, lines = np.concatenate([*counts, []]).astype(np.int32), np.concatenate([*lines, []]).astype(np.int32)
+        entries = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts)], fields=list(entry))
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(lines))
+        columns = [pa.array([block] * len(rows), pa.int64()), pa.array([i for i, _ in rows], pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries), lists]
+        return pa.RecordBatch.from_arrays(columns, ["block", "memory_id", "size", "words", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, rows = (batch << 44) + (TaskContext.get().partitionId() << 24), []
@@ -87,7 +86,43 @@ def words_of(memories: DataFrame, batch: int) -> DataFrame:
             yield made(block, rows)
 
     texts = memories.select(F.col("id").cast("long").alias("memory_id"), F.coalesce(F.col("searchable_text"), F.lit("")).alias("text"))
-    return spread(texts).mapInArrow(run, WORDS)
+    # a shuffle of the texts would take as much disk as they do: only if less than half of the cores had any
+    return spread(texts, 0.5).mapInArrow(run, WORDS)
+
+
+def blocks_of(forward: DataFrame) -> DataFrame:
+    """What blocks says of forward rows: they lie by block, so nothing is shuffled."""
+
+    def summed(block: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        many = pc.list_value_length(rows["terms"]).to_numpy()
+        flat = pa.table({"term": pc.list_flatten(rows["terms"]), "count": pc.list_flatten(rows["counts"]), "size": np.repeat(rows["size"].to_numpy(), many)})
+        of_term = flat.group_by("term").aggregate([("count", "count"), ("count", "max"), ("size", "min")])
+        columns = [of_term.column(c).combine_chunks() for c in ("term", "count_count", "count_max", "size_min")]
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(of_term), pa.int64()), *columns], ["block", "term", "n", "most", "least"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, parts = None, []
+        for b in batches:
+            own = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(own)]
+            for low, high in zip(cuts, cuts[1:]):
+                if high > low and own[low] != block:
+                    if parts:
+                        yield summed(block, parts)
+                    block, parts = int(own[low]), []
+                if high > low:
+                    parts.append(b.slice(low, high - low))
+        if parts:
+            yield summed(block, parts)
+
+    rows = forward.select("block", "size", F.col("words.term").alias("terms"), F.col("words.count").alias("counts"))
+    return rows.mapInArrow(run, "block long, term string, n long, most int, least int")
+
+
+def of_blocks(blocks: DataFrame) -> DataFrame:
+    """One row a block and term."""
+    return blocks.groupBy("block", "term").agg(F.sum("n").alias("n"), F.max("most").alias("most"), F.min("least").alias("least"))
 
 
 @dataclass
@@ -114,9 +149,8 @@ class Index:
         batch = self.next_batch()
         self.add(words_of(memories, batch).withColumn("batch", F.lit(batch)), "forward")
         found = self.table("forward").where(F.col("batch") == batch)
-        pairs = F.arrays_zip(F.col("words.term").alias("term"), F.col("words.count").alias("count"))
-        self.add(found.select("batch", "block", "memory_id", "size", F.inline(pairs)).sortWithinPartitions("term", "block", "memory_id"), "postings")
-        self.add(found.select("batch", "block", F.inline("sums")).sortWithinPartitions("term", "block"), "blocks")
+        self.add(found.select("batch", "block", "memory_id", "size", F.inline("words")).sortWithinPartitions("term", "block", "memory_id"), "postings")
+        self.add(blocks_of(found).withColumn("batch", F.lit(batch)).sortWithinPartitions("term", "block"), "blocks")
         self.add(found, "docs")  # last: what is not in docs is of no search
 
     def delete(self, ids: DataFrame) -> None:
@@ -143,7 +177,7 @@ class Index:
         rows = self.live(self.table("postings")).repartitionByRange(partitions, "term", "block")
         new.add(rows.sortWithinPartitions("term", "block", "memory_id"), "postings")
         new.add(new.table("postings").groupBy("batch", "block", "term").agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("most"), F.min("size").alias("least")), "blocks")
-        new.add(self.live(self.table("forward")).withColumn("sums", F.lit(None)), "forward")
+        new.add(self.live(self.table("forward")), "forward")
         new.add(self.live(self.table("docs")), "docs")
         return new
 
@@ -195,7 +229,7 @@ class Leaves:
             self.levels.append((known, ends))
         self.n = len(leaves)
 
-    def found(self, size: np.ndarray, terms: pa.ListArray, counts: np.ndarray, places: pa.Array | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def found(self, size: np.ndarray, terms: pa.ListArray, counts: np.ndarray, lines: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, leaf, how often: in order of row and leaf."""
         flat = terms.flatten()
         doc = np.repeat(np.arange(len(size)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
@@ -209,8 +243,9 @@ class Leaves:
             # each row's words in their order, -1 for any that no phrase has, and behind them
             base = np.concatenate([[0], np.cumsum(size + 1)])
             line = np.full(base[-1] + len(self.levels), -1, np.int64)
-            many = pc.list_value_length(places).to_numpy(zero_copy_only=False)
-            line[np.repeat(base[doc], many) + places.flatten().to_numpy(zero_copy_only=False)] = np.repeat(at, many)
+            row = np.repeat(np.arange(len(size)), size)
+            first = np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False)) - pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+            line[np.arange(len(row)) + row] = at[first[row] + lines]
             begin = np.flatnonzero(line >= 0)
             state = line[begin]
             for j, (known, ends) in enumerate(self.levels, 1):
@@ -253,14 +288,18 @@ def _scan(index: Index, leaves: DataFrame, k: int, n_docs: int, average: float)
     tree, place_of = np.full(len(ids), -1), {None: -1} | {x: n for n, x in enumerate(trees)}
     tree[query] = [place_of[r.tree] for r in asked]
     needed = np.bincount(query, minlength=len(ids))
-    # what a leaf adds to its query's sum: its bit where there is a tree to ask, else one
-    plain = np.isin(tree, [-1, *[n for n, x in enumerate(trees) if x == "any"]])
-    bit = np.where(plain[query], 1, 1 << np.array([r.leaf for r in asked], np.int64) % 64)
-    order = np.argsort(leaf, kind="stable")
-    asking, bits, starts = query[order], bit[order], np.searchsorted(leaf[order], np.arange(len(specs) + 1))
     is_any = np.array([n >= 0 and trees[n] == "any" for n in tree])
-    with_places = any(kind == "phrase" for kind, _ in specs)
-    rows = index.live(index.table("forward")).select("memory_id", "size", F.col("words.term").alias("terms"), F.col("words.count").alias("counts"), *[F.col("words.positions").alias("places")] * with_places)
+    # what a leaf adds to its query's sum: its bit where there is a tree to ask, else one
+    bit = np.where(is_any[query], 1, 1 << np.array([r.leaf for r in asked], np.int64) % 64)
+
+    def by_leaf(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The queries and bits of some of asked, by leaf, and where each leaf's begin."""
+        own = own[np.argsort(leaf[own], kind="stable")]
+        return query[own], bit[own], np.searchsorted(leaf[own], np.arange(len(specs) + 1))
+
+    with_lines = any(kind == "phrase" for kind, _ in specs)
+    rows = index.live(index.table("forward")).select("memory_id", "size", F.col("words.term").alias("terms"), F.col("words.count").alias("counts"), *["line"] * with_lines)
+    rows = rows.coalesce(TASKS * index.spark.sparkContext.defaultParallelism)
 
     def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         own = Leaves(specs)
@@ -268,7 +307,7 @@ def _scan(index: Index, leaves: DataFrame, k: int, n_docs: int, average: float)
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
                 size = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield b, size, *own.found(size, b.column(2), b.column(3).flatten().to_numpy(zero_copy_only=False), b.column(4).flatten() if with_places else None)
+                yield b, size, *own.found(size, b.column(2), b.column(3).flatten().to_numpy(zero_copy_only=False), b.column(4).flatten().to_numpy(zero_copy_only=False) if with_lines else None)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df = np.zeros(len(specs), np.int64)
@@ -280,24 +319,48 @@ def _scan(index: Index, leaves: DataFrame, k: int, n_docs: int, average: float)
     for r in rows.mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # a number for each leaf
         df[r.leaf] = r.n
     idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), LEAST_IDF)
+    asking, bits, starts = by_leaf(np.flatnonzero(tree[query] >= 0))
+    # queries of all their leaves: the rarest leads to them
+    whole = np.flatnonzero(tree[query] < 0)
+    whole = whole[np.lexsort((df[leaf[whole]], query[whole]))]
+    leading, _, lead = by_leaf(whole[np.diff(query[whole], prepend=-1) > 0])
+    whole = whole[np.lexsort((leaf[whole], query[whole]))]
+    leaves_of, first_of = leaf[whole], np.searchsorted(query[whole], np.arange(len(ids)))
+
+    def lists(starts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """The places of what each of the numbers has, list after list."""
+        many = starts[numbers + 1] - starts[numbers]
+        return np.arange(many.sum()) + np.repeat(starts[numbers] + many - np.cumsum(many), many)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, parsed, known = Best(len(ids), k), [None if x == "any" else json.loads(x) for x in trees], {}
+        ends_of = np.append(first_of, len(leaves_of))
         for b, size, doc, found, n in parts_of(batches):
             weight = idf[found] * n * (K1 + 1) / (n + K1 * (1 - B + B * size[doc] / average))
-            many, members = starts[found + 1] - starts[found], b.column(0).to_numpy(zero_copy_only=False)
-            at = np.searchsorted(doc, np.arange(len(size) + 1))
-            before = np.concatenate([[0], np.cumsum(many)])
-            for low, high in steps_of(np.diff(before[at]), CELLS):
-                part = slice(at[low], at[high])
-                m = many[part]
-                which = np.arange(m.sum()) + np.repeat(starts[found[part]] + m - np.cumsum(m), m)
+            members, at, key = b.column(0).to_numpy(zero_copy_only=False), np.searchsorted(doc, np.arange(len(size) + 1)), doc * len(specs) + found
+
+            def steps(starts: np.ndarray, most: int) -> Iterator[tuple[slice, np.ndarray]]:
+                many = starts[found + 1] - starts[found]
+                before = np.concatenate([[0], np.cumsum(many)])
+                for low, high in steps_of(np.diff(before[at]), most):
+                    yield slice(at[low], at[high]), many[at[low] : at[high]]
+
+            for part, m in steps(lead, CELLS // 8):
+                row, who = np.repeat(doc[part], m), leading[lists(lead, found[part])]
+                each = needed[who]
+                wanted = np.repeat(row, each) * len(specs) + leaves_of[lists(ends_of, who)]
+                place = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+                there, pair = key[place] == wanted, np.repeat(np.arange(len(who)), each)
+                sums = np.bincount(pair, np.where(there, weight[place], 0), len(who))
+                hit = np.flatnonzero(np.bincount(pair, there, len(who)) == each)
+                best.add(who[hit], members[row[hit]], np.floor(sums[hit] * 1e6 + 0.5) / 1e6)
+            for part, m in steps(starts, CELLS):
+                which = lists(starts, found[part])
                 cell, place = np.unique(np.repeat(doc[part], m) * len(ids) + asking[which], return_inverse=True)
                 sums, mask = np.bincount(place, np.repeat(weight[part], m), len(cell)), np.zeros(len(cell), np.int64)
                 np.add.at(mask, place, bits[which])
                 who = cell % len(ids)
-                good = np.where(is_any[who], mask > 0, mask == needed[who])
-                told = np.flatnonzero(~plain[who])
+                good, told = is_any[who], np.flatnonzero(~is_any[who])
                 if len(told):
                     pairs, inverse = np.unique(np.stack([tree[who[told]], mask[told]]), axis=1, return_inverse=True)
                     for pair in map(tuple, pairs.T.tolist()):
@@ -329,7 +392,7 @@ def top_k(index: Index, queries: DataFrame, k: int, match_all: bool = False, pro
     frequency = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if has_gone else all_.groupBy("term").agg(F.sum("n").alias("df"))
     terms = written(asked.join(frequency, "term").select("query_id", "term", "n_terms", weights(F.col("df"), n_docs).alias("idf")), "terms")
     most = F.sum(F.col("idf") * gain(F.col("most"), F.col("least"), average))
-    bounds = all_.join(terms, "term").groupBy("query_id", "block").agg(most.alias("bound"), F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"))
+    bounds = of_blocks(all_).join(terms, "term").groupBy("query_id", "block").agg(most.alias("bound"), F.count(F.lit(1)).alias("n"), F.first("n_terms").alias("n_terms"))
     bounds = written((bounds.where("n = n_terms") if match_all else bounds).select("query_id", "block", "bound"), "bounds")
 
     def scored(pairs: DataFrame) -> DataFrame:
@@ -353,7 +416,7 @@ def blocks_read(index: Index, queries: DataFrame, k: int, probes: int = PROBES)
     asked = query_terms(queries)
     all_ = index.table("blocks")
     terms = asked.join(all_.groupBy("term").agg(F.sum("n").alias("df")), "term").select("query_id", "term", weights(F.col("df"), n_docs).alias("idf"))
-    bounds = all_.join(terms, "term").groupBy("query_id", "block").agg(F.sum(F.col("idf") * gain(F.col("most"), F.col("least"), average)).alias("bound"))
+    bounds = of_blocks(all_).join(terms, "term").groupBy("query_id", "block").agg(F.sum(F.col("idf") * gain(F.col("most"), F.col("least"), average)).alias("bound"))
     best = top_k(index, queries, k, probes=probes).groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").alias("_least"))
     out = bounds.join(best, "query_id").agg(F.count(F.lit(1)), F.count_if((F.col("_n") < k) | (F.col("bound") + 1e-6 >= F.col("_least")))).first()
     return out[0], out[1]

@@ -79,10 +79,10 @@ class Best:
         return query, ids, score
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer partitions than there are cores (a file or two) is dealt out to all of them; any other stays where it is read."""
+def spread(df: DataFrame, share: float = 1.0) -> DataFrame:
+    """A table of fewer partitions than there are cores (a file or two), or than a share of them, is dealt out to all of them; any other stays where it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < share * cores else df
 
 
 #: Bytes that are no letter or digit become blanks; the same words as tokens() makes.
