@@ -110,8 +110,8 @@ def first_pass(docs: DataFrame, vocab: str, end_id: int, window: int, packer: Ca
             return out
 
         for b in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(enc.encode_bytes(text) + end, "<u4").astype(wide).tobytes()
+            for doc, coded in zip(b.column(0).to_pylist(), enc.encode_each(b.column(1)), strict=True):
+                ids = np.frombuffer(coded + end, "<u4").astype(wide).tobytes()
                 n = len(ids) // wide.itemsize
                 first = (n - 1) % window + 1 if short_first else min(n, window)
                 for k, start in enumerate([0, *range(first, n, window)]):

@@ -7,7 +7,8 @@ Two kinds of public vocabularies cut a text at places that can be told without t
 * white space dropped: no match holds a blank, so the text can be cut at blanks and line ends.
 
 The ids of a text are the ids of its chunks, in order. Chunks repeat far more than texts do, so their ids
-are remembered, in two generations of bounded size. Any other tokenizer gets the whole text, and so does a text that holds one
+are remembered, in two generations of bounded size. Many texts are cut, and their chunks joined again, in Arrow (encode_each), so that Python sees a chunk once
+for a group of texts, and the marks after a word apart from it. Any other tokenizer gets the whole text, and so does a text that holds one
 of the vocabulary's own added tokens (such as an end-of-text marker), which the library makes one id of. Where a text must not be able to
 make such an id (chat formatting), a literal encoder reads them as any other characters.
 Tests compare all of it with plain calls of the library on whole texts.
@@ -19,17 +20,29 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from itertools import pairwise
+from operator import attrgetter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _CUT = re.compile(r" (?=\S)")
 _UNEVEN = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x00]|[ \n]{2}")
 _ODD = ["  ", " \n", "\n ", "\n\n", *"\0\t\r\x0b\x0c\x1c\x1d\x1e\x1f"]
 _TAIL = ".,;:!?*$%&#|()[]{}<>\"/+=-_@~^"
 _GENERATION = 250_000
+#: The same where words are remembered without the marks after them.
+_WORDS = 160_000
 _LONGEST = 200
 #: Words of letters whose bytes and lower case no library takes for anything else: they are one piece of any text, so the vocabulary's model alone gives their ids.
 _LATIN = re.compile("[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: The same letters, and the blank that a word may have before it.
+_BEFORE_TAIL = " " + "".join(c for c in map(chr, range(256)) if _LATIN.fullmatch(c))
+#: Bytes of texts that are cut together; a longer text is cut alone.
+_GROUP = 1 << 20
+_TOKEN_ID = attrgetter("id")
 _encoders: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
 
@@ -91,15 +104,20 @@ class ChunkEncoder:
         """Remembers the ids of words of letters alone, a blank before each or not: Latin ones by the model, the others by one call for many words, cut by the
         bytes that the ids stand for, or by the ids that end a word."""
         prefix, tokenize, written, others = self.mode == "prefix", self.model.tokenize, self.written, []
+        own, ids, ends = [], [], [0]
         for w in words:
             if w.isascii():  # letters alone
                 plain = ("\u0120" + w[1:] if w[0] == " " else w) if prefix else w.lower()
-                self.young[w] = array("I", [t.id for t in tokenize(plain)]).tobytes()
             elif not _LATIN.fullmatch(w, 1 if w[0] == " " else 0):
                 others.append(w)
+                continue
             else:
                 plain = (w if prefix else w.lower()).encode().decode("latin-1").translate(written)
-                self.young[w] = array("I", [t.id for t in tokenize(plain)]).tobytes()
+            own.append(w)
+            ids.extend(map(_TOKEN_ID, tokenize(plain)))
+            ends.append(4 * len(ids))
+        data = array("I", ids).tobytes()
+        self.young.update((w, data[x:y]) for w, (x, y) in zip(own, pairwise(ends), strict=True))
         words = others
         for at in range(0, len(words), 512):
             part = words[at : at + 512]
@@ -139,13 +157,15 @@ class ChunkEncoder:
                 continue
             word = c.rstrip(_TAIL)
             if (word[1:] if prefix and word[:1] == " " else word).isalpha():
+                if len(word) == len(c):
+                    words[c] = None
+                    continue
                 if word not in young:
                     if (kept := old.get(word)) is not None:
                         young[word] = kept
                     else:
                         words[word] = None
-                if len(word) < len(c):
-                    joint.append((c, word, c[len(word) :]))
+                joint.append((c, word, c[len(word) :]))
             else:
                 young[c] = self._one(c) if c else b""
         self._learn(list(words))
@@ -171,7 +191,8 @@ class ChunkEncoder:
                 if len(c) > _LONGEST:
                     out.append(self._one(c))
                 else:
-                    self._add([c])
+                    if c not in self.young:
+                        self._add([c])
                     out.append(self.young[c])
             return b"".join(out)
         return self._joined(chunks)
@@ -184,6 +205,49 @@ class ChunkEncoder:
             self.old, self.young = self.young, {}
         return out
 
+    def encode_each(self, texts: pa.Array) -> Iterator[bytes]:
+        """encode_bytes of each text, none of them null, in order."""
+        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, at = np.cumsum(sizes), 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] - sizes[at] + _GROUP, "right")))
+            group = texts.slice(at, end - at)
+            plain = group.to_pylist()
+            even = [self.mode != "whole" and len(t) <= _GROUP and not self._holds_added(t) for t in plain]
+            if self.mode == "prefix":  # where the pattern alone tells the places to cut at
+                even = pc.and_(pa.array(even), pc.invert(pc.match_substring_regex(group, _UNEVEN.pattern))).to_pylist()
+            found = iter(self._together(group.filter(pa.array(even))) if any(even) else [])
+            for t, together in zip(plain, even, strict=True):
+                yield next(found) if together else self.encode_bytes(t)
+            at = end
+
+    def _together(self, texts: pa.Array) -> list[bytes]:
+        """The ids of texts that can be cut at each blank and line end. Marks after a word of Latin letters are looked up apart from it."""
+        if self.mode == "dropped":
+            low = pc.if_else(pc.string_is_ascii(texts), pc.ascii_lower(texts), texts)
+            cut = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
+        else:
+            cut = pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0"), "\0")
+        coded = cut.flatten().dictionary_encode()
+        chunks = coded.dictionary
+        words = pc.ascii_rtrim(chunks, _TAIL)
+        latin = pc.and_(pc.equal(pc.utf8_ltrim(words, _BEFORE_TAIL), ""), pc.invert(pc.is_in(words, pa.array(["", " "], words.type))))
+        parts = []
+        for part in (pc.if_else(latin, words, chunks), pc.if_else(latin, pc.utf8_ltrim(chunks, _BEFORE_TAIL), "")):
+            own = part.dictionary_encode()
+            names = own.dictionary.to_numpy(zero_copy_only=False).tolist()
+            ids = list(map(self.young.get, names))
+            if new := [k for k, x in enumerate(ids) if x is None]:
+                self._add([c for k in new if len(c := names[k]) <= _LONGEST])
+                for k in new:
+                    ids[k] = x if (x := self.young.get(c := names[k])) is not None else self._one(c)  # what is too long is not remembered
+            parts.append(pa.array(ids, pa.binary()).take(own.indices))
+        joined = pc.binary_join_element_wise(*parts, b"").take(coded.indices)
+        if len(self.young) > _WORDS:
+            self.old, self.young = self.young, {}
+        places, data = np.frombuffer(joined.buffers()[1], "<i4"), joined.buffers()[2]
+        return [data[x:y].to_pybytes() if x < y else b"" for x, y in pairwise(places[cut.offsets.to_numpy()].tolist())]
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(self.encode_bytes(text), "<u4")
 
