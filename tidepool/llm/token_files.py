@@ -111,7 +111,7 @@ def encoded(docs: DataFrame, vocab: str, end_id: int) -> DataFrame:
         wide = "<u2" if enc.plain.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         end = np.array([end_id], "<u4").tobytes()
         for b in batches:
-            ids = [np.frombuffer(enc.encode_bytes(t) + end, "<u4") for t in b.column(1).to_pylist()]
+            ids = [np.frombuffer(coded + end, "<u4") for coded in enc.encode_each(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.astype(wide).tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.mapInArrow(run, ENCODED)
