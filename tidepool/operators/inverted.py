@@ -15,7 +15,7 @@ read that could reach it. Deleted rows count for nothing: neither as documents n
 
 Many queries together would join the same postings again and again: the rows of that join grow with queries times memories. Where they are more than SCANNED of all postings,
 the queries go to the tasks (in blocks) and the forward rows are scored where they are read (scan()); nothing but each task's k best rows of a query is written, and
-tasks are TASKS a core at most, whatever the number of files, so that those rows grow with the queries alone. A query of all its words is looked for where its rarest word is.
+tasks are TASKS a core at most, whatever the number of files, so that those rows grow with the queries alone. The sums are those of dense.py.
 """
 
 from __future__ import annotations
@@ -32,11 +32,15 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidepool.operators.search import B, CELLS, K1, LEAST_IDF, MOST_TERMS, Best, in_blocks, query_terms, spread, steps_of, top
+from tidepool.operators.dense import Asked, Scorer, holds  # noqa: F401
+from tidepool.operators.dense import blocks_of as blocks
+from tidepool.operators.search import B, K1, LEAST_IDF, MOST_TERMS, in_blocks, query_terms, spread, steps_of, top
 from tidepool.sources.folder import written
 
 BLOCK, PROBES = 256, 2
 SCANNED = 0.25
+#: Characters of texts that are cut into words at once.
+AT_ONCE = 1 << 21
 #: Tasks a core that score forward rows.
 TASKS = 2
 #: Deletions that are sent to the rows at most: 12 MB of numbers.
@@ -57,21 +61,24 @@ def words_of(memories: DataFrame, batch: int) -> DataFrame:
 
     entry = pa.struct([("term", pa.string()), ("count", pa.int32())])
 
-    def made(block: int, rows: list[tuple[int, str]]) -> pa.RecordBatch:
-        sizes, ends, terms, counts, lines = [], [0], [], [], []
-        for _, text in rows:
-            words = text.lower().encode("ascii", "replace").translate(_BLANK).decode().split()
-            own, code, found = np.unique(np.array(words, object), return_inverse=True, return_counts=True) if words else ([], np.zeros(0, int), np.zeros(0, int))
-            sizes.append(len(words))
-            terms.extend(own)
-            counts.append(found)
-            lines.append(code)
-            ends.append(len(terms))
-        counts, lines = np.concatenate([*counts, []]).astype(np.int32), np.concatenate([*lines, []]).astype(np.int32)
-        entries = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(counts)], fields=list(entry))
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(lines))
-        columns = [pa.array([block] * len(rows), pa.int64()), pa.array([i for i, _ in rows], pa.int64()), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries), lists]
-        return pa.RecordBatch.from_arrays(columns, ["block", "memory_id", "size", "words", "line"])
+    def made(block: int, rows: list[tuple[int, str]]) -> Iterator[pa.RecordBatch]:
+        for low, high in steps_of(np.array([len(text) for _, text in rows]), AT_ONCE):
+            texts = pa.array([text.lower().encode("ascii", "replace").translate(_BLANK).strip().decode() for _, text in rows[low:high]], pa.string())
+            words = pc.ascii_split_whitespace(texts)
+            size = np.where(pc.binary_length(texts).to_numpy() > 0, pc.list_value_length(words).to_numpy(), 0)
+            flat = words.flatten()
+            coded = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+            order = pc.sort_indices(coded.dictionary).to_numpy()
+            place = np.zeros(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            doc = np.repeat(np.arange(high - low), size)
+            own, line, counts = np.unique(doc * len(order) + place[coded.indices.to_numpy()], return_inverse=True, return_counts=True)
+            ends = np.searchsorted(own, np.arange(high - low + 1) * len(order))
+            terms = coded.dictionary.take(pa.array(order[own % max(1, len(order))]))
+            entries = pa.StructArray.from_arrays([terms, pa.array(counts.astype(np.int32))], fields=list(entry))
+            lines = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array((line - ends[doc]).astype(np.int32)))
+            columns = [pa.array([block] * (high - low), pa.int64()), pa.array([i for i, _ in rows[low:high]], pa.int64()), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries), lines]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "memory_id", "size", "words", "line"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, rows = (batch << 44) + (TaskContext.get().partitionId() << 24), []
@@ -80,10 +87,10 @@ def words_of(memories: DataFrame, batch: int) -> DataFrame:
                 part = b.slice(at, BLOCK)
                 rows += zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
                 while len(rows) >= BLOCK:
-                    yield made(block, rows[:BLOCK])
+                    yield from made(block, rows[:BLOCK])
                     block, rows = block + 1, rows[BLOCK:]
         if rows:
-            yield made(block, rows)
+            yield from made(block, rows)
 
     texts = memories.select(F.col("id").cast("long").alias("memory_id"), F.coalesce(F.col("searchable_text"), F.lit("")).alias("text"))
     # a shuffle of the texts would take as much disk as they do: only if less than half of the cores had any
@@ -260,16 +267,6 @@ class Leaves:
         return key // self.n, key % self.n, np.bincount(inverse, np.concatenate([x for _, x in parts]), len(key)).astype(np.int64)
 
 
-def holds(tree, mask: int) -> bool:
-    """Whether a set of leaves (bits) will do."""
-    if isinstance(tree, int):
-        return bool(mask >> tree & 1)
-    operator, left, right = tree
-    if operator == "OR":
-        return holds(left, mask) or holds(right, mask)
-    return holds(left, mask) and holds(right, mask) == (operator == "AND")
-
-
 def scan(index: Index, leaves: DataFrame, k: int, n_docs: int, average: float) -> DataFrame:
     """query_id, memory_id, score: the k best rows of each task. leaves: query_id, leaf (0 to 62 with a tree), kind (word, prefix or phrase), words, tree: null: all leaves have to
     be there, any: one of them, else a tree of holds(), as JSON."""
@@ -287,16 +284,6 @@ def _scan(index: Index, leaves: DataFrame, k: int, n_docs: int, average: float)
     leaf, query = np.array([number[r.kind, tuple(r.words)] for r in asked], np.int64), np.searchsorted(ids, np.array([r.query_id for r in asked], np.int64))
     tree, place_of = np.full(len(ids), -1), {None: -1} | {x: n for n, x in enumerate(trees)}
     tree[query] = [place_of[r.tree] for r in asked]
-    needed = np.bincount(query, minlength=len(ids))
-    is_any = np.array([n >= 0 and trees[n] == "any" for n in tree])
-    # what a leaf adds to its query's sum: its bit where there is a tree to ask, else one
-    bit = np.where(is_any[query], 1, 1 << np.array([r.leaf for r in asked], np.int64) % 64)
-
-    def by_leaf(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The queries and bits of some of asked, by leaf, and where each leaf's begin."""
-        own = own[np.argsort(leaf[own], kind="stable")]
-        return query[own], bit[own], np.searchsorted(leaf[own], np.arange(len(specs) + 1))
-
     with_lines = any(kind == "phrase" for kind, _ in specs)
     rows = index.live(index.table("forward")).select("memory_id", "size", F.col("words.term").alias("terms"), F.col("words.count").alias("counts"), *["line"] * with_lines)
     rows = rows.coalesce(TASKS * index.spark.sparkContext.defaultParallelism)
@@ -304,8 +291,8 @@ def _scan(index: Index, leaves: DataFrame, k: int, n_docs: int, average: float)
     def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         own = Leaves(specs)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
+            for low, high in blocks(whole.column(1).to_numpy(zero_copy_only=False)):
+                b = whole.slice(low, high - low)
                 size = b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
                 yield b, size, *own.found(size, b.column(2), b.column(3).flatten().to_numpy(zero_copy_only=False), b.column(4).flatten().to_numpy(zero_copy_only=False) if with_lines else None)
 
@@ -319,59 +306,14 @@ def _scan(index: Index, leaves: DataFrame, k: int, n_docs: int, average: float)
     for r in rows.mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect():  # a number for each leaf
         df[r.leaf] = r.n
     idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), LEAST_IDF)
-    asking, bits, starts = by_leaf(np.flatnonzero(tree[query] >= 0))
-    # queries of all their leaves: the rarest leads to them
-    whole = np.flatnonzero(tree[query] < 0)
-    whole = whole[np.lexsort((df[leaf[whole]], query[whole]))]
-    leading, _, lead = by_leaf(whole[np.diff(query[whole], prepend=-1) > 0])
-    whole = whole[np.lexsort((leaf[whole], query[whole]))]
-    leaves_of, first_of = leaf[whole], np.searchsorted(query[whole], np.arange(len(ids)))
-
-    def lists(starts: np.ndarray, numbers: np.ndarray) -> np.ndarray:
-        """The places of what each of the numbers has, list after list."""
-        many = starts[numbers + 1] - starts[numbers]
-        return np.arange(many.sum()) + np.repeat(starts[numbers] + many - np.cumsum(many), many)
+    queries = Asked(len(ids), query, leaf, np.array([r.leaf for r in asked], np.int64), tree, [x if x == "any" else json.loads(x) for x in trees], df)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, parsed, known = Best(len(ids), k), [None if x == "any" else json.loads(x) for x in trees], {}
-        ends_of = np.append(first_of, len(leaves_of))
+        scorer = Scorer(queries, k)
         for b, size, doc, found, n in parts_of(batches):
             weight = idf[found] * n * (K1 + 1) / (n + K1 * (1 - B + B * size[doc] / average))
-            members, at, key = b.column(0).to_numpy(zero_copy_only=False), np.searchsorted(doc, np.arange(len(size) + 1)), doc * len(specs) + found
-
-            def steps(starts: np.ndarray, most: int) -> Iterator[tuple[slice, np.ndarray]]:
-                many = starts[found + 1] - starts[found]
-                before = np.concatenate([[0], np.cumsum(many)])
-                for low, high in steps_of(np.diff(before[at]), most):
-                    yield slice(at[low], at[high]), many[at[low] : at[high]]
-
-            for part, m in steps(lead, CELLS // 8):
-                row, who = np.repeat(doc[part], m), leading[lists(lead, found[part])]
-                each = needed[who]
-                wanted = np.repeat(row, each) * len(specs) + leaves_of[lists(ends_of, who)]
-                place = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-                there, pair = key[place] == wanted, np.repeat(np.arange(len(who)), each)
-                sums = np.bincount(pair, np.where(there, weight[place], 0), len(who))
-                hit = np.flatnonzero(np.bincount(pair, there, len(who)) == each)
-                best.add(who[hit], members[row[hit]], np.floor(sums[hit] * 1e6 + 0.5) / 1e6)
-            for part, m in steps(starts, CELLS):
-                which = lists(starts, found[part])
-                cell, place = np.unique(np.repeat(doc[part], m) * len(ids) + asking[which], return_inverse=True)
-                sums, mask = np.bincount(place, np.repeat(weight[part], m), len(cell)), np.zeros(len(cell), np.int64)
-                np.add.at(mask, place, bits[which])
-                who = cell % len(ids)
-                good, told = is_any[who], np.flatnonzero(~is_any[who])
-                if len(told):
-                    pairs, inverse = np.unique(np.stack([tree[who[told]], mask[told]]), axis=1, return_inverse=True)
-                    for pair in map(tuple, pairs.T.tolist()):
-                        if pair not in known:
-                            known[pair] = holds(parsed[pair[0]], pair[1])
-                    good[told] = np.array([known[pair] for pair in map(tuple, pairs.T.tolist())], bool)[inverse.ravel()]
-                    if len(known) > 1 << 16:
-                        known.clear()
-                hit = np.flatnonzero(good)
-                best.add(who[hit], members[cell[hit] // len(ids)], np.floor(sums[hit] * 1e6 + 0.5) / 1e6)
-        held = best.rows()
+            scorer.add(b.column(0).to_numpy(zero_copy_only=False), doc, found, weight)
+        held = scorer.rows()
         yield pa.RecordBatch.from_arrays([pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])], ["query_id", "memory_id", "score"])
 
     return rows.mapInArrow(score, schema)
