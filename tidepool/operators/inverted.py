@@ -34,15 +34,15 @@ from pyspark.sql import functions as F
 
 from tidepool.operators.dense import Asked, Scorer, holds  # noqa: F401
 from tidepool.operators.dense import blocks_of as blocks
-from tidepool.operators.search import B, K1, LEAST_IDF, MOST_TERMS, in_blocks, query_terms, spread, steps_of, top
+from tidepool.operators.search import B, K1, LEAST_IDF, TASKS, in_blocks, query_terms, spread, steps_of, top
 from tidepool.sources.folder import written
 
 BLOCK, PROBES = 256, 2
 SCANNED = 0.25
 #: Characters of texts that are cut into words at once.
 AT_ONCE = 1 << 21
-#: Tasks a core that score forward rows.
-TASKS = 2
+#: Leaves of the queries that are answered at once.
+MOST_TERMS = 200_000
 #: Deletions that are sent to the rows at most: 12 MB of numbers.
 SENT_ROWS = 1 << 20
 _BLANK = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))

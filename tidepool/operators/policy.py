@@ -65,10 +65,26 @@ PLACES = [(("staging", "lab"), "staging|lab", 160, "production", -180), (("produ
 LEAD = 15
 
 
-def conflict_rank(query: Column, text: Column, score: Column) -> Column:
-    """How well a trusted procedure answers a query for one. Reads trust, authority, provenance_rank, review_scope and policy_class of the row."""
-    q, t, asked = F.lower(query), F.lower(F.coalesce(text, F.lit(""))), labels.scope(query)
+#: What of a procedure's text conflict_rank() asks for.
+SHOWN = list(dict.fromkeys([p for _, first, _, second, _ in PLACES for p in (first, second)] + [labels.any_of(IS_DEFAULT), labels.any_of(IS_EXCEPTION)]))
+
+
+def shows(text: Column) -> Column:
+    """Which of SHOWN a text has, as booleans: all that conflict_rank() reads of it, so that the text need not go where it is read."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.array(*[low.rlike(p) for p in SHOWN])
+
+
+def may_conflict(memory_type: Column, trust: Column) -> Column:
+    """Whether a row's own columns let it be one of several procedures that contradict each other."""
+    return (memory_type == "procedural") & trust.isin("trusted", "normal")
+
+
+def conflict_rank(query: Column, shown: Column, score: Column) -> Column:
+    """How well a trusted procedure answers a query for one. shown: see shows(). Reads trust, authority, provenance_rank, review_scope and policy_class of the row."""
+    q, asked = F.lower(query), labels.scope(query)
     says = lambda c, phrases: c.rlike(labels.any_of(phrases))
+    has = lambda pattern: shown[SHOWN.index(pattern)]
     own = F.col("review_scope")
     exception, high = says(q, ASKS_EXCEPTION), says(q, ASKS_HIGH_IMPACT)
     default = ~exception & says(q, ASKS_DEFAULT)
@@ -76,21 +92,21 @@ def conflict_rank(query: Column, text: Column, score: Column) -> Column:
     rank += F.when(labels.scope_fits(own, asked), 15).otherwise(0) + F.when(labels.class_fits(F.col("policy_class"), query), 15).otherwise(0)
     rank += F.when((own == asked) & (own != "general"), 140).when(own.isNotNull() & (own != "general"), -120).when(own.isNull() & (asked != "general"), -35).otherwise(0)
     for scopes, first, up, second, down in PLACES:
-        rank += F.when(asked.isin(*scopes), F.when(t.rlike(first), up).when(t.rlike(second), down).otherwise(0)).otherwise(0)
-    for asks, shows, weight in ((default, IS_DEFAULT, 120), (default, IS_EXCEPTION, -160), (high, IS_EXCEPTION, 140), (high, IS_DEFAULT, -120)):
-        rank += F.when(asks & says(t, shows), weight).otherwise(0)
+        rank += F.when(asked.isin(*scopes), F.when(has(first), up).when(has(second), down).otherwise(0)).otherwise(0)
+    for asks, phrases, weight in ((default, IS_DEFAULT, 120), (default, IS_EXCEPTION, -160), (high, IS_EXCEPTION, 140), (high, IS_DEFAULT, -120)):
+        rank += F.when(asks & has(labels.any_of(phrases)), weight).otherwise(0)
     return rank.cast("long")
 
 
 def resolve_conflicts(candidates: DataFrame) -> DataFrame:
     """Where a query asks for the supported or exceptional way and several trusted procedures answer, the best one is left of them if it leads clearly, in two rounds: if
     one source chain has more authority than every other, only its procedures are compared; of these the first stays alone if its rank is more than LEAD
-    above the second's. Other rows stay. candidates: with query, asks_guidance, memory_type, searchable_text, trust, pending, denied, authority (for the
+    above the second's. Other rows stay. candidates: with query, asks_guidance, memory_type, searchable_text (or shows, what shows() says of it), trust, pending, denied, authority (for the
     query's domains), source_chain, provenance_rank, review_scope, policy_class."""
     focused = F.lower("query").rlike(labels.any_of(FOCUS))
-    eligible = _is("asks_guidance") & focused & (F.col("memory_type") == "procedural") & F.col("trust").isin("trusted", "normal") & ~_is("pending") & ~_is("denied")
+    eligible = _is("asks_guidance") & focused & may_conflict(F.col("memory_type"), F.col("trust")) & ~_is("pending") & ~_is("denied")
     rows = candidates.withColumn("_in", F.coalesce(eligible & (F.count(F.lit(1)).over(Window.partitionBy("query_id")) > 1), F.lit(False)))
-    rows = rows.withColumn("_rank", F.when(F.col("_in"), conflict_rank(F.col("query"), F.col("searchable_text"), F.col("score"))))
+    rows = rows.withColumn("_rank", F.when(F.col("_in"), conflict_rank(F.col("query"), F.col("shows") if "shows" in candidates.columns else shows(F.col("searchable_text")), F.col("score"))))
     # first round: chains by authority, then rank; a chain's figures are those of its best rows
     chain = F.when(F.col("_in"), F.col("source_chain"))
     of_chain, of_query = Window.partitionBy("query_id", chain), Window.partitionBy("query_id")

@@ -18,7 +18,9 @@ from tidepool.sources.folder import written
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Terms, vector numbers, and best rows of the queries that are answered at once.
-MOST_TERMS, MOST_NUMBERS, MOST_HELD = 200_000, 8_000_000, 1 << 22
+MOST_TERMS, MOST_NUMBERS, MOST_HELD = 2_000_000, 8_000_000, 1 << 22
+#: Tasks a core that score texts: each writes its k best rows of a query.
+TASKS = 2
 #: Pairs of a query and a document that a task scores at once, queries of a tile, and stems that a task remembers.
 CELLS, TILE, MOST_STEMS = 1 << 21, 1000, 1_000_000
 #: Texts that are Python objects at once.
@@ -128,14 +130,14 @@ def bm25(memories: DataFrame, queries: DataFrame, match_all: bool = False, where
     where: which memories may match; a list of conditions if each query has its own one's number in a column group.
 
     The texts are read once, into postings of the queries' terms, which are written. Documents and words in all, and documents with each
-    term, are counted there; then each document is scored where its row is read. Queries with more than MOST_TERMS terms together are answered
-    in blocks."""
+    term, are counted there; then each document is scored where its row is read (dense.py, where k is given). Queries with more than MOST_TERMS terms together are answered
+    in blocks, those with more than MOST_HELD best rows in rounds over the same postings."""
     terms = query_terms(queries, stop_words=not match_all)
     if stemmed:
         terms = terms.select("query_id", stem(F.col("term")).alias("term")).distinct()
     conditions = where if isinstance(where, list) else [F.lit(True) if where is None else where]
     terms = terms.join(queries.select("query_id", "group"), "query_id") if isinstance(where, list) else terms.withColumn("group", F.lit(0))
-    return in_blocks(terms, F.lit(1), MOST_TERMS, lambda part: _bm25(memories, part, match_all, conditions, stemmed, k), "keyword", k)
+    return in_blocks(terms, F.lit(1), MOST_TERMS, lambda part: _bm25(memories, part, match_all, conditions, stemmed, k), "keyword")
 
 
 def steps_of(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
@@ -150,11 +152,14 @@ def steps_of(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
 
 
 def _bm25(memories: DataFrame, asked: DataFrame, match_all: bool, where: list[Column], stemmed: bool, k: int | None) -> DataFrame:
-    rows = asked.select("query_id", "term", "group").collect()  # MOST_TERMS or so at most
-    terms = sorted({r.term for r in rows})
-    number = {t: n for n, t in enumerate(terms)}
-    if not rows:
+    from tidepool.operators import dense  # which reads this module
+
+    rows = asked.select(F.col("query_id").cast("long").alias("query_id"), "term", F.col("group").cast("int").alias("group")).toArrow()  # MOST_TERMS or so at most
+    if not rows.num_rows:
         return memories.select(F.lit(0).cast("long").alias("query_id"), F.col("id").cast("long").alias("memory_id"), F.lit(0.0).alias("score")).limit(0)
+    known = pc.unique(rows["term"]).sort()
+    terms, term = known.to_pylist(), pc.index_in(rows["term"], value_set=known).to_numpy()
+    query, group = rows["query_id"].to_numpy(), rows["group"].to_numpy()
     table = written(postings(memories, terms, stemmed, where), "postings")
     n_docs, n_words = table.agg(F.count(F.lit(1)), F.sum("size")).first()
     average = n_words / n_docs if n_words else 1.0
@@ -162,17 +167,21 @@ def _bm25(memories: DataFrame, asked: DataFrame, match_all: bool, where: list[Co
     for t, n in table.select(F.explode("terms").alias("t")).groupBy("t").count().collect():  # a number for each term
         df[t] = n
     idf = np.maximum(np.log((n_docs - df + 0.5) / (df + 0.5)), LEAST_IDF)
+    if match_all:  # what no document has leads to none
+        may = ~np.isin(query, query[df[term] == 0])
+        query, term, group = query[may], term[may], group[may]
+
+    def weights(t: np.ndarray, n: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return idf[t] * n * (K1 + 1) / (n + K1 * (1 - B + B * size / average))
 
-    def scorer(own: list) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        """For the queries of one condition."""
-        ids = np.array(sorted({r.query_id for r in own}), np.int64)
-        term, query = np.array([number[r.term] for r in own], np.int64), np.searchsorted(ids, np.array([r.query_id for r in own], np.int64))
-        order = np.argsort(term, kind="stable")
-        asking, starts = query[order], np.searchsorted(term[order], np.arange(len(terms) + 1))  # the queries of each term
-        needed = np.bincount(query, minlength=len(ids))
+    def scorer(own: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """All matches of the queries of some of the rows."""
+        ids = np.unique(query[own])
+        order = np.argsort(term[own], kind="stable")
+        asking, starts = np.searchsorted(ids, query[own])[order], np.searchsorted(term[own][order], np.arange(len(terms) + 1))  # the queries of each term
+        needed = np.bincount(asking, minlength=len(ids))
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, best = ["query_id", "memory_id", "score"], Best(len(ids), k or 1)
             for b in batches:
                 size, t, n = (c.to_numpy(zero_copy_only=False) for c in (b.column(1), b.column(2).flatten(), b.column(3).flatten()))
                 lengths = pc.list_value_length(b.column(2)).to_numpy(zero_copy_only=False)
@@ -180,8 +189,7 @@ def _bm25(memories: DataFrame, asked: DataFrame, match_all: bool, where: list[Co
                 before = np.concatenate([[0], np.cumsum(many)])
                 for low, high in steps_of(np.diff(before[at]), CELLS):
                     part, doc = slice(at[low], at[high]), np.repeat(np.arange(high - low), lengths[low:high])
-                    weight = idf[t[part]] * n[part] * (K1 + 1) / (n[part] + K1 * (1 - B + B * size[low + doc] / average))
-                    m = many[part]
+                    weight, m = weights(t[part], n[part], size[low + doc]), many[part]
                     which = asking[np.arange(m.sum()) + np.repeat(starts[t[part]] + m - np.cumsum(m), m)]
                     cell = np.repeat(doc, m) * len(ids) + which
                     # only cells that occur, unless most do
@@ -192,20 +200,43 @@ def _bm25(memories: DataFrame, asked: DataFrame, match_all: bool, where: list[Co
                     matched, sums = np.bincount(place, minlength=len(cell)), np.bincount(place, np.repeat(weight, m), len(cell))
                     hit = np.flatnonzero(matched == needed[cell % len(ids)] if match_all else matched > 0)
                     found = (cell[hit] % len(ids), b.column(0).to_numpy(zero_copy_only=False)[low + cell[hit] // len(ids)], np.floor(sums[hit] * 1e6 + 0.5) / 1e6)
-                    if k is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[1]), pa.array(found[2])], names)
-                    else:
-                        best.add(*found)
-            if k is not None:
-                found = best.rows()
-                yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[1]), pa.array(found[2])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[1]), pa.array(found[2])], ["query_id", "memory_id", "score"])
+
+        return score
+
+    def best_scorer(own: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """The k best of each task."""
+        ids, leaves = np.unique(query[own]), np.unique(term[own])
+        leaf_of = np.full(len(terms), -1)
+        leaf_of[leaves] = np.arange(len(leaves))
+        queries = dense.Asked(len(ids), np.searchsorted(ids, query[own]), leaf_of[term[own]], term[own], np.full(len(ids), -1 if match_all else 0), ["any"], df[leaves])
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = dense.Scorer(queries, k)
+            for whole in batches:
+                lengths = pc.list_value_length(whole.column(2)).to_numpy(zero_copy_only=False)
+                for low, high in dense.blocks_of(lengths):
+                    b = whole.slice(low, high - low)
+                    members, size, t, n = (c.to_numpy(zero_copy_only=False) for c in (b.column(0), b.column(1), b.column(2).flatten(), b.column(3).flatten()))
+                    doc, wanted = np.repeat(np.arange(high - low), lengths[low:high]), leaf_of[t] >= 0
+                    doc, t, n = doc[wanted], t[wanted], n[wanted]
+                    best.add(members, doc, leaf_of[t], weights(t, n, size[doc]))
+            found = best.rows()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[found[0]]), pa.array(found[1]), pa.array(found[2])], ["query_id", "memory_id", "score"])
 
         return score
 
     out = []
-    for g in sorted({r.group for r in rows}):
+    for g in np.unique(rows["group"].to_numpy()).tolist():
         texts = table.where(F.col("ok")[g]).select("memory_id", "size", "terms", "counts")
-        out.append(texts.mapInArrow(scorer([r for r in rows if r.group == g]), "query_id long, memory_id long, score double"))
+        own = np.flatnonzero(group == g)
+        if k is None:
+            out.append(texts.mapInArrow(scorer(own), "query_id long, memory_id long, score double"))
+            continue
+        asking = np.unique(query[own])
+        texts = texts.coalesce(TASKS * memories.sparkSession.sparkContext.defaultParallelism)
+        for part in np.array_split(asking, max(1, -(-len(asking) * k // MOST_HELD))):
+            out.append(texts.mapInArrow(best_scorer(own[np.isin(query[own], part)]), "query_id long, memory_id long, score double"))
     return reduce(DataFrame.unionByName, out)
 
 
