@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidepool.functions import text as tx
 from tidepool.plans.route import Query
+from tidepool.sources.folder import written
 
 # Words without weight, words taken for another, and words that ask for a detail.
 WEIGHTLESS = "the a an is are was were be been being to for of in on at by and or that this it its still then than because what which who should not do does did yet after before over under with without from into about no current earlier".split()
@@ -90,35 +91,88 @@ def _any(text: Column, phrases: list[str]) -> Column:
     return F.greatest(*[F.contains(text, F.lit(p)) for p in phrases])
 
 
-def alignment(query: Column, text: Column, artifact: Column, constraint: Column, intent: Column) -> Column:
-    """The product of a factor for each thing that the query asks for: above one where the text shows it, below where not."""
-    q, t, low = tx.normalize(query), tx.normalize(text), F.lower(text)
-    word = lambda s: F.arrays_overlap(F.split(s, " "), F.lit(["prefer", "preferred", "preference"]))
-    both = lambda p: (F.contains(q, F.lit(p)) & F.contains(t, F.lit(p))).cast("int")
-    shared = sum((both(p) for p in SHARED), 2 * both("0 0 0 0") + 2 * both("127 0 0 1")) >= 2
+#: What a text has to be looked at for, by what a query asks for.
+SHOWN_FOR = {
+    "artifact": ["file"], "truth": ["truth"], "support": ["support"], "constraint": ["shared"], "next": ["next"], "before": ["before"], "limit": ["limit"], "prefer": ["prefer"], "abstention-risk": ["exclusion", "limit"],
+    "current-state": ["current", "past"], "stable-summary": ["current", "support", "prefer", "past"], "historical-state": ["past", "current"],
+}
+_PLACES = [*SHARED, "0 0 0 0", "127 0 0 1"]
+
+
+def _prefers(text: Column) -> Column:
+    return F.arrays_overlap(F.split(text, " "), F.lit(["prefer", "preferred", "preference"]))
+
+
+def asks_for(q: Column, artifact: Column, constraint: Column, intent: Column) -> dict[str, Column]:
+    """What a query (in normal form) asks for, by the names of SHOWN_FOR."""
     truth = F.contains(q, F.lit("source of truth"))
-    support = _any(t, SUPPORT) | F.contains(low, F.lit("codex-cli"))
-    limit, preference, current, past = _any(t, LIMIT), _any(t, PREFER) | word(t), _any(t, CURRENT), _any(t, HISTORICAL)
+    return {
+        "artifact": artifact, "truth": artifact & truth, "support": _any(q, SUPPORT), "constraint": constraint, "next": F.array_contains(F.split(q, " "), "next"), "before": _any(q, ["before", "had to be completed"]),
+        "limit": _any(q, ["did not", "not test", "not prove", "alone prove"]), "prefer": _any(q, ["matters more than", "rather than", "prioritize"]) | _prefers(q), "abstention-risk": intent == "abstention-risk",
+    } | {name: intent == name for name in STATES}
+
+
+def shown(t: Column, low: Column) -> dict[str, Column]:
+    """What a text (in normal form, and in lower case) shows."""
+    return {
+        "file": _any(low, ARTIFACTS), "truth": F.contains(t, F.lit("source of truth")), "support": _any(t, SUPPORT) | F.contains(low, F.lit("codex-cli")), "shared": F.array(*[F.contains(t, F.lit(p)) for p in _PLACES]), "next": _any(t, NEXT),
+        "before": _any(t, PREREQUISITE), "limit": _any(t, LIMIT), "prefer": _any(t, PREFER) | _prefers(t), "exclusion": _any(t, EXCLUSION), "current": _any(t, CURRENT), "past": _any(t, HISTORICAL),
+    }
+
+
+def shows(text: Column, names: list[str]) -> Column:
+    """A struct of what shown() says of a text under the names; its forms are made once."""
+    forms = F.array(F.struct(tx.normalize(text).alias("t"), F.lower(text).alias("low")))
+    return F.transform(forms, lambda x: F.struct(*[flag.alias(name) for name, flag in shown(x["t"], x["low"]).items() if name in names]))[0]
+
+
+def factor_of(q: Column, asks: dict[str, Column], has: Callable[[str], Column]) -> Column:
+    """The product of a factor for each thing that the query asks for: above one where the text shows it (has), below where not."""
+    shared = sum((w * (F.contains(q, F.lit(p)) & has("shared")[n]).cast("int") for n, (p, w) in enumerate(zip(_PLACES, [1] * len(SHARED) + [2, 2], strict=True))), F.lit(0)) >= 2
     asked_for = [
-        (artifact, _any(low, ARTIFACTS), 1.45, 0.82),
-        (artifact & truth, F.contains(t, F.lit("source of truth")), 1.35, 0.82),
-        (_any(q, SUPPORT), support, 1.45, 0.82),
-        (constraint, shared, 1.55, 0.62),
-        (F.array_contains(F.split(q, " "), "next"), _any(t, NEXT), 1.5, 0.8),
-        (_any(q, ["before", "had to be completed"]), _any(t, PREREQUISITE), 1.45, 0.84),
-        (_any(q, ["did not", "not test", "not prove", "alone prove"]), limit, 2.4, 0.45),
-        (_any(q, ["matters more than", "rather than", "prioritize"]) | word(q), preference, 1.65, 0.78),
-        (intent == "abstention-risk", _any(t, EXCLUSION) | limit, 1.1, 0.95),
-    ]
+        ("artifact", has("file"), 1.45, 0.82), ("truth", has("truth"), 1.35, 0.82), ("support", has("support"), 1.45, 0.82), ("constraint", shared, 1.55, 0.62), ("next", has("next"), 1.5, 0.8), ("before", has("before"), 1.45, 0.84),
+        ("limit", has("limit"), 2.4, 0.45), ("prefer", has("prefer"), 1.65, 0.78), ("abstention-risk", has("exclusion") | has("limit"), 1.1, 0.95),
+    ]
     out = F.lit(1.0)
-    for asks, shows, up, down in asked_for:
-        out = out * F.when(asks, F.when(shows, up).otherwise(down)).otherwise(1.0)
+    for name, flag, up, down in asked_for:
+        out = out * F.when(asks[name], F.when(flag, up).otherwise(down)).otherwise(1.0)
     for name, (up, down) in STATES.items():
-        own, other = (past, current) if name == "historical-state" else (current | support | preference if name == "stable-summary" else current, past)
-        out = out * F.when(intent == name, F.when(own, up).when(other, down).otherwise(1.0)).otherwise(1.0)
+        current = has("current")
+        own, other = (has("past"), current) if name == "historical-state" else (current | has("support") | has("prefer") if name == "stable-summary" else current, has("past"))
+        out = out * F.when(asks[name], F.when(own, up).when(other, down).otherwise(1.0)).otherwise(1.0)
     return F.coalesce(out, F.lit(1.0))
 
 
+def alignment(query: Column, text: Column, artifact: Column, constraint: Column, intent: Column) -> Column:
+    """factor_of() a query and a text; their forms are made once."""
+    forms = F.array(F.struct(tx.normalize(query).alias("q"), tx.normalize(text).alias("t"), F.lower(text).alias("low")))
+
+    def of(x: Column) -> Column:
+        flags = shown(x["t"], x["low"])
+        return factor_of(x["q"], asks_for(x["q"], artifact, constraint, intent), lambda name: flags[name])
+
+    return F.coalesce(F.transform(forms, of)[0], F.lit(1.0))
+
+
+def weighed(candidates: DataFrame, queries: DataFrame, texts: DataFrame) -> DataFrame:
+    """align() of candidates without texts: each text is looked at once, for what any of the queries asks for, and what it shows goes to the rows in its place; rows whose
+    query asks for nothing are as they are. texts: memory_id, searchable_text, one row a memory_id."""
+    signals = asked(queries)
+    q = tx.normalize(F.col("wording"))
+    asks = asks_for(q, F.col("artifact"), F.col("constraint"), F.col("intent"))
+    own = written(signals.select("query_id", q.alias("_q"), *[F.coalesce(flag, F.lit(False)).alias(name) for name, flag in asks.items()]).where(F.greatest(*map(F.col, asks))), "asks")
+    found = own.agg(*[F.coalesce(F.max(name), F.lit(False)).alias(name) for name in asks]).first()
+    names = sorted({flag for name in asks if found[name] for flag in SHOWN_FOR[name]})
+    if not names:
+        return candidates
+    flags = texts.select("memory_id", shows(F.coalesce("searchable_text", F.lit("")), names).alias("_shows"))
+    both = candidates.join(own.withColumnsRenamed({name: f"_{name}" for name in asks}), "query_id")
+    none = F.array(*[F.lit(False) for _ in _PLACES])
+    factor = factor_of(F.col("_q"), {name: F.col(f"_{name}") for name in asks}, lambda name: F.col("_shows")[name] if name in names else none if name == "shared" else F.lit(False))
+    told = both.join(flags, "memory_id").withColumn("score", F.col("score") * factor).select(candidates.columns)
+    return candidates.join(own.select("query_id"), "query_id", "left_anti").unionByName(told)
+
+
 def align(candidates: DataFrame, queries: DataFrame) -> DataFrame:
     """Weighs score by how the text suits the query. candidates: with searchable_text; queries: query_id, query. A row whose query is not
     listed, or without text, keeps its score where nothing is asked for."""

@@ -161,9 +161,10 @@ def search(
     rows = rows.join(linked, "query_id", "left").join(flags, "memory_id", "left")
     factor = F.when((F.col("state") == "current") & F.col("is_superseded"), 0.1).when((F.col("state") == "historical") & F.col("supersedes_other"), 0.35).otherwise(1.0)
     rows = rows.select("query_id", "memory_id", (F.col("score") * factor).alias("score"))
-    texts = memories.select(F.col("id").alias("memory_id"), "searchable_text", *[c for c in ("session",) if c in memories.columns])
-    rows = rows.join(own.select("query_id", "strict_grounding", "alignment"), "query_id").join(texts, "memory_id")
-    rows = retrieve.answering(rows, own.select("query_id", "query", "wording"))
+    sessions = memories.select(F.col("id").alias("memory_id"), *[c for c in ("session",) if c in memories.columns])
+    rows = written(rows.join(own.select("query_id", "strict_grounding", "alignment"), "query_id").join(sessions, "memory_id"), "reached")
+    texts = memories.select(F.col("id").alias("memory_id"), "searchable_text")
+    rows = retrieve.answering(rows, own.select("query_id", "query", "wording", "strict_grounding", "alignment"), texts)
     if config.max_per_session:
         rows = lifecycle.diversify(rows, config.max_per_session)
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).select("query_id", "memory_id", "score", "rank")
